@@ -49,11 +49,12 @@ def running_sum(df: DataFrame, groups: list[str], order: list[str], weight: Colu
     tagged = tagged.repartitionByRange(*groups, *order).withColumn("_p", F.spark_partition_id())
     tagged = materialize(tagged, "ranges")
     before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = tagged.groupBy(*groups, "_p").agg(F.sum("_w").alias("_t")).withColumn("_base", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    keys = [tagged[g].eqNullSafe(base[g]) for g in groups] + [tagged["_p"] == base["_p"]]
-    condition = keys[0]
-    for key in keys[1:]:
-        condition = condition & key
-    joined = tagged.join(F.broadcast(base), condition).select(*[tagged[c] for c in tagged.columns], base["_base"])
+    totals = tagged.groupBy(*groups, "_p").agg(F.sum("_w").alias("_t"))
+    # one row for each task, and one more for each further group in it
+    base = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_p").alias("_q"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
+    here = F.col("_p") == F.col("_q")
+    for i, g in enumerate(groups):
+        here = here & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = tagged.join(F.broadcast(base), here)
     inside = Window.partitionBy("_p", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum("_w").over(inside), F.lit(0))).drop("_w", "_p", "_base")
+    return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum("_w").over(inside), F.lit(0))).drop("_w", "_p", "_q", "_base", *[f"_g{i}" for i in range(len(groups))])
