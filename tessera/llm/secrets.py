@@ -203,8 +203,8 @@ def code(trigram: bytes) -> int:
     return trigram[0] << 16 | trigram[1] << 8 | trigram[2]
 
 
-def scan(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and ``found``: every row's spans (kind, start, end), in order."""
+def scan(docs: DataFrame, rules: list[Rule], keep: list[str], out: str = "found") -> DataFrame:
+    """``keep`` columns of ``docs`` and ``out``: every row's spans (kind, start, end), in order."""
     kinds = [r.kind for r in rules]
     data = docs.select(F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     schema = ", ".join(["found array<struct<kind:string,start:long,end:long>>", *[f"k{i} {data.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]])
@@ -224,7 +224,7 @@ def scan(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
                 rows = [[{"kind": k, "start": a, "end": b} for k, a, b in ordered(s, kinds)] if s else [] for s in spans]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, kind), *part.columns[1:]], ["found", *part.schema.names[1:]])
 
-    return data.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "found")
+    return data.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("found").alias(out))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -238,19 +238,21 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret span of ``text`` replaced by ``mark``; overlapping spans become one mark."""
+    free = "_" * (1 + max(map(len, docs.columns)))  # a prefix that no column has
+    whole, spans = f"{free}text", f"{free}spans"
     columns = [c for c in docs.columns if c != "text"]
-    found = scan(docs.select(*columns, "text", F.col("text").alias("_whole")), BASE_RULES + MORE_RULES, [*columns, "_whole"])
-    start = F.lit(0).cast("long")
+    found = scan(docs.select(*columns, "text", F.col("text").alias(whole)), BASE_RULES + MORE_RULES, [*columns, whole], spans)
+    rest = lambda acc, n: F.substring(F.col(whole), (acc["at"] + 1).cast("int"), n)
     merged = F.aggregate(
-        F.col("found"),
-        F.struct(F.lit("").alias("done"), start.alias("at")),
+        F.col(spans),
+        F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
             F.struct(
-                F.when(s["start"] < acc["at"], acc["done"]).otherwise(F.concat(acc["done"], F.substring(F.col("_whole"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("done"),
+                F.when(s["start"] < acc["at"], acc["done"]).otherwise(F.concat(acc["done"], rest(acc, (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("done"),
                 s["end"].alias("at"),
             )
         ),
-        lambda acc: F.concat(acc["done"], F.substring(F.col("_whole"), (acc["at"] + 1).cast("int"), F.lit(2147483647))),
+        lambda acc: F.concat(acc["done"], rest(acc, F.lit(2147483647))),
     )
-    text = F.when(F.size("found") == 0, F.col("_whole")).otherwise(merged).alias("text")
+    text = F.when(F.size(spans) == 0, F.col(whole)).otherwise(merged).alias("text")
     return found.select(*[text if c == "text" else F.col(c) for c in docs.columns])

@@ -118,7 +118,7 @@ def test_decontamination(spark, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
     want = brute_hits(data, items)
-    assert sum(r[-1] for r in want) > 5
+    assert any(r[-1] for r in want)
     assert sorted(map(tuple, decontaminate.contamination(docs, bench).collect()), key=str) == want
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
     assert sorted(map(tuple, decontaminate.contamination(docs, bench).collect()), key=str) == want
