@@ -29,7 +29,15 @@ def slices(batch: pa.RecordBatch, column: int = 1, limit: int = 1 << 21) -> Iter
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null counts as empty."""
-    array = pc.fill_null(array, "").cast(pa.large_string())
+    return spread(pc.fill_null(array, "").cast(pa.large_string()))
+
+
+def utf8_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a binary column."""
+    return spread(pc.fill_null(array, b"").cast(pa.large_binary()))
+
+
+def spread(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
     offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
