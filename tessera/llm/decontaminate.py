@@ -143,6 +143,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.mapInArrow(report, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that no benchmark item hits; no join is needed."""
+    context = docs.sparkSession.sparkContext
+    at = docs.columns.index("text")
+    for block in blocks(benchmark):
+        docs = docs.mapInArrow(unhit(context.broadcast(block), at), docs.schema)
+    return docs
+
+
+def unhit(shared, at: int):
+    held: list[Index] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            held.append(Index(shared.value))
+        for batch in batches:
+            for part in textvec.slices(batch, at):
+                yield part.filter(pa.array([not hit.any() for hit, _ in found(held[0], part.column(at))], pa.bool_()))
+
+    return run
+
+
+def found(index: Index, texts: pa.Array) -> Iterator[tuple[np.ndarray, set]]:
+    """Hit words and items of each text."""
+    buf, offsets = textvec.utf8(texts)
+    buf = LOWER[buf]
+    starts, ends, first = textvec.words(buf, offsets, WORD)
+    hashed = textvec.Rolling(buf).ranges(starts, ends)
+    for r, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        base = int(offsets[r])
+        yield index.hits(buf[base : int(offsets[r + 1])].tobytes(), starts[a:b] - base, ends[a:b] - base, hashed[a:b])
+
+
 def scan(shared):
     """Adds one block's hits: ``hit`` is a bit for each word, ``items`` the items found."""
     held: list[Index] = []
@@ -153,14 +186,8 @@ def scan(shared):
         index = held[0]
         for batch in batches:
             for part in textvec.slices(batch):
-                buf, offsets = textvec.utf8(part.column(1))
-                buf = LOWER[buf]
-                starts, ends, first = textvec.words(buf, offsets, WORD)
-                hashed = textvec.Rolling(buf).ranges(starts, ends)
                 masks, lists = [], []
-                for r, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                    base = int(offsets[r])
-                    hit, items = index.hits(buf[base : int(offsets[r + 1])].tobytes(), starts[a:b] - base, ends[a:b] - base, hashed[a:b])
+                for r, (hit, items) in enumerate(found(index, part.column(1))):
                     before = part.column(2)[r].as_py()
                     if before:
                         hit |= np.unpackbits(np.frombuffer(before, np.uint8), count=len(hit)).astype(bool)

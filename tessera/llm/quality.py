@@ -106,6 +106,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str, sample_rows: int = SA
     return np.frombuffer(found[0].w, "<f4") if found else np.zeros((1 << settings.bits) + 1, "<f4")
 
 
+def probabilities(texts: pa.Array, w: np.ndarray, bits: int) -> np.ndarray:
+    found, at = features(*textvec.utf8(texts), bits)
+    sums = np.concatenate([[0.0], np.cumsum(w[found], dtype=np.float64)])
+    dots = (sums[at[1:]] - sums[at[:-1]]) / np.sqrt(np.maximum(1, np.diff(at)))
+    return 1 / (1 + np.exp(-np.clip(dots + 0.1 * float(w[-1]), -35, 35)))
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs`` with a ``score`` column added: the estimated probability of label 1."""
     spark = docs.sparkSession
@@ -117,15 +124,27 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         w = np.frombuffer(shared.value, "<f4")
         for batch in batches:
             for part in textvec.slices(batch):
-                found, at = features(*textvec.utf8(part.column(1)), bits)
-                sums = np.concatenate([[0.0], np.cumsum(w[found], dtype=np.float64)])
-                dots = (sums[at[1:]] - sums[at[:-1]]) / np.sqrt(np.maximum(1, np.diff(at)))
-                p = 1 / (1 + np.exp(-np.clip(dots + 0.1 * float(w[-1]), -35, 35)))
+                p = probabilities(part.column(1), w, bits)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], ["doc_id", "score"])
 
     return scored.mapInArrow(run, "doc_id long, score double")
 
 
+def passing(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``threshold`` or more; no join is needed."""
+    bits = int(np.log2(len(weights) - 1))
+    shared = docs.sparkSession.sparkContext.broadcast(weights.tobytes())
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.frombuffer(shared.value, "<f4")
+        for batch in batches:
+            for part in textvec.slices(batch, at):
+                yield part.filter(pa.array(probabilities(part.column(at), w, bits) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.graph import components
 from tessera.llm.scratch import materialize
@@ -74,12 +75,45 @@ def links(fps: DataFrame) -> DataFrame:
     return probes.join(entries, (probes.half == entries.half) & (probes.value == entries.value) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
+def classes(fps: DataFrame) -> DataFrame:
+    """(fp, root, first_id): each distinct fingerprint, its component's name and its least doc_id."""
+    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    roots = components(links(least.select("fp")))
+    return least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(links(classes.select("fp")))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = classes(fps)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = named.join(least, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One row of ``docs``, all columns, for each component: that with the least doc_id, null ids last.
+
+    Of rows alike in doc_id and fingerprint any one stays.
+    """
+    fps = materialize(fingerprints(docs, shingle), "fingerprints")
+    best = F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), F.col("first_id").alias("doc_id"), F.col("fp").alias("fp")))
+    kept = materialize(classes(fps).groupBy("root").agg(best.alias("best")).select("best.doc_id", "best.fp"), "kept")
+    free = "_" * (1 + max(map(len, docs.columns)))  # a prefix that no column has
+    key, fp = f"{free}id", f"{free}fp"
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (fingerprint((x.as_py() or "").encode(), shingle) for x in batch.column(at))
+            fps = np.fromiter(found, np.uint64, batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, fp])
+
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    wanted = kept.select(F.col("doc_id").alias(key), F.col("fp").alias(f"{fp}2"))
+    out = rows.join(wanted, (F.col(fp) == F.col(f"{fp}2")) & rows["doc_id"].cast("long").eqNullSafe(F.col(key)), "left_semi")
+    # rows that share doc_id and fingerprint with a kept one
+    twice = fps.join(kept.withColumnsRenamed({"doc_id": "d", "fp": "f"}), (F.col("fp") == F.col("f")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").groupBy("doc_id", "fp").count().where("count > 1")
+    if not twice.isEmpty():
+        out = out.dropDuplicates(["doc_id", fp])
+    return out.drop(fp)
