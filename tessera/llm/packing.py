@@ -22,6 +22,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ from tessera.llm.scratch import materialize, running_sum
 LIMIT = 4096
 END_ID = 1
 #: Words that a worker remembers the ids of.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Marks that are cut from the end of a word.
+MARKS = ".,;:!?%$&#*|)(\"-"
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -46,8 +49,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Ids of texts as little-endian bytes, word by word with a bounded memory of words.
 
-    Valid for tokenizers that never join across a space, tab or line break, as those
-    that drop white space; a word goes to the tokenizer whole.
+    Valid for tokenizers that never join across a space, tab or line break and cut
+    letters from marks, as those that drop white space; lower case only if so is the
+    tokenizer. Two generations of words are remembered; the older one goes as a whole.
     """
 
     def __init__(self, path: str):
@@ -57,23 +61,70 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         found = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {"": b""}
         known = self.known
         try:
             return b"".join([known[w] for w in found])
         except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        new = [w for w in dict.fromkeys(found) if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+            self.learn([w for w in dict.fromkeys(found) if w not in known])
         return b"".join([known[w] for w in found])
 
+    def learn(self, new: list[str]) -> None:
+        known, older = self.known, self.older
+        parts: dict[str, tuple[str, str]] = {}
+        unknown: dict[str, None] = {}
+        for w in new:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+                continue
+            core = w.rstrip(MARKS)
+            mark = w[len(core) :]
+            if core.isascii():
+                core = core.lower()
+            if core and not core.isalpha():
+                core, mark = w, ""
+            parts[w] = core, mark
+            for p in (core, mark):
+                if p not in known:
+                    if (ids := older.get(p)) is not None:
+                        known[p] = ids
+                    else:
+                        unknown[p] = None
+        if unknown:
+            self.encode([p for p in unknown if p.isalpha() or not p.strip(MARKS)], [p for p in unknown if not p.isalpha() and p.strip(MARKS)])
+        for w, (core, mark) in parts.items():
+            known[w] = known[core] + known[mark]
+
+
+    def encode(self, plain: list[str], mixed: list[str]) -> None:
+        """Ids of new words; the plain ones, all letters or all marks, in one text and cut where words end."""
+        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids if plain else [], "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(plain):
+            mixed = [*plain, *mixed]
+        else:
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(plain, (4 * ends).tolist(), strict=True):
+                self.known[p] = raw[at:end]
+                at = end
+        for p, e in zip(mixed, self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, "<u4").tobytes()
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks that a worker runs, so that words are remembered across them."""
+    return Encoder(path)
+
 
 def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and the end id, cut into pieces."""
@@ -81,7 +132,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             out: list[list[int | None]] = [[] for _ in fields]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
