@@ -268,18 +268,24 @@ def count_windows(classes: DataFrame, folder: str, parts: int, length: int) -> D
 
     windows = materialize(by_part(classes, parts, "row", "start").mapInArrow(run, "w long, part string, row int, start int, single boolean"), "windows")
     wanted = windows.groupBy("w").agg(F.count("*").alias("k"), F.max("single").alias("s")).where("k > 1 and s").select("w")
+    wanted = materialize(wanted, "repeated")  # see candidates
     return windows.join(wanted, "w").select("part", "row", "start", F.lit(length).alias("length"))
 
 
 def candidates(found: DataFrame, folder: str, parts: int, length: int) -> DataFrame:
-    """(part, row, start, length) of all suffixes to sort, once each or more."""
+    """(part, row, start, length) of all suffixes to sort, once each or more.
+
+    Group totals are written out before they are joined back: a join that reads both
+    sides from exchanges of its own is one whose hot keys Spark can split.
+    """
     groups = found.groupBy("h").agg(F.count("*").alias("k"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("k > 1").select("h", (F.col("u0") != F.col("u1")).alias("differ"))
+    groups = materialize(groups, "groups")
     shared = materialize(found.join(groups, "h"), "shared")
     of = materialize(shared.where("differ").groupBy("h", "u").agg(F.count("*").alias("k"), F.min(F.struct("part", "row", "start", "n")).alias("one")), "classes")
     whole = F.col("n") + (length - 1)
     again = shared.where("differ").join(of.where("k > 1").select("h", "u"), ["h", "u"], "left_semi")
     clean = shared.where("not differ").unionByName(again).select("part", "row", "start", whole.cast("int").alias("length"))
-    sizes = of.groupBy("h").agg(F.count("*").alias("different"))
+    sizes = materialize(of.groupBy("h").agg(F.count("*").alias("different")), "sizes")
     classes = materialize(of.join(sizes, "h").select("one.part", "one.row", "one.start", "one.n", "h", (F.col("k") == 1).alias("single"), (F.col("different") > MOST_IN_TASK).alias("many")), "differing")
     out = clean.unionByName(compare(classes.where("not many").drop("many"), folder, parts, length))
     if not classes.where("many").isEmpty():
