@@ -67,6 +67,11 @@ def storage(path: str):
     return system, plain
 
 
+def tasks(df: DataFrame) -> int:
+    """Partitions for narrow rows that stand for much reading; a stated number is never merged."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record as a gzip member."""
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
@@ -141,7 +146,7 @@ def line(key: str, page_id: int | None, rest: dict | None = None) -> tuple[bytes
 
 def build_index(entries: DataFrame, folder: str) -> DataFrame:
     """Write the sorted blocks and directories; gives a row (first, last, part) for each part."""
-    dealt = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    dealt = entries.repartitionByRange(tasks(entries), "key", "page_id").sortWithinPartitions("key", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, plain = storage(folder)
@@ -213,7 +218,7 @@ def lookup(wanted: DataFrame, parts: DataFrame, folder: str) -> DataFrame:
     ``parts`` has a row for each index part, as many as there were tasks.
     """
     known = [tuple(r) for r in parts.collect()]
-    dealt = wanted.distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    dealt = wanted.distinct().repartitionByRange(tasks(wanted), "key", "page_id").sortWithinPartitions("key", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(folder, known)
@@ -236,7 +241,7 @@ def keys(pages: DataFrame) -> DataFrame:
 
 def read(captures: DataFrame, folder: str) -> DataFrame:
     """The records of captures, by range reads in the order of the files."""
-    dealt = captures.repartitionByRange("file", "at").sortWithinPartitions("file", "at")
+    dealt = captures.repartitionByRange(tasks(captures), "file", "at").sortWithinPartitions("file", "at")
     fields = ["page_id", "record_type", "refers_to", "payload_digest", "payload"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
