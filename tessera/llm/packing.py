@@ -72,13 +72,11 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {"": b""}
         known = self.known
-        try:
-            return b"".join([known[w] for w in found])
-        except KeyError:
-            self.learn([w for w in dict.fromkeys(found) if w not in known])
-        return b"".join([known[w] for w in found])
+        if new := set(found).difference(known):
+            self.learn(new)
+        return b"".join(map(known.__getitem__, found))
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         known, older = self.known, self.older
         parts: dict[str, tuple[str, str]] = {}
         unknown: dict[str, None] = {}
@@ -93,16 +91,16 @@ class Encoder:
             if core and not core.isalpha():
                 core, mark = w, ""
             parts[w] = core, mark
-            for p in (core, mark):
+            for p in (core, mark) if mark else (core,):
                 if p not in known:
-                    if (ids := older.get(p)) is not None:
-                        known[p] = ids
+                    if p in older:
+                        known[p] = older[p]
                     else:
                         unknown[p] = None
         if unknown:
             self.encode([p for p in unknown if p.isalpha() or not p.strip(MARKS)], [p for p in unknown if not p.isalpha() and p.strip(MARKS)])
         for w, (core, mark) in parts.items():
-            known[w] = known[core] + known[mark]
+            known[w] = known[core] + known[mark] if mark else known[core]
 
 
     def encode(self, plain: list[str], mixed: list[str]) -> None:
