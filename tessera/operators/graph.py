@@ -175,20 +175,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, epsilon:
     marked = nodes.select("node", is_seed.alias("seed")).join(out.select(F.col("src").alias("node"), F.lit(True).alias("flows")), "node", "left").withColumn("flows", F.coalesce("flows", F.lit(False)))
     m = marked.where("seed").count() or n
     ranks = cut(marked.withColumn("rank", F.when(F.col("seed"), 1.0 / m).otherwise(0.0)))
-    for k in range(iterations):
+    for _ in range(iterations):
         sums = ranks.join(parts, ranks["node"] == parts["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
         loose = ranks.agg(F.coalesce(F.sum(F.when(~F.col("flows"), F.col("rank"))), F.lit(0.0)).alias("loose"))
         spread = F.when(F.col("seed"), (1 - DAMPING) / m + DAMPING * F.col("loose") / m).otherwise(0.0)
         joined = ranks.withColumnRenamed("rank", "old").join(sums, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(loose))  # loose: one row
         nxt = joined.select("node", "seed", "flows", (spread + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"), "old")
-        if epsilon is not None:
-            nxt = cut(nxt)
-            change = nxt.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            ranks = nxt.drop("old")
-            if change < epsilon:
-                break
-        else:
-            ranks = cut(nxt.drop("old")) if (k + 1) % CUT_EVERY == 0 else nxt.drop("old")
+        nxt = cut(nxt)  # ranks are read three times in the next step
+        ranks = nxt.drop("old")
+        if epsilon is not None and nxt.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < epsilon:
+            break
     return ranks.select("node", "rank")
 
 
