@@ -324,6 +324,8 @@ def structural_search(files: DataFrame, pattern: str, inside: str = "", has: str
                 except (SyntaxError, ValueError):
                     continue
                 for node, around in with_parents(tree, []):
+                    if isinstance(node, ast.Expr):
+                        continue  # its expression follows
                     captures: dict[str, str] = {}
                     if not same(want, node, captures) or inside and not any(inside.lower() in type(p).__name__.lower() for p in around):
                         continue

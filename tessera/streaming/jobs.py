@@ -70,7 +70,8 @@ def test_results(rows: DataFrame, forget_after: str = "1 hour") -> DataFrame:
     """Finished tests of a stream of events (package, test, action, output, elapsed), in append mode.
 
     A test's output is held from its run to its end; one that never ends is
-    forgotten after ``forget_after`` of processing time.
+    forgotten after ``forget_after`` of processing time. While state waits for that,
+    an ``availableNow`` trigger does not end; use a timed trigger or a single batch.
     """
     wait = int(pd.Timedelta(forget_after).total_seconds() * 1000)
 
