@@ -37,8 +37,13 @@ def schema(name: str) -> T.StructType:
 
 
 def conform(df: DataFrame, wanted: T.StructType) -> DataFrame:
-    """Columns of ``wanted`` in order and type; missing ones get their default."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(DEFAULTS.get(f.name))).cast(f.dataType).alias(f.name) for f in wanted])
+    """Columns of ``wanted`` in order and type; missing and null ones get their default if they have one."""
+
+    def column(f: T.StructField) -> Column:
+        have = F.col(f.name) if f.name in df.columns else F.lit(None)
+        return F.coalesce(have.cast(f.dataType), F.lit(DEFAULTS.get(f.name)).cast(f.dataType)).alias(f.name)
+
+    return df.select(*[column(f) for f in wanted])
 
 
 def symbol_id(path: Column, name: Column, start: Column) -> Column:
