@@ -283,7 +283,7 @@ def candidates(found: DataFrame, folder: str, parts: int, length: int) -> DataFr
     shared = materialize(found.join(groups, "h"), "shared")
     of = materialize(shared.where("differ").groupBy("h", "u").agg(F.count("*").alias("k"), F.min(F.struct("part", "row", "start", "n")).alias("one")), "classes")
     whole = F.col("n") + (length - 1)
-    again = shared.where("differ").join(of.where("k > 1").select("h", "u"), ["h", "u"], "left_semi")
+    again = with_twin(shared.where("differ"), of)
     clean = shared.where("not differ").unionByName(again).select("part", "row", "start", whole.cast("int").alias("length"))
     sizes = materialize(of.groupBy("h").agg(F.count("*").alias("different")), "sizes")
     classes = materialize(of.join(sizes, "h").select("one.part", "one.row", "one.start", "one.n", "h", (F.col("k") == 1).alias("single"), (F.col("different") > MOST_IN_TASK).alias("many")), "differing")
@@ -293,6 +293,18 @@ def candidates(found: DataFrame, folder: str, parts: int, length: int) -> DataFr
     return materialize(out, "suffixes")
 
 
+def with_twin(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """The stretches (h, u) that occur whole more than once; ``of`` has their number k.
+
+    Those with over a thousandth of all rows are a thousand at most, and are broadcast;
+    the others are joined, and no key of theirs has many rows.
+    """
+    many = max(1, (of.agg(F.sum("k")).first()[0] or 0) // 1000)
+    hot = F.broadcast(of.where(F.col("k") > many).where("k > 1").select("h", "u"))
+    cold = of.where(F.col("k") <= many).where("k > 1").select("h", "u")
+    return rows.join(hot, ["h", "u"], "left_semi").unionByName(rows.join(hot, ["h", "u"], "left_anti").join(cold, ["h", "u"], "left_semi"))
+
+
 def distinct_strings(texts: Part, rows: pa.Table, known: dict[bytes, list]) -> None:
     """Add the strings of suffixes to ``known``: string -> places as (row, start, length)."""
     row, start, size = columns(rows, "row", "start", "length")
