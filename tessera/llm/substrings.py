@@ -315,7 +315,11 @@ def distinct_strings(texts: Part, rows: pa.Table, known: dict[bytes, list]) -> N
 
 
 def sort_and_merge(suffixes: DataFrame, folder: str, parts: int, length: int) -> DataFrame:
-    """(part, file): for each part with suffixes, the name of a file of its repeated places."""
+    """(part, ids): for each part with suffixes, which of its strings repeat.
+
+    A part's places are in a file named after it, whose content its suffixes decide:
+    a task that is run again puts the same file in place of itself.
+    """
     spark = suffixes.sparkSession
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -335,21 +339,22 @@ def sort_and_merge(suffixes: DataFrame, folder: str, parts: int, length: int) ->
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, plain = storage(folder)
         part, known = None, {}
-        names = ["part", "file", "q", "first", "run"]
+        names = ["part", "q", "run"]
 
         def out() -> Iterator[pa.RecordBatch]:
             """Sorted runs by range, and the places of every string in a file."""
             strings = sorted(known)
-            file = f"{uuid.uuid4().hex}.places"
+            attempt = f"{plain}/{part}.{uuid.uuid4().hex}"
             sizes = np.array([len(known[s]) for s in strings], np.int32)
             place = np.array([p for s in strings for p in known[s]], np.int32).reshape(-1, 3)
-            with system.open_output_stream(f"{plain}/{file}", compression=None) as f:
+            with system.open_output_stream(attempt, compression=None) as f:
                 np.savez(f, sizes=sizes, place=place)
+            system.move(attempt, f"{plain}/{part}.places")
             q = [bisect_right(cuts.value, s[:length]) for s in strings]
             first = 0
             while first < len(strings):
                 end = bisect_right(q, q[first])
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([file]), pa.array([q[first]], pa.int32()), pa.array([first], pa.int32()), pa.array([front_code(strings[first:end], first)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([q[first]], pa.int32()), pa.array([front_code(strings[first:end], first)], pa.binary())], names)
                 first = end
 
         for texts, rows in of_parts(batches, folder):
@@ -367,11 +372,11 @@ def sort_and_merge(suffixes: DataFrame, folder: str, parts: int, length: int) ->
     def combine(table):
         runs = [bytes(x) for x in table["run"].to_pylist()]
         ids = repeated(runs)
-        return pa.table({"part": table["part"], "file": table["file"], "ids": pa.array([np.array(x, "<i4").tobytes() for x in ids], pa.binary())})
+        return pa.table({"part": table["part"], "ids": pa.array([np.array(x, "<i4").tobytes() for x in ids], pa.binary())})
 
-    runs = by_part(suffixes, parts, "row", "start", "length").mapInArrow(sort, "part string, file string, q int, first int, run binary")
-    merged = runs.groupBy("q").applyInArrow(combine, "part string, file string, ids binary")
-    return materialize(merged, "merged").groupBy("part", "file").agg(F.collect_list("ids").alias("ids"))
+    runs = by_part(suffixes, parts, "row", "start", "length").mapInArrow(sort, "part string, q int, run binary")
+    merged = runs.groupBy("q").applyInArrow(combine, "part string, ids binary")
+    return materialize(merged, "merged").groupBy("part").agg(F.collect_list("ids").alias("ids"))
 
 
 def remove(found: DataFrame, merged: DataFrame, folder: str, parts: int, length: int) -> DataFrame:
@@ -384,8 +389,8 @@ def remove(found: DataFrame, merged: DataFrame, folder: str, parts: int, length:
         for batch in batches:
             for item in batch.to_pylist():
                 place = np.zeros((0, 3), np.int64)
-                if item["file"]:
-                    with system.open_input_file(f"{plain}/{item['file']}") as f, np.load(f) as saved:
+                if item["ids"] is not None:
+                    with system.open_input_file(f"{plain}/{item['part']}.places") as f, np.load(f) as saved:
                         flags = saved["sizes"] > 1
                         for ids in item["ids"]:
                             flags[np.frombuffer(ids, "<i4")] = True
