@@ -69,7 +69,7 @@ def centrality(symbols: DataFrame, edges: DataFrame, match_on: str = "name") ->
 def critical(symbols: DataFrame, edges: DataFrame, failed: DataFrame, limit: int = 20) -> DataFrame:
     """Symbols by centrality, then failed tests; calls with the exact path count first, else all of the name."""
     exact = edges.groupBy(F.col("callee").alias("_c"), F.col("callee_path").alias("_p")).agg(F.count("*").alias("_exact"))
-    total = edges.groupBy(F.col("callee").alias("_n")).agg(F.count("*").alias("_total"))
+    total = exact.groupBy(F.col("_c").alias("_n")).agg(F.sum("_exact").alias("_total"))  # reuses the exchange of the counts above
     fragile = failed.groupBy(F.col("target_symbol").alias("_t")).agg(F.count("*").alias("fragility"))
     joined = symbols.join(exact, (symbols["name"] == F.col("_c")) & (symbols["path"] == F.col("_p")), "left").join(total, symbols["name"] == F.col("_n"), "left").join(fragile, symbols["name"] == F.col("_t"), "left")
     scored = joined.withColumn("centrality", F.coalesce(F.nullif("_exact", F.lit(0)), "_total", F.lit(0))).withColumn("fragility", F.coalesce("fragility", F.lit(0)))
