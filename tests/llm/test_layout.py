@@ -90,6 +90,16 @@ def test_running_sum(spark):
     assert got == {(r.g, r.o): sum(x.w for x in rows if x.g == r.g and x.o < r.o) for r in rows}
 
 
+def test_working_tables_can_be_discarded(spark):
+    import os
+
+    scratch.materialize(spark.range(3))
+    path = scratch._made[-1].removeprefix("file:").replace("///", "/")
+    assert os.path.isdir(path)
+    scratch.discard(spark)
+    assert not os.path.isdir(path) and not scratch._made
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(-5, n) for n in range(2000, 2050)] + [(7, 7)]
