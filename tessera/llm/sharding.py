@@ -100,7 +100,8 @@ def assign(docs: DataFrame, levels: int | None = None, target_bytes: int | None
     """(doc_id, size, text_crc32, path) for every row of ``docs``."""
     rows = materialize(points(docs), "points")
     parts = leaves(rows, levels, target_bytes)
-    pieces = parts.groupBy("g").agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    # written out, so that the join reads two exchanges and a hot text can be split
+    pieces = materialize(parts.groupBy("g").agg(F.count("*").alias("n"), F.min("path").alias("path")), "pieces")
     whole = rows.join(pieces.where("n = 1").select("g", "path"), "g").select("doc_id", "size", "text_crc32", "path")
     # groups that a median has cut: one for each inner node at most
     cut = pieces.where("n > 1").select("g")
