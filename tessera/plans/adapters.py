@@ -101,7 +101,7 @@ def test_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = F.get_json_object("props", "$.k").try_cast("long")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol_id"), F.col("event_type").alias("environment"), hits.alias("hit_count"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("last_used"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol_id"), F.col("event_type").alias("environment"), hits.alias("hit_count"), F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).alias("last_used"))
 
 
 USAGE_SQL = "SELECT user_id AS symbol_id, event_type AS environment, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS hit_count, CAST(floor(epoch(ts)) AS BIGINT) AS last_used FROM events"

@@ -780,9 +780,9 @@ def incremental_index(s, d):
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_rollup(s, d):
-    rows = A.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = A.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     out = rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 @query()
