@@ -20,7 +20,12 @@ def prepare(commands: DataFrame) -> DataFrame:
 
 
 def retain(commands: DataFrame, now: datetime.datetime, days: int = RETENTION_DAYS) -> DataFrame:
-    return commands.where(F.col("timestamp") >= F.lit(now - datetime.timedelta(days=days)))
+    return commands.where(F.col("timestamp") >= moment(commands, now - datetime.timedelta(days=days)))
+
+
+def moment(commands: DataFrame, at: datetime.datetime) -> Column:
+    """A wall-clock time in the type, and so the zone, of the commands' times."""
+    return F.lit(at.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(commands.schema["timestamp"].dataType)
 
 
 def summary(commands: DataFrame) -> DataFrame:
@@ -45,7 +50,7 @@ def sums() -> list[Column]:
 
 def rollup(commands: DataFrame, period: Column, name: str, now: datetime.datetime | None, days: int | None) -> DataFrame:
     if now is not None and days is not None:
-        commands = commands.where(F.col("timestamp") >= F.lit(now - datetime.timedelta(days=days)))
+        commands = retain(commands, now, days)
     return commands.groupBy(period.alias(name)).agg(*sums()).orderBy(F.desc(name))
 
 

@@ -81,7 +81,7 @@ EDGES_SQL = f"""SELECT {name_sql("k1")} AS caller, {name_sql("k2")} AS callee, {
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.floor(F.abs(F.col("value")) * 100).cast("long")
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("original_cmd"), tokens.alias("input_tokens"), F.floor(tokens / 2).cast("long").alias("output_tokens"), (F.col("event_id") % 1000).cast("long").alias("exec_time_ms"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("timestamp"), F.col("event_type").alias("original_cmd"), tokens.alias("input_tokens"), F.floor(tokens / 2).cast("long").alias("output_tokens"), (F.col("event_id") % 1000).cast("long").alias("exec_time_ms"))
     return rows.withColumn("saved_tokens", F.col("input_tokens") - F.col("output_tokens"))
 
 
