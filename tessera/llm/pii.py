@@ -51,7 +51,26 @@ def card(s: str) -> bool:
 
 
 def octets(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    bare = [p.lstrip("0") or "0" for p in s.split(".")]
+    return all(len(p) <= 3 and int(p) <= 255 for p in bare)
+
+
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of LOCAL+ @ DOMAIN, from each @ outwards: linear in long runs without one."""
+    end = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            end = m.end()
+            yield start, end
+        at = text.find("@", max(at + 1, end))
 
 
 @dataclass(frozen=True)
@@ -64,11 +83,15 @@ class Kind:
     start: float = 0.5
     context: re.Pattern | None = None
     against: re.Pattern | None = None
+    spans: Callable[[str], Iterator[tuple[int, int]]] | None = None  # in place of the pattern, for the same matches
+
+    def places(self, text: str) -> Iterator[tuple[int, int]]:
+        return self.spans(text) if self.spans else (m.span() for m in self.pattern.finditer(text))
 
 
 KINDS = [
-    Kind("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True, "@", True, 0.9),
-    Kind("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), octets, ".", True, 0.7, re.compile(r"(?i)\b(?:ip|host|server|address)\b"), re.compile(r"(?i)\bversion\b")),
+    Kind("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True, "@", True, 0.9, spans=emails),
+    Kind("ip", re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), octets, ".", True, 0.7, re.compile(r"(?i)\b(?:ip|host|server|address)\b"), re.compile(r"(?i)\bversion\b")),
     Kind("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), card, "", True, 0.7, re.compile(r"(?i)\b(?:card|visa|credit|debit|payment)\b")),
     Kind("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda s: 9 <= len(digits(s)) <= 15, "+", True, 0.7, re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax)\b")),
     Kind("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"), lambda s: mod97(s.replace(" ", "")), "", False, 0.6, re.compile(r"(?i)\b(?:iban|account|bank|bic)\b"), re.compile(r"(?i)\b(?:part|serial|model)\b")),
@@ -95,9 +118,9 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
     for kind in KINDS:
         if kind.hint not in text or kind.name != "email" and not numbers:
             continue
-        for m in kind.pattern.finditer(text):
-            if kind.confirm(m[0]) and ((s := score(kind, text, *m.span())) >= KEEP or kind.base):
-                out.append((kind.name, *m.span(), s))
+        for start, end in kind.places(text):
+            if kind.confirm(text[start:end]) and ((s := score(kind, text, start, end)) >= KEEP or kind.base):
+                out.append((kind.name, start, end, s))
     return out
 
 

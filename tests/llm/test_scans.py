@@ -2,10 +2,13 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
 from tessera.llm import decontaminate, pii, quality, secrets, simhash
@@ -87,6 +90,19 @@ def test_pii(spark, which):
         assert "iban:" in next(r.spans for r in got if r.doc_id == 10)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a1.@-+ 0%é", max_size=40))
+def test_base_spans_are_those_of_the_patterns(text):
+    got = [s[:3] for s in pii.find(text) if s[0] in pii.BASE]
+    assert sorted(got, key=lambda s: (s[1], pii.BASE.index(s[0]))) == brute_pii(text)
+
+
+def test_long_runs_take_linear_time():
+    began = time.process_time()
+    assert pii.find("a" * 200_000 + " @ x@y " + "7" * 200_000 + "." + "0" * 5000 + ".0.0.1") == []
+    assert time.process_time() - began < 5
+
+
 def test_context_moves_the_score():
     text = "ssn 123-45-6789 and order 123-45-6789"
     assert [s[0] for s in pii.find("my ssn is 123-45-6789")] == ["ssn"] and pii.find("order 123-45-6789") == [] and pii.find(text[16:]) == []
