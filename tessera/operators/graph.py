@@ -114,12 +114,17 @@ def reach(start: DataFrame, steps: DataFrame, max_depth: int) -> DataFrame:
 
 
 def affected_tests(symbols: DataFrame, edges: DataFrame, name: str, path: str, max_depth: int = 10) -> DataFrame:
-    """Test symbols that reach (name, path) without passing an entry point.
+    """Test symbols that reach (name, path), by short or full name, without passing an entry point."""
+    return tests_reaching(symbols, edges, symbols.where(((F.col("name") == name) | (full_name() == name)) & (F.col("path") == path)), max_depth)
+
+
+def tests_reaching(symbols: DataFrame, edges: DataFrame, targets: DataFrame, max_depth: int = 10) -> DataFrame:
+    """Test symbols that reach any of ``targets`` (rows of ``symbols``), in one traversal.
 
     A test is a function or method named Test*, or any symbol of a file like %_test.go.
     """
     named = symbols.withColumn("full", full_name())
-    start = named.where(((F.col("name") == name) | (F.col("full") == name)) & (F.col("path") == path)).select(F.struct(F.col("full").alias("n"), F.col("path").alias("p")).alias("node"))
+    start = targets.select(F.struct(full_name().alias("n"), F.col("path").alias("p")).alias("node"))
     passing = edges.where(~F.col("caller").isin(ENTRY_POINTS))
     exact = passing.where("callee_path <> ''").select(F.struct(F.col("callee").alias("n"), F.col("callee_path").alias("p")).alias("src"), F.struct(F.col("caller").alias("n"), F.col("path").alias("p")).alias("dst"))
     loose = passing.where("callee_path = ''").join(named.select(F.col("full").alias("_f"), F.col("path").alias("_fp")).union(edges.select("caller", "path")).distinct(), F.col("callee") == F.col("_f"))

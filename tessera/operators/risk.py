@@ -66,15 +66,9 @@ def impact(symbols: DataFrame, edges: DataFrame, name: str, path: str, files: Da
 
 
 def predict_tests(diff: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """Tests that the symbols under a diff reach."""
-    touched = store.in_ranges(symbols, changed_ranges(diff)).select("name", "path").distinct().limit(1000).collect()
-    found = None
-    for r in touched:  # one traversal for each symbol that the diff touches
-        tests = graph.affected_tests(symbols, edges, r["name"], r["path"])
-        found = tests if found is None else found.unionByName(tests)
-    if found is None:
-        return symbols.limit(0)
-    return found.dropDuplicates(["path", "name"])
+    """Tests that the symbols under a diff reach, one traversal for all of them."""
+    touched = store.in_ranges(symbols, changed_ranges(diff))
+    return graph.tests_reaching(symbols, edges, touched).dropDuplicates(["path", "name"])
 
 
 def over_threshold(diff: DataFrame, symbols: DataFrame, risks: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -641,6 +641,18 @@ def diff_symbols(s, d):
     return store.in_ranges(A.symbols(s, d), ranges).select("id")
 
 
+TOUCHED = f"SELECT DISTINCT s.name, s.path FROM ({SYMBOLS_SQL}) s JOIN ({RANGES_SQL}) r ON '/' || r.path = s.path AND s.start_line <= r.\"end\" AND s.end_line >= r.start"
+
+
+@query(
+    "WITH RECURSIVE s AS (" + SYMBOLS_SQL + "), e AS (" + EDGES_SQL + f" WHERE line = 1), t AS ({TOUCHED}), a AS (SELECT name, path, 0 AS k FROM t UNION SELECT e.caller, e.path, a.k + 1 FROM e JOIN a ON e.callee = a.name AND (e.callee_path = a.path OR e.callee_path = '') WHERE a.k < 10)"
+    " SELECT DISTINCT name, path FROM s JOIN (SELECT DISTINCT name, path FROM a) USING (name, path) WHERE path ILIKE '%_test.go' OR (name ILIKE 'Test%' AND type IN ('function', 'method'))"
+)
+def predict_tests(s, d):
+    diff = diff_lines(s, d).withColumn("line", F.regexp_replace("line", "^\\+\\+\\+ b/pkg", "+++ b//pkg"))
+    return risk.predict_tests(diff, A.symbols(s, d), A.edges(s, d).where("line = 1")).select("name", "path")
+
+
 # ---- search -------------------------------------------------------------------------------------
 
 TOKENS_SQL = "SELECT id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS token FROM (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS a FROM documents)"
