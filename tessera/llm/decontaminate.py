@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec
+from tessera.llm.scratch import small_batches
 
 GUARANTEE = 10
 K = 5
@@ -137,7 +138,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str | None]]
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``."""
     context = docs.sparkSession.sparkContext
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<long>").alias("items"))
+    out = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<long>").alias("items"))
     for block in blocks(benchmark):
         out = out.mapInArrow(scan(context.broadcast(block)), out.schema)
     return out.mapInArrow(report, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
@@ -146,7 +147,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that no benchmark item hits; no join is needed."""
     context = docs.sparkSession.sparkContext
-    at = docs.columns.index("text")
+    at = small_batches(docs).columns.index("text")
     for block in blocks(benchmark):
         docs = docs.mapInArrow(unhit(context.broadcast(block), at), docs.schema)
     return docs

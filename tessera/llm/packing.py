@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import materialize, running_sum
+from tessera.llm.scratch import materialize, running_sum, small_batches
 
 LIMIT = 4096
 END_ID = 1
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if f == "piece" else pa.int64()) for f, c in zip(fields, out, strict=True)], fields)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec
+from tessera.llm.scratch import small_batches
 
 KEEP = 0.5
 #: Code points on either side of a span in which context words count.
@@ -138,7 +139,7 @@ def detect(docs: DataFrame) -> DataFrame:
                     rows.append([{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in spans])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], ["doc_id", "found"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>")
 
 
 def digests(docs: DataFrame) -> DataFrame:

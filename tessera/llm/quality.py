@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec
+from tessera.llm.scratch import small_batches
 
 #: The fit takes at most so many labelled rows, drawn by hash from those whose text has at most so many bytes.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 10_000, 1 << 15
@@ -118,7 +119,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     spark = docs.sparkSession
     bits = int(np.log2(len(weights) - 1))
     shared = spark.sparkContext.broadcast(weights.tobytes())
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    scored = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(shared.value, "<f4")
@@ -142,7 +143,7 @@ def passing(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> Dat
             for part in textvec.slices(batch, at):
                 yield part.filter(pa.array(probabilities(part.column(at), w, bits) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = 0.3) -> DataFrame:

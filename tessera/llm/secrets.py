@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec
+from tessera.llm.scratch import small_batches
 from tessera.llm.spans import Span, ordered
 
 ALL = ("all",)
@@ -206,7 +207,7 @@ def code(trigram: bytes) -> int:
 def scan(docs: DataFrame, rules: list[Rule], keep: list[str], out: str = "found") -> DataFrame:
     """``keep`` columns of ``docs`` and ``out``: every row's spans (kind, start, end), in order."""
     kinds = [r.kind for r in rules]
-    data = docs.select(F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    data = small_batches(docs).select(F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     schema = ", ".join(["found array<struct<kind:string,start:long,end:long>>", *[f"k{i} {data.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textvec
 from tessera.llm.runs import front_code, repeated
-from tessera.llm.scratch import fresh_path, materialize
+from tessera.llm.scratch import fresh_path, materialize, small_batches
 from tessera.llm.warc import storage
 
 LENGTH = 200
@@ -119,7 +119,7 @@ def store(docs: DataFrame, folder: str, length: int, gram: int) -> DataFrame:
             writer.close()
             sink.close()
 
-    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "part string, row int, start int, n int, h long, u int"), "stretches")
+    return materialize(small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "part string, row int, start int, n int, h long, u int"), "stretches")
 
 
 class Part:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import fresh_path, materialize
+from tessera.llm.scratch import fresh_path, materialize, small_batches
 
 FILE_BYTES = 64 << 20
 BLOCK_LINES = 512
@@ -102,7 +102,7 @@ def parse(member: bytes) -> tuple[int | None, str, int | None, str, bytes]:
 
 def with_roles(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, refers_to): html is null and refers_to set for revisits."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     first = rows.groupBy("digest").agg(F.max("page_id").alias("response"))
     is_response = F.col("page_id").eqNullSafe(F.col("response"))
