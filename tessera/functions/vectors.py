@@ -16,14 +16,20 @@ def l2_distance(v: Column, query: list[float]) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(v, q, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value evaluated once for a row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hash_embedder(dimension: int = 64) -> Embedder:
     """Deterministic bag-of-words vectors of unit length; a stand-in for a learned model."""
 
     def embed(text: Column) -> Column:
         words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
         slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
+        of = F.sequence(F.lit(0), F.lit(dimension - 1))
+        counts = once(slots, lambda s: F.transform(of, lambda i: (F.size(s) - F.size(F.array_remove(s, i))).cast("double")))
+        norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+        return once(counts, lambda c: once(norm(c), lambda n: F.transform(c, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)).cast("float"))))
 
     return embed

@@ -799,4 +799,4 @@ def tumbling_rollup(s, d):
 
 @query()
 def embed(s, d):
-    return A.table(s, d, "documents").select("doc_id", V.hash_embedder(16)(F.substring("text", 1, 400)).alias("embedding"))
+    return A.table(s, d, "documents").select("doc_id", V.hash_embedder(16)(F.col("text")).alias("embedding"))
