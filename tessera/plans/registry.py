@@ -193,8 +193,12 @@ def json_extract(s, d):
 
 @query("SELECT user_id AS doc_id, line FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (VALUES ('{'), ('  k: number'), ('}')) AS v(line)")
 def json_schema(s, d):
-    rows = A.table(s, d, "events").groupBy("user_id").agg(F.min_by("props", "event_id").alias("line"))
-    return L.json_schema(L.Stream(rows.select(F.col("user_id").alias("doc_id"), F.lit(0.0).alias("line_no"), "line"))).lines.select("doc_id", "line")
+    """The shapes of a user's events, shapes alike once; every text is a document, texts alike once."""
+    events = A.table(s, d, "events").select("user_id", "props").distinct()
+    rows = events.select(F.col("props").alias("doc_id"), F.lit(0.0).alias("line_no"), F.col("props").alias("line")).distinct()
+    shapes = L.json_schema(L.Stream(rows)).lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("shape"))
+    of_users = shapes.join(events.withColumnRenamed("props", "doc_id"), "doc_id").select(F.col("user_id").alias("doc_id"), F.col("shape.line").alias("shape")).distinct()
+    return of_users.select("doc_id", F.explode("shape").alias("line"))
 
 
 @query(f"SELECT doc_id, CAST(count(*) AS VARCHAR) || ' lines, ' || CAST(sum(CASE WHEN regexp_matches(line, '[0-9]') THEN 1 ELSE 0 END) AS VARCHAR) || ' with digits' AS line FROM ({LINES_SQL}) GROUP BY doc_id")

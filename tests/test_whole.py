@@ -23,3 +23,11 @@ def test_embed_reads_whole_texts(spark, tmp_path):
         norm = math.sqrt(sum(n * n for n in count.values()))
         assert got[i] == pytest.approx([count[k] / norm if norm else 0.0 for k in range(16)], abs=1e-6)
     assert got[0] != got[1]
+
+
+def test_json_schema_reads_every_event(spark, tmp_path):
+    props = [(1, 1, '{"k": 1}'), (2, 1, '{"k": 2}'), (3, 1, '{"k": "x", "z": [1]}'), (4, 2, '{"k": null}'), (5, 2, "[]")]
+    spark.createDataFrame(props, "event_id long, user_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = Counter(tuple(r) for r in registry.QUERIES["json_schema"](spark, str(tmp_path)).select("doc_id", "line").collect())
+    want = {1: ["{", "  k: number", "}", "{", "  k: string", "  z: [number]", "}"], 2: ["{", "  k: null", "}", "[]"]}
+    assert got == Counter((u, line) for u, rows in want.items() for line in rows)
