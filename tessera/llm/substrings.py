@@ -95,7 +95,7 @@ def store(docs: DataFrame, folder: str, length: int, gram: int) -> DataFrame:
     A row with a null ``h`` stands for each part. Written out once, since it makes files.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
-    out = pa.schema([("part", pa.string()), ("row", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("u", pa.int32())])
+    out = pa.schema([("part", pa.string()), ("row", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("u", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, plain = storage(folder)
@@ -111,7 +111,7 @@ def store(docs: DataFrame, folder: str, length: int, gram: int) -> DataFrame:
                 writer.write_batch(pa.RecordBatch.from_arrays([piece.column(0), texts], schema=schema))
                 row, start, n, h, u = stretches(buf, offsets, length, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.DictionaryArray.from_arrays(np.zeros(len(row), np.int32), [part]).cast(pa.string()), pa.array((row + rows).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array((u >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                    [pa.DictionaryArray.from_arrays(np.zeros(len(row), np.int32), [part]).cast(pa.string()), pa.array((row + rows).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(u.view(np.int64))],
                     schema=out,
                 )
                 rows += piece.num_rows
@@ -119,7 +119,7 @@ def store(docs: DataFrame, folder: str, length: int, gram: int) -> DataFrame:
             writer.close()
             sink.close()
 
-    return materialize(small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "part string, row int, start int, n int, h long, u int"), "stretches")
+    return materialize(small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "part string, row int, start int, n int, h long, u long"), "stretches")
 
 
 class Part:
