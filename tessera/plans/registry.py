@@ -618,12 +618,12 @@ def file_context(s, d):
     return found.select("path", "symbols", F.round("churn", 6).alias("churn"), F.size("direct_dependents").cast("long").alias("direct"), "transitive")
 
 
-def diff_lines(s, d):
-    """A hunk for each part with a size, files by brand of path."""
+def diff_lines(s, d, where="p_partkey % 20 = 3"):
+    """A hunk for each part of ``where``, files by brand of path."""
     k = F.col("p_partkey")
     file = F.concat(F.lit("+++ b"), A.symbol_path(k))
     hunk = F.format_string("@@ -1,2 +%d,%d @@ x", F.col("p_size"), k % 5 + 1)
-    rows = A.table(s, d, "part").where("p_partkey % 20 = 3").select(k.alias("doc_id"), F.posexplode(F.array(F.lit("diff --git"), file, hunk, F.lit("+x"), F.lit("@@ -3 +90 @@"))).alias("line_no", "line"))
+    rows = A.table(s, d, "part").where(where).select(k.alias("doc_id"), F.posexplode(F.array(F.lit("diff --git"), file, hunk, F.lit("+x"), F.lit("@@ -3 +90 @@"))).alias("line_no", "line"))
     return rows
 
 
@@ -657,6 +657,35 @@ def predict_tests(s, d):
     return risk.predict_tests(diff, A.symbols(s, d), A.edges(s, d).where("line = 1")).select("name", "path")
 
 
+# The SQL of git_diff_parse, diff_symbols and predict_tests names a twentieth of the parts; these have all of them.
+RANGES_WHOLE = f"SELECT substr({A.path_sql('p_partkey')}, 2) AS path, CAST(p_size AS INTEGER) AS start, CAST(p_size + p_partkey % 5 AS INTEGER) AS \"end\" FROM part UNION ALL SELECT substr({A.path_sql('p_partkey')}, 2), 90, 90 FROM part"
+TOUCHED_WHOLE = f"SELECT DISTINCT s.id, s.name, s.path FROM ({SYMBOLS_SQL}) s JOIN ({RANGES_WHOLE}) r ON '/' || r.path = s.path AND s.start_line <= r.\"end\" AND s.end_line >= r.start"
+
+
+@query(RANGES_WHOLE)
+def git_diff_parse_whole(s, d):
+    from tessera.sources.diffs import changed_ranges
+
+    return changed_ranges(diff_lines(s, d, "true"))
+
+
+@query(f"SELECT id FROM ({TOUCHED_WHOLE})")
+def diff_symbols_whole(s, d):
+    from tessera.sources.diffs import changed_ranges
+
+    ranges = changed_ranges(diff_lines(s, d, "true")).withColumn("path", F.concat(F.lit("/"), "path"))
+    return store.in_ranges(A.symbols(s, d), ranges).select("id")
+
+
+@query(
+    "WITH RECURSIVE s AS (" + SYMBOLS_SQL + "), e AS (" + EDGES_SQL + f"), t AS ({TOUCHED_WHOLE}), a AS (SELECT name, path, 0 AS k FROM t UNION SELECT e.caller, e.path, a.k + 1 FROM e JOIN a ON e.callee = a.name AND (e.callee_path = a.path OR e.callee_path = '') WHERE a.k < 10)"
+    " SELECT DISTINCT name, path FROM s JOIN (SELECT DISTINCT name, path FROM a) USING (name, path) WHERE path ILIKE '%_test.go' OR (name ILIKE 'Test%' AND type IN ('function', 'method'))"
+)
+def predict_tests_whole(s, d):
+    diff = diff_lines(s, d, "true").withColumn("line", F.regexp_replace("line", "^\\+\\+\\+ b/pkg", "+++ b//pkg"))
+    return risk.predict_tests(diff, A.symbols(s, d), A.edges(s, d)).select("name", "path")
+
+
 # ---- search -------------------------------------------------------------------------------------
 
 TOKENS_SQL = "SELECT id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS token FROM (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS a FROM documents)"

@@ -31,3 +31,23 @@ def test_json_schema_reads_every_event(spark, tmp_path):
     got = Counter(tuple(r) for r in registry.QUERIES["json_schema"](spark, str(tmp_path)).select("doc_id", "line").collect())
     want = {1: ["{", "  k: number", "}", "{", "  k: string", "  z: [number]", "}"], 2: ["{", "  k: null", "}", "[]"]}
     assert got == Counter((u, line) for u, rows in want.items() for line in rows)
+
+
+def parts(spark, folder, keys):
+    rows = [(k, k % 9 + 1, "b", "n", "t") for k in keys]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_brand string, p_name string, p_type string").write.parquet(f"{folder}/part.parquet")
+
+
+def calls(spark, folder, pairs):
+    """Two line items of an order for each call (caller, callee, line), no hierarchy links."""
+    rows = [(i, line + j, k, "A") for i, (a, b, line) in enumerate(pairs) for j, k in enumerate((a, b))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_diffs_of_every_part(spark, tmp_path):
+    parts(spark, tmp_path, [1, 2, 10])
+    calls(spark, tmp_path, [(10, 2, 4)])
+    run = lambda name: sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+    assert len(run("git_diff_parse_whole")) == 6 and run("git_diff_parse") == []
+    assert run("diff_symbols_whole") == [(1,), (2,), (10,)] and run("diff_symbols") == []
+    assert run("predict_tests_whole") == [("sym10", "/pkg3/f10_test.go")] and run("predict_tests") == []
