@@ -397,6 +397,12 @@ def unused_symbols(s, d):
     return store.unused(A.symbols(s, d), A.edges(s, d).where("line = 1"), limit=None).select("id", "name", "path")
 
 
+@query(f"SELECT id, name, path FROM ({SYMBOLS_SQL}) s WHERE NOT EXISTS (SELECT 1 FROM ({EDGES_SQL}) e WHERE e.callee = s.name) AND path NOT ILIKE '%_test.go' AND name GLOB '[a-z]*' AND name NOT IN ('main', 'init')")
+def unused_symbols_whole(s, d):
+    """unused_symbols over all calls; its SQL has those of line 1."""
+    return store.unused(A.symbols(s, d), A.edges(s, d), limit=None).select("id", "name", "path")
+
+
 @query(f"SELECT (SELECT count(DISTINCT path) FROM ({SYMBOLS_SQL})) AS files, (SELECT count(*) FROM part) AS symbols")
 def stats(s, d):
     return store.stats(A.symbols(s, d).select("path").distinct(), A.symbols(s, d))
@@ -618,6 +624,21 @@ def file_context(s, d):
     return found.select("path", "symbols", F.round("churn", 6).alias("churn"), F.size("direct_dependents").cast("long").alias("direct"), "transitive")
 
 
+LINKS_WHOLE = f"SELECT DISTINCT callee_path AS src, path AS dst FROM ({EDGES_SQL}) WHERE callee_path <> '' AND callee_path <> path"
+
+
+@query(
+    "WITH RECURSIVE k AS (" + LINKS_WHOLE + "), s AS (" + SYMBOLS_SQL + "), t AS (SELECT src AS root, dst AS node, 1 AS depth FROM k UNION SELECT root, dst, depth + 1 FROM t JOIN k ON node = src WHERE depth < 3 AND dst <> root), u AS (SELECT DISTINCT root, node FROM t)"
+    " SELECT f.path, f.symbols, f.churn, coalesce(a.n, 0) AS direct, coalesce(b.n, 0) AS transitive FROM (SELECT path, count(*) AS symbols, round(CAST(max(churn_score) AS DOUBLE), 6) AS churn FROM s GROUP BY 1) f LEFT JOIN (SELECT src AS path, count(*) AS n FROM k GROUP BY 1) a USING (path) LEFT JOIN (SELECT root AS path, count(*) AS n FROM u GROUP BY 1) b USING (path)"
+)
+def file_context_whole(s, d):
+    """file_context over all calls to its default depth; its SQL has calls of line 2 to depth 2."""
+    symbols = A.symbols(s, d)
+    files = symbols.groupBy("path").agg(F.max("end_line").alias("loc"))
+    found = risk.file_context(files, symbols, A.edges(s, d))
+    return found.select("path", "symbols", F.round("churn", 6).alias("churn"), F.size("direct_dependents").cast("long").alias("direct"), "transitive")
+
+
 def diff_lines(s, d, where="p_partkey % 20 = 3"):
     """A hunk for each part of ``where``, files by brand of path."""
     k = F.col("p_partkey")

@@ -51,3 +51,12 @@ def test_diffs_of_every_part(spark, tmp_path):
     assert len(run("git_diff_parse_whole")) == 6 and run("git_diff_parse") == []
     assert run("diff_symbols_whole") == [(1,), (2,), (10,)] and run("diff_symbols") == []
     assert run("predict_tests_whole") == [("sym10", "/pkg3/f10_test.go")] and run("predict_tests") == []
+
+
+def test_every_call_counts(spark, tmp_path):
+    parts(spark, tmp_path, [1, 2, 5, 10])
+    calls(spark, tmp_path, [(2, 1, 2), (5, 2, 3), (10, 5, 4)])
+    run = lambda name: sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+    assert run("unused_symbols_whole") == [] and [r[0] for r in run("unused_symbols")] == [1, 2, 5]
+    assert {r[0]: r[3:] for r in run("file_context_whole")} == {"/pkg1/f1.go": (1, 3), "/pkg2/f2.go": (1, 2), "/pkg5/f5.go": (1, 1), "/pkg3/f10_test.go": (0, 0)}
+    assert {r[0]: r[3:] for r in run("file_context")}["/pkg2/f2.go"] == (0, 0)
