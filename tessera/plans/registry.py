@@ -520,6 +520,29 @@ def affected_tests(s, d):
     return graph.affected_tests(A.symbols(s, d), A.edges(s, d), f"Sym{SEED}", "/pkg3/f3.go", 2).select("id", "name", "path")
 
 
+SIMPLE = "NOT (e.caller = {0}.caller AND e.path = {0}.path)"
+
+
+@query(
+    with_(
+        e=EDGES_SQL,
+        one=f"SELECT DISTINCT caller, path, link_type FROM e WHERE callee = 'Sym{SEED}' AND callee_path IN ('/pkg3/f3.go', '')",
+        two=f"SELECT DISTINCT one.caller AS c1, one.path AS p1, e.caller, e.path, e.link_type FROM one JOIN e ON e.callee = one.caller AND (e.callee_path = one.path OR e.callee_path = '') WHERE {SIMPLE.format('one')}",
+        three=f"SELECT DISTINCT e.caller, e.path, e.link_type FROM two JOIN e ON e.callee = two.caller AND (e.callee_path = two.path OR e.callee_path = '') WHERE {SIMPLE.format('two')} AND NOT (e.caller = c1 AND e.path = p1)",
+    )
+    + "SELECT caller, path, 1 AS distance, link_type FROM one UNION SELECT caller, path, 2, link_type FROM two UNION SELECT caller, path, 3, link_type FROM three"
+)
+def blast_radius_whole(s, d):
+    """blast_radius to its default depth; its SQL goes to 2."""
+    return graph.blast_radius(A.edges(s, d), [f"Sym{SEED}"], "/pkg3/f3.go")
+
+
+@query(ORACLES["affected_tests"].replace("a.k < 2", "a.k < 10"))
+def affected_tests_whole(s, d):
+    """affected_tests to its default depth; its SQL goes to 2."""
+    return graph.affected_tests(A.symbols(s, d), A.edges(s, d), f"Sym{SEED}", "/pkg3/f3.go").select("id", "name", "path")
+
+
 RIPPLE_SQL = (
     "WITH RECURSIVE e AS (" + EDGES_SQL + "), p AS (SELECT DISTINCT * FROM (SELECT callee AS src, caller AS dst FROM e UNION ALL SELECT caller, callee FROM e WHERE link_type IN ('satisfies', 'implements', 'embeds'))),"
     f" r AS (SELECT 'Sym{SEED}' AS node, 0 AS k UNION SELECT dst, k + 1 FROM p JOIN r ON src = node WHERE k < 1), m AS (SELECT node, min(k) AS k FROM r GROUP BY 1)"
@@ -564,6 +587,13 @@ def pagerank(s, d):
     return rounded(graph.pagerank(A.symbols(s, d).select(F.col("name").alias("node")), links, PAGERANK_STEPS, None))
 
 
+@query()
+def pagerank_whole(s, d):
+    """pagerank until ranks change by less than 1e-6, its default; its SQL has 5 steps."""
+    links = A.edges(s, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "line", "link_type")
+    return graph.pagerank(A.symbols(s, d).select(F.col("name").alias("node")), links)
+
+
 METHODS_SQL = "SELECT DISTINCT l_suppkey AS t, l_returnflag || CAST(l_linenumber AS VARCHAR) AS m FROM lineitem"
 IFACE_SQL = "SELECT DISTINCT o_orderpriority AS i, l_returnflag || CAST(l_linenumber AS VARCHAR) AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 50 = length(o_orderpriority)"
 

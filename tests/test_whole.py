@@ -60,3 +60,36 @@ def test_every_call_counts(spark, tmp_path):
     assert run("unused_symbols_whole") == [] and [r[0] for r in run("unused_symbols")] == [1, 2, 5]
     assert {r[0]: r[3:] for r in run("file_context_whole")} == {"/pkg1/f1.go": (1, 3), "/pkg2/f2.go": (1, 2), "/pkg5/f5.go": (1, 1), "/pkg3/f10_test.go": (0, 0)}
     assert {r[0]: r[3:] for r in run("file_context")}["/pkg2/f2.go"] == (0, 0)
+
+
+def brute_ranks(nodes, links):
+    out = {a: [b for x, b in links if x == a] for a in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(500):
+        loose = sum(r for n, r in rank.items() if not out[n])
+        rank = {n: 0.15 / len(nodes) + 0.85 * (loose / len(nodes) + sum(rank[a] / len(out[a]) for a in nodes if n in out[a])) for n in nodes}
+    return rank
+
+
+def test_depths_are_the_defaults(spark, tmp_path):
+    keys = [3, 14, 15, 16, 17, 100]
+    parts(spark, tmp_path, keys)
+    pairs = [(14, 3), (15, 14), (16, 15), (17, 16), (100, 17)]
+    calls(spark, tmp_path, [(a, b, 1) for a, b in pairs])
+    run = lambda name: sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+    assert run("affected_tests_whole") == [(100, "sym100", "/pkg2/f0_test.go")] and run("affected_tests") == []
+    assert {r[0]: r[2] for r in run("blast_radius_whole")} == {"sym14": 1, "Sym15": 2, "sym16": 3} and len(run("blast_radius")) == 2
+    name = lambda k: f"{'sym' if k % 3 else 'Sym'}{k}"
+    want = {name(k): r for k, r in brute_ranks(keys, pairs).items()}
+    assert dict(run("pagerank_whole")) == pytest.approx(want, abs=1e-5)
+
+
+def test_pagerank_converges_on_a_cycle(spark, tmp_path):
+    """Ranks that five steps leave far from their limit."""
+    keys = [1, 2, 4, 5, 7]
+    parts(spark, tmp_path, keys)
+    pairs = [(1, 2), (2, 4), (4, 1), (5, 1), (7, 5)]
+    calls(spark, tmp_path, [(a, b, 1) for a, b in pairs])
+    want = {f"sym{k}": r for k, r in brute_ranks(keys, pairs).items()}
+    rank = lambda q: {r.node: r["rank"] for r in registry.QUERIES[q](spark, str(tmp_path)).collect()}
+    assert rank("pagerank_whole") == pytest.approx(want, abs=1e-5) and rank("pagerank") != pytest.approx(want, abs=1e-3)
