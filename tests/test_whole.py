@@ -93,3 +93,11 @@ def test_pagerank_converges_on_a_cycle(spark, tmp_path):
     want = {f"sym{k}": r for k, r in brute_ranks(keys, pairs).items()}
     rank = lambda q: {r.node: r["rank"] for r in registry.QUERIES[q](spark, str(tmp_path)).collect()}
     assert rank("pagerank_whole") == pytest.approx(want, abs=1e-5) and rank("pagerank") != pytest.approx(want, abs=1e-3)
+
+
+def test_interfaces_of_every_line(spark, tmp_path):
+    items = [(1, 1, 7, "A", "2020-01-01"), (1, 2, 8, "A", "2020-01-01"), (2, 1, 8, "A", "2020-01-01"), (2, 3, 9, "N", "2020-01-01")]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_shipdate string").withColumn("l_shipdate", F.to_date("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "high"), (2, "low")], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    run = lambda name: sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select("type", "interface").collect())
+    assert run("resolve_interfaces_whole") == [(8, "high")] and run("resolve_interfaces") == []
