@@ -13,11 +13,14 @@ fills the bin or no two pieces fit; j with two pieces, where no three fit and no
 other pair is better in its smaller piece.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are separate
-pieces; an empty table gives an empty result. Extra columns are ignored.
+pieces, and rows alike in doc_id and ids may change places; a text of any length is
+encoded a million characters at a time and cut into pieces; an empty table gives an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import string
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -33,8 +36,10 @@ from tessera.llm.scratch import materialize, running_sum, small_batches
 
 LIMIT = 4096
 END_ID = 1
-#: Words that a worker remembers the ids of.
-REMEMBERED = 300_000
+#: Bytes of words and ids that a worker remembers, twice over.
+REMEMBERED_BYTES = 48 << 20
+#: Characters of a text that are split into words at a time.
+SLICE_CHARS = 1 << 20
 #: Marks that are cut from the end of a word.
 MARKS = ".,;:!?%$&#*|)(\"-"
 TOKENIZER = "word_bpe_49k.json"
@@ -51,10 +56,13 @@ class Encoder:
 
     Valid for tokenizers that never join across a space, tab or line break and cut
     letters from marks, as those that drop white space; lower case only if so is the
-    tokenizer. Two generations of words are remembered; the older one goes as a whole.
+    tokenizer. Closing marks are cut off only where every character before them is a
+    letter to the tokenizer itself, after its own normalisation; other words are
+    encoded whole. Two generations of words are remembered; the older one goes as a
+    whole, so little more than twice ``remembered`` bytes are held.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,58 +74,95 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.safe = set(string.ascii_letters)
+        self.remembered, self.held = remembered, 0
 
     def __call__(self, text: str) -> bytes:
-        found = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {"": b""}
-        known = self.known
-        if new := set(found).difference(known):
+        if self.held > self.remembered:
+            self.older, self.known, self.held = self.known, {"": b""}, 0
+        if len(text) <= SLICE_CHARS:
+            return self.ids(words(text))
+        return b"".join(map(self.ids, stretches(text)))
+
+    def ids(self, found: list[str]) -> bytes:
+        if new := set(found).difference(self.known):
             self.learn(new)
-        return b"".join(map(known.__getitem__, found))
+        return b"".join(map(self.known.__getitem__, found))
+
+    def letter(self, c: str) -> bool:
+        """Whether the tokenizer takes ``c`` as a letter, between letters and before a mark."""
+        cut = lambda s: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(s)))
+        return c.isalpha() and (cut(f"a{c}a"), cut(f"{c}."), cut(c)) == (1, 2, 1)
+
+    def word(self, s: str) -> bool:
+        """Whether ``s`` is letters only, to the tokenizer."""
+        if self.safe.issuperset(s):
+            return True
+        fresh = set(s).difference(self.safe)
+        self.safe.update(c for c in fresh if self.letter(c))
+        return self.safe.issuperset(fresh)
 
     def learn(self, new: set[str]) -> None:
-        known, older = self.known, self.older
-        parts: dict[str, tuple[str, str]] = {}
-        unknown: dict[str, None] = {}
+        known, older, safe = self.known, self.older, self.safe
+        ends: list[str] = []  # words of letters with closing marks
+        cores: list[str] = []
+        marks: list[str] = []
+        plain: set[str] = set()
+        mixed: list[str] = []
         for w in new:
-            if (ids := older.get(w)) is not None:
-                known[w] = ids
+            if w in older:
+                known[w] = older[w]
                 continue
             core = w.rstrip(MARKS)
+            if not safe.issuperset(core) and not self.word(core):
+                mixed.append(w)
+                continue
             mark = w[len(core) :]
             if core.isascii():
                 core = core.lower()
-            if core and not core.isalpha():
-                core, mark = w, ""
-            parts[w] = core, mark
-            for p in (core, mark) if mark else (core,):
-                if p not in known:
-                    if p in older:
-                        known[p] = older[p]
-                    else:
-                        unknown[p] = None
-        if unknown:
-            self.encode([p for p in unknown if p.isalpha() or not p.strip(MARKS)], [p for p in unknown if not p.isalpha() and p.strip(MARKS)])
-        for w, (core, mark) in parts.items():
-            known[w] = known[core] + known[mark] if mark else known[core]
-
+            ends.append(w)
+            cores.append(core)
+            marks.append(mark)
+            plain.add(core)
+            plain.add(mark)
+        plain = plain.difference(known)
+        known.update((p, older[p]) for p in plain if p in older)
+        self.encode([*plain.difference(known)], mixed)
+        get = known.__getitem__
+        known.update(zip(ends, map(bytes.__add__, map(get, cores), map(get, marks))))
+        self.held += sum(map(len, new)) + 200 * (len(new) + len(plain))
 
     def encode(self, plain: list[str], mixed: list[str]) -> None:
-        """Ids of new words; the plain ones, all letters or all marks, in one text and cut where words end."""
-        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids if plain else [], "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(plain):
-            mixed = [*plain, *mixed]
-        else:
+        """Ids of new words; the plain ones, all letters or all marks, some hundred in one text and cut where words end."""
+        for first in range(0, len(plain), 250):
+            some = plain[first : first + 250]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                mixed += some
+                continue
             raw, at = ids.tobytes(), 0
-            for p, end in zip(plain, (4 * ends).tolist(), strict=True):
+            for p, end in zip(some, (4 * ends).tolist(), strict=True):
                 self.known[p] = raw[at:end]
                 at = end
         for p, e in zip(mixed, self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
 
 
+def words(text: str) -> list[str]:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+def stretches(text: str) -> Iterator[list[str]]:
+    """The words of a long text, about SLICE_CHARS characters at a time, cut at spaces only."""
+    text, at = text.replace("\n", " ").replace("\t", " ").replace("\r", " "), 0
+    while at < len(text):
+        end = text.find(" ", at + SLICE_CHARS)
+        end = len(text) if end < 0 else end + 1
+        yield text[at:end].split(" ")
+        at = end
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One for all tasks that a worker runs, so that words are remembered across them."""
