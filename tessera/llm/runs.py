@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ def common(x: bytes, y: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
-def front_code(strings: list[bytes], first_id: int) -> bytes:
-    """A sorted run: for each string what it shares with the one before, and the rest. Ids count up from ``first_id``."""
+def front_code(strings: list[bytes], first: int) -> bytes:
+    """A sorted run: for each string what it shares with the one before, and the rest. Ids count up from ``first``."""
     shared, rests, before = np.zeros(len(strings), "<u4"), [], b""
     for i, s in enumerate(strings):
         shared[i] = k = common(before, s)
@@ -25,19 +26,23 @@ def front_code(strings: list[bytes], first_id: int) -> bytes:
         before = s
     lengths = np.array([len(r) for r in rests], "<u4")
     body = shared.tobytes() + lengths.tobytes() + b"".join(rests)
-    return struct.pack("<QII", len(body), len(strings), first_id) + pa.compress(body, codec="zstd", asbytes=True)
+    return struct.pack("<QII", len(body), len(strings), first) + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def first_id(data: bytes) -> int:
+    return struct.unpack_from("<QII", data)[2]
 
 
 def decode(data: bytes) -> Iterator[tuple[int, bytes, int]]:
     """(shared with the string before, string, id) of a run, in order."""
-    size, n, first_id = struct.unpack_from("<QII", data)
+    size, n, first = struct.unpack_from("<QII", data)
     body = pa.decompress(memoryview(data)[16:], decompressed_size=size, codec="zstd", asbytes=True)
     shared = np.frombuffer(body, "<u4", n).tolist()
     at, before = 8 * n, b""
     for i, length in enumerate(np.frombuffer(body, "<u4", n, 4 * n).tolist()):
         before = before[: shared[i]] + body[at : at + length]
         at += length
-        yield shared[i], before, first_id + i
+        yield shared[i], before, first + i
 
 
 def merge(runs: list[Iterator[tuple[int, bytes, int]]]) -> Iterator[tuple[int, bytes, int, int]]:
@@ -97,14 +102,26 @@ def merge(runs: list[Iterator[tuple[int, bytes, int]]]) -> Iterator[tuple[int, b
             node //= 2
 
 
-def repeated(runs: list[bytes]) -> list[list[int]]:
-    """Per run, the ids of strings that begin another string of any run, or equal one."""
+def repeated(runs: list[bytes], names: Callable[[int, int], Iterable[int]] | None = None, met: Counter | None = None) -> list[list[int]]:
+    """Per run, the ids of strings that begin another string of any run, or equal one.
+
+    ``names`` gives the names of a string by run and id; ``met`` then counts, for each
+    name, the different strings that go by it.
+    """
     found: list[set[int]] = [set() for _ in runs]
     length, owner, name = -1, 0, 0
+    here: set[int] = set()
     for share, s, r, i in merge([decode(x) for x in runs]):
         if 0 <= length <= share:
             found[owner].add(name)
         if share >= len(s):
             found[r].add(i)
+        if names is not None:
+            if not share == len(s) == length:
+                met.update(here)
+                here = set()
+            here.update(names(r, i))
         length, owner, name = len(s), r, i
+    if names is not None:
+        met.update(here)
     return [sorted(x) for x in found]

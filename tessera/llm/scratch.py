@@ -50,11 +50,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the files of materialized tables that nothing will read again."""
+    for t in tables:
+        _made.remove(t.working_path)
+        remove(t.sparkSession, t.working_path)
+
+
 def discard(spark: SparkSession) -> None:
     """Remove all working tables of this process; results that read them must have been written before."""
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, _made.pop())
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -62,7 +73,9 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.working_path = path
+    return out
 
 
 def running_sum(df: DataFrame, groups: list[str], order: list[str], weight: Column, out: str) -> DataFrame:

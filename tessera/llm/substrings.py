@@ -15,17 +15,22 @@ each byte of text, so only suffixes that can matter are sorted:
    range; equal strings of a run travel once. Receivers combine runs with a loser
    tree that never compares bytes known to be shared. The shared lengths it yields
    decide: a suffix repeats if it shares all its bytes with a neighbour.
+4. Steps 1 and 2 take strings with one hash for equal. The merge sees the strings:
+   where one hash named two, all windows of all stretches with that anchor are
+   sorted as suffixes of their own, and bytes alone decide.
 
-Hashes choose what to sort; bytes decide what is removed. Texts are copied once,
+So hashes choose what to sort, and no answer rests on them. Texts are copied once,
 compressed, to part files in the shared folder, and later steps go back to those by
 part, so texts are never shuffled. Anchors with very many different stretches (a
 passage that a third of the texts share) have their windows counted by a
-pre-aggregated group-by instead of in one task.
+pre-aggregated group-by instead of in one task; both ways give the same suffixes.
 
 Defined cases: a null or empty text has no bytes; texts under LENGTH bytes lose
 nothing; repeated rows are separate documents, so texts of LENGTH bytes or more
-that occur twice lose all; an empty table gives an empty result. Extra columns are
-ignored.
+that occur twice lose all; ties do not arise, as every occurrence of a repeated
+string goes; a long text is hashed a megabyte at a time, and its task holds about
+fifteen bytes for each of its bytes; an empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +38,9 @@ from __future__ import annotations
 import hashlib
 import uuid
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +49,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textvec
-from tessera.llm.runs import front_code, repeated
-from tessera.llm.scratch import fresh_path, materialize, small_batches
+from tessera.llm.runs import first_id, front_code, repeated
+from tessera.llm.scratch import fresh_path, materialize, release, small_batches
 from tessera.llm.warc import storage
 
 LENGTH = 200
 GRAM = 48
 #: An anchor with more different stretches than this is counted by window instead of in one task.
-MOST_IN_TASK = 4096
+MOST_IN_TASK = 1024
 #: Stretches that a task compares at a time, but for those of one anchor.
 CHUNK = 4096
-SAMPLES_A_RANGE = 16
+#: Bytes of a text that are hashed at a time.
+PIECE = 1 << 20
+#: Bytes of suffixes in a range of the merge, about, as long as that takes MOST_RANGES ranges or fewer.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 100_000
+#: Sampled keys for each range, and the bytes of a suffix that decide its range.
+SAMPLES_A_RANGE, KEY = 8, 64
 
-PLACE = "part string, row int, start int, length int"
+PLACE = "part string, row int, start int, length int, c long"
+
+
+@dataclass(frozen=True)
+class Job:
+    """Where the texts are and how they are compared; ``bits`` of a hash are used as a name."""
+
+    folder: str
+    length: int = LENGTH
+    gram: int = GRAM
+    bits: int = 64
+    parts: int = 1
+
+    def name(self, h: np.ndarray) -> np.ndarray:
+        return h if self.bits == 64 else h & np.uint64((1 << self.bits) - 1)
 
 
 def least(h: np.ndarray, width: int) -> np.ndarray:
@@ -89,7 +115,18 @@ def stretches(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     return row[first], first - offsets[row[first]], last - first + 1, grams[anchor[first]], rolling.ranges(first, last + length)
 
 
-def store(docs: DataFrame, folder: str, length: int, gram: int) -> DataFrame:
+def pieces(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``stretches`` of a slice, a long text by parts that overlap, so that each window is in one of them."""
+    if len(offsets) > 2 or len(buf) <= 2 * PIECE:
+        yield stretches(buf, offsets, length, gram)
+        return
+    for at in range(0, len(buf), PIECE):
+        part = buf[at : at + PIECE + length - 1]
+        row, start, *rest = stretches(part, np.array([0, len(part)]), length, gram)
+        yield row, start + at, *rest
+
+
+def store(docs: DataFrame, job: Job) -> DataFrame:
     """Copy the texts to part files and list their stretches: (part, row, start, n, h, u).
 
     A row with a null ``h`` stands for each part. Written out once, since it makes files.
@@ -98,10 +135,10 @@ def store(docs: DataFrame, folder: str, length: int, gram: int) -> DataFrame:
     out = pa.schema([("part", pa.string()), ("row", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("u", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, plain = storage(folder)
+        system, plain = storage(job.folder)
         part, sink, writer, rows = uuid.uuid4().hex, None, None, 0
         for batch in batches:
-            for piece in textvec.slices(batch, limit=1 << 20):
+            for piece in textvec.slices(batch, limit=PIECE):
                 if writer is None:
                     sink = system.open_output_stream(f"{plain}/{part}.texts", compression=None)
                     writer = pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
@@ -109,11 +146,11 @@ def store(docs: DataFrame, folder: str, length: int, gram: int) -> DataFrame:
                 buf, offsets = textvec.utf8(piece.column(1))
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), piece.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buf))])
                 writer.write_batch(pa.RecordBatch.from_arrays([piece.column(0), texts], schema=schema))
-                row, start, n, h, u = stretches(buf, offsets, length, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.DictionaryArray.from_arrays(np.zeros(len(row), np.int32), [part]).cast(pa.string()), pa.array((row + rows).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(u.view(np.int64))],
-                    schema=out,
-                )
+                for row, start, n, h, u in pieces(buf, offsets, job.length, job.gram):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.DictionaryArray.from_arrays(np.zeros(len(row), np.int32), [part]).cast(pa.string()), pa.array((row + rows).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(job.name(u).view(np.int64))],
+                        schema=out,
+                    )
                 rows += piece.num_rows
         if writer is not None:
             writer.close()
@@ -209,14 +246,24 @@ def units(w: np.ndarray, owner: np.ndarray, place: np.ndarray, single: np.ndarra
     return index[first], np.diff(np.append(first, len(index)))
 
 
-def compare(classes: DataFrame, folder: str, parts: int, length: int) -> DataFrame:
+def near(at: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Groups of spans, in order of ``at``, that lie within about PIECE bytes: first, last + 1, begin and end of their bytes."""
+    i = 0
+    while i < len(at):
+        j = int(np.searchsorted(at, at[i] + PIECE, side="right"))
+        yield i, j, int(at[i]), int(end[i:j].max())
+        i = j
+
+
+def compare(classes: DataFrame, job: Job) -> DataFrame:
     """Suffixes of differing stretches (part, row, start, n, h, single) with one anchor, an anchor at a time."""
+    length = job.length
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, rows in of_parts(batches, folder):
+        for texts, rows in of_parts(batches, job.folder):
             row, start, n = columns(rows, "row", "start", "n")
             at = texts.place(row) + start
-            raw = texts.buf.tobytes()
+            raw = memoryview(texts.buf)
             found = pa.array([raw[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*[rows[c].combine_chunks() for c in ("part", "row", "start", "n", "h", "single")], found], ["part", "row", "start", "n", "h", "single", "bytes"])
 
@@ -246,146 +293,207 @@ def compare(classes: DataFrame, folder: str, parts: int, length: int) -> DataFra
             buf, offsets = textvec.utf8_bytes(table["bytes"].combine_chunks())
             owner = np.repeat(np.arange(len(n)), n)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            w = textvec.Rolling(buf).grams(length)[offsets[owner] + place]
+            w = job.name(textvec.Rolling(buf).grams(length)[offsets[owner] + place])
             index, many = units(w, owner, place, table["single"].to_numpy(zero_copy_only=False)[owner])
             mine = owner[index]
-            yield pa.RecordBatch.from_arrays([table["part"].combine_chunks().take(pa.array(mine)), table["row"].combine_chunks().take(pa.array(mine)), pa.array((start[mine] + place[index]).astype(np.int32)), pa.array((many + length - 1).astype(np.int32))], ["part", "row", "start", "length"])
+            named = textvec.mix(w[index] ^ textvec.mix(table["h"].to_numpy()[mine].view(np.uint64) + many.astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays([table["part"].combine_chunks().take(pa.array(mine)), table["row"].combine_chunks().take(pa.array(mine)), pa.array((start[mine] + place[index]).astype(np.int32)), pa.array((many + length - 1).astype(np.int32)), pa.array(named.view(np.int64))], ["part", "row", "start", "length", "c"])
 
-    found = by_part(classes, parts, "row", "start").mapInArrow(fetch, "part string, row int, start int, n int, h long, single boolean, bytes binary")
+    found = by_part(classes, job.parts, "row", "start").mapInArrow(fetch, "part string, row int, start int, n int, h long, single boolean, bytes binary")
     return found.repartition("h").sortWithinPartitions("h", "part", "row", "start").mapInArrow(run, PLACE)
 
 
-def count_windows(classes: DataFrame, folder: str, parts: int, length: int) -> DataFrame:
+def count_windows(classes: DataFrame, job: Job) -> DataFrame:
     """The same for anchors with very many stretches: window by window, counted by a group-by."""
+    length = job.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, rows in of_parts(batches, folder):
-            row, start, n = columns(rows, "row", "start", "n")
-            owner = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + start[owner]
-            w = textvec.Rolling(texts.buf).grams(length)[texts.place(row)[owner] + place]
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), rows["part"].combine_chunks().take(pa.array(owner)), pa.array(row[owner].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(rows["single"].to_numpy(zero_copy_only=False)[owner])], ["w", "part", "row", "start", "single"])
-
-    windows = materialize(by_part(classes, parts, "row", "start").mapInArrow(run, "w long, part string, row int, start int, single boolean"), "windows")
+        for texts, whole in of_parts(batches, job.folder):
+            every = columns(whole, "row", "start", "n")
+            at = texts.place(every[0]) + every[1]
+            for i, j, low, high in near(at, at + every[2] + length - 1):
+                yield from windows_of(texts, whole.slice(i, j - i).combine_chunks(), low, high)
+
+    def windows_of(texts: Part, rows: pa.Table, low: int, high: int) -> Iterator[pa.RecordBatch]:
+        row, start, n = columns(rows, "row", "start", "n")
+        owner = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + start[owner]
+        w = job.name(textvec.Rolling(texts.buf[low:high]).grams(length)[texts.place(row)[owner] + place - low])
+        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), rows["part"].combine_chunks().take(pa.array(owner)), pa.array(row[owner].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(rows["single"].to_numpy(zero_copy_only=False)[owner])], ["w", "part", "row", "start", "single"])
+
+    windows = materialize(by_part(classes, job.parts, "row", "start").mapInArrow(run, "w long, part string, row int, start int, single boolean"), "windows")
     wanted = windows.groupBy("w").agg(F.count("*").alias("k"), F.max("single").alias("s")).where("k > 1 and s").select("w")
     wanted = materialize(wanted, "repeated")  # see candidates
-    return windows.join(wanted, "w").select("part", "row", "start", F.lit(length).alias("length"))
+    return windows.join(wanted, "w").select("part", "row", "start", F.lit(length).alias("length"), F.xxhash64("w").alias("c"))
 
 
-def candidates(found: DataFrame, folder: str, parts: int, length: int) -> DataFrame:
-    """(part, row, start, length) of all suffixes to sort, once each or more.
+def candidates(found: DataFrame, job: Job) -> DataFrame:
+    """(part, row, start, length, c) of all suffixes to sort, once each or more; strings with one ``c`` should be equal.
 
     Group totals are written out before they are joined back: a join that reads both
     sides from exchanges of its own is one whose hot keys Spark can split.
     """
-    groups = found.groupBy("h").agg(F.count("*").alias("k"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("k > 1").select("h", (F.col("u0") != F.col("u1")).alias("differ"))
-    groups = materialize(groups, "groups")
+    stretch = ["h", "u", "n"]
+    differ = (F.min("u") != F.max("u")) | (F.min("n") != F.max("n"))
+    groups = materialize(found.groupBy("h").agg(F.count("*").alias("k"), differ.alias("differ")).where("k > 1").select("h", "differ"), "groups")
     shared = materialize(found.join(groups, "h"), "shared")
-    of = materialize(shared.where("differ").groupBy("h", "u").agg(F.count("*").alias("k"), F.min(F.struct("part", "row", "start", "n")).alias("one")), "classes")
-    whole = F.col("n") + (length - 1)
-    again = with_twin(shared.where("differ"), of)
-    clean = shared.where("not differ").unionByName(again).select("part", "row", "start", whole.cast("int").alias("length"))
+    of = materialize(shared.where("differ").groupBy(*stretch).agg(F.count("*").alias("k"), F.min(F.struct("part", "row", "start", "n")).alias("one")), "classes")
+    again = with_twin(shared.where("differ"), of, stretch)
+    clean = shared.where("not differ").unionByName(again).select("part", "row", "start", (F.col("n") + (job.length - 1)).cast("int").alias("length"), F.xxhash64(*stretch).alias("c"))
     sizes = materialize(of.groupBy("h").agg(F.count("*").alias("different")), "sizes")
     classes = materialize(of.join(sizes, "h").select("one.part", "one.row", "one.start", "one.n", "h", (F.col("k") == 1).alias("single"), (F.col("different") > MOST_IN_TASK).alias("many")), "differing")
-    out = clean.unionByName(compare(classes.where("not many").drop("many"), folder, parts, length))
+    out = clean.unionByName(compare(classes.where("not many").drop("many"), job))
     if not classes.where("many").isEmpty():
-        out = out.unionByName(count_windows(classes.where("many").drop("many"), folder, parts, length))
-    return materialize(out, "suffixes")
+        out = out.unionByName(count_windows(classes.where("many").drop("many"), job))
+    out = materialize(out, "suffixes")
+    release(groups, shared, of, sizes, classes)
+    return out
 
 
-def with_twin(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """The stretches (h, u) that occur whole more than once; ``of`` has their number k.
+def with_twin(rows: DataFrame, of: DataFrame, key: list[str]) -> DataFrame:
+    """The stretches that occur whole more than once; ``of`` has their number k by ``key``.
 
     Those with over a thousandth of all rows are a thousand at most, and are broadcast;
     the others are joined, and no key of theirs has many rows.
     """
     many = max(1, (of.agg(F.sum("k")).first()[0] or 0) // 1000)
-    hot = F.broadcast(of.where(F.col("k") > many).where("k > 1").select("h", "u"))
-    cold = of.where(F.col("k") <= many).where("k > 1").select("h", "u")
-    return rows.join(hot, ["h", "u"], "left_semi").unionByName(rows.join(hot, ["h", "u"], "left_anti").join(cold, ["h", "u"], "left_semi"))
+    hot = F.broadcast(of.where(F.col("k") > many).where("k > 1").select(*key))
+    cold = of.where(F.col("k") <= many).where("k > 1").select(*key)
+    return rows.join(hot, key, "left_semi").unionByName(rows.join(hot, key, "left_anti").join(cold, key, "left_semi"))
+
 
+@dataclass
+class Known:
+    """Of a distinct string of a part: its places (row, start, length), and the names it goes by."""
 
-def distinct_strings(texts: Part, rows: pa.Table, known: dict[bytes, list]) -> None:
-    """Add the strings of suffixes to ``known``: string -> places as (row, start, length)."""
+    places: list[tuple[int, int, int]] = field(default_factory=list)
+    names: set[int] = field(default_factory=set)
+
+
+def distinct_strings(texts: Part, rows: pa.Table, known: dict[bytes, Known]) -> None:
+    """Add the strings of suffixes to ``known``; a place that two steps have named counts once."""
     row, start, size = columns(rows, "row", "start", "length")
     at = texts.place(row) + start
-    raw = texts.buf.tobytes()
-    for r, s, n, a in zip(row.tolist(), start.tolist(), size.tolist(), at.tolist(), strict=True):
-        known.setdefault(raw[a : a + n], []).append((r, s, n))
+    raw, before, names = memoryview(texts.buf), None, rows["c"].to_pylist()
+    for r, s, n, a, c in zip(row.tolist(), start.tolist(), size.tolist(), at.tolist(), names, strict=True):
+        text = raw[a : a + n].tobytes()
+        held = known.get(text)
+        if held is None:
+            held = known[text] = Known()
+        if before != (r, s, n):
+            held.places.append((r, s, n))
+            before = (r, s, n)
+        if c is not None:
+            held.names.add(c)
+
+
+def cuts_of(suffixes: DataFrame, job: Job, total: int, ranges: int) -> list[bytes]:
+    """Keys between ranges; about SAMPLES_A_RANGE keys for each are drawn, whatever the input."""
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, rows in of_parts(batches, job.folder):
+            row, start = columns(rows, "row", "start")
+            at, raw = (texts.place(row) + start).tolist(), memoryview(texts.buf)
+            yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + KEY].tobytes() for a in at], pa.binary())], ["key"])
 
-def sort_and_merge(suffixes: DataFrame, folder: str, parts: int, length: int) -> DataFrame:
-    """(part, ids): for each part with suffixes, which of its strings repeat.
+    drawn = suffixes.where(F.pmod(F.xxhash64("part", "row", "start"), F.lit(max(1, total // (ranges * SAMPLES_A_RANGE)))) == 0)
+    sample = sorted({bytes(r.key) for r in by_part(drawn, job.parts, "row", "start").mapInArrow(keys, "key binary").collect()})
+    return [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
 
-    A part's places are in a file named after it, whose content its suffixes decide:
-    a task that is run again puts the same file in place of itself.
-    """
-    spark = suffixes.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, rows in of_parts(batches, folder):
-            known: dict[bytes, list] = {}
-            distinct_strings(texts, rows, known)
-            yield pa.RecordBatch.from_arrays([pa.array([s[:length] for s in known], pa.binary())], ["key"])
+def sort_and_merge(suffixes: DataFrame, job: Job) -> DataFrame:
+    """For each part with suffixes, which of its strings repeat; and names by their number of strings.
 
-    total = suffixes.count()
-    step = max(1, total // (ranges * SAMPLES_A_RANGE))
-    # about SAMPLES_A_RANGE keys for each range, whatever the input
-    drawn = suffixes.where(F.pmod(F.xxhash64("part", "row", "start"), F.lit(step)) == 0)
-    sample = sorted({bytes(r.key) for r in by_part(drawn, parts, "row", "start").mapInArrow(keys, "key binary").collect()})
-    cuts = spark.sparkContext.broadcast([sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else [])
+    Rows (part, ids, names, counts): ids of a part's strings that repeat elsewhere in
+    one range, or, without a part, the names met in it and how many different strings
+    go by each. A part's places are in a file named after it, whose content its
+    suffixes decide: a task that is run again puts the same file in place of itself.
+    """
+    spark = suffixes.sparkSession
+    # one row: the number and bytes of the suffixes
+    total, size = suffixes.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-size // RANGE_BYTES)))
+    cuts = spark.sparkContext.broadcast(cuts_of(suffixes, job, total, ranges))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, plain = storage(folder)
+        system, plain = storage(job.folder)
         part, known = None, {}
-        names = ["part", "q", "run"]
+        columns_out = ["part", "q", "run", "names", "counts"]
 
         def out() -> Iterator[pa.RecordBatch]:
             """Sorted runs by range, and the places of every string in a file."""
             strings = sorted(known)
             attempt = f"{plain}/{part}.{uuid.uuid4().hex}"
-            sizes = np.array([len(known[s]) for s in strings], np.int32)
-            place = np.array([p for s in strings for p in known[s]], np.int32).reshape(-1, 3)
+            sizes = np.array([len(known[s].places) for s in strings], np.int32)
+            place = np.array([p for s in strings for p in known[s].places], np.int32).reshape(-1, 3)
             with system.open_output_stream(attempt, compression=None) as f:
                 np.savez(f, sizes=sizes, place=place)
             system.move(attempt, f"{plain}/{part}.places")
-            q = [bisect_right(cuts.value, s[:length]) for s in strings]
+            q = [bisect_right(cuts.value, s[:KEY]) for s in strings]
             first = 0
             while first < len(strings):
                 end = bisect_right(q, q[first])
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([q[first]], pa.int32()), pa.array([front_code(strings[first:end], first)], pa.binary())], names)
+                named = [known[s].names for s in strings[first:end]]
+                flat = np.array([c for n in named for c in n], np.int64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([q[first]], pa.int32()), pa.array([front_code(strings[first:end], first)], pa.binary()), pa.array([flat], pa.binary()), pa.array([np.array([len(n) for n in named], np.int32).tobytes()], pa.binary())], columns_out)
                 first = end
 
-        for texts, rows in of_parts(batches, folder):
+        for texts, rows in of_parts(batches, job.folder):
             if rows["part"][0].as_py() != part:
                 if known:
                     yield from out()
                 part, known = rows["part"][0].as_py(), {}
-            triple = np.stack(columns(rows, "row", "start", "length"), axis=1)
-            fresh = np.ones(len(triple), bool)  # a place that two steps have named counts once
-            fresh[1:] = (triple[1:] != triple[:-1]).any(axis=1)
-            distinct_strings(texts, rows.filter(pa.array(fresh)), known)
+            distinct_strings(texts, rows, known)
         if known:
             yield from out()
 
     def combine(table):
         runs = [bytes(x) for x in table["run"].to_pylist()]
-        ids = repeated(runs)
-        return pa.table({"part": table["part"], "ids": pa.array([np.array(x, "<i4").tobytes() for x in ids], pa.binary())})
+        flat = [np.frombuffer(x, np.int64) for x in table["names"].to_pylist()]
+        ends = [np.concatenate([[0], np.cumsum(np.frombuffer(x, np.int32))]) for x in table["counts"].to_pylist()]
+        first = [first_id(x) for x in runs]
+        met: Counter[int] = Counter()
+        ids = repeated(runs, lambda r, i: flat[r][ends[r][i - first[r]] : ends[r][i - first[r] + 1]].tolist(), met)
+        n = len(runs)
+        return pa.table({
+            "part": pa.concat_arrays([table["part"].combine_chunks(), pa.nulls(1, pa.string())]),
+            "ids": pa.array([*[np.array(x, "<i4").tobytes() for x in ids], None], pa.binary()),
+            "names": pa.array([*[None] * n, [*met]], pa.list_(pa.int64())),
+            "counts": pa.array([*[None] * n, [*met.values()]], pa.list_(pa.int32())),
+        })
+
+    runs = by_part(suffixes, job.parts, "row", "start", "length").mapInArrow(sort, "part string, q int, run binary, names binary, counts binary")
+    return materialize(runs.groupBy("q").applyInArrow(combine, "part string, ids binary, names array<long>, counts array<int>"), "merged")
 
-    runs = by_part(suffixes, parts, "row", "start", "length").mapInArrow(sort, "part string, q int, run binary")
-    merged = runs.groupBy("q").applyInArrow(combine, "part string, ids binary")
-    return materialize(merged, "merged").groupBy("part").agg(F.collect_list("ids").alias("ids"))
 
+def misnamed(merged: DataFrame) -> DataFrame:
+    """(c): names that more than one string goes by."""
+    return merged.where("part is null").select(F.inline(F.arrays_zip("names", "counts"))).groupBy(F.col("names").alias("c")).agg(F.sum("counts").alias("n")).where("n > 1").select("c")
 
-def remove(found: DataFrame, merged: DataFrame, folder: str, parts: int, length: int) -> DataFrame:
+
+def reexamined(suffixes: DataFrame, wrong: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """``suffixes`` with every single window, nameless, in place of those of anchors that have a wrong name.
+
+    A window starts in one stretch only, so no suffix is left at the place of a window.
+    """
+    at = lambda df, *more: df.select(F.col("part").alias("p"), F.col("row").alias("r"), F.col("start").alias("s"), *more)
+    inside = lambda start, s, n: (start >= s) & (start < s + n)
+    hit = at(suffixes.join(wrong, "c")).distinct()
+    anchors = found.join(hit, (F.col("part") == F.col("p")) & (F.col("row") == F.col("r")) & inside(F.col("s"), F.col("start"), F.col("n"))).select("h").distinct()
+    again = materialize(found.join(materialize(anchors, "anchors"), "h").select("part", "row", "start", "n"), "again")
+    rest = suffixes.join(at(again, "n"), (F.col("part") == F.col("p")) & (F.col("row") == F.col("r")) & inside(F.col("start"), F.col("s"), F.col("n")), "left_anti")
+    windows = F.explode(F.sequence("start", F.col("start") + F.col("n") - 1))
+    return rest.unionByName(again.select("part", "row", windows.alias("start"), F.lit(length).alias("length"), F.lit(None).cast("long").alias("c")))
+
+
+def remove(names: DataFrame, merged: DataFrame, job: Job) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) with removed: array of (start, end) in bytes."""
-    names = found.where("h is null").select("part").join(merged, "part", "left")
+    repeats = merged.where("part is not null").groupBy("part").agg(F.collect_list("ids").alias("ids"))
+    names = names.join(repeats, "part", "left")
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, plain = storage(folder)
+        system, plain = storage(job.folder)
         for batch in batches:
             for item in batch.to_pylist():
                 place = np.zeros((0, 3), np.int64)
@@ -396,7 +504,7 @@ def remove(found: DataFrame, merged: DataFrame, folder: str, parts: int, length:
                             flags[np.frombuffer(ids, "<i4")] = True
                         place = saved["place"][np.repeat(flags, saved["sizes"])].astype(np.int64)
                     place = place[np.lexsort((place[:, 1], place[:, 0]))]
-                texts = Part(folder, item["part"])
+                texts = Part(job.folder, item["part"])
                 while texts.next_batch():
                     here = place[np.searchsorted(place[:, 0], texts.first) : np.searchsorted(place[:, 0], texts.end)]
                     at = texts.place(here[:, 0]) + here[:, 1]
@@ -413,13 +521,20 @@ def remove(found: DataFrame, merged: DataFrame, folder: str, parts: int, length:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), spans]
                     yield pa.RecordBatch.from_arrays([texts.batch.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    return names.repartitionByRange(parts, "part").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
-
-
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Removed bytes of every row of ``docs``; see ``remove`` for the columns."""
-    folder = fresh_path(docs.sparkSession, "texts")
-    listed = store(docs, folder, length, gram)
-    parts = max(1, listed.where("h is null").count())
-    suffixes = candidates(listed.where("h is not null"), folder, parts, length)
-    return remove(listed, sort_and_merge(suffixes, folder, parts, length), folder, parts, length)
+    return names.repartitionByRange(job.parts, "part").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = 64) -> DataFrame:
+    """Removed bytes of every row of ``docs``; see ``remove`` for the columns. Any number of ``bits`` gives the same."""
+    job = Job(fresh_path(docs.sparkSession, "texts"), length, gram, bits)
+    listed = store(docs, job)
+    names = materialize(listed.where("h is null").select("part"), "names")
+    job = replace(job, parts=max(1, names.count()))
+    found = listed.where("h is not null")
+    suffixes = candidates(found, job)
+    merged = sort_and_merge(suffixes, job)
+    wrong = misnamed(merged)
+    if not wrong.isEmpty():
+        merged = sort_and_merge(materialize(reexamined(suffixes, materialize(wrong, "wrong"), found, length), "suffixes"), job)
+    release(listed, suffixes)
+    return remove(names, merged, job)

@@ -56,6 +56,22 @@ def test_removal(spark, monkeypatch, most):
     assert all(r.n_removed == sum(s.end - s.start for s in r.removed) and r.n_spans == len(r.removed) for r in got)
 
 
+@pytest.mark.parametrize(("bits", "most"), [(8, 4096), (3, 4096), (8, 2)])
+def test_removal_where_hashes_name_two_strings(spark, monkeypatch, bits, most):
+    """Few bits of a hash name stretches and windows, so that many different ones have one name."""
+    monkeypatch.setattr(substrings, "MOST_IN_TASK", most)
+    monkeypatch.setattr(substrings, "PIECE", 700)
+    rng = random.Random(bits)
+    data = removal_case() + [(100 + i, "".join(rng.choice("ab ") for _ in range(300))) for i in range(10)]
+    data += [(200 + i, f"{i % 3}" * 40 + data[3][1][:260] + f"{i % 4}" * 90 + data[14][1][:300]) for i in range(24)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    job = substrings.Job(scratch.fresh_path(spark, "texts"), bits=bits)
+    listed = substrings.store(docs, job).where("h is not null")
+    assert listed.select("h", "n", "u").distinct().groupBy("h").count().count() > 20
+    want = sorted(((i, *r) for (i, _), r in zip(data, brute_removal([t for _, t in data], 200), strict=True)), key=str)
+    assert sorted((tuple(r)[:5] for r in substrings.dedup(docs, bits=bits).collect()), key=str) == want
+
+
 def test_removal_of_a_table(spark):
     data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     want = sorted((i, *r) for (i, _), r in zip(data, brute_removal([t for _, t in data], 200), strict=True))
