@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from tessera.llm import xxh
 from tessera.llm.decontaminate import GUARANTEE
+from tessera.llm.pii import BASE, KEEP, KINDS, NEAR
 from tessera.llm.secrets import BASE_RULES, MORE_RULES
+from tessera.llm.sharding import DIMENSIONS, HEAVY
 from tessera.llm.substrings import LENGTH
 
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -80,9 +83,144 @@ def secrets() -> str:
 SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(CASE WHEN rank < {len(BASE_RULES)} THEN {shown} END, ',' ORDER BY start, rank), '')) AS base_sha256, coalesce(string_agg({shown}, ',' ORDER BY start, rank), '') AS spans FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
 
 
+def placed(source: str, pattern: str, columns: str, where: str) -> str:
+    """``columns`` of each match s of a pattern in t, from start to stop, that ``where`` accepts; gaps between give the places."""
+    pattern = pattern.replace("'", "''")
+    return (
+        f"SELECT {columns} FROM (SELECT *, start + length(s) AS stop FROM (SELECT doc_id, t, m[i] AS s, list_sum(list_transform(list_slice(gap, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) AS start"
+        f" FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS gap, unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) AS i FROM {source}))) WHERE {where}"
+    )
+
+
+DIGITS = "regexp_replace(s, '[^0-9]', '', 'g')"
+LUHN = f"list_sum(list_transform(string_split(reverse({DIGITS}), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN CAST(x AS INTEGER) WHEN CAST(x AS INTEGER) > 4 THEN 2 * CAST(x AS INTEGER) - 9 ELSE 2 * CAST(x AS INTEGER) END)) % 10 = 0"
+BARE = "replace(s, ' ', '')"
+NUMBER = f"array_to_string(list_transform(string_split(substr({BARE}, 5) || left({BARE}, 4), ''), lambda c: CASE WHEN c >= 'A' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), '')"
+MOD97 = f"list_reduce(list_transform(string_split({NUMBER}, ''), lambda c: CAST(c AS BIGINT)), lambda a, b: (a * 10 + b) % 97) = 1"
+CONFIRMED = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(s, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || left(ltrim(x, '0'), 3) AS INTEGER) > 255)) = 0",
+    "card": f"length({DIGITS}) BETWEEN 12 AND 19 AND {LUHN}",
+    "phone": f"length({DIGITS}) BETWEEN 9 AND 15",
+    "iban": MOD97,
+    "ssn": "regexp_full_match(s, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND left(s, 3) NOT IN ('000', '666') AND left(s, 1) <> '9' AND substr(s, 5, 2) <> '00' AND right(s, 4) <> '0000'",
+}
+
+
+def personal() -> str:
+    parts = []
+    near = f"(substr(t, CAST(greatest(start - {NEAR}, 0) + 1 AS BIGINT), CAST(least(start, {NEAR}) AS BIGINT)) || ' ' || chr(10) || ' ' || substr(t, CAST(stop + 1 AS BIGINT), {NEAR}))"
+    for k, kind in enumerate(KINDS):
+        pattern = {"ssn": "[0-9-]+"}.get(kind.name, kind.pattern.pattern.removeprefix("(?<![0-9])").removeprefix("(?a)"))
+        moves = lambda words, by: f" {by} CASE WHEN regexp_matches({near}, '{either_case(words.pattern.removeprefix('(?ai)'))}') THEN 3 ELSE 0 END" if words else ""
+        score = f"least(10, greatest(0, {round(10 * kind.start)}{moves(kind.context, '+')}{moves(kind.against, '-')}))"
+        parts.append(f"SELECT * FROM ({placed('d', pattern, f'doc_id, {k} AS rank, {chr(39)}{kind.name}{chr(39)} AS kind, start, stop, {score} AS score', CONFIRMED[kind.name])})" + ("" if kind.base else f" WHERE score >= {round(10 * KEEP)}"))
+    shown = "kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR)"
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in BASE)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(parts)})
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(CASE WHEN rank < {len(BASE)} THEN {shown} END, ',' ORDER BY start, rank), '')) AS base_sha256, coalesce(string_agg({shown}, ',' ORDER BY start, rank), '') AS spans, coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY start, rank), '') AS scores FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
+
+
+WORDS = "[^\\x20\\x09-\\x0D]+"
+
+
+def statistics(window: int = 5) -> str:
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS l FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + {window - 1}), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {window - 2})) AS i FROM d WHERE len(w) >= {window})),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM g) WHERE k > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {window})) AS p FROM r) GROUP BY 1),
+o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM o"""
+
+
+def shards(count: int = 8) -> str:
+    """Three levels of the tree, each a few tables; the digests are those of CRC-32, from its table."""
+    levels = count.bit_length() - 1
+    d = DIMENSIONS
+    ctes = {
+        "crc": "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS tab",
+        "raw": "SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) + 1 AS size, dense_rank() OVER (ORDER BY coalesce(source, '')) - 1 AS d_source, dense_rank() OVER (ORDER BY coalesce(lang, '')) - 1 AS d_lang FROM documents",
+        "rows_": "SELECT doc_id, size, md5(t) AS g, d_source, d_lang, xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 1), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda a, b: xor(a // 256, tab[xor(a % 256, b) + 1])), 4294967295) AS crc FROM raw, crc",
+        "p0": "SELECT g, CAST(sum(size) AS BIGINT) AS high, CAST(0 AS BIGINT) AS low, max(size) AS unit, CAST(max(size) AS DOUBLE) AS d_size, CAST(min(d_source) AS DOUBLE) AS d_source, CAST(min(d_lang) AS DOUBLE) AS d_lang, CAST(coalesce(min(doc_id), 0) AS DOUBLE) AS d_id, 1 AS path FROM rows_ GROUP BY g",
+        "root": "SELECT " + ", ".join(f"coalesce(nullif(max({x}) - min({x}), 0), 1.0) AS {x}" for x in d) + " FROM p0",
+        "goal": f"SELECT CAST(ceil(sum(size) / {count}) AS BIGINT) AS bytes FROM rows_",
+    }
+    for k in range(levels):
+        widths = ", ".join(f"(max(p.{x}) - min(p.{x})) / any_value(root.{x}) AS w{i}" for i, x in enumerate(d))
+        most = "greatest(" + ", ".join(f"w{i}" for i in range(len(d))) + ")"
+        key = "CASE dimension " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(d)) + " END"
+        ctes |= {
+            f"s{k}": f"SELECT path, CAST(sum(high - low) AS BIGINT) AS whole, max(high - low - unit) AS spare, count(*) AS n, {widths} FROM p{k} p, root GROUP BY path",
+            f"n{k}": f"SELECT path, whole, CASE {' '.join(f'WHEN w{i} = {most} THEN {i}' for i in range(len(d)))} END AS dimension FROM s{k}, goal WHERE whole > goal.bytes AND (n > 1 OR spare > 0)",
+            f"o{k}": f"SELECT *, whole // 2 - CAST(coalesce(sum(high - low) OVER (PARTITION BY path ORDER BY key, g, low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS over_ FROM (SELECT *, {key} AS key FROM p{k} JOIN n{k} USING (path))",
+            f"c{k}": f"SELECT *, over_ > 0 AND over_ < high - low AND high - low > {HEAVY} * whole AS cut FROM o{k}",
+            f"p{k + 1}": f"SELECT g, low + over_ AS high, low, unit, {', '.join(d)}, 2 * path AS path FROM c{k} WHERE cut UNION ALL SELECT g, high, low + over_, unit, {', '.join(d)}, 2 * path + 1 FROM c{k} WHERE cut"
+            f" UNION ALL SELECT g, high, low, unit, {', '.join(d)}, CASE WHEN 2 * over_ >= high - low THEN 2 * path ELSE 2 * path + 1 END FROM c{k} WHERE NOT cut UNION ALL SELECT g, high, low, unit, {', '.join(d)}, path FROM p{k} WHERE path NOT IN (SELECT path FROM n{k})",
+        }
+    last = f"p{levels}"
+    ctes |= {
+        "spots": "SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, crc, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + size // 2 AS middle FROM rows_",
+        "done": f"SELECT doc_id, size, crc, path * CAST(2 ** ({levels} - floor(log2(path))) AS BIGINT) - {count} AS shard FROM spots JOIN {last} USING (g) WHERE middle >= low AND middle < high",
+    }
+    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in ctes.items()) + " SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM done"
+
+
+def fingerprints(shingle: int = 3) -> str:
+    """XXH64 in unsigned 128-bit numbers, on the little-endian lanes of each different shingle."""
+    p1, p2, p3, p4, p5 = (int(x) for x in (xxh.P1, xxh.P2, xxh.P3, xxh.P4, xxh.P5))
+    size = 1 << 64
+    times = lambda a, b: f"CAST((CAST({a} AS UHUGEINT) * {b}) % {size} AS UBIGINT)"
+    plus = lambda a, b: f"CAST((CAST({a} AS UHUGEINT) + {b}) % {size} AS UBIGINT)"
+    turn = lambda a, n: f"CAST((CAST({a} AS UHUGEINT) * {1 << n}) % {size} + CAST({a} AS UHUGEINT) // {1 << 64 - n} AS UBIGINT)"
+    little = lambda at, n: "CAST('0x' || " + " || ".join(f"substr(x, CAST({at} AS BIGINT) + {2 * k + 1}, 2)" for k in reversed(range(n))) + " AS UBIGINT)"
+    # a value that is used twice is named by a one-element list
+    let = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    lane = lambda acc, v: let(plus(acc, times(v, p2)), "y", times(turn("y", 31), p1))
+    steps = lambda first, values, name, body: f"list_reduce(list_prepend(CAST({first} AS UBIGINT), {values}), lambda h, {name}: {body})"
+    ctes = {
+        "d": f"SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORDS}') AS w FROM documents",
+        "i": f"SELECT doc_id, w, unnest(range(1, greatest(len(w) - {shingle - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0",
+        "s": f"SELECT doc_id, array_to_string(list_slice(w, i, i + {shingle - 1}), ' ') AS s FROM i",
+        "u": "SELECT s, hex(encode(s)) AS x, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM s)",
+        "v": f"SELECT *, list_transform(range(n // 8), lambda k: {little('16 * k', 8)}) AS lanes FROM u",
+    }
+    accs = [(42 + p1 + p2) % size, (42 + p2) % size, 42, (42 - p1) % size]
+    for j, first in enumerate(accs):
+        values = f"list_transform(range(n // 32), lambda k: lanes[4 * k + {j + 1}])"
+        ctes[f"a{j}"] = f"SELECT *, {steps(first, values, 'v', lane('h', 'v'))} AS a{j} FROM {f'a{j - 1}' if j else 'v'}"
+    ctes["m0"] = "SELECT *, " + plus(plus(plus(turn("a0", 1), turn("a1", 7)), turn("a2", 12)), turn("a3", 18)) + " AS m FROM a3"
+    for j in range(4):
+        mixed = let(f"xor(m, {lane('0', f'a{j}')})", "z", plus(times("z", p1), p4))
+        ctes[f"m{j + 1}"] = f"SELECT * EXCLUDE (m), {mixed} AS m FROM m{j}"
+    ctes["b0"] = f"SELECT s, x, n, lanes, {plus(f'CASE WHEN n >= 32 THEN m ELSE {(42 + p5) % size} END', 'n')} AS h FROM m4"
+    word = let(f"xor(h, {lane('0', 'v')})", "z", plus(times(turn("z", 27), p1), p4))
+    ctes["b1"] = f"SELECT * EXCLUDE (h), {steps('h', 'list_slice(lanes, 4 * (n // 32) + 1, n // 8)', 'v', word)} AS h FROM b0"
+    half = let(f"xor(h, {times(little('16 * (n // 8)', 4), p1)})", "z", plus(times(turn("z", 23), p2), p3))
+    ctes["b2"] = f"SELECT * EXCLUDE (h), CASE WHEN n % 8 >= 4 THEN {half} ELSE h END AS h FROM b1"
+    tail = f"list_transform(range(n - n % 4, n), lambda k: {little('2 * k', 1)})"
+    ctes["b3"] = f"SELECT * EXCLUDE (h), {steps('h', tail, 'v', let(f'xor(h, {times(chr(118), p5)})', 'z', times(turn('z', 11), p1)))} AS h FROM b2"
+    for k, (shift, by) in enumerate([(33, p2), (29, p3), (32, 1)]):
+        ctes[f"b{k + 4}"] = f"SELECT * EXCLUDE (h), {times(f'xor(h, h >> {shift})', by)} AS h FROM b{k + 3}"
+    bits = " + ".join(f"CASE WHEN 2 * sum(CAST((h >> {b}) & 1 AS INTEGER)) > count(*) THEN CAST({1 << b} AS UHUGEINT) ELSE 0 END" for b in range(64))
+    ctes |= {
+        "f": f"SELECT doc_id, CAST({bits} AS UBIGINT) AS fp FROM s JOIN b6 USING (s) GROUP BY doc_id",
+        "p": "SELECT d.doc_id, coalesce(fp, 0) AS fp FROM d LEFT JOIN f USING (doc_id)",
+        "c": "SELECT fp, min(doc_id) AS first FROM p GROUP BY fp",
+        "l": "SELECT a.fp AS a, b.fp AS b FROM c a JOIN c b ON a.fp <> b.fp AND bit_count(CAST(xor(a.fp, b.fp) AS HUGEINT)) <= 3",
+        "reach": "SELECT fp AS a, fp AS b FROM c UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a",
+        "least": "SELECT a AS fp, min(first) AS component_id FROM reach JOIN c ON c.fp = reach.b GROUP BY 1",
+    }
+    hexed = " || ".join(f"substr('0123456789abcdef', CAST((fp >> {4 * k}) & 15 AS BIGINT) + 1, 1)" for k in reversed(range(16)))
+    return "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in ctes.items()) + f" SELECT doc_id, {hexed} AS fingerprint, component_id FROM p JOIN least USING (fp)"
+
+
 ORACLES = {
     "op1_suffix_dedup": removal(),
+    "op2_kd_tree_sharding": shards(),
     "op4_warc_index": archive(),
     "op5_secret_scan": secrets(),
+    "op7_pii": personal(),
     "op9_benchmark_decontamination": contamination(),
+    "op10_simhash_near_dedup": fingerprints(),
+    "quality_statistics": statistics(),
 }

@@ -6,8 +6,9 @@ kind's starting value. The base kinds need confirmation only and always stay; th
 further kinds are kept from a score of ``KEEP`` on.
 
 Defined cases: a null or empty text has no spans; offsets are code points, end
-exclusive; repeated rows each get a row; an empty table gives an empty result.
-Extra columns are ignored.
+exclusive; spans with one start come in the order of the kinds; repeated rows each
+get a row; a text of any length is scanned whole, in time linear in its length; an
+empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,11 +93,11 @@ class Kind:
 
 KINDS = [
     Kind("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True, "@", True, 0.9, spans=emails),
-    Kind("ip", re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), octets, ".", True, 0.7, re.compile(r"(?i)\b(?:ip|host|server|address)\b"), re.compile(r"(?i)\bversion\b")),
-    Kind("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), card, "", True, 0.7, re.compile(r"(?i)\b(?:card|visa|credit|debit|payment)\b")),
-    Kind("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda s: 9 <= len(digits(s)) <= 15, "+", True, 0.7, re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax)\b")),
-    Kind("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"), lambda s: mod97(s.replace(" ", "")), "", False, 0.6, re.compile(r"(?i)\b(?:iban|account|bank|bic)\b"), re.compile(r"(?i)\b(?:part|serial|model)\b")),
-    Kind("ssn", re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"), lambda s: True, "-", False, 0.3, re.compile(r"(?i)\b(?:ssn|social security|tax id)\b"), re.compile(r"(?i)\b(?:order|part|ref)\b")),
+    Kind("ip", re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), octets, ".", True, 0.7, re.compile(r"(?ai)\b(?:ip|host|server|address)\b"), re.compile(r"(?ai)\bversion\b")),
+    Kind("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), card, "", True, 0.7, re.compile(r"(?ai)\b(?:card|visa|credit|debit|payment)\b")),
+    Kind("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda s: 9 <= len(digits(s)) <= 15, "+", True, 0.7, re.compile(r"(?ai)\b(?:phone|tel|call|mobile|fax)\b")),
+    Kind("iban", re.compile(r"(?a)\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"), lambda s: mod97(s.replace(" ", "")), "", False, 0.6, re.compile(r"(?ai)\b(?:iban|account|bank|bic)\b"), re.compile(r"(?ai)\b(?:part|serial|model)\b")),
+    Kind("ssn", re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"), lambda s: True, "-", False, 0.3, re.compile(r"(?ai)\b(?:ssn|social security|tax id)\b"), re.compile(r"(?ai)\b(?:order|part|ref)\b")),
 ]
 BASE = [k.name for k in KINDS if k.base]
 ANY_DIGIT = re.compile("[0-9]")
@@ -143,7 +144,10 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs``."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores) for every row of ``docs``.
+
+    ``scores``: that of each span, in tenths, in their order.
+    """
     text = lambda s: F.concat_ws(",", F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return detect(docs).select("doc_id", *[count(k) for k in BASE], F.sha2(text(F.filter("found", lambda x: x["kind"].isin(BASE))), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
+    return detect(docs).select("doc_id", *[count(k) for k in BASE], F.sha2(text(F.filter("found", lambda x: x["kind"].isin(BASE))), 256).alias("base_sha256"), text(F.col("found")).alias("spans"), F.concat_ws(",", F.transform("found", lambda x: F.round(x["score"] * 10).cast("int").cast("string"))).alias("scores"))

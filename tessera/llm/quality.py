@@ -6,8 +6,10 @@ bounded sample of labelled rows; scoring is a sparse dot product for every row.
 
 Defined cases: a null, empty or blank text has no features, so its score is the
 bias alone; a label that is null or not 0 or 1 is left out of training; no usable
-label gives every row the score 0.5; repeated rows each get a score; an empty table
-gives an empty result. Columns other than those named are never read.
+label gives every row the score 0.5; repeated rows each get a score, and a doc_id with
+two labels has the larger; a long text is scored whole, as a slice of its own; rows
+alike in the hash they are drawn by come by doc_id; an empty table gives an empty
+result. Columns other than those named are never read.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from tessera.llm import textvec
 from tessera.llm.scratch import small_batches
 
-#: The fit takes at most so many labelled rows, drawn by hash from those whose text has at most so many bytes.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 10_000, 1 << 15
+#: The fit takes at most so many labelled rows, drawn by hash, and so many of their features in all.
+SAMPLE_ROWS, SAMPLE_FEATURES = 10_000, 1 << 25
 
 
 @dataclass(frozen=True)
@@ -56,15 +58,10 @@ def features(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarra
     return (keys & np.uint64((1 << bits) - 1)).astype(np.int64), at
 
 
-def fit(texts: pa.Array, labels: np.ndarray, s: Settings) -> np.ndarray:
-    """Weights, the bias last, from FTRL-proximal updates in a seeded order."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, s: Settings) -> np.ndarray:
+    """Weights, the bias last, from FTRL-proximal updates on rows of feature numbers, in a seeded order."""
     size = 1 << s.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    rows: list[np.ndarray] = []
-    batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts)), texts], ["k", "text"])
-    for part in textvec.slices(batch):
-        found, at = features(*textvec.utf8(part.column(1)), s.bits)
-        rows += [found[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
@@ -85,25 +82,50 @@ def fit(texts: pa.Array, labels: np.ndarray, s: Settings) -> np.ndarray:
     return weights(np.arange(size + 1))
 
 
+def drawn(docs: DataFrame, labels: DataFrame, target: str, sample_rows: int, settings: Settings) -> DataFrame:
+    """(draw, doc_id, y, f) of at most ``sample_rows`` labelled rows in order of a hash of doc_id; f: feature numbers.
+
+    The sample is the same however the input is split. Texts of any length count;
+    what is sorted is their features, which the number of bits bounds.
+    """
+    known = labels.where(F.col(target).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(target).cast("int").alias("y"))
+    draw = F.xxhash64("doc_id", F.lit(settings.seed)).alias("draw")
+    ids = known.join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id").select("doc_id", "y", draw).orderBy("draw", "doc_id").limit(sample_rows)
+    # ``sample_rows`` narrow rows at most
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").select("draw", "text", "doc_id", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textvec.slices(batch):
+                found, at = features(*textvec.utf8(part.column(1)), settings.bits)
+                f = pa.array([found[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), f], ["draw", "doc_id", "y", "f"])
+
+    # a doc_id of several rows brings them all, so rows are counted again
+    return rows.mapInArrow(run, "draw long, doc_id long, y int, f binary").orderBy("draw", "doc_id", "f").limit(sample_rows)
+
+
 def train(docs: DataFrame, labels: DataFrame, target: str, sample_rows: int = SAMPLE_ROWS, settings: Settings = Settings()) -> np.ndarray:
     """Weights of a model of ``labels[target]``, fitted in one task on at most ``sample_rows`` rows.
 
-    Rows with crc32(doc_id as text) mod 5 = 0 are held out. The sample is the rows
-    with the smallest hashes of doc_id, so it is the same however the input is split.
+    Rows with crc32(doc_id as text) mod 5 = 0 are held out. Of the sample's rows, in
+    order, those count whose features together are SAMPLE_FEATURES or fewer.
     """
-    short = docs.where(F.octet_length(F.col("text").cast("string")) <= SAMPLE_TEXT_BYTES)
-    known = labels.where(F.col(target).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
-    ids = known.join(short.select(F.col("doc_id").cast("long")).distinct(), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(settings.seed)), "doc_id").limit(sample_rows)
-    sample = short.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id").select("doc_id", "text", "y", F.lit(1).alias("one"))
-
-    def run(key, table):
-        table = table.sort_by("doc_id").combine_chunks()
-        if not table.num_rows:
-            return pa.table({"w": pa.array([], pa.binary())})
-        text = table["text"].cast(pa.large_string()).combine_chunks()
-        return pa.table({"w": pa.array([fit(text, table["y"].to_numpy(), settings).astype("<f4").tobytes()], pa.binary())})
-
-    found = sample.groupBy("one").applyInArrow(run, "w binary").collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[np.ndarray] = []
+        labels: list[int] = []
+        total = 0
+        for batch in batches:
+            for y, f in zip(batch["y"].to_pylist(), batch["f"].to_pylist(), strict=True):
+                total += len(f) // 4
+                if total <= SAMPLE_FEATURES:
+                    rows.append(np.frombuffer(f, "<i4"))
+                    labels.append(y)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([fit(rows, np.array(labels), settings).astype("<f4").tobytes()], pa.binary())], ["w"])
+
+    found = drawn(docs, labels, target, sample_rows, settings).mapInArrow(run, "w binary").collect()
     return np.frombuffer(found[0].w, "<f4") if found else np.zeros((1 << settings.bits) + 1, "<f4")
 
 

@@ -29,6 +29,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that the rules of op3 judge by, which SQL can state."""
+    return rules.counted(rules.statistics(table(spark, sf_dir, "documents")))
+
+
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -68,4 +73,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "quality_statistics": quality_statistics,
 }

@@ -172,9 +172,20 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
+COUNTS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
+def counted(stats: DataFrame) -> DataFrame:
+    """The counts of the base rule, and whether it fails."""
+    return stats.select(*COUNTS, base_failed().alias("base_failed"))
+
+
 def apply(docs: DataFrame, labels: DataFrame, target: str = "quality") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
     stats = materialize(statistics(docs), "statistics")
-    rules = learn(stats, labels, target)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
+    kept = ~base_failed() & verdict(learn(stats, labels, target))
+    return stats.select(*COUNTS, base_failed().alias("base_failed"), kept.alias("kept"))

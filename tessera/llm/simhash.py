@@ -9,46 +9,60 @@ distance decides. Only distinct fingerprints are compared.
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like
 any other; a text with fewer words than a shingle is one shingle; repeated rows
 each get a row; a null ``doc_id`` keeps a null and is never a component's name
-unless the component has no other; an empty table gives an empty result. Columns
+unless the component has no other; a long text is a slice of its own, of which a task
+holds about sixty bytes for each byte; an empty table gives an empty result. Columns
 other than the two read are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tessera.llm import parts, textvec, xxh
 from tessera.llm.graph import components
-from tessera.llm.scratch import materialize, small_batches
+from tessera.llm.scratch import fresh_path, materialize, small_batches
 
 SEED = 42
 RADIUS = 3
-
-
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """Fingerprint of UTF-8 bytes as an unsigned 64-bit number."""
-    from xxhash import xxh64_intdigest
-
-    found = text.lower().split()  # ASCII letters and ASCII white space only
-    if not found:
-        return 0
-    joined = b" ".join(found)
-    if len(found) <= shingle:
-        return xxh64_intdigest(joined, SEED)
-    ends = [*accumulate([len(w) + 1 for w in found])]
-    n = len(found) - shingle + 1
-    hashes = np.fromiter([xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)], np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+
+
+def prints(texts: pa.Array, shingle: int = 3) -> np.ndarray:
+    """Unsigned fingerprints of a column of texts."""
+    buf, offsets = textvec.utf8(texts)
+    buf = LOWER[buf]
+    starts, ends, first = textvec.words(buf, offsets, ~textvec.SPACE)
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    if not len(starts):
+        return out
+    # words with one space after each
+    kept = ~textvec.SPACE[buf]
+    kept[ends[ends < len(buf)]] = True
+    place = np.concatenate([[0], np.cumsum(kept)])
+    joined = buf[kept]
+    joined[textvec.SPACE[joined]] = 0x20
+    starts, ends = place[starts], place[ends]
+    words = np.diff(first)
+    n = np.where(words > shingle, words - shingle + 1, np.minimum(words, 1))
+    row = np.repeat(np.arange(len(n)), n)
+    word = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    last = np.minimum(word + shingle, first[row + 1]) - 1
+    hashed = xxh.hashes(joined, starts[word], ends[last], SEED)
+    some = n > 0
+    out[some] = xxh.majority(hashed, (np.cumsum(n) - n)[some])
+    return out
+
+
+def of_batch(texts: pa.Array, shingle: int) -> pa.Array:
+    """Signed fingerprints, a slice of texts at a time."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    return pa.array(np.concatenate([np.zeros(0, np.uint64), *[prints(part.column(0), shingle) for part in textvec.slices(batch, 0, 1 << 20)]]).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -56,9 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = (fingerprint((x.as_py() or "").encode(), shingle) for x in batch.column(1))
-            fps = np.fromiter(found, np.uint64, batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), of_batch(batch.column(1), shingle)], ["doc_id", "fp"])
 
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
@@ -75,9 +87,9 @@ def links(fps: DataFrame) -> DataFrame:
     return probes.join(entries, (probes.half == entries.half) & (probes.value == entries.value) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
-def classes(fps: DataFrame) -> DataFrame:
-    """(fp, root, first_id): each distinct fingerprint, its component's name and its least doc_id."""
-    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+def classes(fps: DataFrame, best: Column) -> DataFrame:
+    """(fp, root, best): each distinct fingerprint, its component's name and an aggregate of its rows."""
+    least = materialize(fps.groupBy("fp").agg(best.alias("best")), "classes")
     roots = components(links(least.select("fp")))
     return least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -85,35 +97,27 @@ def classes(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    named = classes(fps)
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = named.join(least, "root").select("fp", "component_id")
+    named = classes(fps, F.min("doc_id"))
+    least = named.groupBy("root").agg(F.min("best").alias("component_id"))
+    # written out, so that the join reads two exchanges and a hot fingerprint can be split
+    labels = materialize(named.join(least, "root").select("fp", "component_id"), "labels")
     return fps.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """One row of ``docs``, all columns, for each component: that with the least doc_id, null ids last.
 
-    Of rows alike in doc_id and fingerprint any one stays.
+    Of rows alike in doc_id any one stays. Rows are written to part files together with
+    their fingerprints and taken back by place, so no text is read twice or shuffled.
     """
-    fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    best = F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), F.col("first_id").alias("doc_id"), F.col("fp").alias("fp")))
-    kept = materialize(classes(fps).groupBy("root").agg(best.alias("best")).select("best.doc_id", "best.fp"), "kept")
-    free = "_" * (1 + max(map(len, docs.columns)))  # a prefix that no column has
-    key, fp = f"{free}id", f"{free}fp"
-    at = docs.columns.index("text")
+    folder = fresh_path(docs.sparkSession, "rows")
+    text, key = docs.columns.index("text"), docs.columns.index("doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = (fingerprint((x.as_py() or "").encode(), shingle) for x in batch.column(at))
-            fps = np.fromiter(found, np.uint64, batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, fp])
-
-    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
-    wanted = kept.select(F.col("doc_id").alias(key), F.col("fp").alias(f"{fp}2"))
-    out = rows.join(wanted, (F.col(fp) == F.col(f"{fp}2")) & rows["doc_id"].cast("long").eqNullSafe(F.col(key)), "left_semi")
-    # rows that share doc_id and fingerprint with a kept one
-    twice = fps.join(kept.withColumnsRenamed({"doc_id": "d", "fp": "f"}), (F.col("fp") == F.col("f")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").groupBy("doc_id", "fp").count().where("count > 1")
-    if not twice.isEmpty():
-        out = out.dropDuplicates(["doc_id", fp])
-    return out.drop(fp)
+    def facts(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [batch.column(key).cast(pa.int64()), of_batch(batch.column(text), shingle)]
+
+    listed = parts.store(docs, folder, text, facts, "doc_id long, fp long")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "part", "row"))
+    kept = classes(listed, best).groupBy("root").agg(F.min("best").alias("best")).select("best.part", "best.row")
+    many = listed.select("part").distinct().count()
+    return parts.take(kept, folder, max(1, many), docs.schema)

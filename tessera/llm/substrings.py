@@ -37,21 +37,23 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import parts as parts_
 from tessera.llm import textvec
+from tessera.llm.parts import PIECE, by_part, same, storage
 from tessera.llm.runs import first_id, front_code, repeated
 from tessera.llm.scratch import fresh_path, materialize, release, small_batches
-from tessera.llm.warc import storage
 
 LENGTH = 200
 GRAM = 48
@@ -59,8 +61,8 @@ GRAM = 48
 MOST_IN_TASK = 1024
 #: Stretches that a task compares at a time, but for those of one anchor.
 CHUNK = 4096
-#: Bytes of a text that are hashed at a time.
-PIECE = 1 << 20
+#: Bytes of texts in a part file, but for a longer text; a task sorts the suffixes of a part at a time.
+PART_BYTES = 16 << 20
 #: Bytes of suffixes in a range of the merge, about, as long as that takes MOST_RANGES ranges or fewer.
 RANGE_BYTES, MOST_RANGES = 64 << 20, 100_000
 #: Sampled keys for each range, and the bytes of a suffix that decide its range.
@@ -136,10 +138,15 @@ def store(docs: DataFrame, job: Job) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, plain = storage(job.folder)
-        part, sink, writer, rows = uuid.uuid4().hex, None, None, 0
+        part, sink, writer, rows, size = "", None, None, 0, 0
         for batch in batches:
             for piece in textvec.slices(batch, limit=PIECE):
+                if writer is not None and size >= PART_BYTES:
+                    writer.close()
+                    sink.close()
+                    writer = None
                 if writer is None:
+                    part, rows, size = uuid.uuid4().hex, 0, 0
                     sink = system.open_output_stream(f"{plain}/{part}.texts", compression=None)
                     writer = pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
                     yield pa.RecordBatch.from_arrays([pa.array([part]), *[pa.nulls(1, f.type) for f in list(out)[1:]]], schema=out)
@@ -148,10 +155,11 @@ def store(docs: DataFrame, job: Job) -> DataFrame:
                 writer.write_batch(pa.RecordBatch.from_arrays([piece.column(0), texts], schema=schema))
                 for row, start, n, h, u in pieces(buf, offsets, job.length, job.gram):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.DictionaryArray.from_arrays(np.zeros(len(row), np.int32), [part]).cast(pa.string()), pa.array((row + rows).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(job.name(u).view(np.int64))],
+                        [same(len(row), part), pa.array((row + rows).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(job.name(u).view(np.int64))],
                         schema=out,
                     )
                 rows += piece.num_rows
+                size += len(buf)
         if writer is not None:
             writer.close()
             sink.close()
@@ -159,21 +167,14 @@ def store(docs: DataFrame, job: Job) -> DataFrame:
     return materialize(small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "part string, row int, start int, n int, h long, u long"), "stretches")
 
 
-class Part:
-    """A part file read once, from its first row to its last."""
+class Part(parts_.Reader):
+    """The texts of a part file, as one buffer for each batch."""
 
-    def __init__(self, folder: str, part: str):
-        system, plain = storage(folder)
-        self.file = system.open_input_file(f"{plain}/{part}.texts")
-        self.batches = iter(pa.ipc.open_stream(self.file))
-        self.first, self.end, self.batch = 0, 0, None
+    ending = "texts"
 
     def next_batch(self) -> bool:
-        self.batch = next(self.batches, None)
-        if self.batch is None:
-            self.file.close()
+        if not super().next_batch():
             return False
-        self.first, self.end = self.end, self.end + self.batch.num_rows
         data = self.batch.column(1)
         self.offsets = np.frombuffer(data.buffers()[1], np.int64)[: self.batch.num_rows + 1]
         self.buf = np.frombuffer(data.buffers()[2], np.uint8) if data.buffers()[2] is not None and data.buffers()[2].size else np.zeros(0, np.uint8)
@@ -184,36 +185,8 @@ class Part:
         return self.offsets[row - self.first]
 
 
-def by_part(df: DataFrame, parts: int, *order: str) -> DataFrame:
-    """A part's rows together and in order, about one part to a task."""
-    return df.repartitionByRange(parts, "part").sortWithinPartitions("part", *order)
-
-
 def of_parts(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[Part, pa.Table]]:
-    """For rows in order of part and row: each batch of texts that has some, with them."""
-
-    def meet(part: str, rows: pa.Table) -> Iterator[tuple[Part, pa.Table]]:
-        texts, at = Part(folder, part), 0
-        row = rows["row"].to_numpy()
-        while at < len(row) and texts.next_batch():
-            to = int(np.searchsorted(row, texts.end))
-            if to > at:
-                yield texts, rows.slice(at, to - at).combine_chunks()
-            at = to
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        while batch.num_rows:
-            part = batch["part"][0].as_py()
-            if held and held[0]["part"][0].as_py() != part:
-                yield from meet(held[0]["part"][0].as_py(), pa.Table.from_batches(held))
-                held = []
-            same = np.asarray(pa.compute.equal(batch["part"], part))
-            n = len(same) if same.all() else int(np.argmin(same))
-            held.append(batch.slice(0, n))
-            batch = batch.slice(n)
-    if held:
-        yield from meet(held[0]["part"][0].as_py(), pa.Table.from_batches(held))
+    return parts_.of_parts(batches, folder, Part)
 
 
 def columns(table: pa.Table, *names: str) -> list[np.ndarray]:
@@ -362,29 +335,44 @@ def with_twin(rows: DataFrame, of: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(hot, key, "left_semi").unionByName(rows.join(hot, key, "left_anti").join(cold, key, "left_semi"))
 
 
-@dataclass
-class Known:
-    """Of a distinct string of a part: its places (row, start, length), and the names it goes by."""
-
-    places: list[tuple[int, int, int]] = field(default_factory=list)
-    names: set[int] = field(default_factory=set)
-
-
-def distinct_strings(texts: Part, rows: pa.Table, known: dict[bytes, Known]) -> None:
-    """Add the strings of suffixes to ``known``; a place that two steps have named counts once."""
-    row, start, size = columns(rows, "row", "start", "length")
-    at = texts.place(row) + start
-    raw, before, names = memoryview(texts.buf), None, rows["c"].to_pylist()
-    for r, s, n, a, c in zip(row.tolist(), start.tolist(), size.tolist(), at.tolist(), names, strict=True):
-        text = raw[a : a + n].tobytes()
-        held = known.get(text)
-        if held is None:
-            held = known[text] = Known()
-        if before != (r, s, n):
-            held.places.append((r, s, n))
-            before = (r, s, n)
-        if c is not None:
-            held.names.add(c)
+class Strings:
+    """The different strings of a part's suffixes, with their places and the names they go by."""
+
+    def __init__(self):
+        self.index: dict[bytes, int] = {}
+        self.owner = array("i")
+        self.triples: list[np.ndarray] = []
+        self.names: list[np.ndarray] = []
+        self.named: list[np.ndarray] = []
+
+    def add(self, texts: Part, rows: pa.Table) -> None:
+        """Suffixes of one batch, in order of their places."""
+        row, start, size = columns(rows, "row", "start", "length")
+        at = texts.place(row) + start
+        raw, index, owner = memoryview(texts.buf), self.index, self.owner
+        for n, a in zip(size.tolist(), at.tolist(), strict=True):
+            owner.append(index.setdefault(raw[a : a + n].tobytes(), len(index)))
+        self.triples.append(np.stack([row, start, size], axis=1).astype(np.int32))
+        self.names.append(pc.fill_null(rows["c"], 0).to_numpy())
+        self.named.append(np.asarray(rows["c"].is_valid()))
+
+    def sorted(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Strings in order, how many places each has and those, how many names each has and those."""
+        strings = sorted(self.index)
+        rank = np.zeros(len(strings), np.int64)
+        rank[[self.index[s] for s in strings]] = np.arange(len(strings))
+        owner, triple = rank[np.frombuffer(self.owner, np.int32)], np.concatenate(self.triples)
+        fresh = np.ones(len(triple), bool)  # a place that two steps have named counts once
+        fresh[1:] = (triple[1:] != triple[:-1]).any(axis=1)
+        places = triple[fresh][np.argsort(owner[fresh], kind="stable")]
+        named = np.concatenate(self.named)
+        who, name = owner[named], np.concatenate(self.names)[named]
+        order = np.lexsort((name, who))
+        who, name = who[order], name[order]
+        first = np.ones(len(who), bool)
+        first[1:] = (who[1:] != who[:-1]) | (name[1:] != name[:-1])
+        count = lambda x: np.bincount(x, minlength=len(strings)).astype(np.int32)
+        return strings, count(owner[fresh]), places, count(who[first]), name[first]
 
 
 def cuts_of(suffixes: DataFrame, job: Job, total: int, ranges: int) -> list[bytes]:
@@ -417,34 +405,31 @@ def sort_and_merge(suffixes: DataFrame, job: Job) -> DataFrame:
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, plain = storage(job.folder)
-        part, known = None, {}
-        columns_out = ["part", "q", "run", "names", "counts"]
+        part, known = None, Strings()
 
         def out() -> Iterator[pa.RecordBatch]:
             """Sorted runs by range, and the places of every string in a file."""
-            strings = sorted(known)
+            strings, sizes, place, counts, names = known.sorted()
             attempt = f"{plain}/{part}.{uuid.uuid4().hex}"
-            sizes = np.array([len(known[s].places) for s in strings], np.int32)
-            place = np.array([p for s in strings for p in known[s].places], np.int32).reshape(-1, 3)
             with system.open_output_stream(attempt, compression=None) as f:
                 np.savez(f, sizes=sizes, place=place)
             system.move(attempt, f"{plain}/{part}.places")
             q = [bisect_right(cuts.value, s[:KEY]) for s in strings]
+            at = np.concatenate([[0], np.cumsum(counts)])
             first = 0
             while first < len(strings):
                 end = bisect_right(q, q[first])
-                named = [known[s].names for s in strings[first:end]]
-                flat = np.array([c for n in named for c in n], np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([q[first]], pa.int32()), pa.array([front_code(strings[first:end], first)], pa.binary()), pa.array([flat], pa.binary()), pa.array([np.array([len(n) for n in named], np.int32).tobytes()], pa.binary())], columns_out)
+                columns_ = [pa.array([front_code(strings[first:end], first)], pa.binary()), pa.array([names[at[first] : at[end]].tobytes()], pa.binary()), pa.array([counts[first:end].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([q[first]], pa.int32()), *columns_], ["part", "q", "run", "names", "counts"])
                 first = end
 
         for texts, rows in of_parts(batches, job.folder):
             if rows["part"][0].as_py() != part:
-                if known:
+                if part is not None:
                     yield from out()
-                part, known = rows["part"][0].as_py(), {}
-            distinct_strings(texts, rows, known)
-        if known:
+                part, known = rows["part"][0].as_py(), Strings()
+            known.add(texts, rows)
+        if part is not None:
             yield from out()
 
     def combine(table):

@@ -12,8 +12,8 @@ so a repeated task leaves an unused file and never a wrong one.
 
 Defined cases: a null html is an empty payload; a null URL has an empty key; a null
 page_id counts as smallest and is kept as null; of rows alike in page_id and payload
-all are responses if the page is; an empty table gives an empty result. Extra
-columns are ignored.
+all are responses if the page is; a payload of any length is one record, held whole
+by its task; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import fresh_path, materialize, small_batches
+from tessera.llm import parts as parts_
+from tessera.llm.parts import storage
+from tessera.llm.scratch import fresh_path, materialize, release
 
 FILE_BYTES = 64 << 20
 BLOCK_LINES = 512
@@ -58,15 +60,6 @@ def base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def storage(path: str):
-    """File system and plain path of a shared folder, created if missing."""
-    from pyarrow import fs
-
-    system, plain = fs.FileSystem.from_uri(path)
-    system.create_dir(plain, recursive=True)
-    return system, plain
-
-
 def tasks(df: DataFrame) -> int:
     """Partitions for narrow rows that stand for much reading; a stated number is never merged."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -100,33 +93,45 @@ def parse(member: bytes) -> tuple[int | None, str, int | None, str, bytes]:
     return number(fields["WARC-Record-ID"]), fields["WARC-Type"], refers, fields["WARC-Payload-Digest"].removeprefix("sha1:"), payload
 
 
-def with_roles(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, refers_to): html is null and refers_to set for revisits."""
-    rows = small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    first = rows.groupBy("digest").agg(F.max("page_id").alias("response"))
+def keep_pages(pages: DataFrame, folder: str) -> DataFrame:
+    """Pages as part files in ``folder``, and (part, row, page_id, digest) for each."""
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+
+    def facts(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [batch.column(0), pa.array([base32(h.as_py().encode()) for h in batch.column(2)], pa.string())]
+
+    return parts_.store(rows, folder, 2, facts, "page_id long, digest string")
+
+
+def with_roles(rows: DataFrame) -> DataFrame:
+    """(part, row, digest, refers_to) of kept pages; refers_to is set for revisits. Only narrow rows meet by digest.
+
+    Totals are written out before the join, so that it reads two exchanges and a digest
+    of very many pages can be split.
+    """
+    first = materialize(rows.groupBy("digest").agg(F.max("page_id").alias("response")), "digests")
     is_response = F.col("page_id").eqNullSafe(F.col("response"))
-    return rows.join(first, "digest").select("page_id", "url", F.when(is_response, F.col("html")).alias("html"), F.when(~is_response, F.col("response")).alias("refers_to"), "digest")
+    return rows.join(first, "digest").select("part", "row", "digest", F.when(~is_response, F.col("response")).alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Archive ``pages`` (see with_roles) in ``folder``; gives the index entries, written out once."""
+def write(roles: DataFrame, kept: str, parts: int, folder: str) -> DataFrame:
+    """Archive the pages of folder ``kept`` with their roles in ``folder``; gives the index entries, written out once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, plain = storage(folder)
         out, name, at = None, "", 0
-        for batch in batches:
+        for wide, rows in parts_.of_parts(batches, kept):
             entries: list[tuple] = []
-            for row in batch.to_pylist():
+            pages = wide.batch.take(pa.array(rows["row"].to_numpy() - wide.first))
+            for page, url, html, digest, refers in zip(*[c.to_pylist() for c in pages.columns], rows["digest"].to_pylist(), rows["refers_to"].to_pylist(), strict=True):
                 if out is None or at >= FILE_BYTES:
                     if out is not None:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = system.open_output_stream(f"{plain}/{name}", compression=None)
-                digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
-                data = record(row["page_id"], row["url"], (row["html"] or "").encode(), digest, row["refers_to"])
+                data = record(page, url, b"" if refers is not None else html.encode(), digest, refers)
                 out.write(data)
-                entries.append((surt(row["url"]), row["page_id"], name, at, len(data)))
+                entries.append((surt(url), page, name, at, len(data)))
                 at += len(data)
             yield table(entries)
         if out is not None:
@@ -136,7 +141,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([e[i] for e in entries], k) for i, k in enumerate(kinds)], ["key", "page_id", "file", "at", "size"])
 
-    return materialize(pages.mapInArrow(run, ENTRY), "entries")
+    return materialize(parts_.by_part(roles, parts, "row").mapInArrow(run, ENTRY), "entries")
 
 
 def line(key: str, page_id: int | None, rest: dict | None = None) -> tuple[bytes, int]:
@@ -272,11 +277,14 @@ def round_trip(pages: DataFrame) -> DataFrame:
     (page_id, payload_bytes, payload_digest, record_type, refers_to); a revisit's
     payload is that of the response it refers to.
     """
-    folder = fresh_path(pages.sparkSession, "warc")
-    parts = build_index(write(with_roles(pages), folder), folder)
+    folder, kept = fresh_path(pages.sparkSession, "warc"), fresh_path(pages.sparkSession, "pages")
+    rows = keep_pages(pages, kept)
+    entries = write(with_roles(rows), kept, max(1, rows.select("part").distinct().count()), folder)
+    parts = build_index(entries, folder)
     records = read(lookup(keys(pages), parts, folder), folder)
     facts = materialize(records.select("page_id", "record_type", "refers_to", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes")), "records")
-    responses = facts.where("record_type = 'response'").select(F.col("page_id").alias("r"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).distinct()
+    responses = materialize(facts.where("record_type = 'response'").select(F.col("page_id").alias("r"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).distinct(), "responses")
+    release(rows, entries)
     same = (F.col("refers_to") == F.col("r")) & (F.col("payload_digest") == F.col("d"))
     revisits = facts.where("record_type = 'revisit'").join(responses, same, "left").select("page_id", F.col("b").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return facts.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").unionByName(revisits)

@@ -169,6 +169,13 @@ def test_shards_of_odd_rows(spark):
     assert {r.shard for r in sharding.shards(docs.limit(1)).collect()} <= set(range(8))
 
 
+def test_metadata_counts_whole(spark):
+    """Sources alike in their first letters are told apart, by their order."""
+    docs = spark.createDataFrame([(i, f"t{i}", None, f"crawl-source-{(i * 7) % 10}") for i in range(50)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.d_source for r in sharding.points(docs).collect()}
+    assert got == {i: float((i * 7) % 10) for i in range(50)}
+
+
 def test_shards_by_target(spark):
     docs = spark.createDataFrame([(i, "y" * (i * 13 % 90), "en", "s") for i in range(500)], "doc_id long, text string, lang string, source string")
     sizes = Counter()
@@ -289,16 +296,42 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-def test_words_remembered_are_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 20)
-    e = packing.Encoder(packing.tokenizer_path())
+def ids_of(tokenizer, text):
+    return b"".join(x.to_bytes(4, "little") for x in tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_words_remembered_are_bounded():
+    e = packing.Encoder(packing.tokenizer_path(), remembered=4000)
     texts = [" ".join(f"w{'abcdefghij'[k % 10]}{'xyz'[k % 3]}, Up{'abcdefghij'[(k * 7) % 10]}!" for k in range(n, n + 9)) for n in range(60)]
     for t in texts:
-        ids = e.tokenizer.encode(t, add_special_tokens=False).ids
-        assert e(t) == b"".join(x.to_bytes(4, "little") for x in ids)
+        assert e(t) == ids_of(e.tokenizer, t)
     assert len(e.known) + len(e.older) < 200
 
 
+def test_long_texts_are_encoded_by_stretches(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_CHARS", 50)
+    e = packing.Encoder(packing.tokenizer_path())
+    for t in ["one two, three! " * 40, "x" * 400, "a\nb\t" * 90 + "end", " " * 120, "y" * 49 + " z" * 30]:
+        assert e(t) == ids_of(e.tokenizer, t)
+
+
+ENCODER = packing.Encoder(packing.tokenizer_path())
+HARD = "aZé İIıßΣςǅﬁक़क\u093c\u0307\u0301\u0327한\u1112\u1161\u11ab12٣.,;:!?%$&*|)(\"-'sT_  \n\t𝒳日ŉ<>|~^`\x85\u00a0"
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.one_of(st.text(max_size=30), st.text(alphabet=HARD, max_size=24), st.lists(st.sampled_from(["BİRİ", "İ", "it's", "don't", "<|endoftext|>", "ΑΣ", "ﬃ", "1a", "...", ")", " "]), max_size=8).map("".join)))
+def test_ids_are_those_of_the_tokenizer(text):
+    assert ENCODER(text) == ids_of(ENCODER.tokenizer, text)
+
+
+def test_letters_before_marks():
+    """Every letter of some large blocks, in both cases, before a mark and between letters."""
+    for c in map(chr, [*range(0xC0, 0x600), *range(0x900, 0xE00), *range(0x1E00, 0x2000), *range(0xFB00, 0xFB50)]):
+        text = f"{c}. a{c}, {c}{c.upper()}! x{c}y"
+        assert ENCODER(text) == ids_of(ENCODER.tokenizer, text), hex(ord(c))
+
+
 def fewest(lengths, limit):
     """Fewest bins, by depth-first search."""
     lengths = sorted(lengths, reverse=True)

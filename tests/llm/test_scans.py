@@ -1,17 +1,20 @@
 """Text scans against brute force, on the smallest documents and on odd rows."""
 
 import hashlib
+import math
 import re
 import time
 import zlib
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
-from tessera.llm import decontaminate, pii, quality, secrets, simhash
+from tessera.llm import decontaminate, pii, quality, secrets, simhash, xxh
 
 SF = "/root/testdata/sf0.001"
 LONG = "word0 word1 " * 30_000
@@ -136,8 +139,22 @@ def test_decontamination(spark, monkeypatch):
     want = brute_hits(data, items)
     assert any(r[-1] for r in want)
     assert sorted(map(tuple, decontaminate.contamination(docs, bench).collect()), key=str) == want
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 1 << 15)  # lets much through in error
+    monkeypatch.setattr(decontaminate, "BITS_EACH", 1)
     assert sorted(map(tuple, decontaminate.contamination(docs, bench).collect()), key=str) == want
+    kept = {h[0] for h in want if not h[-1]}
+    for most in (0, 100_000):
+        monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+        assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == kept
+
+
+def test_a_filter_loses_nothing(spark):
+    rng = np.random.default_rng(1)
+    known = rng.integers(0, 1 << 63, 5000, np.int64)
+    f = decontaminate.filter_of(spark.createDataFrame([(10 if i % 5 else 3, int(x)) for i, x in enumerate(known)], "m int, fp long"))
+    assert f.short == (3,)
+    assert f.may_have(known[1:5].view(np.uint64), 10).all() and f.may_have(known[::5].view(np.uint64), 3).all()
+    assert f.may_have(rng.integers(0, 1 << 63, 5000, np.int64).view(np.uint64), 10).mean() < 0.01
 
 
 def test_decontamination_of_odd_rows(spark):
@@ -188,6 +205,110 @@ def test_simhash_links_find_every_distance(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=90), min_size=1, max_size=20), st.integers(0, 99))
+def test_hashes_of_many_ranges(parts, seed):
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(p) for p in parts])
+    got = xxh.hashes(buf, ends - [len(p) for p in parts], ends, seed)
+    assert got.tolist() == [xxh64_intdigest(p, seed) for p in parts]
+
+
+def test_long_ranges_and_groups_of_hashes():
+    rng = np.random.default_rng(2)
+    buf = rng.integers(0, 256, 3000, np.uint8)
+    ends = np.array([255, 256, 257, 2500])
+    assert xxh.hashes(buf, np.zeros(4, int), ends, 42).tolist() == [xxh64_intdigest(buf[:n].tobytes(), 42) for n in ends]
+    sizes = [1, 2, 254, 255, 256, 510, 511, 3]
+    h = rng.integers(0, 1 << 64, sum(sizes), np.uint64)
+    h[100:400] |= np.uint64(1 << 63 | 1)
+    first = np.cumsum(sizes) - sizes
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[a : a + n]) > n) for a, n in zip(first, sizes, strict=True)]
+    assert xxh.majority(h, first).tolist() == want
+
+
+def test_representatives_of_odd_rows(spark):
+    docs = odd(spark).withColumnRenamed("found", "part").withColumnRenamed("fp", "row").repartition(3)
+    kept = simhash.representatives(docs).collect()
+    prints = {}
+    for i, t in ODD:
+        prints.setdefault(brute_print(t), []).append(i)
+    assert simhash.representatives(docs).columns == docs.columns
+    assert {brute_print(r.text) for r in kept} <= set(prints) and len(kept) <= len(prints)
+    assert sum(r.doc_id == 8 for r in kept) == 0  # a copy of 5
+
+
+def plain_ftrl(rows, labels, s):
+    """The same updates with dictionaries, a coordinate at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+    draw = np.random.default_rng(s.seed)
+    for _ in range(s.epochs):
+        for r in draw.permutation(len(rows)):
+            x = {int(i): 1 / math.sqrt(max(1, len(rows[r]))) for i in rows[r]} | {1 << s.bits: 0.1}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - labels[r]) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range((1 << s.bits) + 1)]
+
+
+def test_training_is_that_of_a_plain_trainer(spark):
+    s = quality.Settings(bits=10)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    found, at = quality.features(*quality.textvec.utf8(pa.array([t for _, t in docs])), s.bits)
+    rows = [found[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    for (_, t), r in zip(docs, rows, strict=True):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        assert len(set(r.tolist())) == len(r) <= len({*w, *zip(w, w[1:], strict=False)})
+    labels = [i % 2 for i, _ in docs]
+    assert quality.fit(rows, np.array(labels), s) == pytest.approx(plain_ftrl(rows, labels, s), abs=1e-9)
+    scores = quality.probabilities(pa.array([t for _, t in docs]), quality.fit(rows, np.array(labels), s), s.bits)
+    w = plain_ftrl(rows, labels, s)
+    assert scores == pytest.approx([1 / (1 + math.exp(-(sum(w[i] for i in r) / math.sqrt(max(1, len(r))) + 0.1 * w[-1]))) for r in rows], abs=1e-6)
+
+
+def test_long_texts_and_many_rows_of_one_id_train(spark):
+    long = "word " * 60_000
+    docs = spark.createDataFrame([(1, long), (2, "b c")] + [(3, f"x{i}") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    rows = quality.drawn(docs, labels, "quality", 1000, quality.Settings()).collect()
+    assert {r.doc_id for r in rows} == {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5}
+    assert len(quality.drawn(docs, labels, "quality", 7, quality.Settings()).collect()) == 7
+
+
+WORST = {
+    "email": "a" * 9 + "@", "ip": "1.2.3 1.1.1.", "card": "7 ", "phone": "+1((((", "iban": "DE89 ABCD EFGH ", "ssn": "123-45-",
+    "assign": "token     password", "access": "AKIAAKIA", "hex": "0123456789abcdef", "private_key": "-----BEGIN AAAA ", "jwt": "-eyJabcdefgh", "bearer": "Bearer abc.", "uri_login": "http://aa:bb:",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(WORST))
+def test_time_grows_with_the_text(kind):
+    """Each kind's pattern on runs that begin a match and never end one: four times the text, under ten times the time."""
+    rule = next((r for r in secrets.BASE_RULES + secrets.MORE_RULES if r.kind == kind), None)
+    scan = (lambda t: list(rule.places(t))) if rule else (lambda t: pii.find(t))
+    took = []
+    for n in (50_000, 200_000):
+        text = WORST[kind] * (n // len(WORST[kind])) + " " + WORST[kind][:1] * n
+        best = 9.0
+        for _ in range(3):
+            began = time.process_time()
+            scan(text)
+            best = min(best, time.process_time() - began)
+        took.append(best)
+    assert took[1] < 10 * took[0] + 0.05
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["eyJ", "-", "_", "a", ".", "é", " ", "abcdefgh", "12345678", "eyJabcdefgh."]), max_size=16).map("".join))
+def test_tokens_are_those_of_the_pattern(text):
+    rule = next(r for r in secrets.MORE_RULES if r.kind == "jwt")
+    assert list(rule.places(text)) == [m.span() for m in rule.regex.finditer(text)]
+
+
 def test_quality_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
