@@ -1,9 +1,11 @@
 """Source text to symbols, calls, data flows, imports, metrics and hashes.
 
-Python files are parsed with the standard ``ast``; Go, TypeScript, JavaScript and
-Rust files by declaration patterns and brace matching, which finds declarations,
-calls by name, imports and metrics but resolves no types. One file gives many rows
-of each kind: ``parse`` tags them and ``rows_of`` takes one kind.
+Python files are parsed with the standard ``ast``, Go files by a reader of their own
+(``golang``) that knows the types of names declared in a file; TypeScript, JavaScript
+and Rust files by declarations and blocks on the text without comments and strings,
+which finds declarations, calls by name, flows, imports and metrics but resolves no
+types. One file gives many rows of each kind: ``parse`` tags them and ``rows_of`` takes
+one kind.
 
 A file that cannot be parsed gives no rows.
 """
@@ -21,6 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import golang
+from tessera.operators.tokens import Pattern, masked, partners, tokens
+
 OUT = "kind string, path string, payload string"
 KINDS = {
     "symbol": "path string, name string, type string, package_path string, receiver_type string, signature string, doc string, start_byte long, end_byte long, start_line int, start_col int, end_line int, structural_hash string, logic_hash string, metrics_json string",
@@ -195,98 +200,265 @@ def own_nodes(f: ast.AST) -> Iterator[ast.AST]:
             yield from own_nodes(child)
 
 
+def parse_go(path: str, text: str) -> Rows:
+    """Go files by their syntax tree; see ``golang`` for what is known of types."""
+    rows = Rows(path)
+    package, imports, top = golang.Reader(text).file()
+    for x in dict.fromkeys(p for _, p in imports):
+        rows.add("import", **{"path": path, "import": x})
+    alias = {a or p.rsplit("/", 1)[-1]: p for a, p in imports if a not in ("_", ".")}
+    results = {n.text: golang.bare(n.extra["type"].extra["results"][0][1]) for n in top if n.kind == "func" and n.extra["receiver"] is None and n.extra["type"].extra["results"]}
+    place = Places(text)
+
+    def symbol(n: golang.Node, name: str, kind: str, signature: str, receiver: str = "", doc: str = "", at=None) -> None:
+        at = at or n.start
+        rows.add(
+            "symbol", path=path, name=name, type=kind, package_path=package, receiver_type=receiver, signature=signature, doc=doc, start_byte=place.byte(n.start.start), end_byte=place.byte(n.end.end),
+            start_line=at.line, start_col=place.column(at.start), end_line=n.end.line + n.end.text.count("\n"), structural_hash=cut_hash(golang.skeleton(n, False)), logic_hash=cut_hash(golang.skeleton(n, True)) if kind != "method_spec" else "", metrics_json=json.dumps(golang.metrics(n)),
+        )
+
+    def in_full(written: str, scope: golang.Scope, fun: golang.Node) -> str:
+        """A callee with its package: a method by the type of what it is called on, a function of another package by its path."""
+        if not written or "unknown" in written:
+            return ""
+        if fun.kind == "selector" and fun.kids[0].kind == "ident":
+            owner = fun.kids[0].text
+            if t := scope.types.get(owner):
+                return f"{package}.{t}.{fun.text}"
+            if owner in alias:
+                return f"{alias[owner]}.{fun.text}"
+        return f"{package}.{written}"
+
+    counters: dict[str, int] = {}
+
+    def body(n: golang.Node, owner: str, scope: golang.Scope) -> None:
+        """Calls and flows of a function, then its function literals as functions of their own."""
+        scope.learn(n)
+        caller = f"{package}.{owner}"
+        for x in n.walk(False):
+            line = x.start.line
+            if x.kind == "call":
+                callee = in_full(golang.shown(x.kids[0]), scope, x.kids[0])
+                if callee:
+                    rows.add("call", path=path, caller=caller, callee=callee, line=x.extra["paren"].line, callee_path="", link_type="call")
+                for i, arg in enumerate(x.kids[1:]):
+                    rows.add("flow", path=path, source=golang.shown(arg), sink=f"{golang.shown(x.kids[0])}:arg{i}", type="argument", line=arg.start.line)
+            elif x.kind == "return":
+                for i, value in enumerate(x.kids):
+                    rows.add("flow", path=path, source=golang.shown(value), sink=f"{owner}:return{i}", type="return", line=value.start.line)
+            elif x.kind == "assign" and not x.extra["range"]:
+                assigned(x.extra["left"], x.extra["right"], line)
+            elif x.kind == "values":
+                assigned([golang.Node("ident", x.start, text=name) for name in x.extra["names"]], x.kids, line)
+        for x in n.walk(False):
+            for lit in (k for k in x.kids if k.kind == "funclit"):
+                counters[owner] = counters.get(owner, 0) + 1
+                name = f"{owner}.func{counters[owner]}"
+                symbol(lit, name, "function", golang.signature(lit.extra["type"]))
+                inner = golang.Scope(results, dict(scope.types) | {p: golang.bare(t) for p, t in lit.extra["type"].extra["params"] if p and golang.bare(t)})
+                body(golang.Node("body", lit.start, lit.end, kids=lit.kids), name, inner)
+
+    def assigned(left: list[golang.Node], right: list[golang.Node], line: int) -> None:
+        only = golang.shown(right[0].kids[0]) if len(right) == 1 and right[0].kind == "call" else None
+        for i, target in enumerate(left):
+            source = f"{only}:return{i}" if only is not None else golang.shown(right[min(i, len(right) - 1)]) if right and (i < len(right) or len(right) == 1) else ""
+            sink = golang.shown(target)
+            if source and sink and sink != "_":
+                rows.add("flow", path=path, source=source, sink=sink, type="assignment", line=line)
+
+    for n in top:
+        if n.kind == "func":
+            kind, receiver, types = "function", "", {}
+            name = n.text
+            if n.extra["receiver"]:
+                held, t = n.extra["receiver"][0]
+                kind, receiver = "method", "pointer" if t.kind == "star" else "value"
+                name = f"{golang.bare(t)}.{n.text}"
+                types[held] = golang.bare(t)
+            types |= {p: golang.bare(t) for p, t in n.extra["type"].extra["params"] if p and golang.bare(t)}
+            symbol(n, name, kind, golang.signature(n.extra["type"]), receiver, golang.doc_before(text, n.start.start), n.extra["name"])
+            body(golang.Node("body", n.start, n.end, kids=n.kids), name, golang.Scope(results, types))
+        elif n.kind == "type" and n.kids[0].kind in ("struct", "interface"):
+            inside = n.kids[0]
+            doc = golang.doc_before(text, text.rfind("type", 0, n.start.start))
+            symbol(n, n.text, "class" if inside.kind == "struct" else "interface", inside.kind, "", doc, n.extra["name"])
+            for m in inside.extra.get("methods", []):
+                symbol(m, f"{n.text}.{m.text}", "method_spec", golang.signature(m.extra["type"]))
+            for e in inside.extra.get("embeds", []) + [t for name, t in inside.extra.get("fields", []) if not name]:
+                if embedded := golang.bare(e):
+                    rows.add("call", path=path, caller=f"{package}.{n.text}", callee=f"{package}.{embedded}", line=e.start.line, callee_path="", link_type="embeds")
+        else:
+            body(golang.Node("body", n.start, n.end, kids=[n]), "global", golang.Scope(results, {}))
+    return rows
+
+
+class Places:
+    """Bytes and columns of code points of a text."""
+
+    def __init__(self, text: str):
+        self.text, self.ascii = text, text.isascii()
+
+    def byte(self, at: int) -> int:
+        return at if self.ascii else len(self.text[:at].encode())
+
+    def column(self, at: int) -> int:
+        return at - (self.text.rfind("\n", 0, at) + 1)
+
+
 DECLARATIONS: dict[str, list[tuple[str, str]]] = {
-    "go": [("method", r"^func\s+\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*(?P<name>\w+)\s*\("), ("function", r"^func\s+(?P<name>\w+)\s*[\[(]"), ("interface", r"^type\s+(?P<name>\w+)\s+interface\s*\{"), ("class", r"^type\s+(?P<name>\w+)\s+struct\s*\{")],
-    "ts": [("interface", r"^\s*(?:export\s+)?interface\s+(?P<name>\w+)"), ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>")],
-    "rs": [("interface", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(?P<name>\w+)"), ("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum)\s+(?P<name>\w+)"), ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(?P<name>\w+)")],
+    "ts": [("interface", r"^\s*(?:export\s+)?(?:declare\s+)?interface\s+(?P<name>\w+)"), ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:<[^>]*>\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<name>\w+)\s*=\s*(?:async\s+)?function\b")],
+    "rs": [("interface", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(?P<name>\w+)"), ("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|union)\s+(?P<name>\w+)"), ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+\"[^\"]*\"\s+)?fn\s+(?P<name>\w+)")],
 }
-IMPORTS = {"go": r'(?m)^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"\n]+)"\s*$', "ts": r"(?m)^\s*import\s[^'\"\n]*['\"]([^'\"\n]+)['\"]", "rs": r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)"}
-METHODS = {"ts": r"^\s+(?:public\s+|private\s+|static\s+|async\s+)*(?P<name>\w+)\s*\([^)]*\)\s*(?::[^{]+)?\{"}
-NOT_CALLS = {"if", "for", "while", "switch", "return", "func", "function", "catch", "match", "fn", "new", "select", "go", "defer", "range", "typeof"}
-LANGUAGES = {".go": "go", ".ts": "ts", ".tsx": "ts", ".js": "ts", ".jsx": "ts", ".rs": "rs"}
+IMPORTS = {"ts": r"(?m)^\s*(?:import|export)\s[^'\"\n;]*['\"]([^'\"\n]+)['\"]|\brequire\(\s*['\"]([^'\"\n]+)['\"]", "rs": r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([\w:]+)"}
+METHODS = {"ts": r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|readonly\s+|override\s+|async\s+|get\s+|set\s+|\*\s*)*(?P<name>#?\w+)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::[^{;]+)?\{"}
+NOT_CALLS = {"if", "for", "while", "switch", "return", "function", "catch", "match", "fn", "new", "typeof", "super", "await", "async", "in", "of", "loop", "impl", "where", "as", "else", "unsafe"}
+LANGUAGES = {".ts": "ts", ".tsx": "ts", ".js": "ts", ".jsx": "ts", ".rs": "rs"}
 
 
 def braces_end(lines: list[str], first: int) -> int:
-    """Line on which the block that opens at or after ``first`` closes."""
+    """Line on which the block that opens at or after ``first`` closes; ``first`` itself for a declaration without one."""
     depth, opened = 0, False
     for i in range(first, len(lines)):
-        for c in re.sub(r'"(?:[^"\\]|\\.)*"|//.*', "", lines[i]):
+        for c in lines[i]:
             if c == "{":
                 depth, opened = depth + 1, True
             elif c == "}":
                 depth -= 1
-        if opened and depth <= 0:
-            return i
-        if not opened and i > first + 3:
-            return first
-    return len(lines) - 1
+            elif c == ";" and not opened:
+                return i
+            if opened and depth <= 0:
+                return i
+    return len(lines) - 1 if opened else first
+
+
+BRANCHING = {"ts": r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?\?|\?(?![.:?])", "rs": r"\b(?:if|for|while|loop)\b|=>|&&|\|\|"}
+OPENING = r"\b(?:if|for|while|loop|switch|match|try|catch|else)\b[^{}]*$"
+
+
+def brace_metrics(body: str, language: str, head: str) -> dict:
+    """Cyclomatic: one more for each branch or boolean operator. Cognitive: each branch 1 + the squared depth of blocks around it."""
+    out = {"cyclomatic": 1, "cognitive": 0}
+    nests: list[bool] = []
+    before = 0
+    for m in re.finditer(rf"[{{}}]|{BRANCHING[language]}", body):
+        if m[0] == "{":
+            nests.append(bool(re.search(OPENING, body[before : m.start()])))
+            before = m.end()
+        elif m[0] == "}":
+            before = m.end()
+            if nests:
+                nests.pop()
+        else:
+            out["cyclomatic"] += 1
+            if m[0] not in ("&&", "||", "??"):
+                out["cognitive"] += 1 + sum(nests) ** 2
+    loop = re.search(r"\b(?:for|while|loop)\b|\.(?:forEach|map|for_each)\s*\(", body)
+    error = re.search(r"\b(?:try|catch|throw)\b|\.catch\s*\(", body) if language == "ts" else re.search(r"\b(?:Err|panic!|unwrap|expect)\b|\?\s*[;)]", body)
+    return out | {"has_loop": bool(loop), "has_error": bool(error), "is_async": bool(re.search(r"\basync\b", head) or re.search(r"\bawait\b", body))}
+
+
+def split_arguments(code: str, at: int) -> list[str]:
+    """Arguments of the call whose bracket opens at ``at``, as written."""
+    depth, first, out = 0, at + 1, []
+    for i in range(at, len(code)):
+        c = code[i]
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth == 0:
+                out.append(code[first:i].strip())
+                return [x for x in out if x] if len(out) == 1 else out
+        elif c == "," and depth == 1:
+            out.append(code[first:i].strip())
+            first = i + 1
+    return []
 
 
 def parse_braces(path: str, text: str, language: str) -> Rows:
+    """TypeScript, JavaScript and Rust by declarations and blocks, on the text without its comments and strings."""
     rows = Rows(path)
-    lines = text.split("\n")
+    clear = masked(text, language)
+    lines, source = clear.split("\n"), text.split("\n")
+    place = Places(text)
     offset = [0]
-    for line in lines:
-        offset.append(offset[-1] + len(line.encode()) + 1)
-    package = (re.search(r"(?m)^package\s+(\w+)", text) or [None, ""])[1] if language == "go" else re.sub(r"\.\w+$", "", path).replace("/", ".")
-    for x in dict.fromkeys(re.findall(IMPORTS[language], text)):
+    for line in source:
+        offset.append(offset[-1] + len(line) + 1)
+    package = re.sub(r"\.\w+$", "", path).replace("/", ".")
+    code_only = "\n".join(s if c.strip() else "" for s, c in zip(source, lines, strict=True))
+    for x in dict.fromkeys(a or b for a, b in ((m[1], m[2] if m.re.groups > 1 else None) for m in re.finditer(IMPORTS[language], code_only))):
         rows.add("import", **{"path": path, "import": x})
-    inside = ("", -1)
+    inside: list[tuple[str, int, str]] = []  # (name, last line, kind) of classes and functions around
     for i, line in enumerate(lines):
+        while inside and i > inside[-1][1]:
+            inside.pop()
+        owner = next((n for n, _, k in reversed(inside) if k == "class"), "")
         found = next(((kind, m) for kind, p in DECLARATIONS[language] if (m := re.match(p, line))), None)
-        if found is None and i <= inside[1] and language in METHODS and (m := re.match(METHODS[language], line)) and m["name"] not in NOT_CALLS:
+        direct = bool(inside) and inside[-1][2] == "class"
+        if found is None and direct and language in METHODS and (m := re.match(METHODS[language], line)) and m["name"] not in NOT_CALLS:
             found = ("method", m)
-        if language == "rs" and (m := re.match(r"^\s*impl(?:<[^>]*>)?\s+(?:(?P<trait>\w+)\s+for\s+)?(?P<name>\w+)", line)):
-            inside = (m["name"], braces_end(lines, i))
+        if language == "rs" and (m := re.match(r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:(?P<trait>[\w:]+)(?:<[^>]*>)?\s+for\s+)?(?P<name>\w+)", line)):
+            inside.append((m["name"], braces_end(lines, i), "class"))
             if m["trait"]:
-                rows.add("call", path=path, caller=f"{package}.{m['name']}", callee=m["trait"], line=i + 1, callee_path="", link_type="implements")
+                rows.add("call", path=path, caller=f"{package}.{m['name']}", callee=m["trait"].split("::")[-1], line=i + 1, callee_path="", link_type="implements")
             continue
         if found is None:
             continue
         kind, m = found
         end = braces_end(lines, i)
-        owner = (m.groupdict().get("owner") or "") or (inside[0] if i <= inside[1] else "")
-        if owner and kind == "function":
+        if owner and direct and kind == "function":
             kind = "method"
         body = "\n".join(lines[i : end + 1])
-        doc = []
+        doc: list[str] = []
         for j in range(i - 1, -1, -1):
-            if not re.match(r"\s*(//|\*|/\*)", lines[j]):
+            if not re.match(r"\s*(//|\*|/\*|#\[|@\w)", source[j]):
                 break
-            doc.insert(0, re.sub(r"^\s*(?:///?|/\*\*?|\*/?)\s?", "", lines[j]).rstrip("*/ "))
-        branches = len(re.findall(r"\b(?:if|for|while|case|catch|match)\b|&&|\|\|", body))
-        name = f"{owner}.{m['name']}" if owner and language != "go" else m["name"]
-        masked = re.sub(r'"(?:[^"\\]|\\.)*"|\b\d+\b', "[LIT]", body)
+            if not re.match(r"\s*(#\[|@\w)", source[j]):
+                doc.insert(0, re.sub(r"^\s*(?:///?!?|/\*\*?|\*/?)\s?", "", source[j]).rstrip("*/ "))
+        name = f"{owner}.{m['name']}" if owner and direct else f"{inside[-1][0]}.{m['name']}" if inside and inside[-1][2] == "function" else m["name"]
+        masks = re.sub(r'"\s*"|\b\d[\w.]*', "[LIT]", body)
         rows.add(
-            "symbol", path=path, name=name, type=kind, package_path=package, receiver_type=owner, signature=line.strip().rstrip("{").strip(), doc="\n".join(doc).strip(),
-            start_byte=offset[i], end_byte=offset[end + 1] - 1, start_line=i + 1, start_col=len(line) - len(line.lstrip()), end_line=end + 1,
-            structural_hash=cut_hash(re.sub(r"\b[A-Za-z_]\w*\b", "[IDENT]", masked.split("{")[0])), logic_hash=cut_hash(re.sub(r"\b[A-Za-z_]\w*\b", "[IDENT]", masked)),
-            metrics_json=json.dumps({"cyclomatic": 1 + branches, "cognitive": branches, "has_loop": bool(re.search(r"\b(?:for|while|loop)\b", body)), "has_error": "err" in body or "throw" in body, "is_async": "async" in line}),
+            "symbol", path=path, name=name, type=kind, package_path=package, receiver_type=owner if direct else "", signature=source[i].strip().rstrip("{").strip(), doc="\n".join(doc).strip(),
+            start_byte=place.byte(offset[i]), end_byte=place.byte(offset[end + 1] - 1), start_line=i + 1, start_col=len(line) - len(line.lstrip()), end_line=end + 1,
+            structural_hash=cut_hash(re.sub(r"\b[A-Za-z_]\w*\b", "[IDENT]", masks.split("{")[0])), logic_hash=cut_hash(re.sub(r"\b[A-Za-z_]\w*\b", "[IDENT]", re.sub(r"\s+", " ", masks))),
+            metrics_json=json.dumps(brace_metrics(body[m.end() :], language, line)),
         )
-        if kind == "class" or kind == "interface":
-            inside = (m["name"], end)
-            for base in re.findall(r"\b(?:extends|implements)\s+(\w+)", line):
-                rows.add("call", path=path, caller=f"{package}.{m['name']}", callee=base, line=i + 1, callee_path="", link_type="implements" if "implements" in line else "embeds")
-            if language == "go" and kind == "interface":
-                for k in range(i + 1, end):
-                    if spec := re.match(r"^\s+(\w+)\s*\(", lines[k]):
-                        rows.add("symbol", path=path, name=spec[1], type="method_spec", package_path=package, receiver_type=m["name"], signature=lines[k].strip(), doc="", start_byte=offset[k], end_byte=offset[k + 1] - 1, start_line=k + 1, start_col=1, end_line=k + 1, structural_hash=cut_hash(re.sub(r"\b[A-Za-z_]\w*\b", "[IDENT]", lines[k])), logic_hash="", metrics_json="{}")
+        inside.append((name if kind in ("function", "method") else m["name"], end, "class" if kind in ("class", "interface") else "function"))
+        if kind in ("class", "interface"):
+            for word, names in re.findall(r"\b(extends|implements)\s+([\w.,\s]+?)(?=\bimplements\b|\bextends\b|\{|<|$)", line):
+                for base in filter(None, map(str.strip, names.split(","))):
+                    rows.add("call", path=path, caller=f"{package}.{m['name']}", callee=base, line=i + 1, callee_path="", link_type="embeds" if word == "extends" else "implements")
             continue
-        for k in range(i, end + 1):
-            code = re.sub(r'"(?:[^"\\]|\\.)*"|//.*', "", lines[k][m.end() :] if k == i else lines[k])
-            for target in re.findall(r"([A-Za-z_][\w.]*)\s*\(", code):
-                if target not in NOT_CALLS:
-                    rows.add("call", path=path, caller=f"{package}.{name}", callee=target, line=k + 1, callee_path="", link_type="call")
-            if a := re.match(r"^\s*(?:let\s+|const\s+|var\s+)?(\w+)(?:\s*:\s*\w+)?\s*:?=\s*([A-Za-z_]\w*)\s*;?\s*$", code):
-                rows.add("flow", path=path, source=a[2], sink=a[1], type="assignment", line=k + 1)
-            if r := re.match(r"^\s*return\s+([A-Za-z_]\w*)\s*;?\s*$", code):
-                rows.add("flow", path=path, source=r[1], sink=f"{package}.{name}:return0", type="return", line=k + 1)
+        own = " " * m.end() + body[m.end() :]
+        for c in re.finditer(r"([A-Za-z_$][\w$]*(?:(?:\.|::|\?\.)[A-Za-z_$][\w$]*)*)(!?)\s*(?:::)?(?:<[\w\s,]*>)?\(", own):
+            target = c[1].replace("?.", ".")
+            if target in NOT_CALLS or re.search(r"\b(?:function|fn)\s*$", own[: c.start()]):
+                continue
+            if owner and re.match(r"(?:this|self|Self)(?:\.|::)\w+$", target):
+                target = f"{package}.{owner}.{re.split(r'[.:]+', target)[1]}"
+            at = i + 1 + own.count("\n", 0, c.start())
+            rows.add("call", path=path, caller=f"{package}.{name}", callee=target, line=at, callee_path="", link_type="call")
+            for k, arg in enumerate(split_arguments(own, c.end() - 1)):
+                if re.fullmatch(r"&?(?:mut\s+)?[A-Za-z_$][\w$.]*", arg):
+                    rows.add("flow", path=path, source=re.sub(r"^&?(?:mut\s+)?", "", arg), sink=f"{target}:arg{k}", type="argument", line=at)
+        for part in re.finditer(r"[^;\n{}]+", own):
+            code, at = part[0], i + 1 + own.count("\n", 0, part.start())
+            if a := re.match(r"^\s*(?:(?:let|const|var)\s+(?:mut\s+)?)?([A-Za-z_$][\w$.]*)(?:\s*:\s*[^=]+)?\s*=(?![=>])\s*(.+?)\s*$", code):
+                value = a[2]
+                if re.fullmatch(r"[A-Za-z_$][\w$.]*", value):
+                    rows.add("flow", path=path, source=value, sink=a[1], type="assignment", line=at)
+                elif called := re.match(r"(?:await\s+|new\s+)?([A-Za-z_$][\w$.:]*)!?\(", value):
+                    rows.add("flow", path=path, source=f"{called[1]}:return0", sink=a[1], type="assignment", line=at)
+            if r := re.match(r"^\s*return\s+([A-Za-z_$][\w$.]*)\s*$", code):
+                rows.add("flow", path=path, source=r[1], sink=f"{package}.{name}:return0", type="return", line=at)
     return rows
 
 
 def parse_text(path: str, text: str) -> Rows:
     if path.endswith(".py"):
         return parse_python(path, text)
+    if path.endswith(".go"):
+        return parse_go(path, text)
     language = LANGUAGES.get(path[path.rfind(".") :])
     return parse_braces(path, text, language) if language else Rows(path)
 
@@ -307,36 +479,69 @@ def rows_of(parsed: DataFrame, kind: str) -> DataFrame:
 
 
 def structural_search(files: DataFrame, pattern: str, inside: str = "", has: str = "") -> DataFrame:
-    """(path, line, text, captures) of Python expressions and statements like ``pattern``.
+    """(path, line, text, captures) of code like ``pattern``, in files of every language that it can be read in.
 
     ``$X`` stands for one expression and captures it, ``$$$`` for any number of
-    arguments or statements. ``inside``: part of the kind of a node around;
-    ``has``: a pattern that something inside matches.
+    arguments or statements. ``inside``: part of the kind of a construct around;
+    ``has``: a pattern that something inside matches. Python is matched by syntax
+    trees, the other languages by tokens with balanced brackets.
     """
 
     def run(batches):
-        want, need = compile_pattern(pattern), compile_pattern(has) if has else None
         for pdf in batches:
             out = []
             for path, text in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    tree = ast.parse(text or "")
-                except (SyntaxError, ValueError):
-                    continue
-                for node, around in with_parents(tree, []):
-                    if isinstance(node, ast.Expr):
-                        continue  # its expression follows
-                    captures: dict[str, str] = {}
-                    if not same(want, node, captures) or inside and not any(inside.lower() in type(p).__name__.lower() for p in around):
-                        continue
-                    if need is not None and not any(same(need, n, {}) for n in ast.walk(node) if n is not node):
-                        continue
-                    out.append((path, node.lineno, ast.unparse(node), captures))
+                found = python_matches if path.endswith(".py") else brace_matches
+                out += [(path, *m) for m in found(path, text or "", pattern, inside, has)]
             yield pd.DataFrame(out, columns=["path", "line", "text", "captures"])
 
     return files.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, KINDS["match"])
 
 
+def python_matches(path: str, text: str, pattern: str, inside: str, has: str) -> Iterator[tuple[int, str, dict[str, str]]]:
+    try:
+        tree = ast.parse(text)
+        want, need = compile_pattern(pattern), compile_pattern(has) if has else None
+    except (SyntaxError, ValueError):
+        return
+    for node, around in with_parents(tree, []):
+        if isinstance(node, ast.Expr):
+            continue  # its expression follows
+        captures: dict[str, str] = {}
+        if not same(want, node, captures) or inside and not any(inside.lower() in type(p).__name__.lower() for p in around):
+            continue
+        if need is not None and not any(same(need, n, {}) for n in ast.walk(node) if n is not node):
+            continue
+        yield node.lineno, ast.unparse(node), captures
+
+
+AROUND = {"func": "function_declaration", "fn": "function_item", "function": "function_declaration", "class": "class_declaration", "struct": "struct_type", "interface": "interface_type", "trait": "trait_item", "impl": "impl_item", "for": "for_statement", "while": "while_statement", "loop": "loop_expression", "if": "if_statement", "else": "if_statement", "switch": "switch_statement", "select": "select_statement", "match": "match_expression", "try": "try_statement", "catch": "catch_clause", "go": "go_statement", "defer": "defer_statement", "=>": "arrow_function"}
+
+
+def brace_matches(path: str, text: str, pattern: str, inside: str, has: str) -> Iterator[tuple[int, str, dict[str, str]]]:
+    language = "go" if path.endswith(".go") else LANGUAGES.get(path[path.rfind(".") :])
+    if language is None:
+        return
+    found = tokens(text, language)
+    closes = partners(found)
+    need = [m.first for m in Pattern(has, language).matches(text, found)] if has else None
+    opened = {}  # block -> the word that opens it
+    word = ""
+    for i, t in enumerate(found):
+        if t.kind in ("name", "op") and t.text in AROUND:
+            word = t.text
+        elif t.text == "{" and t.kind == "op":
+            opened[i], word = AROUND.get(word, "block"), ""
+        elif t.text in (";", "}") and t.kind == "op":
+            word = ""
+    for m in Pattern(pattern, language).matches(text, found):
+        if inside and not any(inside.lower() in kind for o, kind in opened.items() if o < m.first and closes.get(o, len(found)) >= m.end):
+            continue
+        if need is not None and not any(m.first < n < m.end for n in need):
+            continue
+        yield found[m.first].line, text[found[m.first].start : found[m.end - 1].end], m.captures
+
+
 def compile_pattern(pattern: str) -> ast.AST:
     text = re.sub(r"\$\$\$", "META_REST", re.sub(r"\$([A-Z_]\w*)", r"META_\1", pattern))
     body = ast.parse(text).body[0]

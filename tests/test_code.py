@@ -80,13 +80,15 @@ RS = "use std::fmt;\npub trait Draw { fn draw(&self); }\npub struct Dot;\nimpl D
 def test_brace_languages(spark):
     parsed = parse.parse(spark.createDataFrame([("shop/cart.go", GO), ("c.ts", TS), ("d.rs", RS)], "path string, content string"))
     s = {(r.path, r.name): r for r in parse.rows_of(parsed, "symbol").collect()}
-    kinds = {k[1]: r.type for k, r in s.items() if k[0] == "shop/cart.go" and r.type != "method"}
-    assert kinds == {"Cart": "class", "Payer": "interface", "Total": "function"} | ({"Pay": "method_spec"} if ("shop/cart.go", "Pay") in s and s[("shop/cart.go", "Pay")].type == "method_spec" else {})
+    kinds = {k[1]: r.type for k, r in s.items() if k[0] == "shop/cart.go"}
+    assert kinds == {"Cart": "class", "Payer": "interface", "Payer.Pay": "method_spec", "Cart.Pay": "method", "Total": "function"}
+    pay = s[("shop/cart.go", "Cart.Pay")]
+    assert (pay.signature, pay.receiver_type, pay.start_line, pay.end_line) == ("(int) -> (error)", "pointer", 14, 19)
     assert s[("shop/cart.go", "Cart")].doc == "Cart holds items." and s[("shop/cart.go", "Total")].end_line == 24
     assert {k[1]: r.type for k, r in s.items() if k[0] == "c.ts"} == {"Shape": "interface", "Circle": "class", "Circle.area": "method", "twice": "function"}
     assert {k[1] for k in s if k[0] == "d.rs"} >= {"Draw", "Dot", "Dot.draw"}
     calls = {(r.caller, r.callee, r.link_type) for r in parse.rows_of(parsed, "call").collect()}
-    assert {("shop.Pay", "fmt.Println", "call"), ("shop.Total", "sum", "call"), ("c.Circle", "Base", "embeds"), ("d.Dot", "Draw", "implements")} <= calls
+    assert {("shop.Cart.Pay", "fmt.Println", "call"), ("shop.Total", "shop.sum", "call"), ("c.Circle", "Base", "embeds"), ("d.Dot", "Draw", "implements")} <= calls
     assert ("c", "m", "assignment") in {(r.source, r.sink, r.type) for r in parse.rows_of(parsed, "flow").collect()}
     assert {r["import"] for r in parse.rows_of(parsed, "import").collect()} == {"fmt", "./x", "std::fmt"}
 
