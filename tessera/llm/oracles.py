@@ -169,9 +169,9 @@ def fingerprints(shingle: int = 3) -> str:
     """XXH64 in unsigned 128-bit numbers, on the little-endian lanes of each different shingle."""
     p1, p2, p3, p4, p5 = (int(x) for x in (xxh.P1, xxh.P2, xxh.P3, xxh.P4, xxh.P5))
     size = 1 << 64
-    times = lambda a, b: f"CAST((CAST({a} AS UHUGEINT) * {b}) % {size} AS UBIGINT)"
-    plus = lambda a, b: f"CAST((CAST({a} AS UHUGEINT) + {b}) % {size} AS UBIGINT)"
-    turn = lambda a, n: f"CAST((CAST({a} AS UHUGEINT) * {1 << n}) % {size} + CAST({a} AS UHUGEINT) // {1 << 64 - n} AS UBIGINT)"
+    times = lambda a, b: f"CAST((CAST({a} AS UHUGEINT) * CAST({b} AS UHUGEINT)) % {size}::UHUGEINT AS UBIGINT)"
+    plus = lambda a, b: f"CAST((CAST({a} AS UHUGEINT) + CAST({b} AS UHUGEINT)) % {size}::UHUGEINT AS UBIGINT)"
+    turn = lambda a, n: f"CAST((CAST({a} AS UHUGEINT) * {1 << n}::UHUGEINT) % {size}::UHUGEINT + CAST({a} AS UHUGEINT) // {1 << 64 - n}::UHUGEINT AS UBIGINT)"
     little = lambda at, n: "CAST('0x' || " + " || ".join(f"substr(x, CAST({at} AS BIGINT) + {2 * k + 1}, 2)" for k in reversed(range(n))) + " AS UBIGINT)"
     # a value that is used twice is named by a one-element list
     let = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
@@ -192,7 +192,7 @@ def fingerprints(shingle: int = 3) -> str:
     for j in range(4):
         mixed = let(f"xor(m, {lane('0', f'a{j}')})", "z", plus(times("z", p1), p4))
         ctes[f"m{j + 1}"] = f"SELECT * EXCLUDE (m), {mixed} AS m FROM m{j}"
-    ctes["b0"] = f"SELECT s, x, n, lanes, {plus(f'CASE WHEN n >= 32 THEN m ELSE {(42 + p5) % size} END', 'n')} AS h FROM m4"
+    ctes["b0"] = f"SELECT s, x, n, lanes, {plus(f'CASE WHEN n >= 32 THEN m ELSE CAST({(42 + p5) % size} AS UBIGINT) END', 'n')} AS h FROM m4"
     word = let(f"xor(h, {lane('0', 'v')})", "z", plus(times(turn("z", 27), p1), p4))
     ctes["b1"] = f"SELECT * EXCLUDE (h), {steps('h', 'list_slice(lanes, 4 * (n // 32) + 1, n // 8)', 'v', word)} AS h FROM b0"
     half = let(f"xor(h, {times(little('16 * (n // 8)', 4), p1)})", "z", plus(times(turn("z", 23), p2), p3))

@@ -53,14 +53,14 @@ from tessera.llm import parts as parts_
 from tessera.llm import textvec
 from tessera.llm.parts import PIECE, by_part, same, storage
 from tessera.llm.runs import first_id, front_code, repeated
-from tessera.llm.scratch import fresh_path, materialize, release, small_batches
+from tessera.llm.scratch import fresh_path, held, materialize, release, small_batches
 
 LENGTH = 200
 GRAM = 48
 #: An anchor with more different stretches than this is counted by window instead of in one task.
 MOST_IN_TASK = 1024
 #: Stretches that a task compares at a time, but for those of one anchor.
-CHUNK = 4096
+CHUNK = 2048
 #: Bytes of texts in a part file, but for a longer text; a task sorts the suffixes of a part at a time.
 PART_BYTES = 16 << 20
 #: Bytes of suffixes in a range of the merge, about, as long as that takes MOST_RANGES ranges or fewer.
@@ -276,8 +276,8 @@ def compare(classes: DataFrame, job: Job) -> DataFrame:
     return found.repartition("h").sortWithinPartitions("h", "part", "row", "start").mapInArrow(run, PLACE)
 
 
-def count_windows(classes: DataFrame, job: Job) -> DataFrame:
-    """The same for anchors with very many stretches: window by window, counted by a group-by."""
+def count_windows(classes: DataFrame, job: Job) -> tuple[DataFrame, list[DataFrame]]:
+    """The same for anchors with very many stretches, window by window, counted by a group-by; and its working tables."""
     length = job.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,34 +292,37 @@ def count_windows(classes: DataFrame, job: Job) -> DataFrame:
         owner = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + start[owner]
         w = job.name(textvec.Rolling(texts.buf[low:high]).grams(length)[texts.place(row)[owner] + place - low])
-        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), rows["part"].combine_chunks().take(pa.array(owner)), pa.array(row[owner].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(rows["single"].to_numpy(zero_copy_only=False)[owner])], ["w", "part", "row", "start", "single"])
+        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), same(len(owner), rows["part"][0].as_py()), pa.array(row[owner].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(rows["single"].to_numpy(zero_copy_only=False)[owner])], ["w", "part", "row", "start", "single"])
 
-    windows = materialize(by_part(classes, job.parts, "row", "start").mapInArrow(run, "w long, part string, row int, start int, single boolean"), "windows")
+    windows = held(by_part(classes, job.parts, "row", "start").mapInArrow(run, "w long, part string, row int, start int, single boolean"))
     wanted = windows.groupBy("w").agg(F.count("*").alias("k"), F.max("single").alias("s")).where("k > 1 and s").select("w")
-    wanted = materialize(wanted, "repeated")  # see candidates
-    return windows.join(wanted, "w").select("part", "row", "start", F.lit(length).alias("length"), F.xxhash64("w").alias("c"))
+    wanted = held(wanted)  # see candidates
+    return windows.join(wanted, "w").select("part", "row", "start", F.lit(length).alias("length"), F.xxhash64("w").alias("c")), [windows, wanted]
 
 
 def candidates(found: DataFrame, job: Job) -> DataFrame:
     """(part, row, start, length, c) of all suffixes to sort, once each or more; strings with one ``c`` should be equal.
 
-    Group totals are written out before they are joined back: a join that reads both
-    sides from exchanges of its own is one whose hot keys Spark can split.
+    Group totals are computed before they are joined back: a join that reads both sides
+    from exchanges of its own is one whose hot keys Spark can split.
     """
     stretch = ["h", "u", "n"]
     differ = (F.min("u") != F.max("u")) | (F.min("n") != F.max("n"))
-    groups = materialize(found.groupBy("h").agg(F.count("*").alias("k"), differ.alias("differ")).where("k > 1").select("h", "differ"), "groups")
-    shared = materialize(found.join(groups, "h"), "shared")
-    of = materialize(shared.where("differ").groupBy(*stretch).agg(F.count("*").alias("k"), F.min(F.struct("part", "row", "start", "n")).alias("one")), "classes")
+    groups = held(found.groupBy("h").agg(F.count("*").alias("k"), differ.alias("differ")).where("k > 1").select("h", "differ"))
+    shared = held(found.join(groups, "h"))
+    of = held(shared.where("differ").groupBy(*stretch).agg(F.count("*").alias("k"), F.min(F.struct("part", "row", "start", "n")).alias("one")))
     again = with_twin(shared.where("differ"), of, stretch)
     clean = shared.where("not differ").unionByName(again).select("part", "row", "start", (F.col("n") + (job.length - 1)).cast("int").alias("length"), F.xxhash64(*stretch).alias("c"))
-    sizes = materialize(of.groupBy("h").agg(F.count("*").alias("different")), "sizes")
-    classes = materialize(of.join(sizes, "h").select("one.part", "one.row", "one.start", "one.n", "h", (F.col("k") == 1).alias("single"), (F.col("different") > MOST_IN_TASK).alias("many")), "differing")
+    sizes = held(of.groupBy("h").agg(F.count("*").alias("different")))
+    classes = held(of.join(sizes, "h").select("one.part", "one.row", "one.start", "one.n", "h", (F.col("k") == 1).alias("single"), (F.col("different") > MOST_IN_TASK).alias("many")))
     out = clean.unionByName(compare(classes.where("not many").drop("many"), job))
+    used = [groups, shared, of, sizes, classes]
     if not classes.where("many").isEmpty():
-        out = out.unionByName(count_windows(classes.where("many").drop("many"), job))
-    out = materialize(out, "suffixes")
-    release(groups, shared, of, sizes, classes)
+        more, tables = count_windows(classes.where("many").drop("many"), job)
+        out, used = out.unionByName(more), [*used, *tables]
+    out = held(out)
+    out.count()  # from here on it is read from disk, and needs no other table
+    release(*used)
     return out
 
 
@@ -465,7 +468,7 @@ def reexamined(suffixes: DataFrame, wrong: DataFrame, found: DataFrame, length:
     inside = lambda start, s, n: (start >= s) & (start < s + n)
     hit = at(suffixes.join(wrong, "c")).distinct()
     anchors = found.join(hit, (F.col("part") == F.col("p")) & (F.col("row") == F.col("r")) & inside(F.col("s"), F.col("start"), F.col("n"))).select("h").distinct()
-    again = materialize(found.join(materialize(anchors, "anchors"), "h").select("part", "row", "start", "n"), "again")
+    again = held(found.join(held(anchors), "h").select("part", "row", "start", "n"))
     rest = suffixes.join(at(again, "n"), (F.col("part") == F.col("p")) & (F.col("row") == F.col("r")) & inside(F.col("start"), F.col("s"), F.col("n")), "left_anti")
     windows = F.explode(F.sequence("start", F.col("start") + F.col("n") - 1))
     return rest.unionByName(again.select("part", "row", windows.alias("start"), F.lit(length).alias("length"), F.lit(None).cast("long").alias("c")))
@@ -513,13 +516,13 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = 6
     """Removed bytes of every row of ``docs``; see ``remove`` for the columns. Any number of ``bits`` gives the same."""
     job = Job(fresh_path(docs.sparkSession, "texts"), length, gram, bits)
     listed = store(docs, job)
-    names = materialize(listed.where("h is null").select("part"), "names")
+    names = materialize(listed.where("h is null").select("part").coalesce(1), "names")
     job = replace(job, parts=max(1, names.count()))
     found = listed.where("h is not null")
     suffixes = candidates(found, job)
     merged = sort_and_merge(suffixes, job)
     wrong = misnamed(merged)
     if not wrong.isEmpty():
-        merged = sort_and_merge(materialize(reexamined(suffixes, materialize(wrong, "wrong"), found, length), "suffixes"), job)
+        merged = sort_and_merge(held(reexamined(suffixes, held(wrong), found, length)), job)
     release(listed, suffixes)
     return remove(names, merged, job)
