@@ -132,6 +132,11 @@ def local_name(full: Column) -> Column:
     return F.substring_index(full, ".", -1)
 
 
+def qualify(owner: Column, name: Column) -> Column:
+    """Name with what it belongs to before it; alone if that is empty."""
+    return fqn(owner, name)
+
+
 def module_path(path: Column) -> Column:
     """Dotted module of a Python path."""
     return F.regexp_replace(F.regexp_replace(path, "(/__init__)?\\.py$", ""), "/", ".")

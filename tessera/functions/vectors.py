@@ -21,14 +21,26 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def word_slot(word: Column, dimension: int) -> Column:
+    """Slot of a word: the first 32 bits of its MD5, modulo the dimension."""
+    return F.pmod(F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dimension)).cast("int")
+
+
 def hash_embedder(dimension: int = 64) -> Embedder:
-    """Deterministic bag-of-words vectors of unit length; a stand-in for a learned model."""
+    """Deterministic bag-of-words vectors of unit length; a stand-in for a learned model.
+
+    Slots are sorted once; the places where their value changes give the counts, so the
+    work is that of the words and not of words times dimension.
+    """
 
     def embed(text: Column) -> Column:
         words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-        slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))
+        slots = F.array_sort(F.transform(words, lambda w: word_slot(w, dimension)))
+        # the last place of each slot in order, as (slot, place)
+        ends = lambda s: F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i + 1), F.lit(-1)) != x, F.struct(x.alias("slot"), (i + 1).alias("place")))), lambda p: p.isNotNull())
+        sizes = lambda e: F.map_from_arrays(F.transform(e, lambda p: p["slot"]), F.transform(e, lambda p, i: (p["place"] - F.coalesce(F.get(e, i - 1)["place"], F.lit(0))).cast("double")))
         of = F.sequence(F.lit(0), F.lit(dimension - 1))
-        counts = once(slots, lambda s: F.transform(of, lambda i: (F.size(s) - F.size(F.array_remove(s, i))).cast("double")))
+        counts = once(once(slots, ends), lambda e: once(sizes(e), lambda m: F.transform(of, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))))
         norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
         return once(counts, lambda c: once(norm(c), lambda n: F.transform(c, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)).cast("float"))))
 

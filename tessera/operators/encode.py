@@ -93,6 +93,10 @@ def bar(value: int, most: int, width: int) -> str:
     return "█" * filled + "░" * (width - filled)
 
 
+def separator(width: int = 60) -> str:
+    return "─" * width
+
+
 def text_table(rows: list[dict], columns: list[str]) -> str:
     """Columns padded to their widest value, a rule under the header."""
     cells = [[str(r.get(c, "")) for c in columns] for r in rows]

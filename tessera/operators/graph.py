@@ -8,8 +8,10 @@ operator is defined by paths.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.strings import fqn
@@ -30,9 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
         if not where:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import atexit
+            import shutil
             import tempfile
 
             where = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, where, True)
         context.setCheckpointDir(where)
     return df.checkpoint()
 
@@ -88,19 +93,30 @@ def blast_radius(edges: DataFrame, names: list[str], path: str | None = None, ma
     near = F.lit(True) if path is None else F.col("callee_path").isin(path, "")
     node = lambda c, p: F.struct(F.col(c).cast("string").alias("n"), F.col(p).alias("p"))
     level = edges.where(F.col("callee").isin(names) & near).select("caller", "path", "link_type", F.array(node("caller", "path")).alias("trace")).distinct()
-    out = level.select("caller", "path", F.lit(1).alias("distance"), "link_type")
-    step = edges.select(F.col("caller").alias("c2"), "callee", F.col("path").alias("p2"), "callee_path", F.col("link_type").alias("l2"))
-    for depth in range(2, max_depth + 1):
-        meets = (step["callee"] == level["caller"]) & ((step["callee_path"] == level["path"]) | (step["callee_path"] == ""))
-        joined = level.drop("link_type").join(step, meets).where(~F.array_contains("trace", node("c2", "p2")))
-        level = joined.select(F.col("c2").alias("caller"), F.col("p2").alias("path"), F.col("l2").alias("link_type"), F.concat("trace", F.array(node("c2", "p2"))).alias("trace")).distinct()
-        out = out.unionByName(level.select("caller", "path", F.lit(depth).alias("distance"), "link_type"))
-    return out.distinct()
+    steps = edges.select(F.col("caller").alias("c2"), "callee", F.col("path").alias("p2"), "callee_path", F.col("link_type").alias("l2"))
+    levels = []
+    for depth in range(1, max_depth + 1):
+        if depth > 1:
+            # calls of the caller's file and calls of no known file: two equi joins
+            exact = level.drop("link_type").join(steps, (steps["callee"] == level["caller"]) & (steps["callee_path"] == level["path"]))
+            loose = level.drop("link_type").join(steps.where("callee_path = ''"), (steps["callee"] == level["caller"]) & (level["path"] != ""))
+            joined = exact.unionByName(loose).where(~F.array_contains("trace", node("c2", "p2")))
+            level = joined.select(F.col("c2").alias("caller"), F.col("p2").alias("path"), F.col("l2").alias("link_type"), F.concat("trace", F.array(node("c2", "p2"))).alias("trace")).distinct()
+        if depth < max_depth:
+            level = cut(level)  # read by the next level and by the result
+        levels.append(level.select("caller", "path", F.lit(depth).alias("distance"), "link_type").distinct())
+    return reduce(DataFrame.unionByName, levels)
 
 
 def reach(start: DataFrame, steps: DataFrame, max_depth: int) -> DataFrame:
-    """(node, depth) reachable from ``start`` (node) over ``steps`` (src, dst), with least depth; start has 0."""
+    """(node, depth) reachable from ``start`` (node) over ``steps`` (src, dst), with least depth; start has 0.
+
+    Steps are written out once, dealt by their source, as every level reads them.
+    """
     visited = start.distinct().withColumn("depth", F.lit(0))
+    if max_depth < 1:
+        return visited
+    steps = cut(steps)
     frontier = visited
     for depth in range(1, max_depth + 1):
         nxt = frontier.join(steps, frontier["node"] == steps["src"]).select(F.col("dst").alias("node")).distinct()
@@ -152,10 +168,22 @@ def ripple(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
 
 
 def discover_tasks(symbols: DataFrame, edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
-    """Definition rows of ``start`` and then the places that its ripple reaches, in order."""
-    definition = symbols.where(F.col("name") == start).select(F.lit("definition").alias("kind"), F.col("name").cast("string").alias("symbol"), "path", F.col("start_line").cast("int").alias("line"), F.lit(0).alias("depth"))
-    rows = ripple(edges, start, depth).select(F.when(F.col("link_type").isin(HIERARCHY), F.lit("hierarchy")).otherwise("caller").alias("kind"), F.col("caller").cast("string").alias("symbol"), "path", F.col("line").cast("int").alias("line"), "depth")
-    return definition.unionByName(rows).distinct()
+    """(kind, symbol, impacted, path, line, depth): the definition of ``start``, then every symbol that its ripple reaches, once.
+
+    Of the edges that reach a symbol the first counts, by depth, path, line and ends. A
+    call reaches its caller; a hierarchy link reaches the end that is further away.
+    """
+    full = full_name()
+    definition = symbols.where((full == start) | (F.col("name") == start)).select(F.lit("definition").alias("kind"), F.col("name").cast("string").alias("symbol"), full.cast("string").alias("impacted"), "path", F.col("start_line").cast("int").alias("line"), F.lit(0).alias("depth")).distinct()
+    met = ripple(edges, start, depth)
+    callers_ = met.select(F.lit("caller").alias("kind"), F.col("callee").alias("symbol"), F.col("caller").alias("impacted"), "path", "line", "depth", F.col("link_type").isin(HIERARCHY).alias("link"))
+    callees_ = met.where(F.col("link_type").isin(HIERARCHY)).select(F.lit("hierarchy").alias("kind"), F.col("caller").alias("symbol"), F.col("callee").alias("impacted"), F.col("callee_path").alias("path"), "line", "depth", F.lit(True).alias("link"))
+    known = met.select(F.col("caller").alias("n"), "depth").unionByName(met.where(F.col("link_type").isin(HIERARCHY)).select(F.col("callee").alias("n"), "depth")).groupBy(F.col("n").alias("impacted")).agg(F.min("depth").alias("least"))
+    ways = callers_.unionByName(callees_).where(F.col("impacted") != start).join(known, "impacted").where(F.col("depth") == F.col("least"))
+    first = ways.groupBy("impacted").agg(F.min(F.struct("path", "line", "symbol", "kind")).alias("w"), F.min("depth").alias("depth"))
+    local = F.substring_index(F.col("w.symbol").cast("string"), ".", -1)
+    rows = first.select("w.kind", local.alias("symbol"), F.col("impacted").cast("string").alias("impacted"), "w.path", F.col("w.line").cast("int").alias("line"), "depth")
+    return definition.unionByName(rows)
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, epsilon: float | None = 1e-6, seeds: list[str] | None = None) -> DataFrame:
@@ -171,33 +199,43 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, epsilon:
     inside = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     order = [c for c in ("line", "link_type") if c in edges.columns]
     one = inside.groupBy("src", "dst").agg(F.min_by(weight, F.struct(*order)).alias("w"))
-    out = one.groupBy("src").agg(F.sum("w").alias("total"))
-    parts = one.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("part")).persist(StorageLevel.MEMORY_AND_DISK)
+    total = F.sum("w").over(Window.partitionBy("src"))
+    # dealt by source once; ranks are dealt by node alike, so a step moves only what flows
+    parts = one.repartition("src").select("src", "dst", (F.col("w") / total).alias("part")).persist(StorageLevel.MEMORY_AND_DISK)
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     is_seed = F.col("node").isin(seeds) if seeds else F.lit(True)
-    marked = nodes.select("node", is_seed.alias("seed")).join(out.select(F.col("src").alias("node"), F.lit(True).alias("flows")), "node", "left").withColumn("flows", F.coalesce("flows", F.lit(False)))
+    flowing = parts.select(F.col("src").alias("node"), F.lit(True).alias("flows")).distinct()
+    marked = nodes.select("node", is_seed.alias("seed")).repartition("node").join(flowing, "node", "left").withColumn("flows", F.coalesce("flows", F.lit(False)))
     m = marked.where("seed").count() or n
-    ranks = cut(marked.withColumn("rank", F.when(F.col("seed"), 1.0 / m).otherwise(0.0)))
-    for _ in range(iterations):
+    ranks = marked.withColumn("rank", F.when(F.col("seed"), 1.0 / m).otherwise(0.0)).persist(StorageLevel.MEMORY_AND_DISK)
+    dangling = F.coalesce(F.sum(F.when(~F.col("flows"), F.col("rank"))), F.lit(0.0))
+    loose = ranks.agg(dangling).first()[0]  # one number, as below
+    for step in range(1, iterations + 1):
         sums = ranks.join(parts, ranks["node"] == parts["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
-        loose = ranks.agg(F.coalesce(F.sum(F.when(~F.col("flows"), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        spread = F.when(F.col("seed"), (1 - DAMPING) / m + DAMPING * F.col("loose") / m).otherwise(0.0)
-        joined = ranks.withColumnRenamed("rank", "old").join(sums, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(loose))  # loose: one row
+        spread = F.when(F.col("seed"), F.lit((1 - DAMPING) / m + DAMPING * loose / m)).otherwise(0.0)
+        joined = ranks.withColumnRenamed("rank", "old").join(sums, F.col("node") == F.col("dst"), "left")
         nxt = joined.select("node", "seed", "flows", (spread + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"), "old")
-        nxt = cut(nxt)  # ranks are read three times in the next step
-        ranks = nxt.drop("old")
-        if epsilon is not None and nxt.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < epsilon:
+        nxt = cut(nxt) if step % CUT_EVERY == 0 else nxt.persist(StorageLevel.MEMORY_AND_DISK)
+        loose, change = nxt.agg(dangling, F.max(F.abs(F.col("rank") - F.col("old")))).first()
+        ranks.unpersist()
+        ranks = nxt.drop("old") if step % CUT_EVERY == 0 else nxt.select("node", "seed", "flows", "rank")
+        if epsilon is not None and change < epsilon:
             break
-    return ranks.select("node", "rank")
+    out = cut(ranks.select("node", "rank"))
+    parts.unpersist()
+    ranks.unpersist()
+    return out
 
 
 def churn(commits: DataFrame, newest: int | None = 500) -> DataFrame:
     """(path, commits, most_together, score) from (commit, ts, path).
 
     score = half the file's commits and half its most frequent companion's, over the
-    most commits of any file.
+    most commits of any file. Pairs are those of the newest commits' files, so a commit
+    of f files costs f squared; both sides of the join are exchanges, so a large commit
+    is split over tasks, and pairs are counted before they move.
     """
     files = commits.select("commit", "ts", "path").distinct()
     if newest is not None:
@@ -227,6 +265,43 @@ def resolve_interfaces(interfaces: DataFrame, types: DataFrame) -> DataFrame:
     return have.groupBy("type", "interface", "size").agg(F.countDistinct("method").alias("n")).where("n = size").select("type", "interface")
 
 
+def interface_edges(symbols: DataFrame, embeds: DataFrame) -> DataFrame:
+    """Edges (caller, callee, path, line, callee_path, link_type) that follow from the method sets of a code base.
+
+    ``symbols``: interfaces with their ``method_spec`` rows and classes with their
+    methods, of names like Type.Method; ``embeds``: edges of link type embeds. A type
+    implements an interface, and its methods satisfy those of it, if the type's methods,
+    pointer receivers included and those of embedded types too, have all names and
+    signatures of the interface and of the interfaces that this embeds.
+    """
+    kinds = symbols.select("package_path", F.col("name").cast("string").alias("name"), "type", "path", "signature")
+    qualified = fqn(F.col("package_path"), F.col("name"))
+    types = kinds.where(F.col("type").isin("interface", "class", "struct", "type")).select(qualified.alias("owner"), F.col("type") == "interface", "path").toDF("owner", "is_interface", "path").distinct()
+    own = kinds.where(F.col("type").isin("method", "method_spec") & F.col("name").contains(".")).select(fqn(F.col("package_path"), F.substring_index("name", ".", 1)).alias("owner"), F.substring_index("name", ".", -1).alias("method"), "signature")
+    links = embeds.where("link_type = 'embeds'").select(F.col("caller").alias("owner"), F.col("callee").alias("inner")).join(types.select("owner"), "owner", "left_semi").distinct()
+    # an embedded type gives its methods to what embeds it, through any number of steps
+    holds = types.select("owner", F.col("owner").alias("inner"))
+    reached = holds
+    while True:
+        more = cut(reached.join(links.toDF("inner", "next"), "inner").select("owner", F.col("next").alias("inner")).distinct().join(holds, ["owner", "inner"], "left_anti"))
+        if more.isEmpty():
+            break
+        holds, reached = holds.unionByName(more), more
+    methods = holds.join(own.toDF("inner", "method", "signature"), "inner").select("owner", F.concat_ws(" ", "method", "signature").alias("method")).distinct()
+    sets = methods.join(types, "owner")
+    faces, concrete = sets.where("is_interface").select(F.col("owner").alias("name"), "method"), sets.where("not is_interface").select(F.col("owner").alias("name"), "method")
+    pairs = cut(resolve_interfaces(faces, concrete))
+    place = types.select("owner", "path")
+    found = pairs.join(place.toDF("type", "path"), "type").join(place.toDF("interface", "callee_path"), "interface")
+    out = found.select(F.col("type").alias("caller"), F.col("interface").alias("callee"), "path", F.lit(0).alias("line"), "callee_path", F.lit("implements").alias("link_type"))
+    name = F.substring_index("method", " ", 1)
+    per_method = found.join(faces.withColumnRenamed("name", "interface"), "interface")
+    satisfied = per_method.select(F.concat_ws(".", "type", name).alias("caller"), F.concat_ws(".", "interface", name).alias("callee"), "path", F.lit(0).alias("line"), "callee_path", F.lit("satisfies").alias("link_type"))
+    inner = links.join(faces.toDF("inner", "method"), "inner").join(types.where("is_interface").select("owner", "path"), "owner")
+    passed = inner.select(F.concat_ws(".", "owner", name).alias("caller"), F.concat_ws(".", "inner", name).alias("callee"), "path", F.lit(0).alias("line"), F.lit("").alias("callee_path"), F.lit("embeds").alias("link_type"))
+    return out.unionByName(satisfied).unionByName(passed).distinct()
+
+
 def neighborhood(symbols: DataFrame, edges: DataFrame, imports: DataFrame, path: str) -> DataFrame:
     """(kind, a, b) of a file: imports, exported symbols and calls."""
     imp = imports.where(F.col("path") == path).select(F.lit("IMP").alias("kind"), F.col("import").alias("a"), F.lit("").alias("b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,3 +134,27 @@ def diagnose(log: DataFrame, symbols: DataFrame) -> DataFrame:
     tail = F.element_at(F.split("file", "/"), -1)
     s = symbols.withColumn("base", F.element_at(F.split("path", "/"), -1))
     return refs.withColumn("base", tail).join(s, "base").where(F.endswith("path", "file") & (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))).select("file", "line", "name", "path")
+
+
+def hud(log: DataFrame, symbols: DataFrame, edges: DataFrame, files: DataFrame, blame: DataFrame, similar: Callable[[str], DataFrame] | None = None) -> DataFrame | None:
+    """One row on the first failure line of a log (line_no, line): failing_symbol, path, last_commit, risk_level, risk, blast, similar_path.
+
+    ``blame``: (path, line, commit, subject) of source lines. ``similar`` finds places
+    (path) like a symbol, best first. Facts that are not known are ``Unknown``, 0 or
+    ``None``; None itself if the log names no place.
+    """
+    from tessera.functions.strings import era, go_failure
+
+    ref = log.select("line_no", go_failure(F.col("line")).alias("r")).where("r is not null").orderBy("line_no").select("r.file", "r.line").first()
+    if ref is None:
+        return None
+    spark = log.sparkSession
+    base = spark.range(1).select(F.lit(ref.file).alias("file"), F.lit(ref.line).alias("line"))
+    commit = blame.where(F.endswith(F.lit(ref.file), F.col("path")) | F.endswith(F.col("path"), F.lit(ref.file))).where(F.col("line") == ref.line).limit(1).select(F.concat("commit", F.lit(" ("), era(F.col("subject")), F.lit(")")).alias("last_commit"))
+    at = diagnose(spark.createDataFrame([(f"    {ref.file}:{ref.line}:",)], "line string"), symbols).join(symbols.select("name", "path", "start_line"), ["name", "path"]).orderBy("start_line", "name").select("name", "path").first()
+    if at is None:
+        return base.join(commit, how="left").select(F.lit("Unknown").alias("failing_symbol"), F.col("file").alias("path"), F.coalesce("last_commit", F.lit("Unknown")).alias("last_commit"), F.lit("Unknown").alias("risk_level"), F.lit(0.0).alias("risk"), F.lit(0).cast("long").alias("blast"), F.lit("None").alias("similar_path"))
+    row = impact(symbols, edges, at["name"], at.path, files, max_depth=1).select("risk", "level", "blast")
+    near = similar(at["name"]).where(F.col("path") != at.path).limit(1).select(F.col("path").alias("similar_path")) if similar else spark.createDataFrame([], "similar_path string")
+    # one row on each side
+    return base.join(commit, how="left").join(row, how="left").join(near, how="left").select(F.lit(at["name"]).alias("failing_symbol"), F.lit(at.path).alias("path"), F.coalesce("last_commit", F.lit("Unknown")).alias("last_commit"), F.coalesce("level", F.lit("Unknown")).alias("risk_level"), F.coalesce("risk", F.lit(0.0)).alias("risk"), F.coalesce("blast", F.lit(0)).cast("long").alias("blast"), F.coalesce("similar_path", F.lit("None")).alias("similar_path"))

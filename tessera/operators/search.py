@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.strings import trim
@@ -25,12 +26,31 @@ def tokenize(c: Column) -> Column:
 
 
 def build_index(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Inverted index: (token, id, col, pos)."""
-    parts = [rows.select(F.col(key).alias("id"), F.lit(c).alias("col"), F.posexplode(tokenize(F.col(c))).alias("pos", "token")) for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("token", "id", "col", "pos")
+    """Inverted index: (token, id, col, pos), from one pass over the rows."""
+    texts = F.array(*[F.struct(F.lit(c).alias("col"), tokenize(F.col(c)).alias("tokens")) for c in columns])
+    each = rows.select(F.col(key).alias("id"), F.explode(texts).alias("t"))
+    return each.select("id", "t.col", F.posexplode("t.tokens").alias("pos", "token")).select("token", "id", "col", "pos")
+
+
+@dataclass(frozen=True)
+class Stored:
+    """A written index: postings in order of their tokens, and the number of tokens of every row."""
+
+    postings: DataFrame
+    lengths: DataFrame  # id, length
+
+
+def store_index(rows: DataFrame, key: str, columns: list[str], folder: str) -> Stored:
+    """Write the index of ``rows`` to ``folder``; a search then reads the row groups of its tokens only."""
+    postings = build_index(rows, key, columns)
+    postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id", "col", "pos").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
+    size = sum((F.size(tokenize(F.col(c))) for c in columns), F.lit(0))
+    rows.select(F.col(key).alias("id"), size.cast("long").alias("length")).write.mode("overwrite").parquet(f"{folder}/lengths")
+    return load_index(rows.sparkSession, folder)
+
+
+def load_index(spark: SparkSession, folder: str) -> Stored:
+    return Stored(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"))
 
 
 def sanitize(query: str) -> str:
@@ -47,8 +67,9 @@ def phrase_tokens(query: str) -> tuple[list[str], bool]:
     return [w for w in re.split(r"[\W_]+", body.lower()) if w], star
 
 
-def phrase_match(index: DataFrame, query: str) -> DataFrame:
+def phrase_match(index: DataFrame | Stored, query: str) -> DataFrame:
     """(id, col, pos) of every place where the query's tokens follow each other."""
+    index = index.postings if isinstance(index, Stored) else index
     tokens, star = phrase_tokens(query)
     if not tokens:
         return index.select("id", "col", "pos").limit(0)
@@ -61,7 +82,7 @@ def phrase_match(index: DataFrame, query: str) -> DataFrame:
     return found.distinct()
 
 
-def bm25(index: DataFrame, documents: DataFrame, query: str, weights: dict[str, float] | None = None) -> DataFrame:
+def bm25(index: DataFrame | Stored, documents: DataFrame, query: str, weights: dict[str, float] | None = None) -> DataFrame:
     """(id, relevance): BM25 of the query as one phrase, negated so that less is better.
 
     ``documents``: (id) of all rows, so that rows without tokens count too.
@@ -70,14 +91,19 @@ def bm25(index: DataFrame, documents: DataFrame, query: str, weights: dict[str,
     hits = phrase_match(index, query)
     weight = F.coalesce(F.element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))]), F.col("col")), F.lit(1.0)) if weights else F.lit(1.0)
     tf = hits.groupBy("id").agg(F.sum(weight).alias("tf"))
-    length = index.groupBy("id").agg(F.count("*").alias("length"))
-    totals = documents.agg(F.count("*").alias("n")).crossJoin(index.agg(F.count("*").alias("tokens"))).crossJoin(tf.agg(F.count("*").alias("df")))  # one row each
+    if isinstance(index, Stored):
+        length = index.lengths
+        facts = length.agg(F.count("*").alias("n"), F.sum("length").alias("tokens"))
+    else:
+        length = index.groupBy("id").agg(F.count("*").alias("length"))
+        facts = documents.agg(F.count("*").alias("n")).crossJoin(index.agg(F.count("*").alias("tokens")))
+    totals = facts.crossJoin(tf.agg(F.count("*").alias("df")))  # one row each
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") * F.col("n") / F.col("tokens"))
-    return tf.join(length, "id").crossJoin(F.broadcast(totals)).select("id", (-idf * F.col("tf") * (K1 + 1) / norm).alias("relevance"))
+    return length.join(tf, "id").crossJoin(F.broadcast(totals)).select("id", (-idf * F.col("tf") * (K1 + 1) / norm).alias("relevance"))
 
 
-def weighted_search(index: DataFrame, documents: DataFrame, query: str, limit: int = 500) -> DataFrame:
+def weighted_search(index: DataFrame | Stored, documents: DataFrame, query: str, limit: int = 500) -> DataFrame:
     return bm25(index, documents, query, COLUMN_WEIGHTS).orderBy("relevance", "id").limit(limit)
 
 
@@ -110,12 +136,12 @@ def fuse(text: DataFrame, vector: DataFrame, limit: int) -> DataFrame:
     return both.select("id", (part("a") + part("b")).alias("rrf_score")).orderBy(F.desc("rrf_score"), "id").limit(limit)
 
 
-def hybrid(index: DataFrame, documents: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int = 20) -> DataFrame:
+def hybrid(index: DataFrame | Stored, documents: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int = 20) -> DataFrame:
     text = rank(bm25(index, documents, query).orderBy("relevance", "id").limit(NEAREST), "relevance")
     return fuse(text, rank(knn(vectors, vector), "distance"), limit)
 
 
-def search(index: DataFrame, documents: DataFrame, vectors: DataFrame, query: str, embed: Callable[[str], list[float]] | None, limit: int = 20) -> DataFrame:
+def search(index: DataFrame | Stored, documents: DataFrame, vectors: DataFrame, query: str, embed: Callable[[str], list[float]] | None, limit: int = 20) -> DataFrame:
     """Hybrid search, or text search alone if there is no embedder or it fails."""
     vector = None
     if embed is not None:
@@ -128,6 +154,11 @@ def search(index: DataFrame, documents: DataFrame, vectors: DataFrame, query: st
     return hybrid(index, documents, vectors, query, vector, limit)
 
 
+def search_all(index: DataFrame | Stored, documents: DataFrame, vectors: DataFrame, observations: DataFrame, query: str, embed: Callable[[str], list[float]] | None, limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Both sides of one question: (id, rrf_score) of symbols, and the notes that have the text."""
+    return search(index, documents, vectors, query, embed, limit), insight_search(observations, query, limit)
+
+
 def twins(symbols: DataFrame, name: str, path: str) -> DataFrame:
     """Other symbols with the structure of (name, path); an error if it is not known."""
     mine = symbols.where((F.col("name") == name) & (F.col("path") == path)).select("structural_hash").distinct()

@@ -126,6 +126,22 @@ def snapshot_diff(old: DataFrame, new: DataFrame, name: str = "name") -> DataFra
     return a.join(b, name, "full_outer").select(name, state.alias("state"))
 
 
+def snapshot_id(path: Column, at: Column) -> Column:
+    """32 hex digits that name the snapshot of a file at a time, the same wherever they are computed."""
+    return F.substring(F.sha2(F.concat_ws("-", path, at.cast("string")), 256), 1, 32)
+
+
+def violations_of(violations: DataFrame, path: str) -> DataFrame:
+    """Violations of one file, in order of their lines."""
+    return violations.where(F.col("file_path") == path).orderBy("line", "rule_id")
+
+
+def candidates(symbols: DataFrame, name: str) -> DataFrame:
+    """(full, path) of the symbols that a short or full name can mean."""
+    full = fqn(F.col("package_path"), F.col("name"))
+    return symbols.where((F.col("name") == name) | (full == name)).select(full.alias("full"), "path").distinct()
+
+
 def symbols_of(symbols: DataFrame, type: str | None = None, path_prefix: str = "") -> DataFrame:  # noqa: A002
     out = symbols.where(path_starts(F.col("path"), path_prefix))
     return out if type is None else out.where(F.col("type") == type)
@@ -161,8 +177,7 @@ def resolve_name(symbols: DataFrame, name: str) -> tuple[str, str]:
     """The only (full name, path) of a short name; an error lists the candidates if there are more."""
     if "/" in name:
         return name, ""
-    full = fqn(F.col("package_path"), F.col("name"))
-    found = symbols.where((F.col("name") == name) | (full == name)).select(full.alias("f"), "path").distinct().orderBy("f", "path").limit(21).collect()
+    found = candidates(symbols, name).withColumnRenamed("full", "f").orderBy("f", "path").limit(21).collect()
     if len(found) != 1:
         listed = ", ".join(f"{r.f} ({r.path})" for r in found)
         raise LookupError(f"no symbol {name!r}" if not found else f"{name!r} is ambiguous: {listed}")
@@ -210,11 +225,14 @@ def directory_hashes(files: DataFrame, levels: int = 32) -> DataFrame:
     depth = F.size(F.split("path", "/"))
     rows = files.select("path", "hash").withColumn("depth", depth)
     deepest = min(levels, rows.agg(F.max("depth")).first()[0] or 0)
+    from tessera.operators.graph import cut as graph_cut
+
     folders: list[DataFrame] = []
     for d in range(deepest, 0, -1):
         here = rows.where(F.col("depth") == d)
         if folders:
             here = here.unionByName(folders[-1].withColumn("depth", depth).where(F.col("depth") == d))
         level = here.withColumn("parent", parent).groupBy("parent").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ""), 256).alias("hash"))
+        level = graph_cut(level)  # read by the level above and by the result
         folders.append(level.select(F.col("parent").alias("path"), "hash"))
     return reduce(DataFrame.unionByName, folders) if folders else files.select("path", "hash").limit(0)

@@ -17,19 +17,40 @@ MOST_FRAGMENT = 100 << 10
 
 
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, manifests: bool = False) -> DataFrame:
-    """(path, mtime, hash, content) of the source files under ``root``, paths relative to it."""
+    """(path, mtime, hash, content) of the source files under ``root``, paths relative to it.
+
+    Without ``ignore`` the patterns of the tree's own ignore files hold.
+    """
     base = root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = F.expr(f"substring(path, locate('{base}', path) + {len(base)})")
+    rows = scanned(files.withColumn("path", relative), ignore_patterns(spark, root) if ignore is None else ignore, manifests)
+    return rows.select("path", F.unix_micros("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("content"))
+
+
+def scanned(files: DataFrame, ignore: list[str] | None = None, manifests: bool = False) -> DataFrame:
+    """Of files (path, length, ...) those that a scan takes."""
     name = F.element_at(F.split("path", "/"), -1)
     wanted = F.col("path").rlike("(" + "|".join(map(re.escape, EXTENSIONS)) + ")$")
     if manifests:
         wanted = wanted | name.isin(MANIFESTS)
-    rows = files.where(F.col("length") <= MOST_BYTES).withColumn("path", relative).where(wanted)
-    rows = rows.where(~F.col("path").rlike("(^|/)(" + "|".join(map(re.escape, BLOCKED)) + ")/"))
-    if ignore:
-        rows = rows.where(~ignored(F.col("path"), ignore))
-    return rows.select("path", F.unix_micros("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("content"))
+    rows = files.where((F.col("length") <= MOST_BYTES) & wanted).where(~F.col("path").rlike("(^|/)(" + "|".join(map(re.escape, BLOCKED)) + ")/"))
+    return rows.where(~ignored(F.col("path"), ignore)) if ignore else rows
+
+
+def ignore_patterns(spark: SparkSession, root: str) -> list[str]:
+    """Lines of the ignore files of a tree, the repository's own last."""
+    out: list[str] = []
+    for name in (".gitignore", ".git/info/exclude"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(path):
+            stream = system.open(path)
+            try:
+                out += bytes(stream.readAllBytes()).decode("utf-8", "replace").splitlines()
+            finally:
+                stream.close()
+    return out
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:

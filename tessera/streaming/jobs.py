@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators import store, telemetry
-from tessera.operators.lines import AGGRESSIVE_NOISE, MODERATE_NOISE
+from tessera.operators import telemetry
+from tessera.operators.lines import ACTIONS, Stream
 from tessera.functions import strings as S
 from tessera.sources import events
 
-RESULT = "package string, test string, status string, output string, duration_ms long, target_symbol string"
+RESULT = "package string, test string, status string, output string, duration_ms long"
 
 
 def windowed_usage(rows: DataFrame, time: str, keys: list[str], value: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -32,20 +32,41 @@ def usage_counts(spark: SparkSession, folder: str, environment: str = "") -> Dat
     return rows.groupBy("symbol_name", "symbol_path", F.lit(environment).alias("environment")).agg(F.sum("hit_count").alias("hit_count"), F.max("last_used").alias("last_used"))
 
 
+USAGE_TABLE = "symbol_id long, environment string, hit_count long, last_used long"
+#: Batches after which the changes are merged into the base of a usage table.
+MERGE_EVERY = 16
+
+
 def ingest_usage(spark: SparkSession, folder: str, table: str, checkpoint: str, resolve: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Merge every micro-batch of usage lines into a Parquet table, a new version for each batch.
+    """Add every micro-batch of usage lines to a table as a part of its own; parts are merged now and then.
 
-    ``resolve`` gives (symbol_id, environment, hit_count, last_used). A batch that is
-    run again writes its own version again, from the version before it.
+    ``resolve`` gives (symbol_id, environment, hit_count, last_used). A batch that is run
+    again writes its own part again, and a merge that is run again reads the same parts.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        new = telemetry.usage_rollup(resolve(events.usage_of(batch)))
-        old = spark.read.schema("symbol_id long, environment string, hit_count long, last_used long").parquet(f"{table}/v{batch_id - 1}") if batch_id else None
-        merged = new if old is None else telemetry.merge_usage(old, new.select(*old.columns))
-        merged.write.mode("overwrite").parquet(f"{table}/v{batch_id}")
+    def add(batch: DataFrame, batch_id: int) -> None:
+        new = telemetry.usage_rollup(resolve(events.usage_of(batch))).select("symbol_id", "environment", "hit_count", "last_used")
+        new.write.mode("overwrite").parquet(f"{table}/part={batch_id}")
+        if batch_id and batch_id % MERGE_EVERY == 0:
+            usage_table(spark, table, batch_id).write.mode("overwrite").parquet(f"{table}/base={batch_id}")
+
+    return spark.readStream.text(folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return spark.readStream.text(folder).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def usage_table(spark: SparkSession, table: str, last: int | None = None) -> DataFrame:
+    """Usage up to batch ``last``: the newest base before it and the parts after that base."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(table)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName().partition("=") for f in system.listStatus(root)] if system.exists(root) else []
+    complete = lambda kind, n: system.exists(spark._jvm.org.apache.hadoop.fs.Path(root, f"{kind}={n}/_SUCCESS"))
+    found = sorted((kind, int(n)) for kind, _, n in names if kind in ("base", "part") and complete(kind, n))
+    base = max((n for kind, n in found if kind == "base" and (last is None or n < last)), default=-1)
+    paths = [f"{table}/base={base}"] if base >= 0 else []
+    paths += [f"{table}/part={n}" for kind, n in found if kind == "part" and n > base and (last is None or n <= last)]
+    if not paths:
+        return spark.createDataFrame([], USAGE_TABLE)
+    rows = spark.read.schema(USAGE_TABLE).parquet(*paths)
+    return rows.groupBy("symbol_id", "environment").agg(F.sum("hit_count").alias("hit_count"), F.max("last_used").alias("last_used"))
 
 
 def incremental(known: DataFrame, present: DataFrame) -> DataFrame:
@@ -61,9 +82,22 @@ def index_changes(spark: SparkSession, folder: str, schema: str, apply: Callable
 
 
 def line_filter(lines: DataFrame, level: str = "moderate") -> DataFrame:
-    """The actions that need no neighbour lines, on a stream of (line)."""
-    bare = lines.withColumn("line", S.strip_ansi(F.col("line")))
-    return bare.where(~S.any_match(F.col("line"), AGGRESSIVE_NOISE if level == "aggressive" else MODERATE_NOISE))
+    """The noise filter on a stream of (line)."""
+    return line_pipeline(lines, [{"action": "strip_ansi"}, {"action": "noise_filter", "level": level}])
+
+
+#: Actions that look at one line at a time, and so run on streams.
+STATELESS = {"keep_lines", "remove_lines", "truncate_lines", "strip_ansi", "compact_path", "noise_filter", "regex_extract"}
+
+
+def line_pipeline(lines: DataFrame, pipeline: list[dict]) -> DataFrame:
+    """A pipeline of actions that need no neighbour lines, on a stream of (line); another action is an error."""
+    s = Stream(lines)
+    for step in pipeline:
+        if step["action"] not in STATELESS:
+            raise ValueError(f"{step['action']!r} needs whole documents")
+        s = ACTIONS[step["action"]](s, **{k: v for k, v in step.items() if k != "action"})
+    return s.lines
 
 
 def test_results(rows: DataFrame, forget_after: str = "1 hour") -> DataFrame:
@@ -88,10 +122,8 @@ def test_results(rows: DataFrame, forget_after: str = "1 hour") -> DataFrame:
                 elif r["action"] == "output":
                     held = [held[0] + (r["output"] or "")]
                 elif r["action"] in ("pass", "fail", "skip"):
-                    parts = key[1].removeprefix("Test").split("_")
-                    target = ".".join(parts[:2]) if len(parts) > 1 and parts[0] == "Store" else parts[0]
                     elapsed = r["elapsed"] if r["elapsed"] == r["elapsed"] and r["elapsed"] else 0
-                    done.append((*key, r["action"], held[0], int(elapsed * 1000), target))
+                    done.append((*key, r["action"], held[0], int(elapsed * 1000)))
                     held = [""]
         if held[0]:
             state.update((held[0],))
@@ -99,18 +131,13 @@ def test_results(rows: DataFrame, forget_after: str = "1 hour") -> DataFrame:
         elif state.exists:
             state.remove()
         if done:
-            yield pd.DataFrame(done, columns=["package", "test", "status", "output", "duration_ms", "target_symbol"])
+            yield pd.DataFrame(done, columns=["package", "test", "status", "output", "duration_ms"])
 
     keyed = rows.where("test is not null and test <> ''").groupBy("package", "test")
-    return keyed.applyInPandasWithState(step, RESULT, "output string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    done = keyed.applyInPandasWithState(step, RESULT, "output string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return done.withColumn("target_symbol", S.map_test_to_symbol(F.col("test")))
 
 
 def fresh_notes(rows: DataFrame, time: str = "created_at", within: str = "24 hours") -> DataFrame:
     """Notes whose text did not come in the time before."""
     return rows.withWatermark(time, within).dropDuplicatesWithinWatermark(["content"])
-
-
-def save(tables: dict[str, DataFrame], batch: dict[str, DataFrame], folder: str, version: int) -> None:
-    """Write the next version of all tables; readers change over when all are there."""
-    for name, df in store.save_batch(tables, batch).items():
-        df.write.mode("overwrite").parquet(f"{folder}/v{version}/{name}")

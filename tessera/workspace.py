@@ -1,13 +1,18 @@
 """A stored code base and the questions asked of it.
 
-Tables are Parquet, a folder for each version; a version counts once its marker is
-there, so readers never see half of one and a broken write leaves the last one.
+Tables are Parquet. A version is a file that names, for each table, the folder with its
+rows; a change writes the tables that it changes and then that file, so readers never
+see half of a version and a broken write leaves the last one. The newest versions are
+kept, with the folders that they name. There is one writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.vectors import hash_embedder
 from tessera.operators import encode, graph, parse, risk, search, store, telemetry
@@ -16,47 +21,73 @@ from tessera.sources import events, files, specs
 from tessera.streaming.jobs import incremental
 
 TABLES = ["file_index", "symbols", "calls", "flows", "dependencies", "violations", "symbol_usage", "test_results", "commands", "observations", "vec_symbols"]
-EXTRA = {"contents": "path string, content string", "imports": "path string, import string"}
+EXTRA = {"contents": "path string, content string", "imports": "path string, import string", "blame": "path string, line int, commit string, subject string", "hits": "id long"}
 DIMENSION = 64
+KEPT_VERSIONS = 10
 
 
 class Workspace:
     def __init__(self, spark: SparkSession, root: str):
-        from pyarrow import fs
-
         self.spark, self.root = spark, root.rstrip("/")
-        self.system, self.plain = fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
-        self.system.create_dir(self.plain, recursive=True)
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self.at = lambda *parts: hadoop.Path("/".join([self.root, *parts]))
+        self.system = self.at().getFileSystem(spark._jsc.hadoopConfiguration())
+        self.system.mkdirs(self.at("versions"))
 
     # ---- tables
 
-    def version(self) -> int:
-        from pyarrow import fs
+    def versions(self) -> list[int]:
+        return sorted(int(f.getPath().getName()) for f in self.system.listStatus(self.at("versions")) if f.getPath().getName().isdigit())
 
-        found = self.system.get_file_info(fs.FileSelector(self.plain))
-        return max((int(f.base_name[4:]) for f in found if f.base_name.startswith("done")), default=-1)
-
-    def table(self, name: str) -> DataFrame:
+    def version(self) -> int:
+        return max(self.versions(), default=-1)
+
+    def manifest(self, version: int) -> dict[str, str]:
+        """Folder of each table of a version."""
+        if version < 0:
+            return {}
+        stream = self.system.open(self.at("versions", str(version)))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def table(self, name: str, version: int | None = None) -> DataFrame:
         ddl = EXTRA.get(name) or store.SCHEMAS[name]
-        v = self.version()
-        if v < 0:
+        folder = self.manifest(self.version() if version is None else version).get(name)
+        if folder is None:
             return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(ddl).parquet(f"{self.root}/v{v}/{name}")
+        return self.spark.read.schema(ddl).parquet(f"{self.root}/{folder}")
 
     def save(self, changed: dict[str, DataFrame]) -> None:
-        """The next version: changed tables, the others as they are."""
-        v = self.version() + 1
-        for name in [*TABLES, *EXTRA]:
-            df = changed.get(name)
-            if df is None:
-                df = self.table(name)
-            else:
-                from pyspark.sql.types import StructType
-
-                df = store.conform(df, StructType.fromDDL(EXTRA.get(name) or store.SCHEMAS[name]))
-            df.write.mode("overwrite").parquet(f"{self.root}/v{v}/{name}")
-        with self.system.open_output_stream(f"{self.plain}/done{v}") as f:
-            f.write(b"")
+        """The next version: changed tables are written, the others stay where they are."""
+        v = self.version()
+        now = self.manifest(v)
+        for name, df in changed.items():
+            folder = f"tables/{name}/{v + 1}"
+            store.conform(df, T.StructType.fromDDL(EXTRA.get(name) or store.SCHEMAS[name])).write.mode("overwrite").parquet(f"{self.root}/{folder}")
+            now[name] = folder
+        self.commit(v + 1, now)
+        self.prune()
+
+    def commit(self, version: int, manifest: dict[str, str]) -> None:
+        draft, final = self.at("versions", f".{version}"), self.at("versions", str(version))
+        stream = self.system.create(draft, True)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        if not self.system.rename(draft, final):
+            raise RuntimeError(f"version {version} exists already")
+
+    def prune(self) -> None:
+        """Remove old versions and the folders that none of the others names."""
+        found = self.versions()
+        old, kept = found[:-KEPT_VERSIONS], found[-KEPT_VERSIONS:]
+        named = {f for v in kept for f in self.manifest(v).values()}
+        gone = {f for v in old for f in self.manifest(v).values()} - named
+        for v in old:
+            self.system.delete(self.at("versions", str(v)), False)
+        for f in gone:
+            self.system.delete(self.at(*f.split("/")), True)
 
     # ---- filling
 
@@ -74,7 +105,9 @@ class Workspace:
         keep = lambda name, column="path": store.clear_paths(self.table(name), stale, column)
         merge = lambda name, rows, column="path": keep(name, column).unionByName(rows, allowMissingColumns=True)
         every = merge("symbols", symbols)
-        edges = merge("calls", calls)
+        written = keep("calls").where(~F.col("link_type").isin("implements", "satisfies") | (F.col("line") > 0)).where("not (link_type = 'embeds' and line = 0)").unionByName(calls)
+        go = every.where(F.col("path").endswith(".go"))
+        edges = store.insert_ignore(written.unionByName(graph.interface_edges(go, written))) if not go.isEmpty() else written
         ranked = graph.centrality(every, edges, "fqn").withColumn("relevance", F.col("centrality").cast("double"))
         embed = hash_embedder(DIMENSION)
         text = F.concat_ws(" ", "name", F.when(F.coalesce("doc", F.lit("")) != "", F.col("doc")).otherwise(F.col("signature")))
@@ -123,13 +156,45 @@ class Workspace:
 
     # ---- questions
 
-    def search(self, query: str, limit: int = 20, path_prefix: str = "") -> DataFrame:
+    def search_index(self) -> search.Stored:
+        """The inverted index of the symbols, written anew once their table has changed."""
+        folder = self.manifest(self.version()).get("symbols", "")
+        path = f"indexes/{folder.rsplit('/', 1)[-1] or 'none'}"
+        if not self.system.exists(self.at(path, "lengths", "_SUCCESS")):
+            self.system.delete(self.at("indexes"), True)
+            return search.store_index(self.table("symbols"), "id", list(search.COLUMN_WEIGHTS), f"{self.root}/{path}")
+        return search.load_index(self.spark, f"{self.root}/{path}")
+
+    def search(self, query: str, limit: int = 20, path_prefix: str = "", bump: bool = True) -> DataFrame:
+        return self.search_all(query, limit, path_prefix, bump)[0]
+
+    def search_all(self, query: str, limit: int = 20, path_prefix: str = "", bump: bool = True) -> tuple[DataFrame, DataFrame]:
+        """Symbols by reciprocal ranks of text and vectors, and the notes with the text; found symbols get a hit."""
         s = store.symbols_of(self.table("symbols"), path_prefix=path_prefix)
-        index = search.build_index(s, "id", list(search.COLUMN_WEIGHTS))
+        index = self.search_index()
+        if path_prefix:
+            index = search.Stored(index.postings.join(s.select("id"), "id", "left_semi"), index.lengths.join(s.select("id"), "id", "left_semi"))
         vectors = self.table("vec_symbols").withColumnRenamed("symbol_id", "id")
+        if path_prefix:
+            vectors = vectors.join(s.select("id"), "id", "left_semi")
         embed = lambda q: list(self.spark.range(1).select(hash_embedder(DIMENSION)(F.lit(q)).alias("v")).first().v)
-        found = search.search(index, s.select("id"), vectors, query, embed, limit)
-        return s.join(found, "id").select("name", "type", "path", "start_line", "end_line", F.round("rrf_score", 6).alias("score")).orderBy(F.desc("score"), "path", "name")
+        found, notes = search.search_all(index, s.select("id"), vectors, self.table("observations"), query, embed, limit)
+        found = graph.cut(found)  # ``limit`` rows, read for the answer and for the hits
+        if bump:
+            self.save({"hits": self.table("hits").unionByName(found.select("id"))})
+        return s.join(found, "id").select("name", "type", "path", "start_line", "end_line", F.round("rrf_score", 6).alias("score")).orderBy(F.desc("score"), "path", "name"), notes
+
+    def symbols_with_hits(self) -> DataFrame:
+        """Symbols with the hits of searches added to those of usage."""
+        hits = self.table("hits").groupBy("id").agg(F.count("*").alias("_hits"))
+        s = self.table("symbols")
+        return s.join(hits, "id", "left").withColumn("runtime_hits", F.col("runtime_hits") + F.coalesce("_hits", F.lit(0))).select(*s.columns)
+
+    def diagnose(self, log: str) -> DataFrame | None:
+        """What is known of the first failure that a log names: symbol, last commit, risk, blast and a like place."""
+        lines = L.of_texts(self.spark.createDataFrame([(0, log)], "doc_id int, text string")).lines
+        similar = lambda name: self.search(name, 10, bump=False)
+        return risk.hud(lines, self.table("symbols"), self.table("calls"), self.table("file_index"), self.table("blame"), similar)
 
     def impact(self, name: str, max_depth: int = 3) -> tuple[DataFrame, DataFrame]:
         """The symbol's risk row and its callers by distance."""
@@ -184,7 +249,7 @@ class Workspace:
 
     def verify(self, version: int) -> DataFrame:
         """Symbols that changed since an earlier version."""
-        old = self.spark.read.parquet(f"{self.root}/v{version}/symbols")
+        old = self.table("symbols", version)
         key = F.concat_ws(":", "path", "name").alias("name")
         columns = [key, "structural_hash", "logic_hash"]
         return store.snapshot_diff(old.select(*columns), self.table("symbols").select(*columns)).where("state <> 'unchanged'").orderBy("name")
@@ -192,6 +257,9 @@ class Workspace:
     def audit(self, rules: list[parse.ArchRule]) -> DataFrame:
         return parse.audit(self.table("contents"), rules)
 
+    def structural(self, pattern: str, inside: str = "", has: str = "") -> DataFrame:
+        return parse.structural_search(self.table("contents"), pattern, inside, has).orderBy("path", "line")
+
     def gain(self, period: str = "daily") -> DataFrame:
         return {"summary": telemetry.summary, "daily": telemetry.daily, "weekly": telemetry.weekly, "monthly": telemetry.monthly, "commands": telemetry.by_command, "recent": telemetry.recent}[period](self.table("commands"))
 

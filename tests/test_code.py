@@ -128,8 +128,8 @@ def test_affected_tests(spark):
 def test_ripple(spark):
     e = edges(spark, ("b", "a", "f", 1, "", "call"), ("c", "b", "f", 2, "", "call"), ("a", "i", "f", 3, "", "implements"), ("d", "i", "f", 4, "", "call"), ("x", "y", "f", 5, "", "call"))
     assert {(r.caller, r.callee, r.depth) for r in graph.ripple(e, "a", 2).collect()} == {("b", "a", 1), ("a", "i", 1), ("c", "b", 2), ("d", "i", 2)}
-    kinds = {(r.kind, r.symbol) for r in graph.discover_tasks(symbols(spark, ("a", "function", "", "f", 1, 2)), e, "a", 1).collect()}
-    assert kinds == {("definition", "a"), ("caller", "b"), ("hierarchy", "a")}
+    tasks = {(r.kind, r.symbol, r.impacted, r.depth) for r in graph.discover_tasks(symbols(spark, ("a", "function", "", "f", 1, 2)), e, "a", 2).collect()}
+    assert tasks == {("definition", "a", "a", 0), ("caller", "a", "b", 1), ("hierarchy", "a", "i", 1), ("caller", "b", "c", 2), ("caller", "i", "d", 2)}
 
 
 def test_pagerank(spark):

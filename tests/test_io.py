@@ -3,6 +3,8 @@
 import datetime
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessera.functions import strings as S
@@ -79,12 +81,33 @@ def test_usage_stream(spark, tmp_path):
         (tmp_path / "in" / f"{i}.jsonl").write_text(json.dumps({"symbol_name": "f", "hit_count": hits, "last_used": 1000 * (i + 1)}) + "\nbad\n")
         q = jobs.ingest_usage(spark, f"{tmp_path}/in", f"{tmp_path}/table", f"{tmp_path}/checkpoint", resolve)
         q.awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/table/v1").collect()] == [(1, "prod", 8, 2000)]
+    assert [tuple(r) for r in jobs.usage_table(spark, f"{tmp_path}/table").collect()] == [(1, "prod", 8, 2000)]
+    assert [tuple(r) for r in jobs.usage_table(spark, f"{tmp_path}/table", 0).collect()] == [(1, "prod", 5, 1000)]
     q = jobs.usage_counts(spark, f"{tmp_path}/in").writeStream.format("memory").queryName("usage_counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("usage_counts").first().hit_count == 8
 
 
+def test_usage_parts_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "MERGE_EVERY", 2)
+    (tmp_path / "in").mkdir()
+    resolve = lambda df: df.select(F.lit(1).cast("long").alias("symbol_id"), F.lit("prod").alias("environment"), "hit_count", "last_used")
+    for i in range(4):
+        (tmp_path / "in" / f"{i}.jsonl").write_text(json.dumps({"symbol_name": "f", "hit_count": 10**i, "last_used": i + 1}) + "\n")
+        jobs.ingest_usage(spark, f"{tmp_path}/in", f"{tmp_path}/table", f"{tmp_path}/checkpoint", resolve).awaitTermination()
+    assert (tmp_path / "table" / "base=2").is_dir() and jobs.usage_table(spark, f"{tmp_path}/table").first().hit_count == 1111
+
+
+def test_notes_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, (text, at) in enumerate([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 01:00:00"), ("b", "2024-01-01 02:00:00")]):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"content": text, "created_at": at}))
+    rows = spark.readStream.schema("content string, created_at timestamp").json(f"{tmp_path}/in")
+    q = jobs.fresh_notes(rows).writeStream.format("memory").queryName("notes").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.content for r in spark.table("notes").collect()) == ["a", "b"]
+
+
 def test_window_stream(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     rows.write.parquet(f"{tmp_path}/in")
@@ -111,6 +134,10 @@ def test_line_and_note_streams(spark, tmp_path):
     q = jobs.line_filter(spark.readStream.text(f"{tmp_path}/in").withColumnRenamed("value", "line"), "aggressive").writeStream.format("memory").queryName("kept").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.line for r in spark.table("kept").collect()] == ["keep"]
+    with pytest.raises(ValueError):
+        jobs.line_pipeline(spark.range(1), [{"action": "head", "n": 3}])
+    cut = jobs.line_pipeline(spark.createDataFrame([("src/abcdefgh",)], "line string"), [{"action": "compact_path"}, {"action": "truncate_lines", "max": 6}])
+    assert cut.first().line == "abc..."
     seen = []
     q = jobs.index_changes(spark, f"{tmp_path}/in", "path string", lambda df: seen.append(df.count()), f"{tmp_path}/cp")
     q.awaitTermination()

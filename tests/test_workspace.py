@@ -37,12 +37,50 @@ def test_questions(w):
     assert w.read("boost") == "def boost(x):\n    return scale(x)"
     assert {(r.kind, r.a) for r in w.neighborhood("use.py").collect()} >= {("IMP", "core"), ("CALL", "use.test_scale")}
     assert w.context("core.py").first().symbols == 2 and w.flow("core.scale:return0").count() == 1
-    assert {r.symbol for r in w.propagate("scale", 1).collect()} >= {"core.boost"}
+    assert {r.impacted for r in w.propagate("scale", 1).collect()} >= {"core.boost"}
     page, cursor = w.callers("scale")
     assert page.count() == 2 and cursor
     assert [r.line for r in w.audit([ArchRule("a", "scale($X)", "no")]).orderBy("file_path").collect()] == [6, 5]
     assert w.table("dependencies").first().name == "a.b/c"
     assert w.condense("a\n\na\nb", ["ls"]) == ["a [x2]", "b"]
+    assert [r.path for r in w.structural("scale($X)").collect()] == ["core.py", "use.py"]
+    before = w.version()
+    found, notes = w.search_all("boost")
+    assert found.first().name == "boost" and notes.count() == 0 and w.version() == before + 1
+    assert w.symbols_with_hits().where("name = 'boost'").first().runtime_hits == w.table("hits").join(w.table("symbols").where("name = 'boost'"), "id").count() > 0
+    row = w.diagnose("x\n    core.py:2: boom\n".replace("core.py", "core.go")) or w.diagnose("    nowhere.go:1: x")
+    assert row.first().failing_symbol == "Unknown" and w.diagnose("fine") is None
+
+
+def test_versions_keep_what_they_name(spark, tmp_path):
+    space = Workspace(spark, str(tmp_path / "s"))
+    row = lambda i: spark.createDataFrame([(i,)], "id long")
+    space.save({"hits": row(1), "imports": spark.createDataFrame([("a", "b")], "path string, import string")})
+    for i in range(2, 14):
+        space.save({"hits": row(i)})
+    assert space.version() == 12 and len(space.versions()) == 10
+    assert space.table("hits").first().id == 13 and space.table("hits", 5).first().id == 6
+    assert space.table("imports").first()["import"] == "b" and len(list((tmp_path / "s" / "tables" / "hits").iterdir())) == 10
+    assert space.table("calls").count() == 0
+
+
+def test_go_interfaces_are_linked(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.go").write_text("package shop\n\ntype Named interface {\n\tName() string\n}\n\ntype Payer interface {\n\tNamed\n\tPay(n int) error\n}\n")
+    (src / "b.go").write_text("package shop\n\ntype Base struct{}\n\nfunc (b Base) Name() string { return \"\" }\n\ntype Cart struct {\n\tBase\n}\n\nfunc (c *Cart) Pay(n int) error { return nil }\n\ntype Odd struct{}\n\nfunc (o Odd) Name() int { return 1 }\n")
+    (src / ".gitignore").write_text("skip.go\n")
+    (src / "skip.go").write_text("package shop\n\nfunc Skipped() {}\n")
+    space = Workspace(spark, str(tmp_path / "s"))
+    assert space.index(f"file:{src}") == {"parse": 2, "gone": 0}
+    got = {(r.caller, r.callee, r.link_type) for r in space.table("calls").collect()}
+    p = "shop."
+    assert got == {
+        (p + "Payer", p + "Named", "embeds"), (p + "Cart", p + "Base", "embeds"), (p + "Payer.Name", p + "Named.Name", "embeds"),
+        (p + "Cart", p + "Payer", "implements"), (p + "Cart", p + "Named", "implements"), (p + "Base", p + "Named", "implements"),
+        (p + "Cart.Pay", p + "Payer.Pay", "satisfies"), (p + "Cart.Name", p + "Payer.Name", "satisfies"), (p + "Cart.Name", p + "Named.Name", "satisfies"), (p + "Base.Name", p + "Named.Name", "satisfies"),
+    }
+    assert {r.caller for r in space.impact("Named")[1].collect()} >= {p + "Cart", p + "Payer"}
 
 
 def test_changes(w, spark, capsys):
