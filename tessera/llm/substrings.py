@@ -58,7 +58,7 @@ from tessera.llm.scratch import fresh_path, held, materialize, release, small_ba
 LENGTH = 200
 GRAM = 48
 #: An anchor with more different stretches than this is counted by window instead of in one task.
-MOST_IN_TASK = 1024
+MOST_IN_TASK = 4096
 #: Stretches that a task compares at a time, but for those of one anchor.
 CHUNK = 2048
 #: Bytes of texts in a part file, but for a longer text; a task sorts the suffixes of a part at a time.
@@ -294,7 +294,7 @@ def count_windows(classes: DataFrame, job: Job) -> tuple[DataFrame, list[DataFra
         w = job.name(textvec.Rolling(texts.buf[low:high]).grams(length)[texts.place(row)[owner] + place - low])
         yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), same(len(owner), rows["part"][0].as_py()), pa.array(row[owner].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(rows["single"].to_numpy(zero_copy_only=False)[owner])], ["w", "part", "row", "start", "single"])
 
-    windows = held(by_part(classes, job.parts, "row", "start").mapInArrow(run, "w long, part string, row int, start int, single boolean"))
+    windows = materialize(by_part(classes, job.parts, "row", "start").mapInArrow(run, "w long, part string, row int, start int, single boolean"), "windows")
     wanted = windows.groupBy("w").agg(F.count("*").alias("k"), F.max("single").alias("s")).where("k > 1 and s").select("w")
     wanted = held(wanted)  # see candidates
     return windows.join(wanted, "w").select("part", "row", "start", F.lit(length).alias("length"), F.xxhash64("w").alias("c")), [windows, wanted]
@@ -309,19 +309,18 @@ def candidates(found: DataFrame, job: Job) -> DataFrame:
     stretch = ["h", "u", "n"]
     differ = (F.min("u") != F.max("u")) | (F.min("n") != F.max("n"))
     groups = held(found.groupBy("h").agg(F.count("*").alias("k"), differ.alias("differ")).where("k > 1").select("h", "differ"))
-    shared = held(found.join(groups, "h"))
-    of = held(shared.where("differ").groupBy(*stretch).agg(F.count("*").alias("k"), F.min(F.struct("part", "row", "start", "n")).alias("one")))
+    shared = materialize(found.join(groups, "h"), "shared")
+    of = materialize(shared.where("differ").groupBy(*stretch).agg(F.count("*").alias("k"), F.min(F.struct("part", "row", "start", "n")).alias("one")), "classes")
     again = with_twin(shared.where("differ"), of, stretch)
     clean = shared.where("not differ").unionByName(again).select("part", "row", "start", (F.col("n") + (job.length - 1)).cast("int").alias("length"), F.xxhash64(*stretch).alias("c"))
     sizes = held(of.groupBy("h").agg(F.count("*").alias("different")))
-    classes = held(of.join(sizes, "h").select("one.part", "one.row", "one.start", "one.n", "h", (F.col("k") == 1).alias("single"), (F.col("different") > MOST_IN_TASK).alias("many")))
+    classes = materialize(of.join(sizes, "h").select("one.part", "one.row", "one.start", "one.n", "h", (F.col("k") == 1).alias("single"), (F.col("different") > MOST_IN_TASK).alias("many")), "differing")
     out = clean.unionByName(compare(classes.where("not many").drop("many"), job))
     used = [groups, shared, of, sizes, classes]
     if not classes.where("many").isEmpty():
         more, tables = count_windows(classes.where("many").drop("many"), job)
         out, used = out.unionByName(more), [*used, *tables]
-    out = held(out)
-    out.count()  # from here on it is read from disk, and needs no other table
+    out = materialize(out, "suffixes")
     release(*used)
     return out
 
@@ -523,6 +522,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = 6
     merged = sort_and_merge(suffixes, job)
     wrong = misnamed(merged)
     if not wrong.isEmpty():
-        merged = sort_and_merge(held(reexamined(suffixes, held(wrong), found, length)), job)
+        merged = sort_and_merge(materialize(reexamined(suffixes, held(wrong), found, length), "suffixes"), job)
     release(listed, suffixes)
     return remove(names, merged, job)
