@@ -8,10 +8,13 @@ operator is defined by paths.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.strings import fqn
@@ -24,21 +27,24 @@ DAMPING = 0.85
 CUT_EVERY = 5
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and read them from there."""
-    context = df.sparkSession.sparkContext
+def shared_folder(session: SparkSession) -> str:
+    """The folder that all executors share; a temporary one in local mode only."""
+    context = session.sparkContext
+    where = session.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, where, True)
+        where = f"file://{where}"
     if not context.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import atexit
-            import shutil
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="tessera-")
-            atexit.register(shutil.rmtree, where, True)
         context.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared checkpoint folder and read them from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -52,6 +52,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_size").cast("int").alias("start_line"), (F.col("p_size") + k % 40).cast("int").alias("end_line"), F.lit(0).alias("start_col"),
         F.col("p_brand").alias("signature"), F.col("p_name").alias("doc"), F.col("p_type").alias("structural_hash"), F.lit("").alias("logic_hash"),
         (k % 11).cast("long").alias("runtime_hits"), ((k % 10) / 10.0).alias("churn_score"), ((k % 100) / 1000.0).alias("pagerank"),
+        F.format_string('{"cyclomatic": 1, "cognitive": %d}', k % 60).alias("metrics_json"), (k * 10).cast("long").alias("start_byte"), (k * 10 + 7).cast("long").alias("end_byte"), (k % 30 * 1.0).alias("relevance"),
     )
 
 

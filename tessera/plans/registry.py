@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,29 +13,11 @@ from tessera.functions import vectors as V
 from tessera.operators import encode, graph, risk, search, store, telemetry
 from tessera.operators import lines as L
 from tessera.plans import adapters as A
+from tessera.plans.base import ORACLES, QUERIES, SEED, query, rounded, with_
 from tessera.plans.adapters import COMMANDS_SQL, COMMITS_SQL, EDGES_SQL, LINES_SQL, OBSERVATIONS_SQL, SYMBOLS_SQL, USAGE_SQL
 from tessera.streaming import jobs
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 NOW = datetime.datetime(2024, 1, 31)
-SEED = 3
-
-
-def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            ORACLES[key] = sql
-        return f
-
-    return add
-
-
-def with_(**ctes: str) -> str:
-    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in ctes.items()) + " "
 
 
 def lines(s: SparkSession, d: str) -> L.Stream:
@@ -251,12 +233,6 @@ def shard_route(s, d):
 SUMS = "CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(saved_tokens) AS BIGINT) AS saved_tokens, round(coalesce(sum(saved_tokens) * 100.0 / nullif(sum(input_tokens), 0), 0), 6) AS avg_savings"
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    for c in columns or [c for c, t in df.dtypes if t == "double"]:
-        df = df.withColumn(c, F.round(c, 6))
-    return df
-
-
 @query(f"SELECT count(*) AS total_commands, CAST(sum(saved_tokens) AS BIGINT) AS total_saved, round(sum(saved_tokens) * 100.0 / nullif(sum(input_tokens), 0), 6) AS avg_savings, CAST(sum(exec_time_ms) AS BIGINT) AS total_time_ms FROM ({COMMANDS_SQL})")
 def summary(s, d):
     return rounded(telemetry.summary(A.commands(s, d)))
@@ -392,14 +368,8 @@ def callees(s, d):
     return graph.callees(A.edges(s, d), f"Sym{SEED}", 10)
 
 
-@query(f"SELECT id, name, path FROM ({SYMBOLS_SQL}) s WHERE NOT EXISTS (SELECT 1 FROM ({EDGES_SQL}) e WHERE e.callee = s.name AND e.line = 1) AND path NOT ILIKE '%_test.go' AND name GLOB '[a-z]*' AND name NOT IN ('main', 'init')")
-def unused_symbols(s, d):
-    return store.unused(A.symbols(s, d), A.edges(s, d).where("line = 1"), limit=None).select("id", "name", "path")
-
-
 @query(f"SELECT id, name, path FROM ({SYMBOLS_SQL}) s WHERE NOT EXISTS (SELECT 1 FROM ({EDGES_SQL}) e WHERE e.callee = s.name) AND path NOT ILIKE '%_test.go' AND name GLOB '[a-z]*' AND name NOT IN ('main', 'init')")
-def unused_symbols_whole(s, d):
-    """unused_symbols over all calls; its SQL has those of line 1."""
+def unused_symbols(s, d):
     return store.unused(A.symbols(s, d), A.edges(s, d), limit=None).select("id", "name", "path")
 
 
@@ -504,22 +474,6 @@ def critical(s, d):
     return graph.critical(A.symbols(s, d), A.edges(s, d), failed).select("id", "centrality", "fragility")
 
 
-@query(
-    with_(e=EDGES_SQL, one=f"SELECT DISTINCT caller, path, link_type FROM e WHERE callee = 'Sym{SEED}' AND callee_path IN ('/pkg3/f3.go', '')")
-    + "SELECT DISTINCT * FROM (SELECT caller, path, 1 AS distance, link_type FROM one UNION ALL SELECT e.caller, e.path, 2, e.link_type FROM one JOIN e ON e.callee = one.caller AND (e.callee_path = one.path OR e.callee_path = '') WHERE NOT (e.caller = one.caller AND e.path = one.path))"
-)
-def blast_radius(s, d):
-    return graph.blast_radius(A.edges(s, d), [f"Sym{SEED}"], "/pkg3/f3.go", 2)
-
-
-@query(
-    "WITH RECURSIVE s AS (" + SYMBOLS_SQL + "), e AS (" + EDGES_SQL + f"), a AS (SELECT name, path, 0 AS k FROM s WHERE name = 'Sym{SEED}' AND path = '/pkg3/f3.go' UNION SELECT e.caller, e.path, a.k + 1 FROM e JOIN a ON e.callee = a.name AND (e.callee_path = a.path OR e.callee_path = '') WHERE a.k < 2)"
-    " SELECT DISTINCT id, name, path FROM s JOIN (SELECT DISTINCT name, path FROM a) USING (name, path) WHERE path ILIKE '%_test.go' OR (name ILIKE 'Test%' AND type IN ('function', 'method'))"
-)
-def affected_tests(s, d):
-    return graph.affected_tests(A.symbols(s, d), A.edges(s, d), f"Sym{SEED}", "/pkg3/f3.go", 2).select("id", "name", "path")
-
-
 SIMPLE = "NOT (e.caller = {0}.caller AND e.path = {0}.path)"
 
 
@@ -532,14 +486,15 @@ SIMPLE = "NOT (e.caller = {0}.caller AND e.path = {0}.path)"
     )
     + "SELECT caller, path, 1 AS distance, link_type FROM one UNION SELECT caller, path, 2, link_type FROM two UNION SELECT caller, path, 3, link_type FROM three"
 )
-def blast_radius_whole(s, d):
-    """blast_radius to its default depth; its SQL goes to 2."""
+def blast_radius(s, d):
     return graph.blast_radius(A.edges(s, d), [f"Sym{SEED}"], "/pkg3/f3.go")
 
 
-@query(ORACLES["affected_tests"].replace("a.k < 2", "a.k < 10"))
-def affected_tests_whole(s, d):
-    """affected_tests to its default depth; its SQL goes to 2."""
+@query(
+    "WITH RECURSIVE s AS (" + SYMBOLS_SQL + "), e AS (" + EDGES_SQL + f"), a AS (SELECT name, path, 0 AS k FROM s WHERE name = 'Sym{SEED}' AND path = '/pkg3/f3.go' UNION SELECT e.caller, e.path, a.k + 1 FROM e JOIN a ON e.callee = a.name AND (e.callee_path = a.path OR e.callee_path = '') WHERE a.k < 10)"
+    " SELECT DISTINCT id, name, path FROM s JOIN (SELECT DISTINCT name, path FROM a) USING (name, path) WHERE path ILIKE '%_test.go' OR (name ILIKE 'Test%' AND type IN ('function', 'method'))"
+)
+def affected_tests(s, d):
     return graph.affected_tests(A.symbols(s, d), A.edges(s, d), f"Sym{SEED}", "/pkg3/f3.go").select("id", "name", "path")
 
 
@@ -563,57 +518,30 @@ def churn(s, d):
     return rounded(graph.churn(A.commits(s, d)))
 
 
-PAGERANK_STEPS = 5
 WEIGHT = "CASE link_type WHEN 'implements' THEN 10.0 WHEN 'satisfies' THEN 5.0 ELSE 1.0 END"
 
 
-def pagerank_sql(steps: int) -> str:
-    ctes = {
-        "nodes": f"SELECT DISTINCT name AS node FROM ({SYMBOLS_SQL})",
-        "size": "SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes",
-        "raw": f"SELECT caller AS src, callee AS dst, arg_min({WEIGHT}, (line, link_type)) AS w FROM ({EDGES_SQL}) GROUP BY 1, 2",
-        "parts": "SELECT src, dst, CAST(w / sum(w) OVER (PARTITION BY src) AS DOUBLE) AS part FROM raw",
-        "r0": "SELECT node, 1.0 / n AS rank FROM nodes, size",
-    }
-    for k in range(steps):
-        ctes[f"l{k}"] = f"SELECT coalesce(sum(rank), 0) AS loose FROM r{k} WHERE node NOT IN (SELECT src FROM parts)"
-        ctes[f"r{k + 1}"] = f"SELECT node, 0.15 / n + 0.85 * (coalesce(got, 0) + loose / n) AS rank FROM r{k} LEFT JOIN (SELECT dst, sum(rank * part) AS got FROM r{k} JOIN parts ON src = node GROUP BY 1) ON dst = node, size, l{k}"
-    return with_(**ctes) + f"SELECT node, round(rank, 6) AS rank FROM r{steps}"
+PAGERANK_SQL = (
+    f"WITH RECURSIVE nodes AS (SELECT DISTINCT name AS node FROM ({SYMBOLS_SQL})), size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes), raw AS (SELECT caller AS src, callee AS dst, arg_min({WEIGHT}, (line, link_type)) AS w FROM ({EDGES_SQL}) GROUP BY 1, 2),"
+    " parts AS MATERIALIZED (SELECT src, dst, CAST(w / sum(w) OVER (PARTITION BY src) AS DOUBLE) AS part FROM raw), ends AS (SELECT DISTINCT src FROM parts),"
+    " r AS (SELECT 0 AS k, node, 1.0 / n AS rank, CAST(1 AS DOUBLE) AS change FROM nodes, size UNION ALL SELECT k + 1, node, new, max(abs(new - rank)) OVER () FROM (SELECT r.k, r.node, r.rank, 0.15 / n + 0.85 * (coalesce(got, 0) + loose / n) AS new FROM r"
+    " LEFT JOIN (SELECT dst, sum(rank * part) AS got FROM r JOIN parts ON src = node GROUP BY 1) g ON g.dst = r.node CROSS JOIN (SELECT coalesce(sum(CASE WHEN node NOT IN (SELECT src FROM ends) THEN rank END), 0) AS loose FROM r) CROSS JOIN size WHERE r.change >= 1e-6 AND r.k < 100))"
+    " SELECT node, round(rank, 6) AS rank FROM r WHERE k = (SELECT max(k) FROM r)"
+)
 
 
-@query(pagerank_sql(PAGERANK_STEPS))
+@query(PAGERANK_SQL)
 def pagerank(s, d):
     links = A.edges(s, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "line", "link_type")
-    return rounded(graph.pagerank(A.symbols(s, d).select(F.col("name").alias("node")), links, PAGERANK_STEPS, None))
+    return rounded(graph.pagerank(A.symbols(s, d).select(F.col("name").alias("node")), links))
 
 
-@query()
-def pagerank_whole(s, d):
-    """pagerank until ranks change by less than 1e-6, its default; its SQL has 5 steps."""
-    links = A.edges(s, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "line", "link_type")
-    return graph.pagerank(A.symbols(s, d).select(F.col("name").alias("node")), links)
-
-
-METHODS_SQL = "SELECT DISTINCT l_suppkey AS t, l_returnflag || CAST(l_linenumber AS VARCHAR) AS m FROM lineitem"
-IFACE_SQL = "SELECT DISTINCT o_orderpriority AS i, l_returnflag || CAST(l_linenumber AS VARCHAR) AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 50 = length(o_orderpriority)"
+METHODS_SQL = "SELECT DISTINCT l_suppkey AS t, l_returnflag || CAST(l_linenumber AS VARCHAR) || CAST(quarter(l_shipdate) AS VARCHAR) AS m FROM lineitem"
+IFACE_SQL = "SELECT DISTINCT o_orderpriority AS i, l_returnflag || CAST(l_linenumber AS VARCHAR) || CAST(quarter(l_shipdate) AS VARCHAR) AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
 
 
 @query(f"SELECT t AS type, i AS interface FROM (SELECT i, t, count(*) AS n FROM ({IFACE_SQL}) JOIN ({METHODS_SQL}) USING (m) GROUP BY 1, 2) JOIN (SELECT i, count(*) AS z FROM ({IFACE_SQL}) GROUP BY 1) USING (i) WHERE n = z")
 def resolve_interfaces(s, d):
-    method = F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("method")
-    items = A.table(s, d, "lineitem")
-    types = items.select(F.col("l_suppkey").alias("name"), method).distinct()
-    faces = items.join(A.table(s, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).where(F.col("l_orderkey") % 50 == F.length("o_orderpriority")).select(F.col("o_orderpriority").alias("name"), method).distinct()
-    return graph.resolve_interfaces(faces, types)
-
-
-METHODS_WHOLE = "SELECT DISTINCT l_suppkey AS t, l_returnflag || CAST(l_linenumber AS VARCHAR) || CAST(quarter(l_shipdate) AS VARCHAR) AS m FROM lineitem"
-IFACE_WHOLE = "SELECT DISTINCT o_orderpriority AS i, l_returnflag || CAST(l_linenumber AS VARCHAR) || CAST(quarter(l_shipdate) AS VARCHAR) AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
-
-
-@query(f"SELECT t AS type, i AS interface FROM (SELECT i, t, count(*) AS n FROM ({IFACE_WHOLE}) JOIN ({METHODS_WHOLE}) USING (m) GROUP BY 1, 2) JOIN (SELECT i, count(*) AS z FROM ({IFACE_WHOLE}) GROUP BY 1) USING (i) WHERE n = z")
-def resolve_interfaces_whole(s, d):
-    """resolve_interfaces over every order line, methods by quarter too; its SQL has a fiftieth of the lines."""
     method = F.concat("l_returnflag", F.col("l_linenumber").cast("string"), F.quarter("l_shipdate").cast("string")).alias("method")
     items = A.table(s, d, "lineitem")
     types = items.select(F.col("l_suppkey").alias("name"), method).distinct()
@@ -654,45 +582,31 @@ def edit_cost(s, d):
     return A.table(s, d, "part").select(k.alias("id"), cost["tokens"].alias("tokens"), cost["risk"].alias("risk"))
 
 
-LINKS = f"SELECT DISTINCT callee_path AS src, path AS dst FROM ({EDGES_SQL}) WHERE callee_path <> '' AND callee_path <> path AND line = 2 AND link_type = 'call'"
+LINKS = f"SELECT DISTINCT callee_path AS src, path AS dst FROM ({EDGES_SQL}) WHERE callee_path <> '' AND callee_path <> path"
 
 
 @query(
-    with_(k=LINKS, two="SELECT src AS root, dst AS node FROM k UNION SELECT a.src, b.dst FROM k a JOIN k b ON a.dst = b.src WHERE a.src <> b.dst", s=SYMBOLS_SQL)
-    + "SELECT f.path, f.symbols, f.churn, coalesce(a.n, 0) AS direct, coalesce(b.n, 0) AS transitive FROM (SELECT path, count(*) AS symbols, round(CAST(max(churn_score) AS DOUBLE), 6) AS churn FROM s GROUP BY 1) f LEFT JOIN (SELECT src AS path, count(*) AS n FROM k GROUP BY 1) a USING (path) LEFT JOIN (SELECT root AS path, count(*) AS n FROM two GROUP BY 1) b USING (path)"
-)
-def file_context(s, d):
-    symbols = A.symbols(s, d)
-    files = symbols.groupBy("path").agg(F.max("end_line").alias("loc"))
-    found = risk.file_context(files, symbols, A.edges(s, d).where("line = 2 and link_type = 'call'"), 2)
-    return found.select("path", "symbols", F.round("churn", 6).alias("churn"), F.size("direct_dependents").cast("long").alias("direct"), "transitive")
-
-
-LINKS_WHOLE = f"SELECT DISTINCT callee_path AS src, path AS dst FROM ({EDGES_SQL}) WHERE callee_path <> '' AND callee_path <> path"
-
-
-@query(
-    "WITH RECURSIVE k AS (" + LINKS_WHOLE + "), s AS (" + SYMBOLS_SQL + "), t AS (SELECT src AS root, dst AS node, 1 AS depth FROM k UNION SELECT root, dst, depth + 1 FROM t JOIN k ON node = src WHERE depth < 3 AND dst <> root), u AS (SELECT DISTINCT root, node FROM t)"
+    "WITH RECURSIVE k AS (" + LINKS + "), s AS (" + SYMBOLS_SQL + "), t AS (SELECT src AS root, dst AS node, 1 AS depth FROM k UNION SELECT root, dst, depth + 1 FROM t JOIN k ON node = src WHERE depth < 3 AND dst <> root), u AS (SELECT DISTINCT root, node FROM t)"
     " SELECT f.path, f.symbols, f.churn, coalesce(a.n, 0) AS direct, coalesce(b.n, 0) AS transitive FROM (SELECT path, count(*) AS symbols, round(CAST(max(churn_score) AS DOUBLE), 6) AS churn FROM s GROUP BY 1) f LEFT JOIN (SELECT src AS path, count(*) AS n FROM k GROUP BY 1) a USING (path) LEFT JOIN (SELECT root AS path, count(*) AS n FROM u GROUP BY 1) b USING (path)"
 )
-def file_context_whole(s, d):
-    """file_context over all calls to its default depth; its SQL has calls of line 2 to depth 2."""
+def file_context(s, d):
     symbols = A.symbols(s, d)
     files = symbols.groupBy("path").agg(F.max("end_line").alias("loc"))
     found = risk.file_context(files, symbols, A.edges(s, d))
     return found.select("path", "symbols", F.round("churn", 6).alias("churn"), F.size("direct_dependents").cast("long").alias("direct"), "transitive")
 
 
-def diff_lines(s, d, where="p_partkey % 20 = 3"):
-    """A hunk for each part of ``where``, files by brand of path."""
+def diff_lines(s, d):
+    """A hunk for each part, files by its path."""
     k = F.col("p_partkey")
     file = F.concat(F.lit("+++ b"), A.symbol_path(k))
     hunk = F.format_string("@@ -1,2 +%d,%d @@ x", F.col("p_size"), k % 5 + 1)
-    rows = A.table(s, d, "part").where(where).select(k.alias("doc_id"), F.posexplode(F.array(F.lit("diff --git"), file, hunk, F.lit("+x"), F.lit("@@ -3 +90 @@"))).alias("line_no", "line"))
+    rows = A.table(s, d, "part").select(k.alias("doc_id"), F.posexplode(F.array(F.lit("diff --git"), file, hunk, F.lit("+x"), F.lit("@@ -3 +90 @@"))).alias("line_no", "line"))
     return rows
 
 
-RANGES_SQL = f"SELECT substr({A.path_sql('p_partkey')}, 2) AS path, CAST(p_size AS INTEGER) AS start, CAST(p_size + p_partkey % 5 AS INTEGER) AS \"end\" FROM part WHERE p_partkey % 20 = 3 UNION ALL SELECT substr({A.path_sql('p_partkey')}, 2), 90, 90 FROM part WHERE p_partkey % 20 = 3"
+RANGES_SQL = f"SELECT substr({A.path_sql('p_partkey')}, 2) AS path, CAST(p_size AS INTEGER) AS start, CAST(p_size + p_partkey % 5 AS INTEGER) AS \"end\" FROM part UNION ALL SELECT substr({A.path_sql('p_partkey')}, 2), 90, 90 FROM part"
+TOUCHED = f"SELECT DISTINCT s.id, s.name, s.path FROM ({SYMBOLS_SQL}) s JOIN ({RANGES_SQL}) r ON '/' || r.path = s.path AND s.start_line <= r.\"end\" AND s.end_line >= r.start"
 
 
 @query(RANGES_SQL)
@@ -702,7 +616,7 @@ def git_diff_parse(s, d):
     return changed_ranges(diff_lines(s, d))
 
 
-@query(f"SELECT DISTINCT id FROM ({SYMBOLS_SQL}) s JOIN ({RANGES_SQL}) r ON '/' || r.path = s.path AND s.start_line <= r.\"end\" AND s.end_line >= r.start")
+@query(f"SELECT id FROM ({TOUCHED})")
 def diff_symbols(s, d):
     from tessera.sources.diffs import changed_ranges
 
@@ -710,44 +624,12 @@ def diff_symbols(s, d):
     return store.in_ranges(A.symbols(s, d), ranges).select("id")
 
 
-TOUCHED = f"SELECT DISTINCT s.name, s.path FROM ({SYMBOLS_SQL}) s JOIN ({RANGES_SQL}) r ON '/' || r.path = s.path AND s.start_line <= r.\"end\" AND s.end_line >= r.start"
-
-
 @query(
-    "WITH RECURSIVE s AS (" + SYMBOLS_SQL + "), e AS (" + EDGES_SQL + f" WHERE line = 1), t AS ({TOUCHED}), a AS (SELECT name, path, 0 AS k FROM t UNION SELECT e.caller, e.path, a.k + 1 FROM e JOIN a ON e.callee = a.name AND (e.callee_path = a.path OR e.callee_path = '') WHERE a.k < 10)"
+    "WITH RECURSIVE s AS (" + SYMBOLS_SQL + "), e AS (" + EDGES_SQL + f"), t AS ({TOUCHED}), a AS (SELECT name, path, 0 AS k FROM t UNION SELECT e.caller, e.path, a.k + 1 FROM e JOIN a ON e.callee = a.name AND (e.callee_path = a.path OR e.callee_path = '') WHERE a.k < 10)"
     " SELECT DISTINCT name, path FROM s JOIN (SELECT DISTINCT name, path FROM a) USING (name, path) WHERE path ILIKE '%_test.go' OR (name ILIKE 'Test%' AND type IN ('function', 'method'))"
 )
 def predict_tests(s, d):
     diff = diff_lines(s, d).withColumn("line", F.regexp_replace("line", "^\\+\\+\\+ b/pkg", "+++ b//pkg"))
-    return risk.predict_tests(diff, A.symbols(s, d), A.edges(s, d).where("line = 1")).select("name", "path")
-
-
-# The SQL of git_diff_parse, diff_symbols and predict_tests names a twentieth of the parts; these have all of them.
-RANGES_WHOLE = f"SELECT substr({A.path_sql('p_partkey')}, 2) AS path, CAST(p_size AS INTEGER) AS start, CAST(p_size + p_partkey % 5 AS INTEGER) AS \"end\" FROM part UNION ALL SELECT substr({A.path_sql('p_partkey')}, 2), 90, 90 FROM part"
-TOUCHED_WHOLE = f"SELECT DISTINCT s.id, s.name, s.path FROM ({SYMBOLS_SQL}) s JOIN ({RANGES_WHOLE}) r ON '/' || r.path = s.path AND s.start_line <= r.\"end\" AND s.end_line >= r.start"
-
-
-@query(RANGES_WHOLE)
-def git_diff_parse_whole(s, d):
-    from tessera.sources.diffs import changed_ranges
-
-    return changed_ranges(diff_lines(s, d, "true"))
-
-
-@query(f"SELECT id FROM ({TOUCHED_WHOLE})")
-def diff_symbols_whole(s, d):
-    from tessera.sources.diffs import changed_ranges
-
-    ranges = changed_ranges(diff_lines(s, d, "true")).withColumn("path", F.concat(F.lit("/"), "path"))
-    return store.in_ranges(A.symbols(s, d), ranges).select("id")
-
-
-@query(
-    "WITH RECURSIVE s AS (" + SYMBOLS_SQL + "), e AS (" + EDGES_SQL + f"), t AS ({TOUCHED_WHOLE}), a AS (SELECT name, path, 0 AS k FROM t UNION SELECT e.caller, e.path, a.k + 1 FROM e JOIN a ON e.callee = a.name AND (e.callee_path = a.path OR e.callee_path = '') WHERE a.k < 10)"
-    " SELECT DISTINCT name, path FROM s JOIN (SELECT DISTINCT name, path FROM a) USING (name, path) WHERE path ILIKE '%_test.go' OR (name ILIKE 'Test%' AND type IN ('function', 'method'))"
-)
-def predict_tests_whole(s, d):
-    diff = diff_lines(s, d, "true").withColumn("line", F.regexp_replace("line", "^\\+\\+\\+ b/pkg", "+++ b//pkg"))
     return risk.predict_tests(diff, A.symbols(s, d), A.edges(s, d)).select("name", "path")
 
 
@@ -757,8 +639,15 @@ TOKENS_SQL = "SELECT id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS toke
 PHRASE_SQL = f"SELECT a.id, a.pos FROM ({TOKENS_SQL}) a JOIN ({TOKENS_SQL}) b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND starts_with(b.token, 'the')"
 
 
+INDEXES: dict[tuple[str, str], search.Stored] = {}
+
+
 def index(s, d):
-    return search.build_index(A.table(s, d, "documents"), "doc_id", ["text"])
+    """The stored index of a folder's documents, written by the first search of a session."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in INDEXES:
+        INDEXES[key] = search.store_index(A.table(s, d, "documents"), "doc_id", ["text"], f"{graph.shared_folder(s)}/index-{uuid.uuid4().hex}")
+    return INDEXES[key]
 
 
 @query(f"SELECT id, CAST(pos AS INTEGER) AS pos FROM ({PHRASE_SQL})")
@@ -895,6 +784,16 @@ def tumbling_rollup(s, d):
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-@query()
+WORDS_SQL = "SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents"
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, list_transform(w, lambda x: CAST('0x' || left(md5(x), 8) AS BIGINT) % 16) AS a FROM ({WORDS_SQL})), c AS (SELECT doc_id, list_transform(range(16), lambda i: CAST(len(list_filter(a, lambda y: y = i)) AS DOUBLE)) AS c FROM s)"
+    " SELECT doc_id, CAST(i AS INTEGER) AS slot, round(CASE WHEN n = 0 THEN 0 ELSE c[i + 1] / n END, 3) AS weight FROM (SELECT doc_id, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n, unnest(range(16)) AS i FROM c)"
+)
 def embed(s, d):
-    return A.table(s, d, "documents").select("doc_id", V.hash_embedder(16)(F.col("text")).alias("embedding"))
+    rows = A.table(s, d, "documents").select("doc_id", V.hash_embedder(16)(F.col("text")).alias("embedding"))
+    return rows.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).withColumn("weight", F.round(F.col("weight").cast("double"), 3))
+
+
+from tessera.plans import source_queries, spec_queries, more_queries  # noqa: E402, F401  adds their queries
