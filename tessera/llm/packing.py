@@ -103,40 +103,46 @@ class Encoder:
         return self.safe.issuperset(fresh)
 
     def learn(self, new: set[str]) -> None:
-        known, older, safe = self.known, self.older, self.safe
-        ends: list[str] = []  # words of letters with closing marks
-        cores: list[str] = []
-        marks: list[str] = []
+        known, older, letters = self.known, self.older, self.safe.issuperset
+        if again := older.keys() & new:
+            known.update({w: older[w] for w in again})
+            new = new.difference(again)
         plain: set[str] = set()
         mixed: list[str] = []
+        made: list[str] = []  # words of another case or with closing marks, and their parts
+        cores: list[str] = []
+        marks: list[str] = []
         for w in new:
-            if w in older:
-                known[w] = older[w]
-                continue
-            core = w.rstrip(MARKS)
-            if not safe.issuperset(core) and not self.word(core):
-                mixed.append(w)
-                continue
-            mark = w[len(core) :]
+            if letters(w):
+                core, mark = w, ""
+            else:
+                core = w.rstrip(MARKS)
+                if not letters(core) and not self.word(core):
+                    mixed.append(w)
+                    continue
+                mark = w[len(core) :]
+                plain.add(mark)
             if core.isascii():
                 core = core.lower()
-            ends.append(w)
-            cores.append(core)
-            marks.append(mark)
             plain.add(core)
-            plain.add(mark)
+            if core is not w and core != w:
+                made.append(w)
+                cores.append(core)
+                marks.append(mark)
         plain = plain.difference(known)
-        known.update((p, older[p]) for p in plain if p in older)
-        self.encode([*plain.difference(known)], mixed)
+        if again := older.keys() & plain:
+            known.update({p: older[p] for p in again})
+            plain = plain.difference(again)
+        self.encode([*plain], mixed)
         get = known.__getitem__
-        known.update(zip(ends, map(bytes.__add__, map(get, cores), map(get, marks))))
+        known.update(zip(made, map(bytes.__add__, map(get, cores), map(get, marks))))
         self.held += sum(map(len, new)) + 200 * (len(new) + len(plain))
 
     def encode(self, plain: list[str], mixed: list[str]) -> None:
         """Ids of new words; the plain ones, all letters or all marks, some hundred in one text and cut where words end."""
         for first in range(0, len(plain), 250):
             some = plain[first : first + 250]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
                 mixed += some

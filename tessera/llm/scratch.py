@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -75,6 +77,21 @@ def release(*tables: DataFrame) -> None:
             remove(t.sparkSession, path)
 
 
+@contextmanager
+def working(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Working tables made inside are removed at the end, but for those given to the function that this yields."""
+    first, kept = len(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.working_path)
+        return df
+
+    yield keep
+    for path in [p for p in _made[first:] if p not in kept]:
+        _made.remove(path)
+        remove(spark, path)
+
+
 def discard(spark: SparkSession) -> None:
     """Remove all working tables of this process; results that read them must have been written before."""
     while _made:
