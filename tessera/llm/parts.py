@@ -22,7 +22,7 @@ from tessera.llm import textvec
 from tessera.llm.scratch import materialize, small_batches
 
 #: Bytes of the wide column in a batch of a part file, about.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: Names that Spark and Arrow give one kind of store.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
 

@@ -237,7 +237,7 @@ def compare(classes: DataFrame, job: Job) -> DataFrame:
             row, start, n = columns(rows, "row", "start", "n")
             at = texts.place(row) + start
             raw = memoryview(texts.buf)
-            found = pa.array([raw[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)], pa.binary())
+            found = pa.array([raw[a : a + m + length - 1].tobytes() for a, m in zip(at.tolist(), n.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*[rows[c].combine_chunks() for c in ("part", "row", "start", "n", "h", "single")], found], ["part", "row", "start", "n", "h", "single", "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
