@@ -122,9 +122,9 @@ def noise_filter(s: Stream, level: str = "moderate") -> Stream:
 def head(s: Stream, n: int = 10, overflow_msg: str = "") -> Stream:
     ranked = s.lines.withColumn("r", F.row_number().over(in_order())).withColumn("total", F.count("*").over(doc()))
     message = F.lit(overflow_msg) if overflow_msg else F.format_string("+%d more lines", F.col("total") - n)
-    kept = ranked.where(F.col("r") <= n).select("doc_id", "line_no", "line")
-    more = ranked.where((F.col("r") == n + 1)).select("doc_id", "line_no", message.alias("line"))
-    return Stream(kept.unionByName(more), s.groups, s.stats)
+    # the message stands where the first line too many was
+    line = F.when(F.col("r") == n + 1, message).otherwise(F.col("line"))
+    return Stream(ranked.where(F.col("r") <= n + 1).select("doc_id", "line_no", line.alias("line")), s.groups, s.stats)
 
 
 @action
@@ -139,9 +139,11 @@ def head_tail(s: Stream, head: int = 10, tail: int = 10, params: dict | None = N
     head, tail = (params or {}).get("head", head), (params or {}).get("tail", tail)
     ranked = s.lines.withColumn("r", F.row_number().over(in_order())).withColumn("total", F.count("*").over(doc()))
     long = F.col("total") > head + tail + MARGIN
-    kept = ranked.where(~long | (F.col("r") <= head) | (F.col("r") > F.col("total") - tail)).select("doc_id", "line_no", "line")
-    marker = ranked.where(long & (F.col("r") == head + 1)).select("doc_id", "line_no", F.format_string("... [truncated %d lines of noise] ...", F.col("total") - (head + tail)).alias("line"))
-    return Stream(kept.unionByName(marker), s.groups, s.stats)
+    kept = ranked.where(~long | (F.col("r") <= head + 1) | (F.col("r") > F.col("total") - tail))
+    # the marker stands where the first line cut was
+    marker = F.format_string("... [truncated %d lines of noise] ...", F.col("total") - (head + tail))
+    line = F.when(long & (F.col("r") == head + 1), marker).otherwise(F.col("line"))
+    return Stream(kept.select("doc_id", "line_no", line.alias("line")), s.groups, s.stats)
 
 
 @action
