@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,23 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def to_bytes(v: Column) -> Column:
+    """A vector as little-endian 32-bit floats, in batches."""
+    @F.pandas_udf("binary")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else np.asarray(r, "<f4").tobytes())
+
+    return run(v)
+
+
+def from_bytes(b: Column) -> Column:
+    @F.pandas_udf("array<float>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else np.frombuffer(r, "<f4").tolist())
+
+    return run(b)
+
+
 def word_slot(word: Column, dimension: int) -> Column:
     """Slot of a word: the first 32 bits of its MD5, modulo the dimension."""
     return F.pmod(F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dimension)).cast("int")

@@ -106,5 +106,6 @@ def text_table(rows: list[dict], columns: list[str]) -> str:
 
 
 def staged_diff(path: str, before: str, after: str, context: int = 3) -> str:
-    """Unified diff of a staged edit."""
-    return "".join(difflib.unified_diff(before.splitlines(True), after.splitlines(True), f"a/{path}", f"b/{path}", n=context))
+    """Unified diff of a staged edit; a last line without a break is marked."""
+    whole = lambda x: x if x.endswith("\n") else f"{x}\n\\ No newline at end of file\n"
+    return "".join(map(whole, difflib.unified_diff(before.splitlines(True), after.splitlines(True), f"a/{path}", f"b/{path}", n=context)))

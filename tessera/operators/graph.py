@@ -11,6 +11,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -308,6 +310,47 @@ def interface_edges(symbols: DataFrame, embeds: DataFrame) -> DataFrame:
     return out.unionByName(satisfied).unionByName(passed).distinct()
 
 
+def incoming_calls(edges: DataFrame, names: list[str], path: str) -> DataFrame:
+    """(caller, path, line) of direct calls of a symbol of one file: those with its path, and those of its name without any."""
+    found = edges.where(F.col("callee").isin(names) & F.col("callee_path").isin(path, "") & ~F.col("link_type").isin(HIERARCHY))
+    return found.select("caller", "path", "line").distinct()
+
+
+def located_implementations(interfaces: DataFrame, places: DataFrame) -> DataFrame:
+    """Edges from places (id, path, line) that a language server named as implementations of ``interfaces`` (id, name, path, start_line)."""
+    i = interfaces.select("id", F.col("name").alias("callee"), F.col("path").alias("callee_path"), "start_line")
+    found = places.join(i, "id").where((F.col("path") != F.col("callee_path")) | (F.col("line") != F.col("start_line")))
+    return found.select(F.lit("impl").alias("caller"), "callee", "path", "line", "callee_path", F.lit("implements").alias("link_type")).distinct()
+
+
+def dynamic_edges(edges: DataFrame) -> DataFrame:
+    """Edges from interface methods to the methods that satisfy them: where a call of the former can go."""
+    found = edges.where("link_type = 'satisfies'")
+    return found.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"), F.col("callee_path").alias("path"), "line", F.col("path").alias("callee_path"), F.lit("dynamic").alias("link_type")).distinct()
+
+
+def class_hierarchy_calls(edges: DataFrame) -> DataFrame:
+    """Every call that types allow, of link type ssa-call: calls as written, and calls of an interface's method to all that satisfy it."""
+    calls = edges.where("link_type = 'call'").select("caller", "callee", "path", "line", "callee_path")
+    targets = dynamic_edges(edges).select(F.col("caller").alias("callee"), F.col("callee").alias("target"), F.col("callee_path").alias("target_path")).distinct()
+    through = calls.join(targets, "callee").select("caller", F.col("target").alias("callee"), "path", "line", F.col("target_path").alias("callee_path"))
+    return calls.unionByName(through).distinct().withColumn("link_type", F.lit("ssa-call"))
+
+
+@dataclass(frozen=True)
+class Propagation:
+    """How a change spreads: tasks found by ``discover``, each given a ``transform`` and kept if ``validate`` holds."""
+
+    discover: Callable[[DataFrame, DataFrame, str, int], DataFrame] = discover_tasks
+    transform: Callable[[DataFrame], DataFrame] | None = None
+    validate: Callable[[DataFrame], Column] | None = None
+
+    def run(self, symbols: DataFrame, edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
+        tasks = self.discover(symbols, edges, start, depth)
+        tasks = tasks if self.transform is None else self.transform(tasks)
+        return tasks if self.validate is None else tasks.where(self.validate(tasks))
+
+
 def neighborhood(symbols: DataFrame, edges: DataFrame, imports: DataFrame, path: str) -> DataFrame:
     """(kind, a, b) of a file: imports, exported symbols and calls."""
     imp = imports.where(F.col("path") == path).select(F.lit("IMP").alias("kind"), F.col("import").alias("a"), F.lit("").alias("b"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import golang
-from tessera.operators.tokens import Pattern, masked, partners, tokens
+from tessera.operators.tokens import Pattern, masked, partners, rewritten, tokens
 
 OUT = "kind string, path string, payload string"
 KINDS = {
@@ -498,6 +498,32 @@ def structural_search(files: DataFrame, pattern: str, inside: str = "", has: str
     return files.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, KINDS["match"])
 
 
+REWRITE = "path string, content string, line int, before string, after string"
+
+
+def structural_rewrite(files: DataFrame, pattern: str, rewrite: str) -> DataFrame:
+    """(path, content, line, before, after): each place like ``pattern`` with what it becomes, and the file's new text.
+
+    Patterns are matched by tokens in every language; files without a match give no row.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path, text in zip(pdf["path"], pdf["content"], strict=True):
+                language = language_of(path)
+                if language and text:
+                    new, places = rewritten(text, language, pattern, rewrite)
+                    out += [(path, new, *p) for p in places]
+            yield pd.DataFrame(out, columns=["path", "content", "line", "before", "after"])
+
+    return files.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, REWRITE)
+
+
+def language_of(path: str) -> str | None:
+    return {".go": "go", ".py": "py"}.get(path[path.rfind(".") :]) or LANGUAGES.get(path[path.rfind(".") :])
+
+
 def python_matches(path: str, text: str, pattern: str, inside: str, has: str) -> Iterator[tuple[int, str, dict[str, str]]]:
     try:
         tree = ast.parse(text)

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -219,3 +220,14 @@ def correlate(memories: DataFrame, symbols: DataFrame, most: int = 3) -> DataFra
 def fresh_memories(new: DataFrame, seen: DataFrame) -> DataFrame:
     """Notes whose text was not yet seen."""
     return new.join(seen.select("content").distinct(), "content", "left_anti")
+
+
+def distilled(notes: DataFrame, by: str, distill: Callable[[list[str]], str]) -> DataFrame:
+    """(by, text): the texts of each group, oldest first, given to ``distill``, which may ask a model; groups are bounded by their use."""
+
+    def run(table):
+        table = table.sort_by([("created_at", "ascending"), ("id", "ascending")])
+        return pa.table({by: table[by].slice(0, 1), "text": pa.array([distill(table["content"].to_pylist())], pa.string())})
+
+    kind = notes.schema[by].dataType.simpleString()
+    return notes.select(by, "id", "content", "created_at").groupBy(by).applyInArrow(run, f"{by} {kind}, text string")

@@ -9,9 +9,11 @@ from dataclasses import dataclass
 STRINGS = {
     "go": r'"(?:[^"\\\n]|\\.)*"|`[^`]*`|\'(?:[^\'\\\n]|\\.)+\'',
     "ts": r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`',
+    "py": r'[rbfuRBFU]{0,2}(?:""".*?"""|\'\'\'.*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')',
     "rs": r'b?r(?P<hash>#*)".*?"(?P=hash)|b?"(?:[^"\\]|\\.)*"|b?\'(?:[^\'\\\n]|\\[^\n]{1,10}?)\'',
 }
-COMMENTS = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+COMMENTS = {"py": r"\#[^\n]*"}
+SLASHES = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
 NAME = r"[^\W\d]\w*"
 OPERATORS = r"<<=|>>=|&\^=|\.\.\.|===|!==|\*\*=|=>|->|::|<-|\+\+|--|&&|\|\||[-+*/%&|^<>=!:]=|<<|>>|&\^|[^\s\w]"
 
@@ -27,7 +29,7 @@ class Token:
 
 def lexer(language: str) -> re.Pattern:
     life = r"|(?P<life>'[A-Za-z_]\w*)" if language == "rs" else ""
-    return re.compile(rf"(?s)(?P<comment>{COMMENTS})|(?P<string>{STRINGS[language]}){life}|(?P<name>[$@]?{NAME})|(?P<number>\d[\w.]*)|(?P<op>{OPERATORS})|\n")
+    return re.compile(rf"(?s)(?P<comment>{COMMENTS.get(language, SLASHES)})|(?P<string>{STRINGS[language]}){life}|(?P<name>[$@]?{NAME})|(?P<number>\d[\w.]*)|(?P<op>{OPERATORS})|\n")
 
 
 LEXERS = {k: lexer(k) for k in STRINGS}
@@ -144,3 +146,18 @@ class Pattern:
 JOINS = {".", "::", "->", "?.", "*", "&"}
 NOT_IN_EXPRESSIONS = {";", ",", "=", ":=", "+=", "-="}
 WORDS = {"go", "defer", "return", "await", "if", "for", "else", "case", "switch", "var", "let", "const", "range", "while", "match", "throw", "type", "import"}
+
+
+def rewritten(text: str, language: str, pattern: str, rewrite: str) -> tuple[str, list[tuple[int, str, str]]]:
+    """``text`` with the leftmost matches that do not overlap replaced, and (line, before, after) of each; ``$X`` in ``rewrite`` is what it captured."""
+    found = tokens(text, language)
+    out, done, at = [], [], 0
+    for m in Pattern(pattern, language).matches(text, found):
+        start, end = found[m.first].start, found[m.end - 1].end
+        if start < at:
+            continue
+        new = re.sub(r"\$([A-Z_]\w*)", lambda x: m.captures.get(x[1], x[0]), rewrite)  # noqa: B023
+        out += [text[at:start], new]
+        done.append((found[m.first].line, text[start:end], new))
+        at = end
+    return "".join(out) + text[at:], done

@@ -796,4 +796,4 @@ def embed(s, d):
     return rows.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).withColumn("weight", F.round(F.col("weight").cast("double"), 3))
 
 
-from tessera.plans import source_queries, spec_queries, more_queries  # noqa: E402, F401  adds their queries
+from tessera.plans import more_queries, outside_queries, source_queries, spec_queries  # noqa: E402, F401  adds their queries

@@ -69,6 +69,17 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def inside(path: Column, root: str) -> Column:
+    """``path`` made absolute under ``root``, steps up resolved; null if it leads out of it."""
+    base = [x for x in root.split("/") if x]
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/" + "/".join(base) + "/"), path))
+    steps = F.filter(F.split(whole, "/"), lambda x: (x != "") & (x != "."))
+    up = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    clean = F.aggregate(steps, F.array().cast("array<string>"), up)
+    kept = F.array_join(F.slice(clean, F.lit(1), F.lit(len(base))), "/") == "/".join(base)
+    return F.when((path != "") & kept, F.concat(F.lit("/"), F.array_join(clean, "/")))
+
+
 def fragment(files: DataFrame, path: str, start: int, end: int) -> DataFrame:
     """(path, fragment) of bytes start to end; over the size limit or not UTF-8 is null."""
     data = F.col("content").cast("binary")

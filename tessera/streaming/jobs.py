@@ -86,6 +86,13 @@ def line_filter(lines: DataFrame, level: str = "moderate") -> DataFrame:
     return line_pipeline(lines, [{"action": "strip_ansi"}, {"action": "noise_filter", "level": level}])
 
 
+def in_batches(rows: DataFrame, size: int = 500) -> DataFrame:
+    """``rows`` with a ``batch`` of ``size`` rows at most, each of one partition, for writers that take so many at a time."""
+    at = F.monotonically_increasing_id()
+    batch = F.struct(F.shiftright(at, 33).cast("int").alias("part"), F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / size).cast("long").alias("number"))
+    return rows.withColumn("batch", batch)
+
+
 #: Actions that look at one line at a time, and so run on streams.
 STATELESS = {"keep_lines", "remove_lines", "truncate_lines", "strip_ansi", "compact_path", "noise_filter", "regex_extract"}
 
