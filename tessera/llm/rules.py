@@ -16,6 +16,7 @@ gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ SAMPLE_ROWS = 10_000
 CUTS = [0.01, 0.03, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.97, 0.99]
 MOST_RULES, MOST_LITERALS, LEAST_COVER, LEAST_PRECISION = 8, 3, 8, 0.9
 BLANK = "[ \\t-\\r]"
+# one by one: a class of single characters is a table in the JVM, one with ranges a chain of tests
+SYMBOLS, MARKS, UPPER, DIGITS = "#*$%&|<>", "!?|", string.ascii_uppercase, string.digits
 FEATURES = ["n_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "mark_rate", "digit_rate", "distinct_rate", "line_words"]
 
 
@@ -38,20 +41,20 @@ def statistics(docs: DataFrame, window: int = 5) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # one pass over the text leaves the few characters that are counted by kind
-    marks = F.regexp_replace(text, "[^#*$%&|<>!?A-Z0-9]+", "")
+    marks = F.regexp_replace(text, f"[^{SYMBOLS}{MARKS}{UPPER}{DIGITS}]+", "")
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), marks.alias("k"), F.array_remove(F.split(text, BLANK + "+"), "").alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]")).alias("lines"))
     of = lambda kinds: F.length(F.regexp_replace(F.col("k"), f"[^{kinds}]+", "")).cast("long")
     counted = words.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        of("#*$%&|<>").alias("n_symbols"),
+        of(SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
-        of("A-Z").alias("n_upper"),
-        of("!?|").alias("n_marks"),
-        of("0-9").alias("n_digits"),
+        of(UPPER).alias("n_upper"),
+        of(MARKS).alias("n_marks"),
+        of(DIGITS).alias("n_digits"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
     )
     names = [c for c in counted.columns if c != "h"]
