@@ -93,19 +93,25 @@ def file_context(files: DataFrame, symbols: DataFrame, edges: DataFrame, max_dep
     A file depends on another if a call in it has a callee there. Dependents are found
     for all files at once, level by level.
     """
-    links = edges.where("callee_path <> ''").select(F.col("callee_path").alias("src"), F.col("path").alias("dst")).where("src <> dst").distinct()
-    direct = links.groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_set("dst")).alias("direct_dependents"))
-    pairs = links.select(F.col("src").alias("root"), F.col("dst").alias("node"))
-    seen = pairs
+    named = edges.where("callee_path <> '' and callee_path <> path").select(F.col("callee_path").alias("a"), F.col("path").alias("b")).distinct()
+    named = graph.cut(named)
+    # numbers in place of paths: pairs of files are what the steps below are made of
+    number = graph.cut(named.select(F.col("a").alias("path")).union(named.select("b")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    of = lambda c, name: number.select(F.col("path").alias(c), F.col("id").alias(name))
+    links = graph.cut(named.join(of("a", "src"), "a").join(of("b", "dst"), "b").select("src", "dst"))
+    direct = named.groupBy(F.col("a").alias("path")).agg(F.array_sort(F.collect_set("b")).alias("direct_dependents"))
+    seen = pairs = links.select(F.col("src").alias("root"), F.col("dst").alias("node"))
     for _ in range(max_depth - 1):
         step = pairs.join(links, pairs["node"] == links["src"]).select("root", F.col("dst").alias("node")).where("root <> node").distinct()
         pairs = graph.cut(step.join(seen, ["root", "node"], "left_anti"))
         if pairs.isEmpty():
             break
         seen = seen.unionByName(pairs)
-    cascade = seen.groupBy(F.col("root").alias("path")).agg(F.count("*").alias("transitive"))
+    root = of("path", "root")
+    cascade = seen.groupBy("root").agg(F.count("*").alias("transitive")).join(root, "root").select("path", "transitive")
+    tests = number.where(F.col("path").rlike("(_test\\.go|_test\\.py|\\.test\\.ts)$")).select(F.col("id").alias("node"), F.col("path").alias("hint"))
+    hints = seen.join(tests, "node").groupBy("root").agg(F.array_sort(F.collect_set("hint")).alias("test_hints")).join(root, "root").select("path", "test_hints")
     facts = symbols.groupBy("path").agg(F.count("*").alias("symbols"), F.max("churn_score").alias("churn"))
-    hints = seen.where(F.col("node").rlike("(_test\\.go|_test\\.py|\\.test\\.ts)$")).groupBy(F.col("root").alias("path")).agg(F.array_sort(F.collect_set("node")).alias("test_hints"))
     out = files.join(facts, "path", "left").join(direct, "path", "left").join(cascade, "path", "left").join(hints, "path", "left")
     none = F.array().cast("array<string>")
     out = out.select("path", "loc", F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("churn", F.lit(0.0)).alias("churn"), F.coalesce("direct_dependents", none).alias("direct_dependents"), F.coalesce("transitive", F.lit(0)).alias("transitive"), F.coalesce("test_hints", none).alias("test_hints"))

@@ -16,6 +16,8 @@ from tessera.functions.vectors import l2_distance
 K1, B = 1.2, 0.75
 RRF = 60
 NEAREST = 100
+#: Tasks over which the places of one token are spread.
+SPREAD = 16
 # fixed values: weights of the searched columns
 COLUMN_WEIGHTS = {"name": 10.0, "type": 2.0, "signature": 5.0, "doc": 1.0, "path": 0.5}
 SPLIT = "[^\\p{L}\\p{N}]+"
@@ -44,9 +46,12 @@ class Stored:
 def store_index(rows: DataFrame, key: str, columns: list[str], folder: str) -> Stored:
     """Write the index of ``rows`` to ``folder``; a search then reads the row groups of its tokens only."""
     postings = build_index(rows, key, columns)
-    postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id", "col", "pos").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
-    size = sum((F.size(tokenize(F.col(c))) for c in columns), F.lit(0))
-    rows.select(F.col(key).alias("id"), size.cast("long").alias("length")).write.mode("overwrite").parquet(f"{folder}/lengths")
+    # dealt by token and a part of the ids: no token is in one task alone, and each file is in order of tokens
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = postings.repartition(tasks, F.col("token"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    dealt.sortWithinPartitions("token", "id", "col", "pos").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{folder}/postings")
+    sizes = rows.sparkSession.read.parquet(f"{folder}/postings").groupBy("id").agg(F.count("*").alias("length"))
+    rows.select(F.col(key).alias("id")).join(sizes, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length")).write.mode("overwrite").parquet(f"{folder}/lengths")
     return load_index(rows.sparkSession, folder)
 
 

@@ -96,8 +96,11 @@ class Workspace:
         present = files.scan(self.spark, source, ignore, manifests=True).persist()
         known = self.table("file_index")
         actions = incremental(known, present).persist()
-        fresh = present.join(actions.where("action = 'parse'").select("path"), "path", "left_semi").persist()
         gone = store.orphans(known, present)
+        counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()} | {"gone": gone.count()}
+        if self.version() >= 0 and set(counts) <= {"skip", "gone"} and not counts["gone"]:
+            return counts  # nothing to do
+        fresh = present.join(actions.where("action = 'parse'").select("path"), "path", "left_semi").persist()
         parsed = parse.parse(fresh).persist()
         symbols = parse.rows_of(parsed, "symbol").withColumn("id", store.symbol_id(F.col("path"), F.col("name"), F.col("start_byte")))
         calls = store.insert_ignore(parse.rows_of(parsed, "call"))
@@ -124,7 +127,6 @@ class Workspace:
         }
         if rules:
             changed["violations"] = merge("violations", parse.audit(fresh, rules), "file_path")
-        counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()} | {"gone": gone.count()}
         self.save(changed)
         for df in (present, actions, fresh, parsed):
             df.unpersist()
