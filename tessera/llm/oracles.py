@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm import xxh
 from tessera.llm.decontaminate import GUARANTEE
+from tessera.llm.infill import MIDDLE, PREFIX, SUFFIX, UNIT
 from tessera.llm.pii import BASE, KEEP, KINDS, NEAR
 from tessera.llm.secrets import BASE_RULES, MORE_RULES
 from tessera.llm.sharding import DIMENSIONS, HEAVY
@@ -214,6 +215,16 @@ def fingerprints(shingle: int = 3) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in ctes.items()) + f" SELECT doc_id, {hexed} AS fingerprint, component_id FROM p JOIN least USING (fp)"
 
 
+def arrangements() -> str:
+    h = lambda i: f"CAST('0x' || substr(k, {8 * i + 1}, 8) AS BIGINT)"
+    part = lambda a, b: f"array_to_string(list_slice(u, CAST({a} AS BIGINT), CAST({b} AS BIGINT)), '')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{UNIT}') AS u, sha256('1:' || CAST(doc_id AS VARCHAR)) AS k FROM documents),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, {h(0)} % (len(u) + 1) AS x, {h(1)} % (len(u) + 1) AS y, CASE WHEN t = '' OR contains(t, '{PREFIX}') OR contains(t, '{SUFFIX}') OR contains(t, '{MIDDLE}') OR {h(2)} % 100 >= 90 THEN 'plain' WHEN {h(3)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, {part(1, "least(x, y)")} AS a, {part("least(x, y) + 1", "greatest(x, y)")} AS m, {part("greatest(x, y) + 1", "n")} AS s FROM c),
+o AS (SELECT *, CASE form WHEN 'psm' THEN '{PREFIX}' || a || '{SUFFIX}' || s || '{MIDDLE}' || m WHEN 'spm' THEN '{SUFFIX}' || s || '{PREFIX}' || a || '{MIDDLE}' || m ELSE t END AS o FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars, sha256(o) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
+
+
 ORACLES = {
     "op1_suffix_dedup": removal(),
     "op2_kd_tree_sharding": shards(),
@@ -222,5 +233,6 @@ ORACLES = {
     "op7_pii": personal(),
     "op9_benchmark_decontamination": contamination(),
     "op10_simhash_near_dedup": fingerprints(),
+    "op12_fill_in_middle": arrangements(),
     "quality_statistics": statistics(),
 }
