@@ -225,6 +225,24 @@ o AS (SELECT *, CASE form WHEN 'psm' THEN '{PREFIX}' || a || '{SUFFIX}' || s ||
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars, sha256(o) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""
 
 
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS tab"
+
+
+def prefix_trie() -> str:
+    """Nodes are lists of (role, text); CRC-32 from its table."""
+    return f"""WITH crc AS ({CRC_TABLE}),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, sha256(CAST(octet_length(encode(r)) AS VARCHAR) || ':' || r || x)) AS l FROM t GROUP BY conv_id),
+h AS (SELECT conv_id AS c, l, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(CAST(conv_id AS VARCHAR)))), lambda i: CAST('0x' || substr(hex(encode(CAST(conv_id AS VARCHAR))), 2 * i + 1, 2) AS BIGINT))), lambda a, b: xor(a // 256, tab[xor(a % 256, b) + 1])), 4294967295) % 9 AS h FROM o, crc),
+b AS (SELECT c, list_concat(list_slice(coalesce(o.l, []), 1, h), list_slice(h.l, h + 1, len(h.l))) AS l FROM h LEFT JOIN o ON o.conv_id = c - c % 5),
+p AS (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM b),
+n AS (SELECT d, list_slice(l, 1, d) AS k, min(c) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN d > 0 THEN octet_length(encode(l[d].x)) ELSE 0 END) AS bytes, sha256(coalesce(string_agg(CASE WHEN len(l) = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+m AS (SELECT d - 1 AS d, list_slice(k, 1, d - 1) AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * bytes AS saved FROM n LEFT JOIN m USING (d, k)),
+s AS (SELECT a AS d, list_slice(k, 1, a) AS k, sum(saved) AS saved_tokens, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves FROM (SELECT *, unnest(range(d + 1)) AS a FROM w) GROUP BY 1, 2)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, w.n_convs, CAST(w.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256 FROM w JOIN s USING (d, k) LEFT JOIN n u ON u.d = w.d - 1 AND u.k = list_slice(w.k, 1, w.d - 1)"""
+
+
 ORACLES = {
     "op1_suffix_dedup": removal(),
     "op2_kd_tree_sharding": shards(),
@@ -234,5 +252,6 @@ ORACLES = {
     "op9_benchmark_decontamination": contamination(),
     "op10_simhash_near_dedup": fingerprints(),
     "op12_fill_in_middle": arrangements(),
+    "op13_conversation_trie": prefix_trie(),
     "quality_statistics": statistics(),
 }

@@ -14,6 +14,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,3 +131,45 @@ def running_sum(df: DataFrame, groups: list[str], order: list[str], weight: Colu
     joined = tagged.join(F.broadcast(base), here)
     inside = Window.partitionBy("_p", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum("_w").over(inside), F.lit(0))).drop("_w", "_p", "_q", "_base", *[f"_g{i}" for i in range(len(groups))])
+
+
+def streamed_sums(df: DataFrame, key: str, order: list[Column], weights: dict[str, Column]) -> DataFrame:
+    """``df`` with sums of ``weights`` (name: value, long) over each row and those before it, among rows of its ``key``.
+
+    ``key`` is a long and never null; rows equal in ``order`` are interchangeable. Rows are
+    dealt by range over (key, order) and added up in the same task in which they arrive,
+    with one running total held, so a key of any size is spread over tasks. Only the first
+    key of a task can have begun in an earlier one: what it brings along is a row for each
+    task at most, and is broadcast.
+    """
+    dealt = df.withColumns({f"_{k}": w.cast("long") for k, w in weights.items()})
+    dealt = dealt.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_p", F.spark_partition_id())
+    names, sums_of = dealt.columns, list(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, totals = None, dict.fromkeys(sums_of, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = batch.column(names.index(key)).to_numpy()
+            starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            size = np.diff(np.append(starts, len(k)))
+            columns = []
+            for name in sums_of:
+                sums = np.cumsum(batch.column(names.index(f"_{name}")).to_numpy())
+                before = np.where(starts > 0, sums[starts - 1], 0)
+                if last == k[0]:
+                    before[0] = -totals[name]
+                sums = sums - np.repeat(before, size)
+                totals[name] = int(sums[-1])
+                columns.append(pa.array(sums, pa.int64()))
+            last = k[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *sums_of])
+
+    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema], *[f"`{k}` long" for k in weights]])
+    rows = materialize(dealt.mapInArrow(run, ddl), "ranges")
+    whole = rows.groupBy(key, "_p").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in weights])
+    before = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    brought = whole.select(F.col(key).alias("_key"), F.col("_p").alias("_q"), *[F.sum(f"_{k}").over(before).alias(f"+{k}") for k in weights]).where(F.col(f"+{next(iter(weights))}").isNotNull())
+    joined = rows.drop(*[f"_{k}" for k in weights]).join(F.broadcast(brought), (F.col(key) == F.col("_key")) & (F.col("_p") == F.col("_q")), "left")
+    return joined.select(*df.columns, *[(F.col(k) + F.coalesce(F.col(f"`+{k}`"), F.lit(0))).alias(k) for k in weights])
