@@ -215,6 +215,22 @@ def fingerprints(shingle: int = 3) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in ctes.items()) + f" SELECT doc_id, {hexed} AS fingerprint, component_id FROM p JOIN least USING (fp)"
 
 
+def similar(shingle: int = 5, percent: int = 85) -> str:
+    """Whole sets of all pairs with a common shingle, and what is reachable over links."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORDS}') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {shingle - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + {shingle - 1}), ' ') AS s FROM i),
+z AS (SELECT doc_id, list_sort(list(s)) AS l, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT l, min(doc_id) AS node, any_value(n) AS n FROM z GROUP BY l),
+e AS (SELECT node, n, unnest(l) AS s FROM c),
+p AS (SELECT a.node AS a, b.node AS b, a.n + b.n AS n, count(*) AS k FROM e a JOIN e b ON a.s = b.s AND a.node <> b.node GROUP BY 1, 2, 3),
+l AS (SELECT a, b FROM p WHERE 100 * k >= {percent} * (n - k)),
+reach AS (SELECT node AS a, node AS b FROM c UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+least AS (SELECT a AS node, min(b) AS component_id FROM reach GROUP BY 1),
+o AS (SELECT z.doc_id, z.n, component_id FROM z JOIN c USING (l) JOIN least USING (node))
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept FROM d LEFT JOIN o USING (doc_id)"""
+
+
 def arrangements() -> str:
     h = lambda i: f"CAST('0x' || substr(k, {8 * i + 1}, 8) AS BIGINT)"
     part = lambda a, b: f"array_to_string(list_slice(u, CAST({a} AS BIGINT), CAST({b} AS BIGINT)), '')"
@@ -251,6 +267,7 @@ ORACLES = {
     "op7_pii": personal(),
     "op9_benchmark_decontamination": contamination(),
     "op10_simhash_near_dedup": fingerprints(),
+    "op11_minhash_near_dedup": similar(),
     "op12_fill_in_middle": arrangements(),
     "op13_conversation_trie": prefix_trie(),
     "quality_statistics": statistics(),

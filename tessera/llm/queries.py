@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, infill, packing, pii, quality, rules, secrets, sharding, simhash, substrings, trie, warc
+from tessera.llm import decontaminate, infill, minhash, packing, pii, quality, rules, secrets, sharding, simhash, substrings, trie, warc
 from tessera.llm.oracles import ORACLES
 
 
@@ -62,6 +62,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_conversation_trie": op13_conversation_trie,
     "quality_statistics": quality_statistics,
