@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import strings as S
 from tessera.functions import templates
+from tessera.operators import automata, graph
 
 # fixed values: noise that the two levels drop
 MODERATE_NOISE = ["^\\s*$", "^\\.+$", "^(\\s*)\\d+/\\d+\\s+.*$", "(?i)progress:?"]
@@ -278,26 +279,28 @@ def whole_documents(s: Stream, f: Callable[[list[str]], list[str]]) -> Stream:
 
 @action
 def state_machine(s: Stream, states: dict[str, dict] | None = None) -> Stream:
-    """Lines kept by the state that earlier lines led to; a line that ends a state is dropped."""
+    """Lines kept by the state that earlier lines led to; a line that ends a state is dropped.
+
+    Lines are dealt by range, so a document of any length is spread over tasks.
+    """
     if not isinstance(states, dict):
         raise ValueError("'states' must be a map")
-    compiled = lambda p: re.compile(p) if p and valid(p) else None
-    table = {k: (compiled(c.get("until")), compiled(c.get("keep")), c.get("next") or "") for k, c in states.items() if isinstance(c, dict)}
-    first = "start" if "start" in table else min(table, default="")
-
-    def run(lines: list[str]) -> list[str]:
-        now, out = first, []
-        for line in lines:
-            if now not in table:
-                break
-            until, keep, nxt = table[now]
-            if until and until.search(line):
-                now = nxt or now
-            elif keep is None or keep.search(line):
-                out.append(line)
-        return out
-
-    return whole_documents(s, run)
+    table = {k: c for k, c in sorted(states.items()) if isinstance(c, dict)}
+    if not table:
+        return filtered(s, F.lit(False))
+    # a state that is not stated ends the machine: the last number, which nothing leaves
+    number = {k: i for i, k in enumerate(table)}
+    hit = lambda c, key: F.col("line").rlike(java(c[key])) if c.get(key) and valid(c[key]) else None
+    never = F.lit(False)
+    until, keep = {k: hit(c, "until") for k, c in table.items()}, {k: hit(c, "keep") for k, c in table.items()}
+    moves = [(never if until[k] is None else until[k], number.get(c.get("next") or k, len(table))) for k, c in table.items()]
+    first = number.get("start", 0)
+    met = automata.states(s.lines, [*moves, (never, len(table))], first, graph.cut)
+    kept = F.lit(False)
+    for k, i in number.items():
+        stays = F.lit(True) if keep[k] is None else keep[k]
+        kept = F.when(F.col("state") == i, stays if until[k] is None else stays & ~until[k]).otherwise(kept)
+    return Stream(met.where(kept).drop("state"), s.groups, s.stats)
 
 
 def sections(s: Stream, until: str, keep: str = "") -> DataFrame:

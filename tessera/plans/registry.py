@@ -153,6 +153,19 @@ def state_machine(s, d):
     return L.state_machine(turns(s, d), STATES).lines.select("doc_id", "line")
 
 
+MACHINE = {"start": {"until": "[aeiou]{2}", "next": "inner"}, "inner": {"until": "[0-9]|st", "next": "last", "keep": "^[A-Z]"}, "last": {"until": "e\\W*$", "next": "start", "keep": "a"}}
+FOLD = """list_reduce(list_prepend({'s': 0, 'k': CAST([] AS VARCHAR[])}, list_transform(l, lambda x: {'s': 0, 'k': [x]})), lambda a, x: CASE
+ WHEN a.s = 0 THEN CASE WHEN regexp_matches(x.k[1], '[aeiou]{2}') THEN {'s': 1, 'k': a.k} ELSE {'s': 0, 'k': list_concat(a.k, x.k)} END
+ WHEN a.s = 1 THEN CASE WHEN regexp_matches(x.k[1], '[0-9]|st') THEN {'s': 2, 'k': a.k} WHEN regexp_matches(x.k[1], '^[A-Z]') THEN {'s': 1, 'k': list_concat(a.k, x.k)} ELSE a END
+ ELSE CASE WHEN regexp_matches(x.k[1], 'e\\W*$') THEN {'s': 0, 'k': a.k} WHEN regexp_matches(x.k[1], 'a') THEN {'s': 2, 'k': list_concat(a.k, x.k)} ELSE a END END)"""
+
+
+@query(f"SELECT doc_id, unnest({FOLD}.k) AS line FROM (SELECT doc_id, list(line ORDER BY line_no) AS l FROM ({LINES_SQL}) GROUP BY doc_id)")
+def state_cycle(s, d):
+    """Three states that lead into each other, over every line of the documents."""
+    return L.state_machine(lines(s, d), MACHINE).lines.select("doc_id", "line")
+
+
 @query(SECTION_SQL)
 def state_sections(s, d):
     return L.sections(turns(s, d), "the", "and").select("doc_id", "line")
