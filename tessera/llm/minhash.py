@@ -15,9 +15,9 @@ Only different sets are posted; copies follow their set. A list of over SMALL se
 first, for each set, its best match among the smaller ones, cut in chunks if the list is
 long. These links join most of a large group; then only sets that are still in different
 components are compared, those of a list's largest component with those outside it and the
-latter with each other, in cells of two chunks each. So every pair that could join two
-components is looked at, no list is one task, and a group of near copies gives pairs in
-proportion to its sets.
+latter with each other, whole set by whole set, in cells of two chunks each. So every pair
+that could join two components is looked at, no list is one task, and rows that a group of
+near copies gives are in proportion to its sets and links, also where most of its pairs are nearly similar.
 
 Sets are compared as sorted 64-bit hashes of shingles: two different shingles of one
 pair of texts share one with odds of their product over 2**64.
@@ -49,6 +49,8 @@ COORDINATES, POSTED = 128, 40
 ODDS = 1e-10
 #: Sets of a list whose pairs are all looked at at once, and sets of a chunk of a longer one.
 SMALL, CHUNK = 64, 1024
+#: Hashes of the whole sets of a chunk, about.
+HASHES = 1 << 20
 #: Pairs that are compared at a time.
 BLOCK = 1 << 18
 
@@ -91,11 +93,11 @@ def sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 SEEDS = textvec.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(textvec.BASE))
 
 
-def signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+def signatures(value: np.ndarray, first: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """Least values, a row for each set; sets have one hash at least."""
-    out = np.empty((len(first), COORDINATES), np.uint32)
+    out = np.empty((len(first), coordinates), np.uint32)
     x = (value >> np.uint64(32)).astype(np.uint32)
-    for i, seed in enumerate(SEEDS):
+    for i, seed in enumerate(SEEDS[:coordinates]):
         y = (x ^ np.uint32(seed >> np.uint64(32))) * np.uint32((seed & np.uint64(0xFFFFFFFF)) | np.uint64(1))
         y ^= y >> np.uint32(15)
         y *= np.uint32(0x2C1B3C6D)
@@ -159,15 +161,22 @@ def lists(classes: DataFrame, percent: int) -> DataFrame:
 
 
 class Group:
-    """Rows of whole cells, in order of cell and size."""
+    """Rows of whole cells, in order of cell and size; they carry signatures, or ``whole`` sets."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, whole: bool):
         column = lambda name: table[name].to_numpy()
         self.node, self.n, self.mask, self.label, self.component = (column(c) for c in ("node", "n", "mask", "label", "component"))
         self.coordinate = column("key") >> 32
         self.all = column("every")
         self.cell = np.cumsum(changes(table)) - 1
-        self.signs = matrix(table["sig"].combine_chunks())
+        carried = table["carried"].combine_chunks()
+        if whole:
+            raw, offsets = textvec.utf8_bytes(carried)
+            value, self.first = raw.view(np.uint64), offsets // 8
+            self.codes = np.unique(value, return_inverse=True)[1].astype(np.int32)
+            self.signs = signatures(value, self.first[:-1], POSTED)
+        else:
+            self.signs = matrix(carried)
 
     def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of pairs of a cell that sizes, labels and components allow, some at a time."""
@@ -197,6 +206,30 @@ class Group:
         step = BLOCK // 16
         return np.concatenate([np.zeros(0, np.int64), *[(self.signs[a[i : i + step]] == self.signs[b[i : i + step]]).sum(axis=1) for i in range(0, len(a), step)]])
 
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common hashes of pairs of whole sets; those of one ``a`` follow each other."""
+        out, here = np.zeros(len(a), np.int64), np.zeros(int(self.codes.max(initial=0)) + 1, bool)
+        edges = np.append(np.flatnonzero(np.diff(a, prepend=-1)), len(a))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            mine = self.codes[self.first[a[i]] : self.first[a[i] + 1]]
+            low, high = int(b[i:j].min()), int(b[i:j].max()) + 1
+            here[mine] = True
+            sums = np.add.reduceat(here[self.codes[self.first[low] : self.first[high]]], self.first[low:high] - self.first[low], dtype=np.int64)
+            out[i:j] = sums[b[i:j] - low]
+            here[mine] = False
+        return out
+
+    def linked(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of all pairs whose whole sets are similar."""
+        out = [(np.zeros(0, np.int64),) * 2]
+        for a, b in self.pairs(percent):
+            a, b = self.own(a, b)
+            both = self.shared(a, b)
+            keep = 100 * both >= percent * (self.n[a] + self.n[b] - both)
+            out.append((self.node[a[keep]], self.node[b[keep]]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return np.minimum(a, b), np.maximum(a, b)
+
     def found(self, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Nodes of the pairs above the threshold: all of them, or the best of each set where not all are asked for."""
         out_a, out_b = [], []
@@ -232,8 +265,8 @@ def changes(table: pa.Table) -> np.ndarray:
     return new
 
 
-def merged(cells: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of rows (key, x, y, kind, every, node, n, mask, label, component, sig): pairs of a cell above the threshold."""
+def merged(cells: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """(a, b) of rows (key, x, y, kind, every, node, n, mask, label, component, carried): pairs of a cell above the threshold, or links if rows carry whole sets."""
     least = least_agreements(COORDINATES, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +274,8 @@ def merged(cells: DataFrame, percent: int) -> DataFrame:
 
         def look(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             if rows.num_rows > 1:
-                a, b = Group(rows).found(percent, least)
+                group = Group(rows, whole)
+                a, b = group.linked(percent) if whole else group.found(percent, least)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -260,25 +294,36 @@ def merged(cells: DataFrame, percent: int) -> DataFrame:
     return materialize(small_batches(ordered).mapInArrow(run, "a long, b long").distinct(), "pairs")
 
 
-COLUMNS = [*CELL, "every", "node", "n", "mask", "label", "component", "sig"]
+COLUMNS = [*CELL, "every", "node", "n", "mask", "label", "component", "carried"]
 
 
 def nearest(listed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of short lists above the threshold, and in longer ones the best of each set in its chunk."""
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / CHUNK))
     rows = listed.join(classes.select("node", "n", "sig"), "node")
-    rows = rows.withColumns({"x": chunk, "y": F.lit(0), "kind": F.lit(0), "every": F.col("total") <= SMALL, "label": F.col("node"), "component": F.col("node")})
-    return merged(rows.select(COLUMNS), percent)
+    rows = rows.withColumns({"x": chunk, "y": F.lit(0), "kind": F.lit(0), "every": F.col("total") <= SMALL, "label": F.col("node"), "component": F.col("node"), "carried": F.col("sig")})
+    return merged(rows.select(COLUMNS), percent, False)
 
 
-def across(listed: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of long lists above the threshold whose ends are in different components (node, root)."""
-    long = listed.where(F.col("total") > SMALL).join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+def outside(listed: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of long lists that meet several components (node, root), with ``component`` and the list's largest, ``main``; what is in it makes ``inside`` chunks and the rest ``outside``."""
+    long = listed.where(F.col("total") > SMALL).join(classes.select("node", "n"), "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
     long = materialize(long, "long")
-    counts = long.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
-    rows = long.join(materialize(main, "main"), "key").withColumn("is_main", F.col("component") == F.col("main"))
-    number = lambda n: F.greatest(F.ceil(F.col(n) / CHUNK), F.lit(1))
+    load = F.sum(F.lit(1.0) / CHUNK + F.col("n") / float(HASHES))
+    counts = long.groupBy("key", "component").agg(F.count("*").alias("sets"), load.alias("load"))
+    largest = F.max_by(F.struct("component", "load"), F.struct("sets", "component"))
+    main = counts.groupBy("key").agg(largest.alias("m"), F.sum("load").alias("load"), F.count("*").alias("parts")).where("parts > 1")
+    main = main.select("key", F.col("m.component").alias("main"), F.ceil("m.load").alias("inside"), F.ceil(F.col("load") - F.col("m.load")).alias("outside"))
+    return materialize(long.join(materialize(main, "main"), "key"), "long")
+
+
+def across(rows: DataFrame, classes: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all links of ``outside`` rows whose ends are in different components, by their whole sets (node, hashes).
+
+    Sets move instead of pairs: what leaves a cell are links, however many of its pairs are nearly similar.
+    """
+    rows = rows.withColumn("is_main", F.col("component") == F.col("main"))
+    number = lambda n: F.greatest(F.col(n), F.lit(1))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), number("inside")).otherwise(number("outside"))))
     cell = lambda x, y, kind, label: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(kind).alias("kind"), label.cast("long").alias("label"))
     each = lambda n: F.sequence(F.lit(0).cast("long"), number(n) - 1)
@@ -286,8 +331,8 @@ def across(listed: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
     # a chunk of one side meets all of the other; outer chunks meet each other, and themselves by node
     inner = F.transform(each("outside"), lambda x: cell(x, chunk, 0, F.lit(0)))
     outer = F.concat(F.transform(each("inside"), lambda y: cell(chunk, y, 0, F.lit(1))), F.transform(each("outside"), lambda y: cell(F.least(chunk, y), F.greatest(chunk, y), 1, F.when(chunk == y, F.col("node")).otherwise(chunk))))
-    rows = rows.withColumn("cell", F.explode(F.when(F.col("is_main"), inner).otherwise(outer))).select("key", "node", "mask", "component", "cell.*", F.lit(True).alias("every"))
-    return merged(rows.join(classes.select("node", "n", "sig"), "node").select(COLUMNS), percent)
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("is_main"), inner).otherwise(outer))).select("key", "node", "n", "mask", "component", "cell.*", F.lit(True).alias("every"))
+    return merged(rows.join(held.withColumnRenamed("hashes", "carried"), "node").select(COLUMNS), percent, True)
 
 
 # ---- whole sets
@@ -342,10 +387,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85) -> Dat
     held = whole_sets(ends(first), classes, folder, tasks, shingle)
     links = confirmed(first, held, percent)
     roots = materialize(components(links), "roots")
-    second = across(by_key, classes, roots, percent).join(first, ["a", "b"], "left_anti")
-    second = materialize(second, "pairs")
-    more = whole_sets(ends(second).join(held.select("node"), "node", "left_anti"), classes, folder, tasks, shingle)
-    links = links.unionByName(confirmed(second, held.unionByName(more), percent))
+    rows = outside(by_key, classes, roots)
+    more = whole_sets(rows.select("node").distinct().join(held.select("node"), "node", "left_anti"), classes, folder, tasks, shingle)
+    links = links.unionByName(across(rows, classes, held.unionByName(more), percent))
     named = classes.select("node", "n", "s1", "s2", "best").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = materialize(named.groupBy("root").agg(F.min("best").alias("component_id")), "least")
     # written out, so that the join reads two exchanges and a set with many copies can be split
