@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import strings as S
 from tessera.functions import vectors as V
-from tessera.operators import encode, graph, risk, search, store, telemetry
+from tessera.operators import encode, graph, nearest, risk, search, segments, store, telemetry
 from tessera.operators import lines as L
 from tessera.plans import adapters as A
 from tessera.plans.base import ORACLES, QUERIES, SEED, query, rounded, with_
@@ -652,15 +652,48 @@ TOKENS_SQL = "SELECT id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS toke
 PHRASE_SQL = f"SELECT a.id, a.pos FROM ({TOKENS_SQL}) a JOIN ({TOKENS_SQL}) b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND starts_with(b.token, 'the')"
 
 
-INDEXES: dict[tuple[str, str], search.Stored] = {}
+INDEXES: dict[tuple[str, str], segments.Segments] = {}
 
 
-def index(s, d):
-    """The stored index of a folder's documents, written by the first search of a session."""
+def texts(s, d):
+    return A.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def changed_index(s, d) -> segments.Segments:
+    """The documents' index after a change: of every eleventh an earlier version was there first, and of some a document that is gone."""
+    now = texts(s, d)
+    stale = now.where("id % 11 = 3").select("id", F.reverse("text").alias("text"))
+    gone = now.where("id % 11 = 5").select((-F.col("id") - 1).alias("id"), "text")
+    before = now.where("id % 11 <> 3").unionByName(stale).unionByName(gone)
+    first = segments.Segments(f"{graph.shared_folder(s)}/index-{uuid.uuid4().hex}", ("text",)).changed(before)
+    return first.changed(now.where("id % 11 = 3"), stale.unionByName(gone))
+
+
+def index(s, d) -> search.Stored:
+    """Kept for the session: of a folder's tables, which do not change while it is open."""
     key = (s.sparkContext.applicationId, d)
     if key not in INDEXES:
-        INDEXES[key] = search.store_index(A.table(s, d, "documents"), "doc_id", ["text"], f"{graph.shared_folder(s)}/index-{uuid.uuid4().hex}")
-    return INDEXES[key]
+        INDEXES[key] = changed_index(s, d)
+    return INDEXES[key].stored(s)
+
+
+@query(f"SELECT (SELECT count(*) FROM documents) AS n, count(*) AS tokens, count(DISTINCT token) AS words FROM ({TOKENS_SQL})")
+def index_build(s, d):
+    """Build the segments and change them: the facts that follow from what is live; always built anew, so that its time is that of a build."""
+    built = changed_index(s, d)
+    INDEXES[(s.sparkContext.applicationId, d)] = built
+    words = built.stored(s).postings.agg(F.countDistinct("token").alias("words"))
+    return words.select(F.lit(built.rows).cast("long").alias("n"), F.lit(built.tokens).cast("long").alias("tokens"), "words")
+
+
+BEST_SQL = with_(t=TOKENS_SQL, tf="SELECT id, CAST(count(*) AS DOUBLE) AS tf FROM t WHERE token = 'thre' GROUP BY 1", ln="SELECT id, count(*) AS len FROM t GROUP BY 1", g="SELECT (SELECT CAST(count(*) AS DOUBLE) FROM documents) AS n, (SELECT CAST(count(*) AS DOUBLE) FROM t) AS tokens, (SELECT CAST(count(*) AS DOUBLE) FROM tf) AS df", r="SELECT id, -greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len * n / tokens)) AS relevance FROM tf JOIN ln USING (id), g") + "SELECT id, round(relevance, 6) AS relevance FROM r ORDER BY r.relevance, id LIMIT 15"
+
+
+@query(BEST_SQL)
+def best_of_word(s, d):
+    """The best rows of a word from its ranked classes, without those that cannot hold one."""
+    index(s, d)
+    return rounded(INDEXES[(s.sparkContext.applicationId, d)].best(s, "thre", 15)[0])
 
 
 @query(f"SELECT id, CAST(pos AS INTEGER) AS pos FROM ({PHRASE_SQL})")
@@ -673,8 +706,7 @@ BM25_SQL = with_(t=TOKENS_SQL, tf=f"SELECT id, CAST(count(*) AS DOUBLE) AS tf FR
 
 @query(BM25_SQL)
 def bm25(s, d):
-    found = search.bm25(index(s, d), A.table(s, d, "documents").select(F.col("doc_id").alias("id")), "of the*")
-    return rounded(found)
+    return rounded(search.bm25(index(s, d), texts(s, d).select("id"), "of the*"))
 
 
 def vectors(s, d):
@@ -690,7 +722,9 @@ KNN_SQL = "SELECT vec_id AS id, sqrt(list_sum(list_transform(list_zip(embedding,
 
 @query(f"SELECT id, round(distance, 6) AS distance FROM ({KNN_SQL})")
 def knn(s, d):
-    return rounded(search.knn(vectors(s, d), probe(s, d), 25))
+    """From a pivot table, built here: the rings that can hold one of the nearest are read."""
+    table = nearest.build(vectors(s, d), f"{graph.shared_folder(s)}/vectors-{uuid.uuid4().hex}")
+    return rounded(table.knn(probe(s, d), 25)[0])
 
 
 def fused_sql() -> str:
@@ -700,8 +734,7 @@ def fused_sql() -> str:
 
 @query(fused_sql())
 def hybrid_rrf(s, d):
-    documents = A.table(s, d, "documents").select(F.col("doc_id").alias("id"))
-    return rounded(search.hybrid(index(s, d), documents, vectors(s, d), "of the*", probe(s, d)))
+    return rounded(search.hybrid(index(s, d), texts(s, d).select("id"), vectors(s, d), "of the*", probe(s, d)))
 
 
 @query(f"SELECT id, project FROM ({OBSERVATIONS_SQL}) WHERE contains(lower(content), 'and th') ORDER BY created_at DESC, id DESC LIMIT 15")
