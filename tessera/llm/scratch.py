@@ -16,7 +16,6 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,23 +59,11 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df``, kept on the executors' disks once computed; what a lost executor held is computed again.
-
-    For tables that follow from written ones alone, whose second computation gives the same rows.
-    """
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def release(*tables: DataFrame) -> None:
-    """Remove the files or copies of working tables that nothing will read again."""
+    """Remove the files of working tables that nothing will read again."""
     for t in tables:
-        path = getattr(t, "working_path", None)
-        if path is None:
-            t.unpersist()
-        else:
-            _made.remove(path)
-            remove(t.sparkSession, path)
+        _made.remove(t.working_path)
+        remove(t.sparkSession, t.working_path)
 
 
 @contextmanager

@@ -53,7 +53,7 @@ from tessera.llm import parts as parts_
 from tessera.llm import textvec
 from tessera.llm.parts import PIECE, by_part, same, storage
 from tessera.llm.runs import first_id, front_code, repeated
-from tessera.llm.scratch import fresh_path, held, materialize, release, small_batches
+from tessera.llm.scratch import fresh_path, materialize, release, small_batches
 
 LENGTH = 200
 GRAM = 48
@@ -296,24 +296,24 @@ def count_windows(classes: DataFrame, job: Job) -> tuple[DataFrame, list[DataFra
 
     windows = materialize(by_part(classes, job.parts, "row", "start").mapInArrow(run, "w long, part string, row int, start int, single boolean"), "windows")
     wanted = windows.groupBy("w").agg(F.count("*").alias("k"), F.max("single").alias("s")).where("k > 1 and s").select("w")
-    wanted = held(wanted)  # see candidates
+    wanted = materialize(wanted, "wanted")  # see candidates
     return windows.join(wanted, "w").select("part", "row", "start", F.lit(length).alias("length"), F.xxhash64("w").alias("c")), [windows, wanted]
 
 
 def candidates(found: DataFrame, job: Job) -> DataFrame:
     """(part, row, start, length, c) of all suffixes to sort, once each or more; strings with one ``c`` should be equal.
 
-    Group totals are computed before they are joined back: a join that reads both sides
+    Group totals are written out before they are joined back: a join that reads both sides
     from exchanges of its own is one whose hot keys Spark can split.
     """
     stretch = ["h", "u", "n"]
     differ = (F.min("u") != F.max("u")) | (F.min("n") != F.max("n"))
-    groups = held(found.groupBy("h").agg(F.count("*").alias("k"), differ.alias("differ")).where("k > 1").select("h", "differ"))
+    groups = materialize(found.groupBy("h").agg(F.count("*").alias("k"), differ.alias("differ")).where("k > 1").select("h", "differ"), "groups")
     shared = materialize(found.join(groups, "h"), "shared")
     of = materialize(shared.where("differ").groupBy(*stretch).agg(F.count("*").alias("k"), F.min(F.struct("part", "row", "start", "n")).alias("one")), "classes")
     again = with_twin(shared.where("differ"), of, stretch)
     clean = shared.where("not differ").unionByName(again).select("part", "row", "start", (F.col("n") + (job.length - 1)).cast("int").alias("length"), F.xxhash64(*stretch).alias("c"))
-    sizes = held(of.groupBy("h").agg(F.count("*").alias("different")))
+    sizes = materialize(of.groupBy("h").agg(F.count("*").alias("different")), "sizes")
     classes = materialize(of.join(sizes, "h").select("one.part", "one.row", "one.start", "one.n", "h", (F.col("k") == 1).alias("single"), (F.col("different") > MOST_IN_TASK).alias("many")), "differing")
     out = clean.unionByName(compare(classes.where("not many").drop("many"), job))
     used = [groups, shared, of, sizes, classes]
@@ -467,7 +467,7 @@ def reexamined(suffixes: DataFrame, wrong: DataFrame, found: DataFrame, length:
     inside = lambda start, s, n: (start >= s) & (start < s + n)
     hit = at(suffixes.join(wrong, "c")).distinct()
     anchors = found.join(hit, (F.col("part") == F.col("p")) & (F.col("row") == F.col("r")) & inside(F.col("s"), F.col("start"), F.col("n"))).select("h").distinct()
-    again = held(found.join(held(anchors), "h").select("part", "row", "start", "n"))
+    again = materialize(found.join(materialize(anchors, "anchors"), "h").select("part", "row", "start", "n"), "again")
     rest = suffixes.join(at(again, "n"), (F.col("part") == F.col("p")) & (F.col("row") == F.col("r")) & inside(F.col("start"), F.col("s"), F.col("n")), "left_anti")
     windows = F.explode(F.sequence("start", F.col("start") + F.col("n") - 1))
     return rest.unionByName(again.select("part", "row", windows.alias("start"), F.lit(length).alias("length"), F.lit(None).cast("long").alias("c")))
@@ -522,6 +522,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bits: int = 6
     merged = sort_and_merge(suffixes, job)
     wrong = misnamed(merged)
     if not wrong.isEmpty():
-        merged = sort_and_merge(materialize(reexamined(suffixes, held(wrong), found, length), "suffixes"), job)
+        merged = sort_and_merge(materialize(reexamined(suffixes, materialize(wrong, "wrong"), found, length), "suffixes"), job)
     release(listed, suffixes)
     return remove(names, merged, job)

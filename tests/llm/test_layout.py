@@ -122,15 +122,13 @@ def test_working_tables_go_but_for_those_kept(spark):
         scratch.materialize(spark.range(3))
         kept = keep(scratch.materialize(spark.range(4)))
     assert kept.count() == 4 and first.count() == 2 and scratch._made[-2:] == [first.working_path, kept.working_path]
-    held = scratch.held(spark.range(5))
-    assert held.count() == 5
-    scratch.release(first, kept, held)
-    assert held.storageLevel.useDisk is False and first.working_path not in scratch._made
+    scratch.release(first, kept)
+    assert first.working_path not in scratch._made
 
 
 def test_components(spark):
     rng = random.Random(3)
-    pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(-5, n) for n in range(2000, 2050)] + [(7, 7)]
+    pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(-5, n) for n in range(2000, 2050)] + [(-9, n) for n in range(10_000, 16_000)] + [(7, 7)]
     root = {}
 
     def find(x):
