@@ -21,12 +21,13 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.union(now.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # written out, so that each join reads two exchanges and a node with very many edges can be split
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "low")
+        large = materialize(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         before, now = now, materialize(small, "edges")
-        release(before)
+        release(before, low, large, least)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
