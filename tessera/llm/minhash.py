@@ -317,7 +317,7 @@ def outside(listed: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFram
     return materialize(long.join(materialize(main, "main"), "key"), "long")
 
 
-def across(rows: DataFrame, classes: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def across(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """(a, b): all links of ``outside`` rows whose ends are in different components, by their whole sets (node, hashes).
 
     Sets move instead of pairs: what leaves a cell are links, however many of its pairs are nearly similar.
@@ -389,7 +389,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85) -> Dat
     roots = materialize(components(links), "roots")
     rows = outside(by_key, classes, roots)
     more = whole_sets(rows.select("node").distinct().join(held.select("node"), "node", "left_anti"), classes, folder, tasks, shingle)
-    links = links.unionByName(across(rows, classes, held.unionByName(more), percent))
+    links = links.unionByName(across(rows, held.unionByName(more), percent))
     named = classes.select("node", "n", "s1", "s2", "best").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = materialize(named.groupBy("root").agg(F.min("best").alias("component_id")), "least")
     # written out, so that the join reads two exchanges and a set with many copies can be split

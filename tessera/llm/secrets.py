@@ -227,25 +227,34 @@ def code(trigram: bytes) -> int:
     return trigram[0] << 16 | trigram[1] << 8 | trigram[2]
 
 
+def spans_in(texts: pa.Array, rules: list[Rule], vocabulary: list[bytes]) -> list[list[Span]]:
+    """Spans of every text of a slice, in order."""
+    segment, kinds = Segment(*textvec.utf8(texts), vocabulary), [r.kind for r in rules]
+    values = texts.to_pylist()
+    spans: list[list[Span]] = [[] for _ in values]
+    for rule in rules:
+        for i in segment.rows_of(rule.query).tolist():
+            if values[i]:
+                spans[i] += [(rule.kind, a, b) for a, b in rule.places(values[i])]
+    return [ordered(s, kinds) if s else s for s in spans]
+
+
+def words_of(rules: list[Rule]) -> list[bytes]:
+    """The trigrams that the rules' queries name."""
+    return sorted({folded(t) for r in rules for t in named(r.query)})
+
+
 def scan(docs: DataFrame, rules: list[Rule], keep: list[str], out: str = "found") -> DataFrame:
     """``keep`` columns of ``docs`` and ``out``: every row's spans (kind, start, end), in order."""
-    kinds = [r.kind for r in rules]
     data = small_batches(docs).select(F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     schema = ", ".join(["found array<struct<kind:string,start:long,end:long>>", *[f"k{i} {data.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))]])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sorted({folded(t) for r in rules for t in named(r.query)})
+        vocabulary = words_of(rules)
         for batch in batches:
             for part in textvec.slices(batch, 0):
-                segment = Segment(*textvec.utf8(part.column(0)), vocabulary)
-                texts = part.column(0).to_pylist()
-                spans: list[list[Span]] = [[] for _ in texts]
-                for rule in rules:
-                    for i in segment.rows_of(rule.query).tolist():
-                        if texts[i]:
-                            spans[i] += [(rule.kind, a, b) for a, b in rule.places(texts[i])]
-                rows = [[{"kind": k, "start": a, "end": b} for k, a, b in ordered(s, kinds)] if s else [] for s in spans]
+                rows = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans_in(part.column(0), rules, vocabulary)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, kind), *part.columns[1:]], ["found", *part.schema.names[1:]])
 
     return data.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("found").alias(out))
@@ -260,23 +269,33 @@ def digests(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], F.sha2(text(F.filter("found", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
 
 
+def marked(text: str, spans: list[Span], mark: str) -> str:
+    """``text`` with each of ``spans``, in order, replaced by ``mark``; spans that overlap by one mark. Linear in both."""
+    pieces, at = [], 0
+    for _, start, end in spans:
+        if start >= at:
+            pieces += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*pieces, text[at:]])
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret span of ``text`` replaced by ``mark``; overlapping spans become one mark."""
-    free = "_" * (1 + max(map(len, docs.columns)))  # a prefix that no column has
-    whole, spans = f"{free}text", f"{free}spans"
-    columns = [c for c in docs.columns if c != "text"]
-    found = scan(docs.select(*columns, "text", F.col("text").alias(whole)), BASE_RULES + MORE_RULES, [*columns, whole], spans)
-    rest = lambda acc, n: F.substring(F.col(whole), (acc["at"] + 1).cast("int"), n)
-    merged = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(
-                F.when(s["start"] < acc["at"], acc["done"]).otherwise(F.concat(acc["done"], rest(acc, (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("done"),
-                s["end"].alias("at"),
-            )
-        ),
-        lambda acc: F.concat(acc["done"], rest(acc, F.lit(2147483647))),
-    )
-    text = F.when(F.size(spans) == 0, F.col(whole)).otherwise(merged).alias("text")
-    return found.select(*[text if c == "text" else F.col(c) for c in docs.columns])
+    rules, at = BASE_RULES + MORE_RULES, docs.columns.index("text")
+    rows = small_batches(docs.withColumn("text", F.col("text").cast("string")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = words_of(rules)
+        for batch in batches:
+            for part in textvec.slices(batch, at):
+                texts = part.column(at)
+                spans = spans_in(texts, rules, vocabulary)
+                hit = [i for i, s in enumerate(spans) if s]
+                if hit:
+                    values = texts.to_pylist()
+                    for i in hit:
+                        values[i] = marked(values[i], spans[i], mark)
+                    texts = pa.array(values, texts.type)
+                yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -57,6 +58,38 @@ def test_secrets(spark, which):
         assert "private_key:0:31" in next(r.spans for r in got if r.doc_id == 12)
 
 
+def test_marks_are_slices(spark):
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice("aé𝒳b ") for _ in range(rng.randint(0, 40)))
+        spans = sorted(("k", a, a + rng.randint(1, 6)) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 6))))
+        spans = [s for s in spans if s[2] <= len(text)]
+        gone = [None] * (len(text) + 1)
+        at = 0
+        for number, (_, a, b) in enumerate(spans):
+            name = number if a >= at else gone[at - 1]
+            gone[max(a, at) : max(b, at)] = [name] * (max(b, at) - max(a, at))
+            at = max(at, b)
+        want, last = "", None
+        for c, g in zip(text, gone, strict=False):
+            want += c if g is None else "#" if g != last else ""
+            last = g
+        assert secrets.marked(text, spans, "#") == want
+
+
+def test_redaction_of_very_many_secrets_is_linear(spark):
+    text = lambda n: " ".join(f"AKIA{i:016d}" for i in range(n))
+    docs = spark.createDataFrame([(1, text(16_000)), (2, None)], "doc_id long, text string")
+    secrets.redact(docs).collect()
+    began = time.perf_counter()
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    redacting = time.perf_counter() - began
+    began = time.perf_counter()
+    secrets.digests(docs).collect()
+    assert out == {1: " ".join(["[SECRET]"] * 16_000), 2: None}
+    assert redacting < 2 * (time.perf_counter() - began) + 1
+
+
 def test_redaction_keeps_other_columns(spark):
     out = {r.doc_id: r for r in secrets.redact(odd(spark)).collect()}
     assert out[11].text == "password=abc [SECRET] [SECRET]\" Secret [SECRET]"
