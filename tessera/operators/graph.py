@@ -2,8 +2,7 @@
 
 Edges are (caller, callee, path, line, callee_path, link_type); symbols have name,
 type, package_path, path and line ranges. Traversals run level by level with a
-visited set, so a level costs a join and no path is enumerated, except where the
-operator is defined by paths.
+visited set, so a level costs a join and no path is enumerated.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.strings import fqn
+from tessera.operators import paths
 
 HIERARCHY = ["satisfies", "implements", "embeds"]
 ENTRY_POINTS = ["main", "init"]
@@ -94,25 +94,28 @@ def blast_radius(edges: DataFrame, names: list[str], path: str | None = None, ma
 
     ``names``: the symbol's name and full name. ``path`` limits the first step to
     calls of that file or of no known file; None takes any. A caller may come at
-    several distances. Paths are enumerated level by level, with their nodes in an
-    array, and rows alike in all of it are merged.
+    several distances. Paths are not enumerated: each node keeps a representative family of
+    those that reach it (see ``paths``), whose size depends on ``max_depth`` alone. Nodes
+    on a path are told apart by 64-bit hashes.
     """
     max_depth = max(1, min(max_depth, 10))
     near = F.lit(True) if path is None else F.col("callee_path").isin(path, "")
-    node = lambda c, p: F.struct(F.col(c).cast("string").alias("n"), F.col(p).alias("p"))
-    level = edges.where(F.col("callee").isin(names) & near).select("caller", "path", "link_type", F.array(node("caller", "path")).alias("trace")).distinct()
+    node = lambda c, p: F.xxhash64(F.col(c).cast("string"), F.col(p))
+    met = edges.where(F.col("callee").isin(names) & near).select("caller", "path", "link_type", F.array().cast("array<bigint>").alias("before"))
     steps = edges.select(F.col("caller").alias("c2"), "callee", F.col("path").alias("p2"), "callee_path", F.col("link_type").alias("l2"))
     levels = []
     for depth in range(1, max_depth + 1):
         if depth > 1:
+            level = paths.family(met, ["caller", "path"], depth - 1, max_depth - depth + 1)
+            level = cut(level)  # read by two joins
             # calls of the caller's file and calls of no known file: two equi joins
-            exact = level.drop("link_type").join(steps, (steps["callee"] == level["caller"]) & (steps["callee_path"] == level["path"]))
-            loose = level.drop("link_type").join(steps.where("callee_path = ''"), (steps["callee"] == level["caller"]) & (level["path"] != ""))
-            joined = exact.unionByName(loose).where(~F.array_contains("trace", node("c2", "p2")))
-            level = joined.select(F.col("c2").alias("caller"), F.col("p2").alias("path"), F.col("l2").alias("link_type"), F.concat("trace", F.array(node("c2", "p2"))).alias("trace")).distinct()
+            exact = level.join(steps, (steps["callee"] == level["caller"]) & (steps["callee_path"] == level["path"]))
+            loose = level.join(steps.where("callee_path = ''"), (steps["callee"] == level["caller"]) & (level["path"] != ""))
+            joined = exact.unionByName(loose).withColumns({"here": node("c2", "p2"), "passed": F.array_append("before", node("caller", "path"))})
+            met = joined.where(~F.array_contains("passed", F.col("here"))).select(F.col("c2").alias("caller"), F.col("p2").alias("path"), F.col("l2").alias("link_type"), F.col("passed").alias("before"))
         if depth < max_depth:
-            level = cut(level)  # read by the next level and by the result
-        levels.append(level.select("caller", "path", F.lit(depth).alias("distance"), "link_type").distinct())
+            met = cut(met.distinct())  # read by the next level and by the result
+        levels.append(met.select("caller", "path", F.lit(depth).alias("distance"), "link_type").distinct())
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,11 +89,45 @@ def edit_cost(loc: Column, files: Column, cascade: Column, churn: Column) -> Col
     return F.struct((4 * loc + 250 * files).cast("long").alias("tokens"), risk.alias("risk"), verdict.alias("verdict"))
 
 
+def bit(bits: Column, position: Column) -> Column:
+    """The bit at a position of a bitmap, as 0 or 1."""
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2), position % 8)).cast("int") % 2
+
+
+def reach_sets(links: DataFrame, max_depth: int) -> DataFrame:
+    """(root, page, bits): of each node of ``links`` (src, dst: numbers) all that ``max_depth`` steps reach, as bitmaps of pages of numbers."""
+    first = graph.cut(links.groupBy(F.col("src").alias("root"), F.bitmap_bucket_number("dst").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("dst")).alias("bits")))
+    reached = first
+    for _ in range(max_depth - 1):
+        carried = links.join(reached, links["dst"] == reached["root"]).select(F.col("src").alias("root"), "page", "bits")
+        reached = graph.cut(carried.unionByName(first).groupBy("root", "page").agg(F.bitmap_or_agg("bits").alias("bits")))
+    return reached
+
+
+def members(reached: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(root, node) of the members of ``reached`` that are ``wanted`` (node): what bitmaps of both have in common, read out."""
+    page = F.bitmap_bucket_number("node")
+    masks = wanted.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("node")).alias("mask"), F.min(F.col("node") - F.bitmap_bit_position("node")).alias("base"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for root, bits, mask, base in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                both = np.frombuffer(bits, np.uint8) & np.frombuffer(mask, np.uint8)
+                nodes.append(np.flatnonzero(np.unpackbits(both, bitorder="little")) + base)
+                roots.append(np.full(len(nodes[-1]), root))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(roots), pa.int64()), pa.array(np.concatenate(nodes), pa.int64())], ["root", "node"])
+
+    return reached.join(masks, "page").select("root", "bits", "mask", "base").mapInArrow(run, "root long, node long")
+
+
 def file_context(files: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
     """For each file (path, loc): symbols, churn, direct and transitive dependents, tests, edit cost.
 
     A file depends on another if a call in it has a callee there. Dependents are found
-    for all files at once, level by level.
+    for all files at once, level by level, as bitmaps of numbered files: a level moves a
+    page of bits for each link and page, and no row for a pair of files.
     """
     named = edges.where("callee_path <> '' and callee_path <> path").select(F.col("callee_path").alias("a"), F.col("path").alias("b")).distinct()
     named = graph.cut(named)
@@ -100,17 +136,12 @@ def file_context(files: DataFrame, symbols: DataFrame, edges: DataFrame, max_dep
     of = lambda c, name: number.select(F.col("path").alias(c), F.col("id").alias(name))
     links = graph.cut(named.join(of("a", "src"), "a").join(of("b", "dst"), "b").select("src", "dst"))
     direct = named.groupBy(F.col("a").alias("path")).agg(F.array_sort(F.collect_set("b")).alias("direct_dependents"))
-    seen = pairs = links.select(F.col("src").alias("root"), F.col("dst").alias("node"))
-    for _ in range(max_depth - 1):
-        step = pairs.join(links, pairs["node"] == links["src"]).select("root", F.col("dst").alias("node")).where("root <> node").distinct()
-        pairs = graph.cut(step.join(seen, ["root", "node"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        seen = seen.unionByName(pairs)
+    reached = reach_sets(links, max_depth)
     root = of("path", "root")
-    cascade = seen.groupBy("root").agg(F.count("*").alias("transitive")).join(root, "root").select("path", "transitive")
+    own = F.when(F.col("page") == F.bitmap_bucket_number("root"), bit(F.col("bits"), F.bitmap_bit_position("root"))).otherwise(0)
+    cascade = reached.groupBy("root").agg((F.sum(F.bitmap_count("bits")) - F.sum(own)).alias("transitive")).join(root, "root").select("path", "transitive")
     tests = number.where(F.col("path").rlike("(_test\\.go|_test\\.py|\\.test\\.ts)$")).select(F.col("id").alias("node"), F.col("path").alias("hint"))
-    hints = seen.join(tests, "node").groupBy("root").agg(F.array_sort(F.collect_set("hint")).alias("test_hints")).join(root, "root").select("path", "test_hints")
+    hints = members(reached, tests).where("root <> node").join(tests, "node").groupBy("root").agg(F.array_sort(F.collect_set("hint")).alias("test_hints")).join(root, "root").select("path", "test_hints")
     facts = symbols.groupBy("path").agg(F.count("*").alias("symbols"), F.max("churn_score").alias("churn"))
     out = files.join(facts, "path", "left").join(direct, "path", "left").join(cascade, "path", "left").join(hints, "path", "left")
     none = F.array().cast("array<string>")
