@@ -54,6 +54,28 @@ def transaction(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+WRITERS = "SELECT n_name AS name, CASE WHEN n_regionkey = 0 THEN 'first ' || n_name WHEN n_regionkey = 1 THEN 'second ' || n_name ELSE n_name END AS snippet FROM nation"
+
+
+@query(f"SELECT 'both' AS state, name, snippet FROM ({WRITERS}) UNION ALL SELECT 'between', name, CASE WHEN starts_with(snippet, 'first') THEN snippet ELSE name END FROM ({WRITERS})")
+def two_writers(s, d):
+    """Two writers change different files of one version; the later keeps what the earlier has committed."""
+    from tessera.sources.tables import Change, Tables
+
+    schemas = {"files": "path string, snippet string"}
+    one, two = (Tables(s, root, schemas) for root in [f"{graph.shared_folder(s)}/store-{uuid.uuid4().hex}"] * 2)
+    nation = A.table(s, d, "nation")
+    rows = nation.select(F.concat_ws("/", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), "n_name").alias("path"), F.col("n_name").alias("snippet"), "n_regionkey")
+    one.update(lambda c: c.replace_paths("files", rows.drop("n_regionkey"), rows.select("path")))
+    first, second = Change(one), Change(two)
+    for change, region, word in ((first, 0, "first "), (second, 1, "second ")):
+        mine = rows.where(F.col("n_regionkey") == region)
+        change.replace_paths("files", mine.select("path", F.concat(F.lit(word), "snippet").alias("snippet")), mine.select("path"))
+    between, both = first.commit(), second.commit()
+    seen = lambda state, v: one.table("files", v).select(F.lit(state).alias("state"), F.substring_index("path", "/", -1).alias("name"), "snippet")
+    return seen("both", both).unionByName(seen("between", between))
+
+
 RESOLVED = f"SELECT {A.name_sql('(user_id % 500 + 1)')} AS symbol_name, CASE WHEN user_id % 2 = 0 THEN '' ELSE {A.path_sql('(user_id % 500 + 1)')} END AS symbol_path FROM events"
 
 

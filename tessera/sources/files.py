@@ -28,6 +28,41 @@ def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, manife
     return rows.select("path", F.unix_micros("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("content"))
 
 
+def listed(spark: SparkSession, root: str, ignore: list[str] | None = None, manifests: bool = False) -> DataFrame:
+    """(path, mtime, length) of what ``scan`` takes; no content is read."""
+    base = root.rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
+    relative = F.expr(f"substring(path, locate('{base}', path) + {len(base)})")
+    rows = scanned(files.withColumn("path", relative), ignore_patterns(spark, root) if ignore is None else ignore, manifests)
+    return rows.select("path", F.unix_micros("modificationTime").alias("mtime"), "length")
+
+
+#: Paths up to which files are named one by one; more are found by the time of the oldest.
+MOST_NAMED = 1000
+
+
+def contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """(path, mtime, hash, content) of the listed files ``wanted`` (path, mtime).
+
+    Few are opened by name. Of many, the scan passes over files older than the oldest of them
+    without opening these.
+    """
+    base = root.rstrip("/") + "/"
+    some = wanted.select("path", "mtime")
+    names = [r.path for r in some.select("path").limit(MOST_NAMED + 1).collect()]
+    if not names:
+        return spark.createDataFrame([], "path string, mtime long, hash string, content string")
+    reader = spark.read.format("binaryFile")
+    if len(names) <= MOST_NAMED:
+        files = reader.load([base + n for n in names])
+    else:
+        oldest = some.agg(F.timestamp_micros(F.min("mtime"))).first()[0]
+        files = reader.option("recursiveFileLookup", True).load(root).where(F.col("modificationTime") >= F.lit(oldest))
+    relative = F.expr(f"substring(path, locate('{base}', path) + {len(base)})")
+    found = files.select(relative.alias("path"), F.unix_micros("modificationTime").alias("mtime"), "content").join(some.select("path"), "path", "left_semi")
+    return found.select("path", "mtime", F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("content"))
+
+
 def scanned(files: DataFrame, ignore: list[str] | None = None, manifests: bool = False) -> DataFrame:
     """Of files (path, length, ...) those that a scan takes."""
     name = F.element_at(F.split("path", "/"), -1)

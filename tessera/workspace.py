@@ -1,171 +1,208 @@
 """A stored code base and the questions asked of it.
 
-Tables are Parquet. A version is a file that names, for each table, the folder with its
-rows; a change writes the tables that it changes and then that file, so readers never
-see half of a version and a broken write leaves the last one. The newest versions are
-kept, with the folders that they name. There is one writer at a time.
+Tables are versioned folders of Parquet (``sources.tables``): rows of files are kept by
+shards of their folders, so a changed file writes its shard of each table anew and no
+other; what is derived from all rows (links of interfaces, numbers of callers) is in narrow
+tables of its own. Several writers may work at once. Files are compared by their times
+first, and only new and changed ones are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.vectors import hash_embedder
-from tessera.operators import encode, graph, parse, risk, search, store, telemetry
+from tessera.operators import encode, graph, parse, risk, search, segments, store, telemetry
 from tessera.operators import lines as L
 from tessera.sources import events, files, specs
-from tessera.streaming.jobs import incremental
+from tessera.sources.tables import Change, Tables
 
-TABLES = ["file_index", "symbols", "calls", "flows", "dependencies", "violations", "symbol_usage", "test_results", "commands", "observations", "vec_symbols"]
-EXTRA = {"contents": "path string, content string", "imports": "path string, import string", "blame": "path string, line int, commit string, subject string", "hits": "id long"}
+#: Derived tables, and those with the path by which they are dealt to shards.
+EXTRA = {
+    "contents": "path string, content string", "imports": "path string, import string", "blame": "path string, line int, commit string, subject string", "hits": "id long",
+    "links": store.SCHEMAS["calls"], "fan_in": "full string, callers double", "vec_symbols": "symbol_id long, embedding array<float>, path string",
+}
 DIMENSION = 64
-KEPT_VERSIONS = 10
+#: States of the search index that are kept.
+KEPT_STATES = 3
 
 
 class Workspace:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        self.at = lambda *parts: hadoop.Path("/".join([self.root, *parts]))
-        self.system = self.at().getFileSystem(spark._jsc.hadoopConfiguration())
-        self.system.mkdirs(self.at("versions"))
+        self.tables = Tables(spark, self.root, store.SCHEMAS | EXTRA)
+        self.at, self.system = self.tables.at, self.tables.system
 
     # ---- tables
 
     def versions(self) -> list[int]:
-        return sorted(int(f.getPath().getName()) for f in self.system.listStatus(self.at("versions")) if f.getPath().getName().isdigit())
+        return self.tables.versions()
 
     def version(self) -> int:
-        return max(self.versions(), default=-1)
-
-    def manifest(self, version: int) -> dict[str, str]:
-        """Folder of each table of a version."""
-        if version < 0:
-            return {}
-        stream = self.system.open(self.at("versions", str(version)))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return self.tables.version()
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        ddl = EXTRA.get(name) or store.SCHEMAS[name]
-        folder = self.manifest(self.version() if version is None else version).get(name)
-        if folder is None:
-            return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(ddl).parquet(f"{self.root}/{folder}")
+        """A table of the data model; calls have the links of interfaces, and symbols the number of their callers."""
+        version = self.version() if version is None else version
+        read = lambda n: self.tables.table(n, version)
+        if name == "calls":
+            return read("calls").unionByName(read("links"))
+        if name == "symbols":
+            rows = read("symbols")
+            ranked = rows.withColumn("_full", graph.full_name()).join(read("fan_in").withColumnRenamed("full", "_full"), "_full", "left")
+            return ranked.withColumn("relevance", F.coalesce("callers", F.lit(0.0))).select(*rows.columns)
+        return read("vec_symbols").drop("path") if name == "vec_symbols" else read(name)
 
     def save(self, changed: dict[str, DataFrame]) -> None:
-        """The next version: changed tables are written, the others stay where they are."""
-        v = self.version()
-        now = self.manifest(v)
-        for name, df in changed.items():
-            folder = f"tables/{name}/{v + 1}"
-            store.conform(df, T.StructType.fromDDL(EXTRA.get(name) or store.SCHEMAS[name])).write.mode("overwrite").parquet(f"{self.root}/{folder}")
-            now[name] = folder
-        self.commit(v + 1, now)
-        self.prune()
-
-    def commit(self, version: int, manifest: dict[str, str]) -> None:
-        draft, final = self.at("versions", f".{version}"), self.at("versions", str(version))
-        stream = self.system.create(draft, True)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        if not self.system.rename(draft, final):
-            raise RuntimeError(f"version {version} exists already")
-
-    def prune(self) -> None:
-        """Remove old versions and the folders that none of the others names."""
-        found = self.versions()
-        old, kept = found[:-KEPT_VERSIONS], found[-KEPT_VERSIONS:]
-        named = {f for v in kept for f in self.manifest(v).values()}
-        gone = {f for v in old for f in self.manifest(v).values()} - named
-        for v in old:
-            self.system.delete(self.at("versions", str(v)), False)
-        for f in gone:
-            self.system.delete(self.at(*f.split("/")), True)
+        """The next version, with whole tables in place of theirs."""
+
+        def change(c: Change) -> None:
+            for name, rows in changed.items():
+                c.replace(name, rows)
+
+        self.tables.update(change)
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        """More rows of a table, as a part of their own."""
+        self.tables.update(lambda c: c.append(name, rows))
 
     # ---- filling
 
     def index(self, source: str, ignore: list[str] | None = None, rules: list[parse.ArchRule] | None = None) -> dict[str, int]:
-        """Parse new and changed files of a tree, drop those that are gone; counts of what was done."""
-        present = files.scan(self.spark, source, ignore, manifests=True).persist()
-        known = self.table("file_index")
-        actions = incremental(known, present).persist()
-        gone = store.orphans(known, present)
+        """Parse new and changed files of a tree, drop those that are gone; counts of what was done.
+
+        A file whose time is as it was is not opened; one of another time is read, and parsed if its hash differs.
+        """
+        return self.tables.update(lambda c: self.change(c, source, ignore, rules))
+
+    def change(self, c: Change, source: str, ignore: list[str] | None, rules: list[parse.ArchRule] | None) -> dict[str, int]:
+        present = graph.cut(files.listed(self.spark, source, ignore, manifests=True))
+        known = c.table("file_index").select("path", "hash", "mtime")
+        moved = graph.cut(present.join(known.select("path", "mtime"), ["path", "mtime"], "left_anti"))
+        gone = graph.cut(store.orphans(known, present))
+        read = graph.cut(files.contents(self.spark, source, moved))
+        old = known.select("path", F.col("hash").alias("_h"))
+        action = F.when(F.col("_h").eqNullSafe(F.col("hash")), "touch").otherwise("parse")
+        actions = graph.cut(read.join(old, "path", "left").select("path", "hash", "mtime", action.alias("action")))
         counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()} | {"gone": gone.count()}
-        if self.version() >= 0 and set(counts) <= {"skip", "gone"} and not counts["gone"]:
+        same = present.count() - sum(v for k, v in counts.items() if k != "gone")
+        counts |= {"skip": same} if same else {}
+        if c.base >= 0 and set(counts) <= {"skip", "gone"} and not counts["gone"]:
             return counts  # nothing to do
-        fresh = present.join(actions.where("action = 'parse'").select("path"), "path", "left_semi").persist()
-        parsed = parse.parse(fresh).persist()
-        symbols = parse.rows_of(parsed, "symbol").withColumn("id", store.symbol_id(F.col("path"), F.col("name"), F.col("start_byte")))
-        calls = store.insert_ignore(parse.rows_of(parsed, "call"))
-        stale = fresh.select("path").union(gone)
-        keep = lambda name, column="path": store.clear_paths(self.table(name), stale, column)
-        merge = lambda name, rows, column="path": keep(name, column).unionByName(rows, allowMissingColumns=True)
-        every = merge("symbols", symbols)
-        written = keep("calls").where(~F.col("link_type").isin("implements", "satisfies") | (F.col("line") > 0)).where("not (link_type = 'embeds' and line = 0)").unionByName(calls)
-        go = every.where(F.col("path").endswith(".go"))
-        edges = store.insert_ignore(written.unionByName(graph.interface_edges(go, written))) if not go.isEmpty() else written
-        ranked = graph.centrality(every, edges, "fqn").withColumn("relevance", F.col("centrality").cast("double"))
+        fresh = graph.cut(read.join(actions.where("action = 'parse'").select("path"), "path", "left_semi"))
+        parsed = graph.cut(parse.parse(fresh))
+        stale = graph.cut(fresh.select("path").union(gone))
+        symbols = graph.cut(parse.rows_of(parsed, "symbol").withColumn("id", store.symbol_id(F.col("path"), F.col("name"), F.col("start_byte"))))
+        calls = graph.cut(store.insert_ignore(parse.rows_of(parsed, "call")))
         embed = hash_embedder(DIMENSION)
         text = F.concat_ws(" ", "name", F.when(F.coalesce("doc", F.lit("")) != "", F.col("doc")).otherwise(F.col("signature")))
-        manifests = files.gomod(present).unionByName(files.npm(present))
-        changed = {
-            "file_index": present.select("path", "hash", "mtime"),
-            "symbols": ranked,
-            "calls": edges,
-            "flows": merge("flows", parse.rows_of(parsed, "flow")),
-            "imports": merge("imports", parse.rows_of(parsed, "import")),
-            "contents": present.select("path", "content"),
-            "dependencies": manifests,
-            "vec_symbols": ranked.select(F.col("id").alias("symbol_id"), embed(text).alias("embedding")),
-        }
+        c.replace_paths("file_index", actions.select("path", "hash", "mtime"), actions.select("path").union(gone))
+        for name, rows in {
+            "symbols": symbols,
+            "calls": calls,
+            "flows": parse.rows_of(parsed, "flow"),
+            "imports": parse.rows_of(parsed, "import"),
+            "contents": fresh.select("path", "content"),
+            "vec_symbols": symbols.select(F.col("id").alias("symbol_id"), embed(text).alias("embedding"), "path"),
+        }.items():
+            c.replace_paths(name, rows, stale)
+        c.replace_paths("dependencies", files.gomod(fresh).unionByName(files.npm(fresh)), stale, "manifest")
         if rules:
-            changed["violations"] = merge("violations", parse.audit(fresh, rules), "file_path")
-        self.save(changed)
-        for df in (present, actions, fresh, parsed):
-            df.unpersist()
+            c.replace_paths("violations", parse.audit(fresh, rules), stale, "file_path")
+        # of all files, in narrow columns
+        every = store.clear_paths(c.table("symbols"), stale).unionByName(symbols, allowMissingColumns=True)
+        written = store.clear_paths(c.table("calls"), stale).unionByName(calls)
+        go = graph.cut(every.where(F.col("path").endswith(".go")))
+        links = self.spark.createDataFrame([], store.SCHEMAS["calls"])
+        if not go.isEmpty():
+            found = graph.interface_edges(go, written)
+            links = graph.cut(store.insert_ignore(found).join(written.select(*store.EDGE_KEY), store.EDGE_KEY, "left_anti"))
+        c.replace("links", links)
+        c.replace("fan_in", graph.indegree(written.unionByName(links.select(*written.columns))).select(F.col("callee").alias("full"), F.col("indegree").cast("double").alias("callers")))
         return counts
 
     def ingest(self, path: str, environment: str = "") -> None:
         """Add usage lines to the usage table, and their hits to the symbols."""
         found = telemetry.resolve_usage(events.usage(self.spark, path), self.table("symbols")).withColumn("environment", F.lit(environment))
-        merged = telemetry.merge_usage(self.table("symbol_usage"), telemetry.usage_rollup(found).select("symbol_id", "environment", "last_used", "hit_count"))
-        hits = merged.groupBy(F.col("symbol_id").alias("id")).agg(F.sum("hit_count").alias("value"))
-        self.save({"symbol_usage": merged, "symbols": store.bulk_update(self.table("symbols"), hits, ["id"], "runtime_hits")})
+        rollup = telemetry.usage_rollup(found).select("symbol_id", "environment", "last_used", "hit_count")
+
+        def change(c: Change) -> None:
+            merged = graph.cut(telemetry.merge_usage(c.table("symbol_usage"), rollup))
+            hits = merged.groupBy(F.col("symbol_id").alias("id")).agg(F.sum("hit_count").alias("value"))
+            c.replace("symbol_usage", merged)
+            self.scored(c, lambda s: store.bulk_update(s, hits, ["id"], "runtime_hits"))
+
+        self.tables.update(change)
+
+    def scored(self, c: Change, rescore) -> None:
+        """Symbols with new scores, in their shards: all of these are written."""
+        now = c.table("symbols")
+        c.replace_paths("symbols", rescore(now), now.select("path").distinct())
 
     def ingest_tests(self, path: str) -> None:
         rows = telemetry.test_results(events.test_events(self.spark, path)).withColumn("project", F.col("package"))
-        self.save({"test_results": self.table("test_results").unionByName(rows.select(*self.table("test_results").columns))})
+        self.add("test_results", rows)
 
     def score_churn(self, commits: DataFrame) -> None:
         """Churn of symbols from (commit, ts, path)."""
-        scores = graph.churn(commits).select("path", F.col("score").alias("value"))
-        self.save({"symbols": store.bulk_update(self.table("symbols"), scores, ["path"], "churn_score")})
+        scores = graph.cut(graph.churn(commits).select("path", F.col("score").alias("value")))
+        self.tables.update(lambda c: self.scored(c, lambda s: store.bulk_update(s, scores, ["path"], "churn_score")))
 
     def score_pagerank(self) -> None:
         full = graph.full_name()
         nodes = self.table("symbols").select(full.alias("node")).distinct()
         edges = self.table("calls").select(F.col("caller").alias("src"), F.col("callee").alias("dst"), "line", "link_type")
-        ranks = graph.pagerank(nodes, edges)
-        s = self.table("symbols").withColumn("node", full)
-        self.save({"symbols": s.drop("pagerank").join(ranks.withColumnRenamed("rank", "pagerank"), "node", "left")})
+        ranks = graph.pagerank(nodes, edges).withColumnRenamed("rank", "pagerank")
+        self.tables.update(lambda c: self.scored(c, lambda s: s.withColumn("node", full).drop("pagerank").join(ranks, "node", "left").select(*s.columns)))
 
     # ---- questions
 
+    def search_state(self) -> segments.Segments:
+        """The search index of the symbols as they are: what changed since its last state is added to it."""
+        shards = self.tables.manifest(self.version()).get("symbols", {})
+        name = hashlib.sha256(json.dumps(shards, sort_keys=True).encode()).hexdigest()[:32]
+        self.system.mkdirs(self.at("indexes", "states"))
+        states = sorted((f.getModificationTime(), f.getPath().getName()) for f in self.system.listStatus(self.at("indexes", "states")) if not f.getPath().getName().startswith("."))
+        if any(n == name for _, n in states):
+            return segments.Segments.from_json(json.loads(self.tables.text("indexes", "states", name))["index"])
+        columns = list(search.COLUMN_WEIGHTS)
+        rows = lambda folders: self.tables.read("symbols", folders).select("id", *columns)
+        state, before = segments.Segments(f"{self.root}/indexes", tuple(columns)), {}
+        if states:
+            last = json.loads(self.tables.text("indexes", "states", states[-1][1]))
+            folders = [f for v in last["shards"].values() for f in v]
+            if all(self.system.exists(self.at(*f.split("/"))) for f in folders):
+                state, before = segments.Segments.from_json(last["index"]), last["shards"]
+        # of shards that were written since; a row whose text is as it was is left alone
+        changed = [s for s in {*shards, *before} if shards.get(s) != before.get(s)]
+        old = graph.cut(rows([f for s in changed for f in before.get(s, [])]))
+        new = graph.cut(rows([f for s in changed for f in shards.get(s, [])]))
+        key = ["id", *columns]
+        differ = lambda a, b: graph.cut(a.join(b.withColumns({f"_{c}": F.col(c) for c in key}).drop(*key), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_anti"))
+        added, removed = differ(new, old), differ(old, new)
+        state = state.changed(added, removed)
+        self.tables.put(json.dumps({"index": state.to_json(), "shards": shards}), "indexes", "states", name)
+        self.forget([n for _, n in states][: 1 - KEPT_STATES])
+        return state
+
+    def forget(self, names: list[str]) -> None:
+        """Remove old states of the search index, and the parts that no state names."""
+        for n in names:
+            self.system.delete(self.at("indexes", "states", n), False)
+        if names:
+            kept = [f.getPath().getName() for f in self.system.listStatus(self.at("indexes", "states")) if not f.getPath().getName().startswith(".")]
+            states = [segments.Segments.from_json(json.loads(self.tables.text("indexes", "states", n))["index"]) for n in kept]
+            named = {p.folder for s in states for p in (*s.segments, *s.removals)}
+            for f in self.system.listStatus(self.at("indexes")):
+                if f.getPath().getName() not in named | {"states"}:
+                    self.system.delete(f.getPath(), True)
+
     def search_index(self) -> search.Stored:
-        """The inverted index of the symbols, written anew once their table has changed."""
-        folder = self.manifest(self.version()).get("symbols", "")
-        path = f"indexes/{folder.rsplit('/', 1)[-1] or 'none'}"
-        if not self.system.exists(self.at(path, "lengths", "_SUCCESS")):
-            self.system.delete(self.at("indexes"), True)
-            return search.store_index(self.table("symbols"), "id", list(search.COLUMN_WEIGHTS), f"{self.root}/{path}")
-        return search.load_index(self.spark, f"{self.root}/{path}")
+        return self.search_state().stored(self.spark)
 
     def search(self, query: str, limit: int = 20, path_prefix: str = "", bump: bool = True) -> DataFrame:
         return self.search_all(query, limit, path_prefix, bump)[0]
@@ -183,7 +220,7 @@ class Workspace:
         found, notes = search.search_all(index, s.select("id"), vectors, self.table("observations"), query, embed, limit)
         found = graph.cut(found)  # ``limit`` rows, read for the answer and for the hits
         if bump:
-            self.save({"hits": self.table("hits").unionByName(found.select("id"))})
+            self.add("hits", found.select("id"))
         return s.join(found, "id").select("name", "type", "path", "start_line", "end_line", F.round("rrf_score", 6).alias("score")).orderBy(F.desc("score"), "path", "name"), notes
 
     def symbols_with_hits(self) -> DataFrame:
@@ -266,9 +303,7 @@ class Workspace:
         return {"summary": telemetry.summary, "daily": telemetry.daily, "weekly": telemetry.weekly, "monthly": telemetry.monthly, "commands": telemetry.by_command, "recent": telemetry.recent}[period](self.table("commands"))
 
     def track(self, commands: DataFrame) -> None:
-        from tessera.sources.sinks import insert
-
-        self.save({"commands": insert(self.table("commands"), store.conform(commands, store.schema("commands")))})
+        self.add("commands", telemetry.prepare(store.conform(commands, store.schema("commands"))))
 
     def condense(self, text: str, command: list[str] | None = None, folder: str | None = None) -> list[str]:
         """Output of a command through the pipeline that serves it."""

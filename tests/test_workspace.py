@@ -1,6 +1,7 @@
 """A small tree indexed, changed and asked about."""
 
 import datetime
+import os
 
 import pytest
 
@@ -102,3 +103,29 @@ def test_changes(w, spark, capsys):
     assert w.gain("summary").first().total_saved == 6
     assert main(["--store", w.root, "search", "boost"], spark) == 0 and "core.py" in capsys.readouterr().out
     assert main(["--store", w.root, "impact", "nothing"], spark) == 1
+
+
+def test_unchanged_files_are_not_opened(spark, tmp_path):
+    """Files are told by their times: what is behind an equal time is not looked at, and one changed file writes one shard."""
+    src = tmp_path / "src"
+    for d in "abcdef":
+        (src / d).mkdir(parents=True)
+        (src / d / "m.py").write_text(f"def {d}1():\n    return {d}2()\n\n\ndef {d}2():\n    return 0\n")
+    space = Workspace(spark, str(tmp_path / "s"))
+    assert space.index(f"file:{src}") == {"parse": 6, "gone": 0}
+    assert space.search("a1", bump=False).first().name == "a1"
+    times = (src / "a" / "m.py").stat()
+    (src / "a" / "m.py").write_text("def never():\n    return read_()\n")
+    os.utime(src / "a" / "m.py", ns=(times.st_atime_ns, times.st_mtime_ns))
+    before = space.version()
+    assert space.index(f"file:{src}") == {"gone": 0, "skip": 6} and space.version() == before
+    os.utime(src / "b" / "m.py", ns=(times.st_atime_ns, times.st_mtime_ns + 10**9))
+    (src / "c" / "m.py").write_text("def other():\n    return c1()\n")
+    assert space.index(f"file:{src}") == {"parse": 1, "touch": 1, "skip": 4, "gone": 0}
+    old, new = (space.tables.manifest(v)["symbols"] for v in (before, space.version()))
+    assert sum(old.get(k) != new.get(k) for k in {*old, *new}) == 1 and len(old) > 2
+    state = space.search_state()
+    assert len(state.segments) == 2 and state.segments[1].rows == 1 and sum(r.rows for r in state.removals) == 2
+    assert space.search("other", bump=False).first().path == "c/m.py"
+    assert {r.name for r in space.table("symbols").collect()} == {"a1", "a2", "b1", "b2", "d1", "d2", "e1", "e2", "f1", "f2", "other"}
+    assert space.table("vec_symbols").count() == 11 and space.table("symbols").where("name = 'd2'").first().relevance == 1
