@@ -128,6 +128,11 @@ def test_results(events: DataFrame) -> DataFrame:
     ends = F.col("action").isin("pass", "fail", "skip")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("action") == "output", F.struct("seq", "output")))), lambda x: x["output"]), "")
     done = runs.groupBy("package", "test", "session").agg(F.max(F.when(ends, F.col("action"))).alias("status"), F.max(F.when(ends, F.col("seq"))).alias("seq"), F.max(F.when(ends, F.col("elapsed"))).alias("elapsed"), text.alias("output")).where("status is not null")
+    return described(done)
+
+
+def described(done: DataFrame) -> DataFrame:
+    """Results of finished tests (package, test, seq, status, elapsed, output): their message, trace, time and symbol."""
     lines = F.split("output", "\n")
     fail = F.array_position(F.transform(lines, lambda x: x.contains("--- FAIL:")), F.lit(True))
     after = F.when(fail > 0, F.filter(F.slice(lines, fail.cast("int") + 1, F.size(lines)), lambda x: (trim(x) != "") & ~x.contains("--- FAIL:"))).otherwise(F.array().cast("array<string>"))

@@ -97,7 +97,7 @@ def test_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event of a user's test for each row."""
     action = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in STATUS.items()])
     output = F.concat(F.lit("--- FAIL: x\nuser: "), F.col("event_id").cast("string"), F.lit("\n"))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.lit("pkg").alias("package"), F.concat(F.lit("TestU"), F.col("user_id").cast("string"), F.lit("_a")).alias("test"), action.alias("action"), F.when(action == "output", output).otherwise("").alias("output"), F.col("value").alias("elapsed"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.lit("pkg").alias("package"), F.concat(F.lit("TestU"), F.col("user_id").cast("string"), F.lit("_a")).alias("test"), action.alias("action"), F.when(action == "output", output).otherwise("").alias("output"), F.col("value").alias("elapsed"), F.col("ts").cast("timestamp").alias("time"))
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,12 +281,13 @@ def line_pipeline(s, d):
 
 @query(f"SELECT symbol_id, environment, CAST(sum(CASE WHEN coalesce(hit_count, 0) <= 0 THEN 1 ELSE hit_count END) AS BIGINT) AS hit_count, max(last_used) AS last_used FROM ({USAGE_SQL}) GROUP BY 1, 2")
 def usage_parts(s, d):
-    """Usage as the stream keeps it: a part for each batch, read together."""
-    table = f"{graph.shared_folder(s)}/usage-{uuid.uuid4().hex}"
-    rows = A.usage(s, d)
-    for i in range(2):
-        telemetry.usage_rollup(rows.where(F.col("last_used") % 2 == i)).select("symbol_id", "environment", "hit_count", "last_used").write.parquet(f"{table}/part={i}")
-    return jobs.usage_table(s, table)
+    """A stream over files of usage lines, a part for each batch; read together."""
+    root = f"{graph.shared_folder(s)}/usage-{uuid.uuid4().hex}"
+    rows = A.usage(s, d).select(F.col("symbol_id").cast("string").alias("symbol_name"), F.col("environment").alias("symbol_path"), "hit_count", "last_used")
+    rows.select(F.to_json(F.struct("*")).alias("value")).repartition(3).write.text(f"{root}/lines")
+    resolve = lambda b: b.select(F.col("symbol_name").cast("long").alias("symbol_id"), F.col("symbol_path").alias("environment"), "hit_count", "last_used")
+    jobs.ingest_usage(s, f"{root}/lines", f"{root}/table", f"{root}/checkpoint", resolve, files=1).awaitTermination()
+    return jobs.usage_table(s, f"{root}/table")
 
 
 @query(

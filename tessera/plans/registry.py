@@ -15,7 +15,7 @@ from tessera.operators import lines as L
 from tessera.plans import adapters as A
 from tessera.plans.base import ORACLES, QUERIES, SEED, query, rounded, with_
 from tessera.plans.adapters import COMMANDS_SQL, COMMITS_SQL, EDGES_SQL, LINES_SQL, OBSERVATIONS_SQL, SYMBOLS_SQL, USAGE_SQL
-from tessera.streaming import jobs
+from tessera.streaming import jobs, stateful
 
 NOW = datetime.datetime(2024, 1, 31)
 
@@ -327,6 +327,18 @@ def test_event_state(s, d):
     return telemetry.test_results(A.test_events(s, d)).select("test", "status", "seq", "target_symbol", "duration_ms", "error_message")
 
 
+def stream_root(s) -> str:
+    stateful.stored_state(s)
+    return f"{graph.shared_folder(s)}/stream-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT test, status, seq, target_symbol, duration_ms, CASE WHEN first_output IS NULL THEN '' ELSE 'user: ' || CAST(first_output AS VARCHAR) END AS error_message FROM ({RESULTS_SQL})")
+def test_event_stream(s, d):
+    """The same from a stream in three batches, whose state holds what a test has said so far."""
+    rows = A.test_events(s, d)
+    return jobs.run_in_batches(rows, "seq", 3, stream_root(s), lambda r: stateful.test_results(r, forget_ms=60 * 86_400_000)).select("test", "status", "seq", "target_symbol", "duration_ms", "error_message")
+
+
 @query(f"SELECT test, status, seq FROM ({RESULTS_SQL}) WHERE status = 'fail' ORDER BY seq DESC LIMIT 50")
 def health_report(s, d):
     return telemetry.health_report(telemetry.test_results(A.test_events(s, d)), fails=True).select("test", "status", "seq")
@@ -345,6 +357,14 @@ def budget(s, d):
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2")
 def session_ring(s, d):
+    """A stream of turns in three batches; each session's newest are all that its state holds."""
+    rows = A.table(s, d, "conversations").select("conv_id", "turn", "role")
+    rings = jobs.run_in_batches(rows, "turn", 3, stream_root(s), lambda r: stateful.ring(r, ["conv_id"], "turn", 2))
+    return stateful.last_round(rings, ["conv_id"]).select("conv_id", "turn", "role")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2")
+def newest_rows(s, d):
     return telemetry.newest(A.table(s, d, "conversations"), ["conv_id"], [F.desc("turn")], 2).select("conv_id", "turn", "role")
 
 
@@ -825,9 +845,11 @@ def incremental_index(s, d):
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_rollup(s, d):
-    rows = A.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    out = rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    """A stream of events in three batches, in order of time; the last rows are of a day after all others and close their windows."""
+    rows = A.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    end = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    out = jobs.run_in_batches(rows.unionByName(end), "ts", 3, stream_root(s), lambda r: jobs.windowed_usage(r, "ts", ["event_type"], "value"))
+    return out.where("event_type is not null").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 WORDS_SQL = "SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents"

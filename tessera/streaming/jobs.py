@@ -5,22 +5,16 @@ Every query takes the checkpoint folder as a parameter; on a cluster it is a sha
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators import telemetry
 from tessera.operators.lines import ACTIONS, Stream
-from tessera.functions import strings as S
 from tessera.sources import events
 
-RESULT = "package string, test string, status string, output string, duration_ms long"
-
-
 def windowed_usage(rows: DataFrame, time: str, keys: list[str], value: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Tumbling counts and sums; rows later than ``late`` behind the newest are dropped."""
     return rows.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total")
@@ -37,8 +31,8 @@ USAGE_TABLE = "symbol_id long, environment string, hit_count long, last_used lon
 MERGE_EVERY = 16
 
 
-def ingest_usage(spark: SparkSession, folder: str, table: str, checkpoint: str, resolve: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Add every micro-batch of usage lines to a table as a part of its own; parts are merged now and then.
+def ingest_usage(spark: SparkSession, folder: str, table: str, checkpoint: str, resolve: Callable[[DataFrame], DataFrame], files: int = 1000) -> StreamingQuery:
+    """Add every micro-batch of usage lines, of ``files`` files at most, to a table as a part of its own; parts are merged now and then.
 
     ``resolve`` gives (symbol_id, environment, hit_count, last_used). A batch that is run
     again writes its own part again, and a merge that is run again reads the same parts.
@@ -50,7 +44,7 @@ def ingest_usage(spark: SparkSession, folder: str, table: str, checkpoint: str,
         if batch_id and batch_id % MERGE_EVERY == 0:
             usage_table(spark, table, batch_id).write.mode("overwrite").parquet(f"{table}/base={batch_id}")
 
-    return spark.readStream.text(folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return spark.readStream.option("maxFilesPerTrigger", files).text(folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def usage_table(spark: SparkSession, table: str, last: int | None = None) -> DataFrame:
@@ -107,42 +101,19 @@ def line_pipeline(lines: DataFrame, pipeline: list[dict]) -> DataFrame:
     return s.lines
 
 
-def test_results(rows: DataFrame, forget_after: str = "1 hour") -> DataFrame:
-    """Finished tests of a stream of events (package, test, action, output, elapsed), in append mode.
+def run_in_batches(rows: DataFrame, by: str, batches: int, root: str, apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``apply`` gives in append mode for a stream of ``rows``, which come in as many batches, in order of ``by``.
 
-    A test's output is held from its run to its end; one that never ends is
-    forgotten after ``forget_after`` of processing time. While state waits for that,
-    an ``availableNow`` trigger does not end; use a timed trigger or a single batch.
+    The stream ends after each batch and is started again from its checkpoint for the next.
     """
-    wait = int(pd.Timedelta(forget_after).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = [*state.get] if state.exists else [""]
-        done = []
-        for pdf in batches:
-            for r in (pdf.sort_values("seq") if "seq" in pdf else pdf).to_dict("records"):
-                if r["action"] == "run":
-                    held = [""]
-                elif r["action"] == "output":
-                    held = [held[0] + (r["output"] or "")]
-                elif r["action"] in ("pass", "fail", "skip"):
-                    elapsed = r["elapsed"] if r["elapsed"] == r["elapsed"] and r["elapsed"] else 0
-                    done.append((*key, r["action"], held[0], int(elapsed * 1000)))
-                    held = [""]
-        if held[0]:
-            state.update((held[0],))
-            state.setTimeoutDuration(wait)
-        elif state.exists:
-            state.remove()
-        if done:
-            yield pd.DataFrame(done, columns=["package", "test", "status", "output", "duration_ms"])
-
-    keyed = rows.where("test is not null and test <> ''").groupBy("package", "test")
-    done = keyed.applyInPandasWithState(step, RESULT, "output string", "append", GroupStateTimeout.ProcessingTimeTimeout)
-    return done.withColumn("target_symbol", S.map_test_to_symbol(F.col("test")))
+    spark, ddl = rows.sparkSession, rows.schema
+    dealt = rows.repartitionByRange(batches, by).withColumn("_batch", F.spark_partition_id())
+    dealt.write.partitionBy("_batch").parquet(f"{root}/all")
+    for i in range(batches):
+        spark.read.schema(dealt.schema).parquet(f"{root}/all").where(F.col("_batch") == i).drop("_batch").write.mode("append").parquet(f"{root}/in")
+        out = apply(spark.readStream.schema(ddl).parquet(f"{root}/in"))
+        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
 def fresh_notes(rows: DataFrame, time: str = "created_at", within: str = "24 hours") -> DataFrame:

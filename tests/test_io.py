@@ -11,7 +11,7 @@ from tessera.functions import strings as S
 from tessera.functions import vectors as V
 from tessera.operators import telemetry
 from tessera.sources import events, files, sinks
-from tessera.streaming import jobs
+from tessera.streaming import jobs, stateful
 
 
 def value(spark, column, **inputs):
@@ -119,13 +119,30 @@ def test_window_stream(spark, tmp_path):
 
 
 def test_event_stream(spark, tmp_path):
-    lines = [("p", "TestA_x", "run", "", None), ("p", "TestA_x", "output", "one ", None), ("p", "TestA_x", "output", "two", None), ("p", "TestA_x", "pass", "", 0.5), ("p", "TestB", "output", "open", None)]
-    schema = "package string, test string, action string, output string, elapsed double"
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps(dict(zip(("package", "test", "action", "output", "elapsed"), x, strict=True))) for x in lines))
-    q = jobs.test_results(spark.readStream.schema(schema).json(f"{tmp_path}/in")).writeStream.format("memory").queryName("results").outputMode("append").trigger(once=True).start()
-    q.awaitTermination()
-    assert [tuple(r) for r in spark.table("results").collect()] == [("p", "TestA_x", "pass", "one two", 500, "A")]
+    """Output is held over batches and starts of the stream; what never ends is forgotten."""
+    at = lambda minute: datetime.datetime(2024, 1, 1, 10) + datetime.timedelta(minutes=minute)
+    lines = [
+        (1, at(0), "p", "TestA_x", "run", "", None), (2, at(0), "p", "TestA_x", "output", "--- FAIL: x\na.go:1: one ", None), (3, at(1), "p", "TestB", "output", "never heard of again", None),
+        (4, at(2), "p", "TestA_x", "output", "two\n", None), (5, at(3), "p", "TestA_x", "fail", "", 0.5), (6, at(3), "p", None, "output", "nobody's", None),
+        (7, at(600), "p", "TestC", "pass", "", None), (8, at(601), "p", "TestB", "pass", "", 0.25), (9, at(602), "p", "TestA_x", "skip", "", 0.0),
+    ]
+    rows = spark.createDataFrame(lines, "seq long, time timestamp, package string, test string, action string, output string, elapsed double")
+    stateful.stored_state(spark)
+    got = jobs.run_in_batches(rows, "seq", 3, f"{tmp_path}/s", stateful.test_results).collect()
+    assert sorted((r.seq, r.test, r.status, r.error_message, r.duration_ms, r.target_symbol) for r in got) == [
+        (5, "TestA_x", "fail", "a.go:1: one two", 500, "A"), (7, "TestC", "pass", "", 0, "C"), (8, "TestB", "pass", "", 250, "B"), (9, "TestA_x", "skip", "", 0, "A"),
+    ]
+
+
+def test_ring_after_every_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 3, i, f"t{i}" if i % 5 else None) for i in range(24)], "k long, at long, text string")
+    stateful.stored_state(spark)
+    rings = jobs.run_in_batches(rows, "at", 3, f"{tmp_path}/s", lambda r: stateful.ring(r, ["k"], "at", 2))
+    cuts = sorted(r.m for r in spark.read.parquet(f"{tmp_path}/s/all").groupBy("_batch").agg(F.max("at").alias("m")).collect())
+    for n, last in enumerate(cuts, 1):
+        want = sorted((i % 3, i, f"t{i}" if i % 5 else None) for i in range(24) if i <= last and i + 6 > max(j for j in range(24) if j <= last and j % 3 == i % 3))
+        assert sorted((r.k, r.at, r.text) for r in rings.where(F.col("round") == n).collect()) == want
+    assert {r.at for r in stateful.last_round(rings, ["k"]).collect()} == set(range(18, 24))
 
 
 def test_line_and_note_streams(spark, tmp_path):
