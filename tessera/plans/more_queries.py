@@ -76,6 +76,44 @@ def two_writers(s, d):
     return seen("both", both).unionByName(seen("between", between))
 
 
+FILES_NOW = "SELECT source || '/' || CASE WHEN doc_id % 7 = 2 THEN 'moved-' ELSE '' END || CAST(doc_id AS VARCHAR) AS path, md5(coalesce(text, '') || CAST(doc_id AS VARCHAR)) AS hash FROM documents WHERE doc_id % 7 <> 4"
+FEED_SQL = "SELECT source || '/' || CASE WHEN doc_id % 7 = 2 THEN 'moved-' ELSE '' END || CAST(doc_id AS VARCHAR) AS path, CASE doc_id % 7 WHEN 1 THEN 'change' WHEN 2 THEN 'rename' WHEN 4 THEN 'delete' ELSE 'add' END AS op, CASE WHEN doc_id % 7 = 2 THEN source || '/' || CAST(doc_id AS VARCHAR) END AS old_path FROM documents WHERE doc_id % 7 IN (1, 2, 4, 5)"
+
+
+def file_states(s, d):
+    """Files of documents before and after some were added, changed, deleted and renamed."""
+    k, text = F.col("doc_id") % 7, F.coalesce("text", F.lit(""))
+    docs = A.table(s, d, "documents")
+    path = lambda mark: F.concat("source", F.lit("/"), mark, F.col("doc_id").cast("string")).alias("path")
+    content = lambda end: F.md5(F.concat(text, F.col("doc_id").cast("string"), end)).alias("hash")
+    before = docs.where(k != 5).select(path(F.lit("")), content(F.when(k == 1, "old").otherwise("")))
+    return before, docs.where(k != 4).select(path(F.when(k == 2, "moved-").otherwise("")), content(F.lit("")))
+
+
+@query(FEED_SQL)
+def change_feed(s, d):
+    from tessera.streaming import feed
+
+    return feed.changes(*file_states(s, d)).select("path", "op", "old_path")
+
+
+@query(FILES_NOW)
+def shadow_index(s, d):
+    """A table follows the feed in batches, and is as the files are; the last batch is given to it once more."""
+    from tessera.sources.tables import Tables
+    from tessera.streaming import feed
+
+    root = f"{graph.shared_folder(s)}/shadow-{uuid.uuid4().hex}"
+    tables = Tables(s, f"{root}/store", {"files": "path string, hash string"})
+    before, now = file_states(s, d)
+    tables.update(lambda c: c.replace_paths("files", before, before.select("path")))
+    feed.changes(before, now).repartition(3).write.json(f"{root}/feed")
+    fresh = lambda rows: rows.select("path", F.col("after").alias("hash"))
+    for checkpoint in ("first", "again"):  # a stream that has lost its checkpoint gives all batches again
+        feed.shadow(s, f"{root}/feed", tables, "files", fresh, f"{root}/{checkpoint}", files=2).awaitTermination()
+    return tables.table("files")
+
+
 RESOLVED = f"SELECT {A.name_sql('(user_id % 500 + 1)')} AS symbol_name, CASE WHEN user_id % 2 = 0 THEN '' ELSE {A.path_sql('(user_id % 500 + 1)')} END AS symbol_path FROM events"
 
 
