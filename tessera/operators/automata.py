@@ -39,27 +39,28 @@ def mapped(lines: DataFrame, moves: list[tuple[Column, int]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, now, known = None, still, {}
         for batch in batches:
-            docs = batch.column(key).dictionary_encode()
-            here = docs.indices.to_numpy(zero_copy_only=False)
-            codes = batch.column(code).dictionary_encode()
-            moving = np.array(["1" in c for c in codes.dictionary.to_pylist()], bool)[codes.indices.to_numpy(zero_copy_only=False)]
+            docs, codes = (batch.column(i).dictionary_encode() for i in (key, code))
+            here, met = (x.indices.to_numpy(zero_copy_only=False) for x in (docs, codes))
+            names_of, code_of = docs.dictionary.to_pylist(), codes.dictionary.to_pylist()
+            for c in code_of:
+                if c not in known:
+                    known[c] = np.where(np.frombuffer(c.encode(), np.uint8) == ord("1"), targets, still)
+            moving = np.array(["1" in c for c in code_of], bool)[met]
             begins = np.append(True, here[1:] != here[:-1])[: len(here)]
             before, passed = [], []
-            at = 0  # lines between those that move or begin share their maps
-            for i in np.flatnonzero(moving | begins).tolist():
-                before += [now.tobytes()] * (i - at)
-                passed += [now.tobytes()] * (i - at)
-                if begins[i] and (this := docs.dictionary[int(here[i])].as_py()) != doc:
-                    doc, now = this, still
+            at, same = 0, now.tobytes()  # lines between those that move or begin share their maps
+            for i, begin, d, c in zip(*[x[moving | begins].tolist() for x in (np.arange(len(here)), begins, here, met)], strict=True):
+                before += [same] * (i - at)
+                passed += [same] * (i - at)
+                if begin and names_of[d] != doc:
+                    doc, now = names_of[d], still
                 before.append(now.tobytes())
-                c = codes.dictionary[int(codes.indices[i].as_py())].as_py()
-                if c not in known:
-                    known[c] = np.where(np.frombuffer(c.encode(), np.uint8) == ord("1"), targets, still)
-                now = known[c][now]
-                passed.append(now.tobytes())
+                now = known[code_of[c]][now]
+                same = now.tobytes()
+                passed.append(same)
                 at = i + 1
-            before += [now.tobytes()] * (len(here) - at)
-            passed += [now.tobytes()] * (len(here) - at)
+            before += [same] * (len(here) - at)
+            passed += [same] * (len(here) - at)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.binary()), pa.array(passed, pa.binary())], [*names, "before", "passed"])
 
     ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], "before binary", "passed binary"])

@@ -28,11 +28,11 @@ def tokenize(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), SPLIT), lambda w: w != "")
 
 
-def build_index(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Inverted index: (token, id, col, pos), from one pass over the rows."""
+def build_index(rows: DataFrame, key: str, columns: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
+    """Inverted index: (token, id, col, pos), from one pass over the rows; ``more`` columns of a row are on all of its places."""
     texts = F.array(*[F.struct(F.lit(c).alias("col"), tokenize(F.col(c)).alias("tokens")) for c in columns])
-    each = rows.select(F.col(key).alias("id"), F.explode(texts).alias("t"))
-    return each.select("id", "t.col", F.posexplode("t.tokens").alias("pos", "token")).select("token", "id", "col", "pos")
+    each = rows.select(F.col(key).alias("id"), *more, F.explode(texts).alias("t"))
+    return each.select("id", *more, "t.col", F.posexplode("t.tokens").alias("pos", "token")).select("token", "id", "col", "pos", *more)
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ and shortest length. These bound every score in it: the first for the same weigh
 others, less closely, for any, whatever the average length is by then. A search for the best rows of a token reads the classes of the highest bounds
 first, and none whose bound is below the k-th score found.
 
-Tables of a segment: postings (token, id, col, pos) and ranks (token, bucket, id, counts,
+Tables of a segment: postings (token, id, col, pos, length) and ranks (token, bucket, id, counts,
 length, score), in order of token; terms (token, bucket, n, most, shortest, top), a row for
 each class;
 lengths (id, length). Of a removal: ids (id, length) and tokens (token, id).
@@ -114,8 +114,8 @@ class Segments:
         out = self
         if removed is not None and self.segments:
             out = replace(out, removals=(*out.removals, *self.removal(removed, seq)))
-        postings = search.build_index(added, "id", list(self.columns))
         sizes = reduce(lambda a, b: a + b, [F.size(search.tokenize(F.col(c))) for c in self.columns])
+        postings = search.build_index(added.withColumn("length", sizes), "id", list(self.columns), ["length"])
         part = self.segment(spark, postings, added.select("id", sizes.alias("length")), seq)
         return replace(out, segments=(*out.segments, *part)).merged(spark)
 
@@ -144,7 +144,7 @@ class Segments:
         written = lambda df, name: df.write.option("parquet.block.size", 8 << 20).parquet(f"{at}/{name}")
         written(dealt(postings).sortWithinPartitions("token", "id", "col", "pos"), "postings")
         counts = F.array(*[F.count(F.when(F.col("col") == c, 1)) for c in self.columns])
-        per_row = spark.read.parquet(f"{at}/postings").groupBy("token", "id").agg(counts.alias("counts")).join(spark.read.parquet(f"{at}/lengths"), "id")
+        per_row = spark.read.parquet(f"{at}/postings").groupBy("token", "id", "length").agg(counts.alias("counts"))
         score = self.score(F.col("counts"), F.col("length"), found[0].average, search.COLUMN_WEIGHTS)
         bucket = F.least(F.floor(score / (search.K1 + 1) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
         ranked = per_row.select("token", bucket.alias("bucket"), "id", "counts", F.col("length").cast("long").alias("length"), score.alias("score"))
