@@ -126,7 +126,9 @@ def test_working_tables_go_but_for_those_kept(spark):
     assert first.working_path not in scratch._made
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MOST_INLINE", most)
     rng = random.Random(3)
     pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(-5, n) for n in range(2000, 2050)] + [(-9, n) for n in range(10_000, 16_000)] + [(7, 7)]
     root = {}
