@@ -200,13 +200,19 @@ def insight_links(symbols: DataFrame, insights: DataFrame) -> DataFrame:
     """(symbol_id, insight_id) where a note's title, why or learned has the name as a word.
 
     Names that are one word meet the notes' words in an equi join; other names are
-    found by their first word and then confirmed.
+    found by their first word and then confirmed. The words carry ids alone; a note's
+    text meets the names found in it once. Both joins sort: a note's words are more than
+    its file tells, and a table thought small would go through the driver.
     """
     text = F.concat_ws("\n", "title", "why", "learned")
-    notes = insights.select(F.col("id").alias("insight_id"), text.alias("text"), F.explode(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: w != ""))).alias("word"))
-    names = symbols.select(F.col("id").alias("symbol_id"), F.col("name").cast("string").alias("name"), F.regexp_extract(F.lower(F.col("name").cast("string")), "[a-z0-9_]+", 0).alias("word")).where("word <> ''")
+    notes = insights.select(F.col("id").alias("insight_id"), text.alias("text"))
+    words = notes.select("insight_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda w: w != ""))).alias("word"))
+    named = symbols.select(F.col("id").alias("symbol_id"), F.col("name").cast("string").alias("name"))
+    names = named.select("name", F.regexp_extract(F.lower("name"), "[a-z0-9_]+", 0).alias("word")).where("word <> ''").distinct()
+    met = words.hint("merge").join(names, "word").select("insight_id", "name")
     quoted = F.concat(F.lit("(?i)\\b"), F.regexp_replace("name", "([^A-Za-z0-9_\\s])", "\\\\$1"), F.lit("\\b"))
-    return names.join(notes, "word").where(F.rlike(F.col("text"), quoted)).select("symbol_id", "insight_id").distinct()
+    found = notes.hint("merge").join(met, "insight_id").where(F.rlike(F.col("text"), quoted)).select("insight_id", "name").distinct()
+    return found.join(named, "name").select("symbol_id", "insight_id").distinct()
 
 
 def memory_scan(observations: DataFrame, project: str, since) -> DataFrame:

@@ -274,3 +274,12 @@ def test_encodings(spark):
     assert encode.staged_diff("p", "a\n", "b\n").startswith("--- a/p")
     assert {(r.child, r.parent, r.arrow) for r in graph.impact_edges(graph.blast_radius(edges(spark, ("b", "a", "f", 1, "", "call"), ("c", "b", "f", 1, "", "implements")), ["a"]), "a").collect()} == {("b", "a", "-->"), ("c", "b", "-.->")}
     assert encode.cold_lines(s, "path").count() == 2
+
+
+def test_insight_links_send_no_notes_through_the_driver(spark, tmp_path):
+    """A file of notes is small, its words with a text on each are not: names met them in a broadcast of the words."""
+    spark.range(50).select("id", F.lit("Sum of it").alias("title"), F.lit("").alias("why"), F.lit("").alias("learned")).write.parquet(str(tmp_path / "notes"))
+    names = spark.createDataFrame([(0, "sum"), (1, "it of")], "id int, name string")
+    links = search.insight_links(names, spark.read.parquet(str(tmp_path / "notes")))
+    assert links.count() == 50
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().sparkPlan().toString()
