@@ -12,10 +12,10 @@ and shortest length. These bound every score in it: the first for the same weigh
 others, less closely, for any, whatever the average length is by then. A search for the best rows of a token reads the classes of the highest bounds
 first, and none whose bound is below the k-th score found.
 
-Tables of a segment: postings (token, id, col, pos, length) and ranks (token, bucket, id, counts,
-length, score), in order of token; terms (token, bucket, n, most, shortest, top), a row for
-each class;
-lengths (id, length). Of a removal: ids (id, length) and tokens (token, id).
+Tables of a segment: postings (token, bucket, id, counts, length, score, places), a row for each
+token of a row, in order of token and class, dealt once and never joined again; ``places`` are
+the column's number times 2**32 and the position; terms (token, bucket, n, most, shortest, top),
+a row for each class; lengths (id, length). Of a removal: ids (id, length) and tokens (token, id).
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from tessera.operators import search
 
 FANOUT = 8
 BUCKETS = 64
+LOW = (1 << 32) - 1
+ROWS_AT_ONCE = 200
 
 
 @dataclass(frozen=True)
@@ -103,7 +106,10 @@ class Segments:
 
     def stored(self, spark: SparkSession) -> search.Stored:
         """The live rows in the form that every search takes."""
-        return search.Stored(self.live(spark, "postings").drop("seq"), self.live(spark, "lengths").drop("seq"))
+        each = self.live(spark, "postings").select("token", "id", "length", F.explode("places").alias("place"))
+        col = F.element_at(F.array(*map(F.lit, self.columns)), (F.shiftright("place", 32) + 1).cast("int"))
+        postings = each.select("token", "id", col.alias("col"), F.col("place").bitwiseAND(F.lit(LOW)).cast("int").alias("pos"), "length")
+        return search.Stored(postings, self.live(spark, "lengths").drop("seq"))
 
     # ---- writing
 
@@ -115,10 +121,35 @@ class Segments:
         if removed is not None and self.segments:
             out = replace(out, removals=(*out.removals, *self.removal(removed, seq)))
         sizes = reduce(lambda a, b: a + b, [F.size(search.tokenize(F.col(c))) for c in self.columns])
-        postings = search.build_index(added.withColumn("length", sizes), "id", list(self.columns), ["length"])
-        part = self.segment(spark, postings, added.select("id", sizes.alias("length")), seq)
+        part = self.segment(spark, self.packed(added), added.select("id", sizes.alias("length")), seq)
         return replace(out, segments=(*out.segments, *part)).merged(spark)
 
+    def packed(self, rows: DataFrame) -> DataFrame:
+        """(token, id, length, counts, places) from each row alone, so that a token's places in a row are dealt together."""
+        n = len(self.columns)
+
+        def run(batches):
+            for batch in batches:
+                for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    part = batch.slice(first, ROWS_AT_ONCE)
+                    tokens, owner, lengths, counts, places = [], [], [], [], []
+                    for k, columns in enumerate(zip(*[part.column(i + 1).to_pylist() for i in range(n)], strict=True)):
+                        found: dict[str, list[int]] = {}
+                        for i, words in enumerate(columns):
+                            for at, word in enumerate(words, i << 32):
+                                found.setdefault(word, []).append(at)
+                        tokens += found
+                        owner += [k] * len(found)
+                        lengths += [sum(map(len, columns))] * len(found)
+                        places += found.values()
+                        counts += [[len(x)] if n == 1 else [sum(p >> 32 == i for p in x) for i in range(n)] for x in found.values()]
+                    numbers = pa.list_(pa.int64())
+                    arrays = [pa.array(tokens, pa.string()), part.column(0).take(pa.array(owner, pa.int64())), pa.array(lengths, pa.int32()), pa.array(counts, numbers), pa.array(places, numbers)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["token", "id", "length", "counts", "places"])
+
+        lists = rows.select("id", *[search.tokenize(F.col(c)).alias(f"t{i}") for i, c in enumerate(self.columns)])
+        return lists.mapInArrow(run, f"token string, id {lists.schema['id'].dataType.simpleString()}, length int, counts array<bigint>, places array<bigint>")
+
     def removal(self, removed: DataFrame, seq: int) -> list[Part]:
         spark, folder = removed.sparkSession, f"removed-{uuid.uuid4().hex}"
         sizes = reduce(lambda a, b: a + b, [F.size(search.tokenize(F.col(c))) for c in self.columns])
@@ -142,15 +173,14 @@ class Segments:
         # by token and a part of the ids: no token is in one task alone, and each file is in order of tokens
         dealt = lambda df: df.repartition(tasks, F.col("token"), F.pmod(F.xxhash64("id"), F.lit(search.SPREAD)))
         written = lambda df, name: df.write.option("parquet.block.size", 8 << 20).parquet(f"{at}/{name}")
-        written(dealt(postings).sortWithinPartitions("token", "id", "col", "pos"), "postings")
-        counts = F.array(*[F.count(F.when(F.col("col") == c, 1)) for c in self.columns])
-        per_row = spark.read.parquet(f"{at}/postings").groupBy("token", "id", "length").agg(counts.alias("counts"))
+        # scores follow the exchange: they are its widest part and are made of the rest
+        rows = dealt(postings)
         score = self.score(F.col("counts"), F.col("length"), found[0].average, search.COLUMN_WEIGHTS)
         bucket = F.least(F.floor(score / (search.K1 + 1) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-        ranked = per_row.select("token", bucket.alias("bucket"), "id", "counts", F.col("length").cast("long").alias("length"), score.alias("score"))
-        written(dealt(ranked).sortWithinPartitions("token", F.desc("bucket"), "id"), "ranks")
+        ranked = rows.select("token", bucket.alias("bucket"), "id", "counts", F.col("length").cast("long").alias("length"), score.alias("score"), "places")
+        written(ranked.sortWithinPartitions("token", F.desc("bucket"), "id"), "postings")
         most = F.array(*[F.max(F.col("counts")[i]) for i in range(len(self.columns))])
-        terms = spark.read.parquet(f"{at}/ranks").groupBy("token", "bucket").agg(F.count("*").alias("n"), most.alias("most"), F.min("length").alias("shortest"), F.max("score").alias("top"))
+        terms = spark.read.parquet(f"{at}/postings").groupBy("token", "bucket").agg(F.count("*").alias("n"), most.alias("most"), F.min("length").alias("shortest"), F.max("score").alias("top"))
         written(terms.sortWithinPartitions("token"), "terms")
         return found
 
@@ -174,7 +204,7 @@ class Segments:
     def put_together(self, spark: SparkSession, parts: list[Part]) -> Segments:
         seq = max(p.seq for p in parts)
         # versions of one row in several of them: all but the newest are removed rows
-        new = self.segment(spark, self.live(spark, "postings", parts).drop("seq"), self.live(spark, "lengths", parts).drop("seq"), seq)
+        new = self.segment(spark, self.live(spark, "postings", parts).select("token", "id", "length", "counts", "places"), self.live(spark, "lengths", parts).drop("seq"), seq)
         removals: list[Part] = []
         for r in self.removals:
             inside = [p for p in parts if p.seq < r.seq]
@@ -216,7 +246,7 @@ class Segments:
         total = sum(r.n for r in classes)
         df = total - (gone.where(here).count() if gone is not None else 0)
         idf = max(math.log((self.rows - df + 0.5) / (df + 0.5)), 1e-6)
-        ranks = self.live(spark, "ranks").where(here)
+        ranks = self.live(spark, "postings").where(here)
 
         def scored(some: list) -> DataFrame:
             wanted = F.lit(False)

@@ -88,3 +88,15 @@ def test_no_rows(spark, tmp_path):
     index = index.changed(frame(spark, data))
     gone = index.changed(spark.createDataFrame([], DDL), frame(spark, data))
     assert gone.rows == 0 and gone.stored(spark).postings.where(F.col("id") >= 0).count() == 0
+
+
+def test_a_token_of_a_row_is_dealt_once(spark, tmp_path):
+    """Postings and ranks were two tables, each dealt anew; a row for each token of a row has both."""
+    from tessera.operators import segments
+
+    rows = spark.createDataFrame([(1, "a b a", "b"), (2, "", "c a"), (3, None, None)], "id long, x string, y string")
+    made = segments.Segments(str(tmp_path / "i"), ("x", "y"))
+    got = {(r.token, r.id): (r.length, r.counts, r.places) for r in made.packed(rows).collect()}
+    assert got == {("a", 1): (4, [2, 0], [0, 2]), ("b", 1): (4, [1, 1], [1, 1 << 32]), ("c", 2): (2, [0, 1], [1 << 32]), ("a", 2): (2, [0, 1], [(1 << 32) + 1])}
+    stored = made.changed(rows).stored(spark)
+    assert {(r.token, r.id, r.col, r.pos) for r in stored.postings.collect()} == {("a", 1, "x", 0), ("b", 1, "x", 1), ("a", 1, "x", 2), ("b", 1, "y", 0), ("c", 2, "y", 0), ("a", 2, "y", 1)}
