@@ -26,6 +26,7 @@ from tessera.operators import automata, graph
 MODERATE_NOISE = ["^\\s*$", "^\\.+$", "^(\\s*)\\d+/\\d+\\s+.*$", "(?i)progress:?"]
 AGGRESSIVE_NOISE = [*MODERATE_NOISE, "(?i)debug", "(?i)trace", "(?i)info"]
 MARGIN = 5
+DOCUMENTS_AT_ONCE = 1000
 
 
 @dataclass
@@ -263,18 +264,24 @@ def regex_extract(s: Stream, pattern: str = "", format: str = "") -> Stream:  #
 
 
 def whole_documents(s: Stream, f: Callable[[list[str]], list[str]]) -> Stream:
-    """An action that must see a document's lines one after another."""
+    """An action that must see a document's lines one after another.
 
-    kind = s.lines.schema["doc_id"].dataType
-
-    def run(table):
-        table = table.sort_by("line_no")
-        out = f(table["line"].to_pylist())
-        doc_id = table["doc_id"][0].as_py() if table.num_rows else None
-        return pa.table({"doc_id": pa.array([doc_id] * len(out), table.schema.field("doc_id").type), "line_no": pa.array([float(i) for i in range(len(out))], pa.float64()), "line": pa.array(out, pa.string())})
+    The lines of a document are gathered by Spark; a task runs ``f`` over batches of documents, as a
+    call for each document would cost more than most documents do.
+    """
+    schema = f"doc_id {s.lines.schema['doc_id'].dataType.simpleString()}, line_no double, line string"
+    texts = s.lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
 
-    schema = f"doc_id {kind.simpleString()}, line_no double, line string"
-    return Stream(s.lines.groupBy("doc_id").applyInArrow(run, schema), s.groups, s.stats)
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
+                part = batch.slice(at, DOCUMENTS_AT_ONCE)
+                found = [f(x) for x in part["lines"].to_pylist()]
+                ids = part["doc_id"].take(pa.array([i for i, x in enumerate(found) for _ in x], pa.int64()))
+                rows = [(float(i), line) for x in found for i, line in enumerate(x)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([n for n, _ in rows], pa.float64()), pa.array([x for _, x in rows], pa.string())], ["doc_id", "line_no", "line"])
+
+    return Stream(texts.mapInArrow(run, schema), s.groups, s.stats)
 
 
 @action

@@ -77,6 +77,15 @@ def test_json_actions(spark):
     assert out(L.json_schema(one, 2)) == ["{", "  a: number", "  b: {", "    c: ...", "  }", "  d: string", "  e: number", "  f: null", "  g: bool", "}"]
 
 
+def test_whole_documents_in_batches(spark):
+    """Many small documents share a call of Python, and lines come in their order whatever the rows' is."""
+    rows = [(f"d{k}", float(i), x) for k in range(2500) for i, x in enumerate(['{"a":', f"{k}", "}"])]
+    s = L.Stream(spark.createDataFrame(rows[::-1], "doc_id string, line_no double, line string"))
+    found = L.json_extract(s, ["a"]).lines
+    assert {(r.doc_id, r.line_no, r.line) for r in found.collect()} == {(f"d{k}", 0.0, f"a: {k}") for k in range(2500)}
+    assert found.count() == 2500 and "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
 def test_regex_extract(spark):
     s = stream(spark, "k=v\nnone\na=b")
     assert out(L.regex_extract(s, "(\\w)=(\\w)")) == ["k v", "a b"] and out(L.regex_extract(s, "(\\w)=(\\w)", "$2<-$1 ($0)")) == ["v<-k (k=v)", "b<-a (a=b)"]
