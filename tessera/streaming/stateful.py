@@ -1,6 +1,6 @@
 """Streams with state of their own for each key, kept in the state store and bounded.
 
-Both processors hold lists in the store, not in a worker: a key's state is read, changed and
+Both processors hold what they know in the store, not in a worker: a key's state is read, changed and
 written in each batch that has rows of it, and a stream that starts again goes on from its
 checkpoint. They need the RocksDB state store (``stored_state``).
 """
@@ -27,34 +27,41 @@ def stored_state(spark: SparkSession) -> None:
 
 
 class Sessions(StatefulProcessor):
-    """Output of a test from its run to its end; what has not ended when the watermark is ``forget_ms`` past its last event is forgotten."""
+    """Output of a test from its run to its end; what has not ended when the watermark is ``forget_ms`` past its last event is forgotten.
+
+    A key's output and the time of its timer are one value: each request to the store is a
+    round trip, so a batch reads a key once and writes what has changed.
+    """
 
     def __init__(self, forget_ms: int):
         self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "output string")
+        self.held = handle.getValueState("held", "outputs array<string>, forgotten long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = [r[0] for r in self.held.get()] if self.held.exists() else []
-        done = []
+        known = self.held.get()
+        held, done = list(known[0]) if known else [], []
         # a batch's rows of one key
-        here = pd.concat(list(rows)).sort_values("seq")
-        for r in here.itertuples(index=False):
-            if r.action == "run":
+        here = pd.concat(list(rows))
+        order = here["seq"].to_numpy().argsort(kind="stable")
+        columns = [here[c].to_numpy()[order] for c in ("seq", "action", "output", "elapsed")]
+        for seq, action, output, elapsed in zip(*columns, strict=True):
+            if action == "run":
                 held = []
-            elif r.action == "output":
-                held.append(r.output or "")
-            elif r.action in FINISHED:
-                done.append((*key, int(r.seq), r.action, None if pd.isna(r.elapsed) else float(r.elapsed), "".join(held)))
+            elif action == "output":
+                held.append(output or "")
+            elif action in FINISHED:
+                done.append((*key, int(seq), action, None if pd.isna(elapsed) else float(elapsed), "".join(held)))
                 held = []
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        if known:
+            self.handle.deleteTimer(known[1])
         if held:
-            self.held.put([(x,) for x in held])
-            self.handle.registerTimer(int(here["time"].max().timestamp() * 1000) + self.forget_ms)
-        else:
+            forgotten = int(here["time"].max().timestamp() * 1000) + self.forget_ms
+            self.held.update((held, forgotten))
+            self.handle.registerTimer(forgotten)
+        elif known:
             self.held.clear()
         if done:
             yield pd.DataFrame(done, columns=["package", "test", "seq", "status", "elapsed", "output"])

@@ -3,6 +3,7 @@
 import datetime
 import json
 
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
@@ -190,3 +191,47 @@ def test_embedder(spark):
     v = value(spark, V.hash_embedder(8)(F.col("t")), t="one two one")
     assert len(v) == 8 and abs(sum(x * x for x in v) - 1) < 1e-6
     assert value(spark, V.l2_distance(F.array(F.lit(0.0), F.lit(3.0)), [4.0, 0.0])) == 5.0
+
+
+def test_a_session_costs_few_requests():
+    """A key's batch reads the store once and writes what changed: each request is a round trip to the JVM."""
+    asked, stored, timers = [], [], set()
+
+    class Value:
+        def get(self):
+            asked.append("get")
+            return stored[-1] if stored else None
+
+        def update(self, value):
+            asked.append("update")
+            stored.append(value)
+
+        def clear(self):
+            asked.append("clear")
+            stored.clear()
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return Value()
+
+        def registerTimer(self, at):  # noqa: N802
+            asked.append("register")
+            timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            asked.append("delete")
+            timers.remove(at)
+
+    sessions = stateful.Sessions(1000)
+    sessions.init(Handle())
+
+    def batch(*rows):
+        asked.clear()
+        frame = pd.DataFrame([(s, a, o, 0.5, pd.Timestamp(s, unit="s")) for s, a, o in rows], columns=["seq", "action", "output", "elapsed", "time"])
+        return [tuple(r) for out in sessions.handleInputRows(("p", "t"), iter([frame]), None) for r in out.itertuples(index=False)]
+
+    assert batch((2, "output", "b"), (1, "run", "")) == [] and asked == ["get", "update", "register"] and timers == {3000}
+    assert batch((3, "output", "c")) == [] and asked == ["get", "delete", "update", "register"] and timers == {4000}
+    assert batch((4, "pass", ""), (5, "skip", "")) == [("p", "t", 4, "pass", 0.5, "bc"), ("p", "t", 5, "skip", 0.5, "")]
+    assert asked == ["get", "delete", "clear"] and not timers and not stored
+    assert batch((6, "fail", "")) == [("p", "t", 6, "fail", 0.5, "")] and asked == ["get"]
