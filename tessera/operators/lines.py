@@ -13,7 +13,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -219,18 +218,25 @@ def aggregate(s: Stream, patterns: dict[str, str] | None = None, format: str = "
     return Stream(out, s.groups, stats.drop("line_no"))
 
 
+def documents(ids: pa.Array, found: list[list[str]]) -> pa.RecordBatch:
+    """(doc_id, line_no, line) of the lines of each document."""
+    repeated = ids.take(pa.array([i for i, x in enumerate(found) for _ in x], pa.int64()))
+    at = [float(i) for x in found for i in range(len(x))]
+    return pa.RecordBatch.from_arrays([repeated, pa.array(at, pa.float64()), pa.array([line for x in found for line in x], pa.string())], ["doc_id", "line_no", "line"])
+
+
 def by_template(rows: DataFrame, template: str, data: Callable[[dict], Any], strip: bool = False) -> DataFrame:
     """A small row for each document, rendered and split into lines."""
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                text = templates.render(template, data(row))
-                out += [(row["doc_id"], float(i), x) for i, x in enumerate((text.rstrip("\n") if strip else text).split("\n"))]
-            yield pd.DataFrame(out, columns=["doc_id", "line_no", "line"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
+                part = batch.slice(at, DOCUMENTS_AT_ONCE)
+                found = [templates.render(template, data(row)) for row in part.to_pylist()]
+                found = [(text.rstrip("\n") if strip else text).split("\n") for text in found]
+                yield documents(part["doc_id"], found)
 
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, line_no double, line string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, line_no double, line string")
 
 
 @action
@@ -240,7 +246,7 @@ def format_template(s: Stream, template: str = "") -> Stream:
         raise ValueError("missing 'template' parameter")
     texts = s.lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("lines"), F.count("*").alias("count"))
     for name, side in (("groups", s.groups), ("stats", s.stats)):
-        if side is None:
+        if side is None or not templates.mentions(template, name):
             texts = texts.withColumn(name, F.lit(None).cast("map<string,bigint>"))
         else:
             texts = texts.join(side.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias(name)), "doc_id", "left")
@@ -276,10 +282,7 @@ def whole_documents(s: Stream, f: Callable[[list[str]], list[str]]) -> Stream:
         for batch in batches:
             for at in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
                 part = batch.slice(at, DOCUMENTS_AT_ONCE)
-                found = [f(x) for x in part["lines"].to_pylist()]
-                ids = part["doc_id"].take(pa.array([i for i, x in enumerate(found) for _ in x], pa.int64()))
-                rows = [(float(i), line) for x in found for i, line in enumerate(x)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([n for n, _ in rows], pa.float64()), pa.array([x for _, x in rows], pa.string())], ["doc_id", "line_no", "line"])
+                yield documents(part["doc_id"], [f(x) for x in part["lines"].to_pylist()])
 
     return Stream(texts.mapInArrow(run, schema), s.groups, s.stats)
 

@@ -86,6 +86,15 @@ def test_whole_documents_in_batches(spark):
     assert found.count() == 2500 and "FlatMapGroups" not in found._jdf.queryExecution().toString()
 
 
+def test_counts_that_no_tag_shows_are_not_joined(spark):
+    s = stream(spark, "a 1\nb\nc 2")
+    counted = L.Stream(s.lines, stats=L.aggregate(s, {"digits": "[0-9]"}).stats)
+    plan = lambda template: L.format_template(counted, template).lines._jdf.queryExecution().optimizedPlan().toString()
+    assert ["LeftOuter" in plan(x) for x in ("{{.lines}}", "{{.lines}}{{.stats.digits}}", "{{.}}")] == [False, True, True]
+    assert out(L.format_template(counted, "{{.lines}}\n{{.stats.digits}} of {{.count}}\n")) == ["a 1", "b", "c 2", "2 of 3"]
+    assert out(L.format_template(counted, "{{.lines}}")) == ["a 1", "b", "c 2"]
+
+
 def test_regex_extract(spark):
     s = stream(spark, "k=v\nnone\na=b")
     assert out(L.regex_extract(s, "(\\w)=(\\w)")) == ["k v", "a b"] and out(L.regex_extract(s, "(\\w)=(\\w)", "$2<-$1 ($0)")) == ["v<-k (k=v)", "b<-a (a=b)"]
