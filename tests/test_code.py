@@ -294,3 +294,17 @@ def test_one_kind_alone_is_what_all_kinds_have_of_it(spark):
         want = parse.rows_of(parsed, kind)
         assert alone.rdd.getNumPartitions() > 4 and alone.dtypes == want.dtypes
         assert sorted(map(str, alone.collect())) == sorted(map(str, want.collect())) != []
+
+
+def test_few_nodes_are_sent_to_edges(spark, monkeypatch):
+    """A level of few nodes goes to the edges, a large one is shuffled; the edges are read in one pass and both give the same rows."""
+    rows = [(f"n{i + 1}", f"n{i}", "p", i, "p", "implements" if i == 2 else "call") for i in range(6)] + [("n1", "n5", "p", 9, "", "satisfies")]
+    edges = spark.createDataFrame(rows, "caller string, callee string, path string, line int, callee_path string, link_type string")
+    want = {("n1", 0, 1), ("n2", 1, 2), ("n3", 2, 3), ("n4", 3, 4), ("n1", 9, 2), ("n6", 5, 3)}
+    for most, hint in ((100_000, True), (0, False)):
+        monkeypatch.setattr(graph, "MOST_SENT", most)
+        met = graph.ripple(edges, "n0", 4)
+        plan = met._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == hint and "Union" not in plan.split("Join")[1].split("LogicalRDD")[0]
+        got = {(r.caller, r.line, r.depth) for r in met.collect()}
+        assert got == want, got
