@@ -1,6 +1,7 @@
 """Declarations, calls and flows of small sources, all of them and no others."""
 
 import json
+import sys
 
 from tessera.operators import parse
 from tessera.operators.tokens import Pattern, masked, tokens
@@ -257,3 +258,24 @@ def test_search_and_audit_of_go(spark):
     assert [r.path for r in parse.structural_search(files, "cart.log($X)", has="ToUpper($$$)").collect()] == ["core/a.go"]
     rules = [parse.ArchRule("no-raw-errors", "fmt.Errorf($$$)", "wrap", "error", "core/"), parse.ArchRule("no-print", "print($$$)", "no")]
     assert {(r.rule_id, r.file_path) for r in parse.audit(files, rules).collect()} == {("no-raw-errors", "core/a.go"), ("no-print", "c.py")}
+
+
+def steps(f):
+    """Calls of Python and of built-in functions that ``f`` makes."""
+    count = 0
+
+    def note(frame, event, arg):
+        nonlocal count
+        count += event in ("call", "c_call")
+
+    sys.setprofile(note)
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return count
+
+
+def test_a_go_file_costs_few_steps_for_each_token():
+    parse.parse_text("shop/cart.go", GO, "call")
+    assert steps(lambda: parse.parse_text("shop/cart.go", GO, "call")) < 19 * len(tokens(GO, "go"))
