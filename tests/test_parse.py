@@ -299,3 +299,18 @@ def test_calls_of_python_cost_few_steps():
     code = "import a.b as c\n\ndef f(x):\n    y = [x + 1 for x in range(3) if x > 1]\n    return c.d.e(y, g(x))\n"
     assert sorted(v["callee"] for _, v in parse.parse_text("m.py", code, "call").out) == ["a.b.d.e", "g", "range"]
     assert steps(lambda: parse.parse_text("m.py", code, "call")) < 700
+
+
+def test_a_file_is_read_once_for_all_rules_and_not_without_their_words(monkeypatch):
+    read = []
+    for module, name in ((parse, "tokens"), (parse.ast, "parse")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name): (read.append(a[0]), f(*a))[1])
+    code = "def f(xs):\n    return list(map(g, xs)), log(xs)\n"
+    wanted = [("map($F, $X)", "", ""), ("log($X)", "function", ""), ("absent($X)", "", "")]
+    assert [(i, line, c) for i, line, _, c in parse.matches("a.py", code, wanted)] == [(0, 2, {"F": "g", "X": "xs"}), (1, 2, {"X": "xs"})]
+    assert read.count(code) == 1
+    wanted = [("c.log($X)", "", ""), ("str.ToUpper($X)", "", ""), ("absent($X)", "", "")]
+    assert {i for i, *_ in parse.matches("shop/cart.go", GO, wanted)} == {0, 1}
+    assert read.count(GO) == 1
+    assert list(parse.matches("a.py", code, wanted[2:])) == list(parse.matches("b.go", GO, wanted[2:])) == []
+    assert read.count(code) == read.count(GO) == 1
