@@ -142,6 +142,18 @@ def test_pagerank(spark):
     assert graph.pagerank(nodes.limit(0), e).count() == 0
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_join_are_dealt_out_before_equal_ones_are_sought(spark):
+    e = edges(spark, ("A", "I", "a.go", 1, "", "call"), ("A", "I", "a.go", 1, "", "call"), ("T", "I", "t.go", 3, "i.go", "satisfies"))
+    found = graph.class_hierarchy_calls(e)
+    lines = plan(found).split("\n")
+    assert "Union" in lines[next(i for i, x in enumerate(lines) if "REPARTITION_BY_NUM" in x) + 1]
+    assert sorted(tuple(r) for r in found.select("caller", "callee", "line").collect()) == [("A", "I", 1), ("A", "T", 1)]
+
+
 def test_critical_and_churn(spark):
     s = symbols(spark, ("A", "function", "", "a.go", 1, 2), ("B", "function", "", "b.go", 1, 2), ("C", "function", "", "c.go", 1, 2))
     e = edges(spark, ("A", "B", "a.go", 1, "b.go", "call"), ("A", "C", "a.go", 2, "", "call"))
