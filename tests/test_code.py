@@ -146,6 +146,35 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pagerank_deals_links_to_both_ends_and_sorts_no_pairs(spark, monkeypatch):
+    nodes = spark.createDataFrame([("A",), ("B",), ("C",), ("A",)], "node string")
+    e = spark.createDataFrame([("A", "B", 1, "call"), ("C", "B", 1, "call"), ("A", "gone", 1, "call")], "src string, dst string, line int, link_type string")
+    frame, held = type(nodes), []
+    persist = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda df, *level: (held.append(plan(df)), persist(df, *level))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranks = {(r.node, r["rank"]) for r in graph.pagerank(nodes, e).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(ranks) == 3 and sum(r for _, r in ranks) == pytest.approx(1)  # a node that is named twice is one
+    (links,) = [p for p in held if "src" in p and "dst" in p and "rank" not in p]
+    assert "Window" not in links and "SortAggregate" not in links
+    moved = [x for x in links.splitlines() if "Exchange hashpartitioning(" in x and "(node" not in x]
+    assert len(moved) == 2
+
+
+def test_first_of_several_links_gives_the_weight(spark):
+    cases = {(("call", 2), ("implements", 1)): 10, (("implements", 2), ("call", 1)): 1, (("implements", 1), ("call", 1)): 1, (("zzz", 1), ("satisfies", 1)): 5, (("satisfies", 1), ("dynamic", 1)): 2, (("embeds", -3), ("satisfies", 0)): 3, ((None, 1), ("embeds", 1)): 1, (("call", -7), ("embeds", None)): 3, (("dynamical", 4), ("dynamic", 4)): 2, (("a", 4), ("dynamic", 4)): 1}
+    nodes = spark.createDataFrame([(i,) for i in range(len(cases) + 1)], "node int")
+    for kind in ("int", "long", "string"):
+        rows = [(i, i + 1, n if n is None or kind != "string" else chr(80 + n), t) for i, links in enumerate(cases) for t, n in links]
+        e = spark.createDataFrame(rows, f"src int, dst int, line {kind}, link_type string")
+        assert [r.w for r in graph.weighted_links(nodes, e).orderBy("src").collect()] == list(cases.values()), kind
+    e = spark.createDataFrame([(0, 1, "satisfies"), (0, 1, "implements")], "src int, dst int, link_type string")
+    assert [r.w for r in graph.weighted_links(nodes, e).collect()] == [10]
+
+
 def test_rows_of_a_join_are_dealt_out_before_equal_ones_are_sought(spark):
     e = edges(spark, ("A", "I", "a.go", 1, "", "call"), ("A", "I", "a.go", 1, "", "call"), ("T", "I", "t.go", 3, "i.go", "satisfies"))
     found = graph.class_hierarchy_calls(e)
