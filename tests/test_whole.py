@@ -5,7 +5,9 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 from tessera.plans import registry
@@ -96,6 +98,21 @@ def test_pagerank_converges_on_a_cycle(spark, tmp_path):
     assert rank("pagerank") == pytest.approx(want, abs=1e-5)
 
 
+def test_ripple_goes_on_until_no_node_is_new(spark, tmp_path):
+    """Calls and hierarchy links of every depth, a cycle and a null end; what is not linked stays out."""
+    chain = list(range(3, 16))
+    rows = [(b, a, "A") for a, b in zip(chain, chain[1:], strict=False)] + [(15, 40, "N"), (41, 40, "A"), (15, 42, "A"), (3, 41, "A"), (50, 51, "R"), (None, 14, "A")]
+    items = [(i, 1 + j, k, flag) for i, (a, b, flag) in enumerate(rows) for j, k in enumerate((a, b))]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = registry.QUERIES["ripple"](spark, str(tmp_path))
+    number = lambda name: name and int(name[3:])
+    want = {(b, a): i for i, (a, b) in enumerate(zip(chain, chain[1:], strict=False), 1)} | {(None, 14): 12, (15, 40): 13, (41, 40): 14, (3, 41): 15}
+    assert {(number(r.caller), number(r.callee)): r.depth for r in df.collect()} == want
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        assert compare(con, df, registry.ORACLES["ripple"]) == len(want)
+
+
 def test_interfaces_of_every_line(spark, tmp_path):
     items = [(1, 1, 7, "A", "2020-01-01"), (1, 2, 8, "A", "2020-01-01"), (2, 1, 8, "A", "2020-01-01"), (2, 3, 9, "N", "2020-01-01")]
     spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string, l_shipdate string").withColumn("l_shipdate", F.to_date("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
